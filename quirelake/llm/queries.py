@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, token_counts
+from . import bpe_chunks, line_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_chunk_reuse": bpe_chunks.query,
+    "op4_line_dedup": line_dedup.query,
     "op6_token_counts": token_counts.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE,
+}
