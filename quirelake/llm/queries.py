@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, line_dedup, token_counts
+from . import bpe_chunks, language_id, line_dedup, media_audio, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_chunk_reuse": bpe_chunks.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_language_id": language_id.query,
     "op6_token_counts": token_counts.query,
+    "op8_media_audio": media_audio.query,
 }
 
 ORACLES: dict[str, str] = {
