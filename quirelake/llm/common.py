@@ -93,3 +93,10 @@ def public_tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of the bytes that ``df`` reads, to size things by;
+    1 GB where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else 1 << 30

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, written
+from .common import input_bytes, slices, table, written
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -73,7 +73,7 @@ def _put(filter_: np.ndarray, h: np.ndarray, bits: int) -> None:
 
 def filter_bits(docs: DataFrame) -> int:
     """The filters' size, from the optimiser's estimate of the input's bytes."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = input_bytes(docs)
     return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, size // 8 - 1).bit_length()))
 
 
