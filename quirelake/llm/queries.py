@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, language_id, line_dedup, media_audio, ngram_join, token_counts
+from . import bpe_chunks, language_id, line_dedup, media_audio, ngram_join, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_chunk_reuse": bpe_chunks.query,
@@ -14,9 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": language_id.query,
     "op6_token_counts": token_counts.query,
     "op8_media_audio": media_audio.query,
+    "op9_secret_scan": secret_scan.query,
     "op10_ngram_jaccard_join": ngram_join.query,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "op9_secret_scan": secret_scan.ORACLE,
 }
