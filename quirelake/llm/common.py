@@ -38,12 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, and what
     several later steps read is computed once and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quirelake-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, language_id, line_dedup, media_audio, ngram_join, secret_scan, token_counts
+from . import bpe_chunks, html_text, language_id, line_dedup, media_audio, ngram_join, packing, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lexical_packing": packing.query,
     "op3_bpe_chunk_reuse": bpe_chunks.query,
     "op4_line_dedup": line_dedup.query,
     "op5_language_id": language_id.query,
     "op6_token_counts": token_counts.query,
+    "op7_html_main_text": html_text.query,
     "op8_media_audio": media_audio.query,
     "op9_secret_scan": secret_scan.query,
     "op10_ngram_jaccard_join": ngram_join.query,
