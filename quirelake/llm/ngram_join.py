@@ -48,9 +48,11 @@ WORDS = 5
 #: The threshold in hundredths.
 THRESHOLD = 75
 #: Shingles in the summary of frequent ones, and in that of one task.
-FREQUENT, SUMMARY = 1 << 16, 1 << 14
+FREQUENT, SUMMARY = 1 << 17, 1 << 16
 #: Least count in a task's summary.
-SUMMARY_LEAST = 8
+SUMMARY_LEAST = 2
+#: Documents whose ids are broadcast to pick their texts (8 bytes each).
+BROADCAST_IDS = 1 << 20
 #: Shingles of a group that one task holds; larger groups are dealt out in blocks.
 GROUP_SHINGLES = 4 << 20
 
@@ -328,10 +330,13 @@ def _tree(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- the stages
 
 
-def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Hashes of frequent shingles, the most frequent last; at most ``FREQUENT``."""
+def named_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Rows of two kinds from one pass over the texts: of a document (doc_id, n: its
+    set's size, name: its set's 128-bit hash), and of a task's summary of frequent
+    shingles (hash, n: its count)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.binary()), ("hash", pa.int64())])
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         held: list[np.ndarray] = []
 
@@ -343,90 +348,116 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
             new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
             return k[new], np.add.reduceat(n, new) if len(k) else n
 
-        for _, texts in slices(batches):
-            held += shingle_sets(texts, words)
+        for batch, texts in slices(batches):
+            found = shingle_sets(texts, words)
+            yield record_batch({"doc_id": batch.column(0), "n": [len(s) for s in found], "name": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], "hash": [None] * len(found)}, schema)
+            held += found
             if sum(map(len, held)) > 1 << 21:
                 keys, counts = merged(keys, counts, held)
                 held = []
                 keep = counts > 1
-                if keep.sum() > SUMMARY * 8:
-                    keep = counts >= np.sort(counts)[-SUMMARY * 8]
+                if keep.sum() > SUMMARY * 4:
+                    keep = counts >= np.sort(counts)[-SUMMARY * 4]
                 keys, counts = keys[keep], counts[keep]
         keys, counts = merged(keys, counts, held)
         keep = np.flatnonzero(counts >= SUMMARY_LEAST)
         keep = keep[np.argsort(-counts[keep], kind="stable")[:SUMMARY]]
-        yield record_batch({"h": pa.array(keys[keep].view(np.int64)), "n": pa.array(counts[keep])}, pa.schema([("h", pa.int64()), ("n", pa.int64())]))
+        none = [None] * len(keep)
+        yield record_batch({"doc_id": none, "n": pa.array(counts[keep]), "name": none, "hash": pa.array(keys[keep].view(np.int64))}, schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, name binary, hash long")
 
-    rows = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    return np.array([r.h for r in reversed(rows)], np.int64).view(np.uint64)
+
+def frequent_shingles(summaries: DataFrame) -> np.ndarray:
+    """Hashes of frequent shingles, the most frequent last; at most ``FREQUENT``."""
+    rows = summaries.groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(FREQUENT).select("hash").toPandas()
+    return rows["hash"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
 
-def _prefix(own: np.ndarray, listed: np.ndarray, place: np.ndarray, threshold: int) -> np.ndarray:
-    """The first elements of a sorted set in the global order."""
-    n = prefix_size(len(own), threshold)
+def in_order(own: np.ndarray, listed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A sorted set in the global order."""
     if len(listed):
         at = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
         late = listed[at] == own
         if late.any():
-            own = np.concatenate([own[~late], own[late][np.argsort(place[at[late]])]])
-    return own[:n]
-
+            return np.concatenate([own[~late], own[late][np.argsort(place[at[late]])]])
+    return own
 
-def sets_of(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """Rows of two kinds from one pass over the texts.
 
-    kind 0, by document: doc_id, n (its set's size) and name (of its set).
-    kind 1, by task and bucket: hashes and names, packed, of prefixes' elements.
+def prefixes(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """(bucket, hashes, places, docs): prefixes' elements, packed by task and bucket of
+    hashes.  ``docs`` has doc_id and set size by place; a place's lowest bit says
+    whether the element is in the shorter prefix, one of whose elements is common
+    to any set it links to that is at least as large.  A task sends equal sets once.
     """
-    frequent = frequent_shingles(docs, words)
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
     buckets = bucket_count(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.binary()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("names", pa.binary()), ("places", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary()), ("docs", pa.binary())])
         listed, place = shared.value
         sent: set[bytes] = set()
-        names: list[bytes] = []
-        prefixes: list[np.ndarray] = []
+        ids: list[int] = []
+        sizes: list[int] = []
+        parts: list[np.ndarray] = []
 
         def packed():
-            h = np.concatenate(prefixes)
-            at = np.repeat(np.arange(len(names), dtype=np.uint32), [len(p) for p in prefixes])
+            h = np.concatenate(parts)
+            n = np.array([len(p) for p in parts])
+            at = np.repeat(np.arange(len(n)), n)
+            size = np.array(sizes)
+            rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            short = rank < (size - -(-2 * threshold * size // (100 + threshold)) + 1)[at]
             bucket = (h >> np.uint64(40)).astype(np.int64) % buckets
             by = np.lexsort((h, bucket))
-            h, at, bucket = h[by], at[by], bucket[by]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            found = np.flatnonzero(np.diff(cuts))
+            h, at, short = h[by], at[by], short[by]
+            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            table = np.stack([np.array(ids, np.int64), size.astype(np.int64)], axis=1)
             rows = []
-            for b in found.tolist():
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(cuts[b], cuts[b + 1])
                 used, local = np.unique(at[own], return_inverse=True)
-                kind = np.uint16 if len(used) < 1 << 16 else np.uint32
-                rows.append((b, h[own].tobytes(), b"".join([names[i] for i in used.tolist()]), local.astype(kind).tobytes()))
-            n = len(rows)
-            names.clear()
-            prefixes.clear()
-            return record_batch({"kind": [1] * n, "doc_id": [None] * n, "n": [None] * n, "name": [None] * n, "bucket": [r[0] for r in rows], "hashes": [r[1] for r in rows], "names": [r[2] for r in rows], "places": [r[3] for r in rows]}, schema)
-
+                local = local * 2 + short[own]
+                rows.append((b, h[own].tobytes(), local.astype(np.uint16 if len(used) < 1 << 15 else np.uint32).tobytes(), _narrow(table[used])))
+            ids.clear()
+            sizes.clear()
+            parts.clear()
+            return record_batch({f.name: [r[i] for r in rows] for i, f in enumerate(schema)}, schema)
+
+        held = 0
         for batch, texts in slices(batches):
-            found = shingle_sets(texts, words)
-            own = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
-            n = len(texts)
-            yield record_batch({"kind": [0] * n, "doc_id": batch.column(0), "n": [len(s) for s in found], "name": own, "bucket": [None] * n, "hashes": [None] * n, "names": [None] * n, "places": [None] * n}, schema)
-            for name, s in zip(own, found, strict=True):
-                if name and name not in sent:
-                    sent.add(name)
-                    names.append(name)
-                    prefixes.append(_prefix(s, listed, place, threshold))
-            if sum(map(len, prefixes)) > 2 << 20:
+            for doc, own in zip(batch.column(0).to_pylist(), shingle_sets(texts, words), strict=True):
+                name = xxhash.xxh3_128_digest(own.tobytes())
+                if doc is None or not len(own) or name in sent:
+                    continue
+                sent.add(name)
+                ids.append(doc)
+                sizes.append(len(own))
+                parts.append(in_order(own, listed, place)[: prefix_size(len(own), threshold)])
+                held += len(parts[-1])
+            if held > 3 << 20:
                 yield packed()
+                held = 0
             if len(sent) > 1 << 20:
                 sent.clear()
-        if names:
+        if ids:
             yield packed()
 
-    return docs.mapInArrow(run, "kind byte, doc_id long, n long, name binary, bucket int, hashes binary, names binary, places binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, hashes binary, places binary, docs binary")
+
+
+def _narrow(table: np.ndarray) -> bytes:
+    """doc_id and size by row, each in four bytes where they fit."""
+    least = int(table[:, 0].min())
+    wide = int(table[:, 0].max()) - least >= 1 << 32 or int(table[:, 1].max()) >= 1 << 32
+    kind = np.int64 if wide else np.uint32
+    return np.array([wide, least], np.int64).tobytes() + (table - [least, 0]).astype(kind).T.tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    wide, least = np.frombuffer(packed, np.int64, 2)
+    return np.frombuffer(packed, np.int64 if wide else np.uint32, offset=16).astype(np.int64).reshape(2, -1).T + [int(least), 0]
 
 
 def bucket_count(docs: DataFrame) -> int:
@@ -435,73 +466,102 @@ def bucket_count(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) >> 24)
 
 
-def leaders(packed: DataFrame) -> DataFrame:
-    """(leader binary, name binary) of the sets that share an element of a prefix."""
+def leaders(packed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(leader, doc_id) of documents that share an element of their prefixes with
+    another that can link to them by its size; the leader is the least of them."""
 
     def assign(group: pd.DataFrame) -> pd.DataFrame:
+        tables = [_wide(x) for x in group["docs"]]
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in group["hashes"]])
-        row = np.repeat(np.arange(len(group)), [len(x) // 8 for x in group["hashes"]])
-        local = np.concatenate([np.frombuffer(p, np.uint16 if len(x) < 16 << 16 else np.uint32).astype(np.int64) for p, x in zip(group["places"], group["names"], strict=True)])
+        base = np.cumsum([0, *(len(t) for t in tables[:-1])])
+        # a row's places have two bytes unless its documents need more
+        local = [np.frombuffer(p, np.uint16 if len(p) * 4 == len(x) else np.uint32).astype(np.int64) for p, x in zip(group["places"], group["hashes"], strict=True)]
+        short = np.concatenate([x & 1 for x in local]) > 0
+        at = np.concatenate([(x >> 1) + b for x, b in zip(local, base.tolist(), strict=True)])
+        every = np.concatenate(tables)
         by = np.argsort(h, kind="stable")
         h = h[by]
         same = h[1:] == h[:-1]
         keep = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-        h, by = h[keep], by[keep]
-        lists = group["names"].tolist()
-        names = [lists[r][16 * k : 16 * k + 16] for r, k in zip(row[by].tolist(), local[by].tolist(), strict=True)]
-        every = sorted(set(names))
-        place = {x: i for i, x in enumerate(every)}
-        at = np.array([place[x] for x in names], np.int64)
-        by = np.lexsort((at, h))
-        h, at = h[by], at[by]
+        h, at, short = h[keep], at[by[keep]], short[by[keep]]
+        doc, size = every[at, 0], every[at, 1]
+        by = np.lexsort((doc, ~short, size, h))
+        h, doc, size, short = h[by], doc[by], size[by], short[by]
+        if not len(h):
+            return pd.DataFrame({"leader": [], "doc_id": []})
+        # the next larger set, and the last one before that has the element in its
+        # shorter prefix
+        after = np.concatenate([(h[1:] == h[:-1]) & (100 * size[:-1] >= threshold * size[1:]), [False]])
+        last = np.maximum.accumulate(np.where(short, np.arange(len(h)), -1))
+        last = np.concatenate([[-1], last[:-1]])
+        before = (last >= 0) & (h[np.maximum(last, 0)] == h) & (100 * size[np.maximum(last, 0)] >= threshold * size)
+        useful = np.flatnonzero(short & after | before)
+        h, doc = h[useful], doc[useful]
+        by = np.lexsort((doc, h))
+        h, doc = h[by], doc[by]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        lead = np.repeat(at[first], np.diff(np.append(first, len(h))))
-        # a leader's own row is needed only where it leads others
-        pairs = np.unique((lead * len(every) + at)[lead != at])
-        lead, at = np.divmod(pairs, max(1, len(every)))
-        own = np.unique(lead)
-        return pd.DataFrame({"leader": [every[i] for i in [*lead.tolist(), *own.tolist()]], "name": [every[i] for i in [*at.tolist(), *own.tolist()]]}, columns=["leader", "name"])
+        lead = np.repeat(doc[first], np.diff(np.append(first, len(h))))
+        pairs = np.unique(np.stack([lead, doc], axis=1), axis=0)
+        return pd.DataFrame({"leader": pairs[:, 0], "doc_id": pairs[:, 1]})
 
-    return packed.groupBy("bucket").applyInPandas(assign, "leader binary, name binary").distinct()
+    return packed.groupBy("bucket").applyInPandas(assign, "leader long, doc_id long").distinct()
 
 
-def component_links(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, name) of every document, and (a, b): pairs of names of linked sets
-    that connect all that links connect."""
-    spark = docs.sparkSession
-    both = written(sets_of(docs, words, threshold), "shingle-prefixes")
-    named = both.filter("kind = 0").select("doc_id", "n", "name")
-    groups = written(leaders(both.filter("kind = 1").select("bucket", "hashes", "names", "places")), "shingle-groups")
-
-    # One document for each set that is in a group, for its text.
-    chosen = named.filter(F.col("doc_id").isNotNull()).join(groups.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    chosen = written(chosen, "shingle-sets")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("name", pa.binary()), ("set", pa.binary())])
-        for _, texts in slices(batches):
-            found = shingle_sets(texts, words)
-            yield record_batch({"name": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], "set": [s.tobytes() for s in found]}, schema)
+def sets_of(docs: DataFrame, chosen: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, set) of the chosen documents (doc_id): picked by a broadcast list of
+    ids while there are no more than ``BROADCAST_IDS``, else by a join."""
+    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.binary())])
+
+    def read(batches: Iterator[pa.RecordBatch], picked=None) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if picked is not None:
+                own = batch.column(0).fill_null(-(1 << 63)).to_numpy()
+                at = np.minimum(np.searchsorted(picked, own), len(picked) - 1)
+                batch = batch.filter(pa.array((picked[at] == own) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
+            for part, texts in slices([batch]):
+                yield record_batch({"doc_id": part.column(0), "set": [s.tobytes() for s in shingle_sets(texts, words)]}, schema)
+
+    docs = docs.select("doc_id", "text")
+    n = chosen.count()
+    if n == 0:
+        return docs.limit(0).mapInArrow(read, "doc_id long, set binary")
+    if n <= BROADCAST_IDS:
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(chosen.toPandas()["doc_id"].to_numpy(np.int64)))
+        return docs.mapInArrow(lambda batches: read(batches, shared.value), "doc_id long, set binary")
+    return docs.join(chosen, "doc_id", "left_semi").mapInArrow(read, "doc_id long, set binary")
 
-    # rows that share a doc_id may hold other texts too: names tell them apart
-    sets = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select("text").mapInArrow(read, "name binary, set binary")
-    sets = written(sets.join(chosen.select("name"), "name", "left_semi").dropDuplicates(["name"]), "shingle-set-values")
 
-    sized = groups.join(chosen.select("name", "n"), "name").groupBy("leader").agg(F.sum("n").alias("total"))
+def component_links(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, name) of every document, and (a, b): pairs of documents, one for
+    each distinct set, whose links connect all that links connect."""
+    both = written(named_sets(docs, words), "shingle-sets")
+    named = both.filter("hash IS NULL").select("doc_id", "n", "name")
+    frequent = frequent_shingles(both.filter("hash IS NOT NULL").select("hash", "n"))
+    known = named.filter("doc_id IS NOT NULL AND name IS NOT NULL")
+    first = known.groupBy("name").agg(F.min("doc_id").alias("rep"))
+    # the least document with the same set stands for each
+    rep = known.join(first, "name").groupBy("doc_id", "rep").agg(F.max("n").alias("n"))
+    groups = leaders(prefixes(docs, frequent, words, threshold), threshold)
+    groups = groups.join(rep, "doc_id").select("leader", F.col("rep").alias("doc_id"), "n").join(rep.select(F.col("doc_id").alias("leader"), F.col("rep").alias("top")), "leader")
+    groups = written(groups.groupBy(F.col("top").alias("leader"), "doc_id").agg(F.max("n").alias("n")), "shingle-groups")
+    # a group of one has nothing to compare
+    sized = groups.groupBy("leader").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(GROUP_SHINGLES))).cast("int")
     cut = groups.join(sized.select("leader", blocks.alias("blocks")), "leader")
-    own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
+    sets = written(sets_of(docs, cut.select("doc_id").distinct(), words), "shingle-set-values")
+
     # a set goes to the pairs of blocks that hold its own
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "name")
+    cut = cut.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id")
 
     def link(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        names = group["name"].tolist()
+        ids = group["doc_id"].tolist()
         found = forest([np.frombuffer(x, np.uint64) for x in group["set"]], None if i == j else (group["own"] == i).to_numpy(), threshold)
-        return pd.DataFrame({"a": [names[x] for x, _ in found], "b": [names[y] for _, y in found]}, columns=["a", "b"])
+        return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, columns=["a", "b"], dtype="int64")
 
-    linked = cut.join(sets, "name").groupBy("leader", "i", "j").applyInPandas(link, "a binary, b binary")
+    linked = cut.join(sets, "doc_id").groupBy("leader", "i", "j").applyInPandas(link, "a long, b long").filter("a <> b")
     return named, written(linked.distinct(), "shingle-links")
 
 
@@ -531,12 +591,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: int = THR
     """(doc_id, n_shingles, component_id) of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named, edges = component_links(docs, words, threshold)
-    tops = components(edges).select(F.col("node").alias("name"), "root")
-    known = named.filter(F.col("doc_id").isNotNull() & F.col("name").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("least"))
-    known = known.join(tops, "name", "left").select("name", "least", F.coalesce("root", "name").alias("root"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = known.join(least, "root").select("name", "component_id")
-    return named.join(ids, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # rows of one document, and documents of one set, are together; so are those
+    # whose sets link
+    known = named.filter("doc_id IS NOT NULL AND name IS NOT NULL")
+    first = known.groupBy("name").agg(F.min("doc_id").alias("rep"))
+    own = known.join(first, "name").groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps"))
+    tops = components(edges.union(own.filter(F.size("reps") > 1).select("a", F.explode("reps").alias("b")).filter("a < b")))
+    ids = own.join(tops, own.a == tops.node, "left").select("doc_id", F.coalesce("root", "a").alias("component_id"))
+    return named.join(ids, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
