@@ -281,6 +281,12 @@ def forest(sets: list[np.ndarray], left: np.ndarray | None = None, threshold: in
     ``left``: compare only sets for which it is true with those for which it
     isn't (two blocks); without it, all with all.
     """
+    seen: dict[bytes, int] = {}
+    same = [(seen[k], i) for i, k in enumerate(s.tobytes() for s in sets) if seen.setdefault(k, i) != i]
+    if same:  # equal sets link; one of each goes on, whose block compares it with the others
+        only = list(seen.values())
+        rest = forest([sets[i] for i in only], None if left is None else left[only], threshold)
+        return [*((a, b) for a, b in same if len(sets[a])), *((only[a], only[b]) for a, b in rest)]
     if len(sets) < 2:
         return []
     if len(sets) == 2:
