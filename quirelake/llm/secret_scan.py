@@ -41,6 +41,8 @@ KEYWORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 SHARED_OWNERS = 3
 #: Shares that a value's rows are dealt to when verdicts are joined.
 SALT = 8
+#: Documents with owned values whose spans are broadcast (about 100 bytes each).
+BROADCAST_ROWS = 200_000
 
 _FOUND = "array<struct<start:int,kind:int,end:int,from:int,value:binary>>"
 
@@ -64,8 +66,8 @@ def _matches(text: Column, kind: int) -> Column:
 
 
 def findings(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """(row, doc_id, owner, repository, found) of every row of ``docs``; found is
-    sorted by start and kind."""
+    """(row, doc_id, owner, repository, found, text_hash) of every row of ``docs``;
+    found is sorted by start and kind, text_hash is null where it is empty."""
     none = F.array().cast(_FOUND)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lower = docs.withColumn("lower", F.lower("text"))
@@ -74,7 +76,8 @@ def findings(docs: DataFrame, owner: str = "source", repository: str = "doc_id")
         keyword = keyword | F.contains("lower", F.lit(word))
     marked = lower.select("doc_id", "owner", "repository", "text", keyword.alias("k0"), F.contains("text", F.lit("AKIA")).alias("k1"), F.col("text").rlike("[0-9a-f]{24}").alias("k2"))
     found = F.array_sort(F.concat(*(F.when(F.col(f"k{i}"), _matches(F.col("text"), i)).otherwise(none) for i in range(len(PATTERNS)))))
-    return marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", F.when(F.col("k0") | F.col("k1") | F.col("k2"), found).otherwise(none).alias("found"))
+    some = F.col("k0") | F.col("k1") | F.col("k2")
+    return marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", F.when(some, found).otherwise(none).alias("found"), F.when(some, F.sha2(F.col("text").cast("binary"), 256)).alias("text_hash"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -85,8 +88,8 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", shared_owners: int = SHARED_OWNERS) -> DataFrame:
-    """(row, doc_id, base, all): arrays of (start, kind, end), without and with the
-    verdicts, for every row of ``docs``."""
+    """(row, doc_id, base, all, text_hash): arrays of (start, kind, end), without and
+    with the verdicts, for every row of ``docs``."""
     found = written(findings(docs, owner, repository), "secrets")
     verdict = ownership(found).select("value", F.when(F.col("n_owners") >= shared_owners, F.lit(4)).otherwise(F.lit(3)).alias("verdict"))
     verdict = verdict.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
@@ -94,7 +97,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", sha
     judged = each.select("row", "salt", F.col("f.value").alias("value"), F.col("f.from").alias("start"), F.col("f.end").alias("end")).join(verdict, ["value", "salt"])
     judged = judged.groupBy("row").agg(F.collect_set(F.struct("start", F.col("verdict").alias("kind"), "end")).alias("more"))
     base = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    return found.join(judged, "row", "left").select("row", "doc_id", base.alias("base"), F.array_sort(F.when(F.col("more").isNull(), base).otherwise(F.concat(base, "more"))).alias("all"))
+    return found.join(judged, "row", "left").select("row", "doc_id", base.alias("base"), F.array_sort(F.when(F.col("more").isNull(), base).otherwise(F.concat(base, "more"))).alias("all"), "text_hash")
 
 
 def span_text(spans: Column) -> Column:
@@ -102,6 +105,25 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def redact(docs: DataFrame, owner: str = "source", mark: str = "[secret]", shared_owners: int = SHARED_OWNERS) -> DataFrame:
+    """``docs`` with ``mark`` in the place of each owned value; all rows and columns
+    stay.  Rows are known again by doc_id and the hash of their text."""
+    owned = F.filter("all", lambda x: x["kind"] == 3)
+    spans = scan(docs, owner, shared_owners=shared_owners).filter(F.size(owned) > 0).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), owned.alias("__owned")).dropDuplicates(["__doc", "__hash"])
+    spans = written(spans, "secret-spans")
+    if spans.count() <= BROADCAST_ROWS:
+        spans = F.broadcast(spans)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("__hash"))
+    text = F.col("text")
+
+    def step(done: Column, x: Column) -> Column:
+        new = F.concat(done["out"], F.substring(text, done["at"] + 1, x["start"] - done["at"]), F.lit(mark))
+        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.when(x["start"] >= done["at"], new).otherwise(done["out"]).alias("out"))
+
+    clean = F.aggregate("__owned", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return docs.join(spans, same, "left").select(*(F.when(F.col("__owned").isNotNull(), clean).otherwise(text).alias("text") if c == "text" else docs[c] for c in docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all ``documents``."""
     found = scan(table(spark, sf_dir, "documents"))
