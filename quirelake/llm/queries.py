@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, html_text, language_id, line_dedup, media_audio, ngram_join, packing, secret_scan, token_counts
+from . import ann_search, bpe_chunks, html_text, language_id, line_dedup, media_audio, ngram_join, packing, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multiprobe_ann": ann_search.query,
     "op2_lexical_packing": packing.query,
     "op3_bpe_chunk_reuse": bpe_chunks.query,
     "op4_line_dedup": line_dedup.query,
