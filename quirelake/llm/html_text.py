@@ -180,10 +180,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
             yield record_batch({"host": [r[0] for r in rows], "path": [r[1] for r in rows], "score": [r[2] for r in rows]}, schema)
 
     votes = pages.select("url", "html").mapInArrow(vote, "host string, path string, score double").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.floor("score")).alias("score"))
-    # the negated path's order can't be had: the first by name among equals is by min
-    top = votes.groupBy("host").agg(F.max(F.struct("votes", "score")).alias("top"))
-    tied = votes.join(top, (votes.host.eqNullSafe(top.host)) & (F.struct("votes", "score") == F.col("top"))).select(votes.host, "path", "votes")
-    return tied.groupBy("host").agg(F.min("path").alias("path"), F.max("votes").alias("votes"))
+    # most votes, then most text, then the first name: the least of negated numbers
+    return votes.groupBy("host").agg(F.min(F.struct(-F.col("votes"), -F.col("score"), "path")).alias("top")).select("host", F.col("top.path").alias("path"), (-F.col("top.col1")).alias("votes"))
 
 
 def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
