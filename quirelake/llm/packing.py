@@ -25,7 +25,9 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +48,65 @@ QUERY_TERMS = 24
 #: Tokens, and documents, that one index holds.
 SHARD_TOKENS, SHARD_DOCS = 1 << 20, 1024
 #: Words that a worker remembers.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
+
+
+#: Letters before this one are letters to every version of Unicode.
+_PLAIN = "\u0250"
+# Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the
+# others for the code points from 256 on, in order.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+_ENDED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+
+
+class _Known(dict):
+    """The packed ids of a stretch behind ``before``, made when asked for.
+
+    Of two generations the older one goes when the newer is full, so that frequent
+    stretches stay.
+    """
+
+    def __init__(self, encoder: "Encoder", before: str):
+        super().__init__()
+        self.encoder, self.before, self.older = encoder, before, {}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.older.get(part)
+        if found is None:
+            found = self.make(part)
+        self[part] = found
+        return found
+
+    def make(self, part: str) -> bytes:
+        if part.isalpha() and (part.isascii() or max(part) < _PLAIN):
+            return self.encoder.encode_word(self.before + part)
+        # Signs behind letters are a piece of their own, and so is one line end
+        # between what isn't white space.
+        m = _ENDED.fullmatch(part)
+        if m and m[1].isalpha() and (m[1].isascii() or max(m[1]) < _PLAIN):
+            return self[m[1]] + self.encoder.signs[m[2]]
+        ahead, line, behind = part.partition("\n")
+        if line and ahead and behind and not ahead[-1].isspace() and not behind[0].isspace():
+            return self[ahead] + self.encoder.line + self.encoder.bare[behind]
+        return self.encoder.encode(self.before + part)
+
+    def age(self) -> None:
+        if len(self) > CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
+class _Signs(_Known):
+    """The packed ids of signs alone."""
+
+    def __init__(self, encoder: "Encoder"):
+        super().__init__(encoder, "")
+
+    def make(self, part: str) -> bytes:
+        return self.encoder.encode(part)
 
 
 class Encoder:
@@ -59,8 +119,20 @@ class Encoder:
 
     def __init__(self, tokenizer: str):
         self.tokenizer = hf_tokenizer(tokenizer)
-        self.known: dict[str, bytes] = {}
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self.kind, self.code = (np.dtype("<u4"), "I") if wide else (np.dtype("<u2"), "H")
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known, self.bare, self.signs = _Known(self, " "), _Known(self, ""), _Signs(self)
+        self.line = self.encode("\n")
+
+    def encode(self, text: str) -> bytes:
+        """The packed ids of one text."""
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode_word(self, word: str) -> bytes:
+        """The packed ids of letters behind a space: one piece of the pre-tokeniser, so
+        the model alone is asked."""
+        return array(self.code, [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
 
     def parts(self, text: str) -> list[str]:
         """Stretches of ``text``; each but the first stands for itself behind a space."""
@@ -79,14 +151,15 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        parts = [self.parts(t) for t in texts]
-        missing = list(set().union(*(p[1:] for p in parts)).difference(self.known))
-        fresh = self.tokenizer.encode_batch_fast([*(" " + m for m in missing), *(p[0] for p in parts)], add_special_tokens=False)
-        packed = [np.array(x.ids, self.kind).tobytes() for x in fresh]
-        self.known.update(zip(missing, packed, strict=False))
-        return [first + b"".join(map(self.known.__getitem__, p[1:])) for first, p in zip(packed[len(missing) :], parts, strict=True)]
+        self.known.age()
+        self.bare.age()
+        self.signs.age()
+        get = self.known.__getitem__
+        out = []
+        for text in texts:
+            first, *rest = self.parts(text)
+            out.append(self.bare[first] + b"".join(map(get, rest)))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
