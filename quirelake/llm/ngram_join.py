@@ -4,13 +4,12 @@ Two documents link when the Jaccard similarity of their word-shingle sets reache
 a threshold; the join is exact (on 64-bit hashes of shingles) and returns each
 document's component.
 
-1. A bounded summary of the most frequent shingles gives a global order: listed
-   shingles last, by frequency, all others before them, by hash.  Any order is
-   right; this one keeps common passages out of the prefixes.
+1. Tasks send all sets' elements packed into few rows, dealt by hash, to count in how
+   many distinct sets each is.  That gives the global order, the rarest first; what
+   one set alone has goes no further.  Sets that are equal count as one.
 2. By prefix filtering, two sets that link share a shingle among the first
-   n - ceil(t n) + 1 of each.  Tasks send those prefixes packed into few rows,
-   dealt by the shingle's hash; sets that are equal are one set from here on,
-   named by a 128-bit hash.
+   n - ceil(t n) + 1 of each.  Elements that one set alone has fill most prefixes
+   whole, so few documents have anything to send on.
 3. Where a shingle has several sets, the least is its leader, and each set is
    assigned to it once however many shingles they share: as many rows as there
    are shared shingles at most, never pairs.
@@ -47,10 +46,6 @@ from .common import input_bytes, record_batch, slices, table, written
 WORDS = 5
 #: The threshold in hundredths.
 THRESHOLD = 75
-#: Shingles in the summary of frequent ones, and in that of one task.
-FREQUENT, SUMMARY = 1 << 17, 1 << 16
-#: Least count in a task's summary.
-SUMMARY_LEAST = 2
 #: Documents whose ids are broadcast to pick their texts (8 bytes each).
 BROADCAST_IDS = 1 << 20
 #: Shingles of a group that one task holds; larger groups are dealt out in blocks.
@@ -337,139 +332,158 @@ def _tree(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 
 def named_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows of two kinds from one pass over the texts: of a document (doc_id, n: its
-    set's size, name: its set's 128-bit hash), and of a task's summary of frequent
-    shingles (hash, n: its count)."""
+    """(doc_id, n, name) of each document: its set's size and 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.binary()), ("hash", pa.int64())])
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held: list[np.ndarray] = []
-
-        def merged(keys, counts, held):
-            k = np.concatenate([keys, *held])
-            n = np.concatenate([counts, np.ones(len(k) - len(keys), np.int64)])
-            order = np.argsort(k, kind="stable")
-            k, n = k[order], n[order]
-            new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-            return k[new], np.add.reduceat(n, new) if len(k) else n
-
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.binary())])
         for batch, texts in slices(batches):
             found = shingle_sets(texts, words)
-            yield record_batch({"doc_id": batch.column(0), "n": [len(s) for s in found], "name": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], "hash": [None] * len(found)}, schema)
-            held += found
-            if sum(map(len, held)) > 1 << 21:
-                keys, counts = merged(keys, counts, held)
-                held = []
-                keep = counts > 1
-                if keep.sum() > SUMMARY * 4:
-                    keep = counts >= np.sort(counts)[-SUMMARY * 4]
-                keys, counts = keys[keep], counts[keep]
-        keys, counts = merged(keys, counts, held)
-        keep = np.flatnonzero(counts >= SUMMARY_LEAST)
-        keep = keep[np.argsort(-counts[keep], kind="stable")[:SUMMARY]]
-        none = [None] * len(keep)
-        yield record_batch({"doc_id": none, "n": pa.array(counts[keep]), "name": none, "hash": pa.array(keys[keep].view(np.int64))}, schema)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, name binary, hash long")
-
-
-def frequent_shingles(summaries: DataFrame) -> np.ndarray:
-    """Hashes of frequent shingles, the most frequent last; at most ``FREQUENT``."""
-    rows = summaries.groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(FREQUENT).select("hash").toPandas()
-    return rows["hash"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
-
-
-def in_order(own: np.ndarray, listed: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A sorted set in the global order."""
-    if len(listed):
-        at = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
-        late = listed[at] == own
-        if late.any():
-            return np.concatenate([own[~late], own[late][np.argsort(place[at[late]])]])
-    return own
-
-
-def prefixes(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """(bucket, hashes, places, docs): prefixes' elements, packed by task and bucket of
-    hashes.  ``docs`` has doc_id and set size by place; a place's lowest bit says
-    whether the element is in the shorter prefix, one of whose elements is common
-    to any set it links to that is at least as large.  A task sends equal sets once.
-    """
-    order = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
-    buckets = bucket_count(docs)
+            yield record_batch({"doc_id": batch.column(0), "n": [len(s) for s in found], "name": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]}, schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, name binary")
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets of shingles: one for each 16 MB of input, and one for each partition
+    of a shuffle at least."""
+    return min(1 << 20, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) >> 24))
+
+
+_PACKED = "bucket int, docs binary, counts binary, hashes binary, extra binary"
+
+
+def _row(bucket: int, docs: np.ndarray, counts: np.ndarray, hashes: bytes, extra: bytes) -> tuple:
+    return bucket, np.ascontiguousarray(docs, np.int64).tobytes(), np.ascontiguousarray(counts, np.uint32).tobytes(), hashes, extra
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["bucket", "docs", "counts", "hashes", "extra"])
+
+
+def _docs(group: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The documents' rows of a bucket, and the place of each element's document."""
+    docs = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, width) for x in group["docs"]])
+    return docs, np.repeat(np.arange(len(docs)), np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"]]))
+
+
+def shingle_rows(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame:
+    """All sets' elements, packed by task and bucket: ``docs`` has doc_id, set size and
+    half of the set's name, ``counts`` the elements of each, ``hashes`` 40 bits of
+    each; the bucket stands for the other 24.  A task sends equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary()), ("docs", pa.binary())])
-        listed, place = shared.value
-        sent: set[bytes] = set()
-        ids: list[int] = []
-        sizes: list[int] = []
+        schema = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("extra", pa.binary())])
+        sent: set[int] = set()
+        table: list[tuple[int, int, int]] = []
         parts: list[np.ndarray] = []
 
         def packed():
             h = np.concatenate(parts)
-            n = np.array([len(p) for p in parts])
-            at = np.repeat(np.arange(len(n)), n)
-            size = np.array(sizes)
-            rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            short = rank < (size - -(-2 * threshold * size // (100 + threshold)) + 1)[at]
-            bucket = (h >> np.uint64(40)).astype(np.int64) % buckets
-            by = np.lexsort((h, bucket))
-            h, at, short = h[by], at[by], short[by]
+            at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            bucket = (h >> np.uint64(40)).astype(np.int32) % buckets
+            by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            table = np.stack([np.array(ids, np.int64), size.astype(np.int64)], axis=1)
+            low = np.ascontiguousarray(h[by]).view(np.uint8).reshape(-1, 8)[:, :5]
+            at, every = at[by], np.array(table, np.int64)
             rows = []
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(cuts[b], cuts[b + 1])
-                used, local = np.unique(at[own], return_inverse=True)
-                local = local * 2 + short[own]
-                rows.append((b, h[own].tobytes(), local.astype(np.uint16 if len(used) < 1 << 15 else np.uint32).tobytes(), _narrow(table[used])))
-            ids.clear()
-            sizes.clear()
+                used, counts = np.unique(at[own], return_counts=True)
+                rows.append(_row(b, every[used], counts, low[own].tobytes(), b""))
+            table.clear()
             parts.clear()
             return record_batch({f.name: [r[i] for r in rows] for i, f in enumerate(schema)}, schema)
 
         held = 0
         for batch, texts in slices(batches):
             for doc, own in zip(batch.column(0).to_pylist(), shingle_sets(texts, words), strict=True):
-                name = xxhash.xxh3_128_digest(own.tobytes())
+                name = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
                 if doc is None or not len(own) or name in sent:
                     continue
                 sent.add(name)
-                ids.append(doc)
-                sizes.append(len(own))
-                parts.append(in_order(own, listed, place)[: prefix_size(len(own), threshold)])
-                held += len(parts[-1])
-            if held > 3 << 20:
+                table.append((doc, len(own), name))
+                parts.append(own)
+                held += len(own)
+            if held > 4 << 20:
                 yield packed()
                 held = 0
             if len(sent) > 1 << 20:
                 sent.clear()
-        if ids:
+        if parts:
             yield packed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, hashes binary, places binary, docs binary")
-
-
-def _narrow(table: np.ndarray) -> bytes:
-    """doc_id and size by row, each in four bytes where they fit."""
-    least = int(table[:, 0].min())
-    wide = int(table[:, 0].max()) - least >= 1 << 32 or int(table[:, 1].max()) >= 1 << 32
-    kind = np.int64 if wide else np.uint32
-    return np.array([wide, least], np.int64).tobytes() + (table - [least, 0]).astype(kind).T.tobytes()
-
-
-def _wide(packed: bytes) -> np.ndarray:
-    wide, least = np.frombuffer(packed, np.int64, 2)
-    return np.frombuffer(packed, np.int64 if wide else np.uint32, offset=16).astype(np.int64).reshape(2, -1).T + [int(least), 0]
-
+    return docs.select("doc_id", "text").mapInArrow(run, _PACKED)
+
+
+def shared_shingles(rows: DataFrame, buckets: int) -> DataFrame:
+    """The elements that several distinct sets have, packed by bucket of documents:
+    ``docs`` has doc_id and set size, ``hashes`` 64 bits and ``extra`` the number of
+    sets that have each.  Of equal sets the one with the least doc_id is kept."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        docs, at = _docs(group, 3)
+        low = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 5) for x in group["hashes"]])
+        h = np.zeros((len(low), 8), np.uint8)
+        h[:, :5] = low
+        h = h.view(np.uint64).ravel() | np.uint64(key[0] << 40)
+        _, name = np.unique(docs[:, 2], return_inverse=True)
+        order = np.lexsort((docs[:, 0], name))
+        best = np.zeros(len(docs), bool)  # the least document of each name
+        best[order[np.concatenate([[True], np.diff(name[order]) != 0])]] = True
+        keep = best[at]
+        h, at = h[keep], at[keep]
+        by = np.argsort(h, kind="stable")
+        h, at = h[by], at[by]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.diff(np.append(first, len(h)))
+        many = np.repeat(n > 1, n)
+        h, at, n = h[many], at[many], np.repeat(n, n)[many]
+        to = (docs[at, 0].astype(np.uint64) * _M[0] >> np.uint64(33)).astype(np.int64) % buckets
+        by = np.lexsort((at, to))
+        h, at, n, to = h[by], at[by], n[by], to[by]
+        cuts = np.searchsorted(to, np.arange(buckets + 1))
+        out = []
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[b], cuts[b + 1])
+            used, counts = np.unique(at[own], return_counts=True)
+            out.append(_row(b, docs[used, :2], counts, h[own].tobytes(), n[own].astype(np.uint32).tobytes()))
+        return _frame(out)
+
+    return rows.groupBy("bucket").applyInPandas(run, _PACKED)
+
+
+def prefixes(shared: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Elements of prefixes that other sets have too, packed by their bucket: the order
+    is by the number of sets and then by hash, so elements of one set alone come
+    first and fill most prefixes whole.  ``extra`` says whether the element is in the
+    shorter prefix, one of whose elements is common to any set that it links to and
+    that is at least as large."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        docs, at = _docs(group, 2)
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x in group["hashes"]])
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in group["extra"]])
+        doc, size = docs[at, 0], docs[at, 1]
+        by = np.lexsort((h, n, doc))
+        h, doc, size = h[by], doc[by], size[by]
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        count = np.diff(np.append(first, len(doc)))
+        rank = np.arange(len(doc)) - np.repeat(first, count) + size - np.repeat(count, count)
+        keep = rank < size + (-size * threshold) // 100 + 1
+        short = rank < size - -(-2 * threshold * size // (100 + threshold)) + 1
+        h, doc, size, short = h[keep], doc[keep], size[keep], short[keep]
+        bucket = (h >> np.uint64(40)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        h, doc, size, short, bucket = h[by], doc[by], size[by], short[by], bucket[by]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        out = []
+        if not len(h):
+            return _frame(out)
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(h)).tolist(), strict=True):
+            out.append(_row(int(bucket[a]), np.stack([doc[a:b], size[a:b]], axis=1), np.ones(b - a), h[a:b].tobytes(), short[a:b].tobytes()))
+        return _frame(out)
 
-def bucket_count(docs: DataFrame) -> int:
-    """Buckets of shingles: one for each 16 MB of input, and one for each partition
-    of a shuffle at least."""
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) >> 24)
+    return shared.groupBy("bucket").applyInPandas(run, _PACKED)
 
 
 def leaders(packed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -477,24 +491,12 @@ def leaders(packed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     another that can link to them by its size; the leader is the least of them."""
 
     def assign(group: pd.DataFrame) -> pd.DataFrame:
-        tables = [_wide(x) for x in group["docs"]]
+        docs, at = _docs(group, 2)
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in group["hashes"]])
-        base = np.cumsum([0, *(len(t) for t in tables[:-1])])
-        # a row's places have two bytes unless its documents need more
-        local = [np.frombuffer(p, np.uint16 if len(p) * 4 == len(x) else np.uint32).astype(np.int64) for p, x in zip(group["places"], group["hashes"], strict=True)]
-        short = np.concatenate([x & 1 for x in local]) > 0
-        at = np.concatenate([(x >> 1) + b for x, b in zip(local, base.tolist(), strict=True)])
-        every = np.concatenate(tables)
-        by = np.argsort(h, kind="stable")
-        h = h[by]
-        same = h[1:] == h[:-1]
-        keep = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-        h, at, short = h[keep], at[by[keep]], short[by[keep]]
-        doc, size = every[at, 0], every[at, 1]
+        short = np.concatenate([np.frombuffer(x, bool) for x in group["extra"]])
+        doc, size = docs[at, 0], docs[at, 1]
         by = np.lexsort((doc, ~short, size, h))
         h, doc, size, short = h[by], doc[by], size[by], short[by]
-        if not len(h):
-            return pd.DataFrame({"leader": [], "doc_id": []})
         # the next larger set, and the last one before that has the element in its
         # shorter prefix
         after = np.concatenate([(h[1:] == h[:-1]) & (100 * size[:-1] >= threshold * size[1:]), [False]])
@@ -540,14 +542,13 @@ def sets_of(docs: DataFrame, chosen: DataFrame, words: int = WORDS) -> DataFrame
 def component_links(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, name) of every document, and (a, b): pairs of documents, one for
     each distinct set, whose links connect all that links connect."""
-    both = written(named_sets(docs, words), "shingle-sets")
-    named = both.filter("hash IS NULL").select("doc_id", "n", "name")
-    frequent = frequent_shingles(both.filter("hash IS NOT NULL").select("hash", "n"))
+    named = written(named_sets(docs, words), "shingle-sets")
     known = named.filter("doc_id IS NOT NULL AND name IS NOT NULL")
     first = known.groupBy("name").agg(F.min("doc_id").alias("rep"))
     # the least document with the same set stands for each
     rep = known.join(first, "name").groupBy("doc_id", "rep").agg(F.max("n").alias("n"))
-    groups = leaders(prefixes(docs, frequent, words, threshold), threshold)
+    buckets = bucket_count(docs)
+    groups = leaders(prefixes(shared_shingles(shingle_rows(docs, buckets, words), buckets), threshold), threshold)
     groups = groups.join(rep, "doc_id").select("leader", F.col("rep").alias("doc_id"), "n").join(rep.select(F.col("doc_id").alias("leader"), F.col("rep").alias("top")), "leader")
     groups = written(groups.groupBy(F.col("top").alias("leader"), "doc_id").agg(F.max("n").alias("n")), "shingle-groups")
     # a group of one has nothing to compare
