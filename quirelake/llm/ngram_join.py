@@ -276,12 +276,15 @@ def forest(sets: list[np.ndarray], left: np.ndarray | None = None, threshold: in
     ``left``: compare only sets for which it is true with those for which it
     isn't (two blocks); without it, all with all.
     """
+    full = [i for i, s in enumerate(sets) if len(s)]
+    if len(full) < len(sets):  # empty sets link with nothing
+        return [(full[a], full[b]) for a, b in forest([sets[i] for i in full], None if left is None else left[full], threshold)]
     seen: dict[bytes, int] = {}
     same = [(seen[k], i) for i, k in enumerate(s.tobytes() for s in sets) if seen.setdefault(k, i) != i]
     if same:  # equal sets link; one of each goes on, whose block compares it with the others
         only = list(seen.values())
         rest = forest([sets[i] for i in only], None if left is None else left[only], threshold)
-        return [*((a, b) for a, b in same if len(sets[a])), *((only[a], only[b]) for a, b in rest)]
+        return [*same, *((only[a], only[b]) for a, b in rest)]
     if len(sets) < 2:
         return []
     if len(sets) == 2:
@@ -356,6 +359,18 @@ def _row(bucket: int, docs: np.ndarray, counts: np.ndarray, hashes: bytes, extra
     return bucket, np.ascontiguousarray(docs, np.int64).tobytes(), np.ascontiguousarray(counts, np.uint32).tobytes(), hashes, extra
 
 
+def _low(h: np.ndarray) -> bytes:
+    """The lower 40 bits of each hash."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _whole(low: bytes, bucket: int) -> np.ndarray:
+    """Hashes of a bucket from their lower 40 bits; the bucket is above them."""
+    h = np.zeros((len(low) // 5, 8), np.uint8)
+    h[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
+    return h.view(np.uint64).ravel() | np.uint64(bucket << 40)
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "docs", "counts", "hashes", "extra"])
 
@@ -383,13 +398,13 @@ def shingle_rows(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame
             bucket = (h >> np.uint64(40)).astype(np.int32) % buckets
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            low = np.ascontiguousarray(h[by]).view(np.uint8).reshape(-1, 8)[:, :5]
+            h = h[by]
             at, every = at[by], np.array(table, np.int64)
             rows = []
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(cuts[b], cuts[b + 1])
                 used, counts = np.unique(at[own], return_counts=True)
-                rows.append(_row(b, every[used], counts, low[own].tobytes(), b""))
+                rows.append(_row(b, every[used], counts, _low(h[own]), b""))
             table.clear()
             parts.clear()
             return record_batch({f.name: [r[i] for r in rows] for i, f in enumerate(schema)}, schema)
@@ -417,15 +432,12 @@ def shingle_rows(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame
 
 def shared_shingles(rows: DataFrame, buckets: int) -> DataFrame:
     """The elements that several distinct sets have, packed by bucket of documents:
-    ``docs`` has doc_id and set size, ``hashes`` 64 bits and ``extra`` the number of
-    sets that have each.  Of equal sets the one with the least doc_id is kept."""
+    ``docs`` has doc_id and set size, ``hashes`` 40 bits of each and ``extra`` their
+    own bucket and the number of sets that have each, 65,535 at most.  Of equal sets the one with the least doc_id is kept."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         docs, at = _docs(group, 3)
-        low = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 5) for x in group["hashes"]])
-        h = np.zeros((len(low), 8), np.uint8)
-        h[:, :5] = low
-        h = h.view(np.uint64).ravel() | np.uint64(key[0] << 40)
+        h = _whole(b"".join(group["hashes"]), key[0])
         _, name = np.unique(docs[:, 2], return_inverse=True)
         order = np.lexsort((docs[:, 0], name))
         best = np.zeros(len(docs), bool)  # the least document of each name
@@ -446,7 +458,7 @@ def shared_shingles(rows: DataFrame, buckets: int) -> DataFrame:
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[b], cuts[b + 1])
             used, counts = np.unique(at[own], return_counts=True)
-            out.append(_row(b, docs[used, :2], counts, h[own].tobytes(), n[own].astype(np.uint32).tobytes()))
+            out.append(_row(b, docs[used, :2], counts, _low(h[own]), np.int32(key[0]).tobytes() + np.minimum(n[own], 65535).astype(np.uint16).tobytes()))
         return _frame(out)
 
     return rows.groupBy("bucket").applyInPandas(run, _PACKED)
@@ -461,8 +473,8 @@ def prefixes(shared: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         docs, at = _docs(group, 2)
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in group["hashes"]])
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in group["extra"]])
+        h = np.concatenate([_whole(x, int(np.frombuffer(e, np.int32, 1)[0])) for x, e in zip(group["hashes"], group["extra"], strict=True)])
+        n = np.concatenate([np.frombuffer(e, np.uint16, offset=4) for e in group["extra"]])
         doc, size = docs[at, 0], docs[at, 1]
         by = np.lexsort((h, n, doc))
         h, doc, size = h[by], doc[by], size[by]
