@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import record_batch, slices, table
 
@@ -285,7 +285,7 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
 
     out = StructType(docs.schema.fields[:]).add("lang_pred", "string").add("score", "double")
     if with_spans:
-        out = out.add("spans", "array<struct<lang: string, start: bigint, end: bigint>>")
+        out = out.add("spans", ArrayType(StructType().add("lang", "string").add("start", "long").add("end", "long")))
     return docs.mapInArrow(run, out)
 
 
