@@ -74,8 +74,12 @@ def reciprocal_rank(rank: Column) -> Column:
 def summarize(ranks: DataFrame, cuts: Sequence[int] = CUTS) -> DataFrame:
     """(source, count, mrr, recall_at_k ...) of (source, rank), for each source and, with
     a null source, for all; without rows the one for all has zeros."""
-    hit = lambda k: F.coalesce(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), F.lit(0.0)).alias(f"recall_at_{k}")
-    return ranks.groupingSets([[F.col("source")], []], F.col("source")).agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.avg(reciprocal_rank(F.col("rank"))), F.lit(0.0)).alias("mrr"), *map(hit, cuts))
+    names = ["mrr", *(f"recall_at_{k}" for k in cuts)]
+    parts = [F.sum(reciprocal_rank(F.col("rank"))), *(F.count_if(F.col("rank") <= k).cast("double") for k in cuts)]
+    own = ranks.groupBy("source").agg(F.count(F.lit(1)).alias("count"), *(x.alias(c) for x, c in zip(parts, names, strict=True)))
+    # the sums by source are summed again, which gives a row even without any
+    total = own.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"), *(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names)).withColumn("source", F.lit(None).cast("string"))
+    return own.unionByName(total).select("source", "count", *(F.when(F.col("count") > 0, F.col(c) / F.col("count")).otherwise(0.0).alias(c) for c in names))
 
 
 def ranks_of(cases: DataFrame, ranked: str = "ranked_ids", expected: str = "expected_paper_id") -> DataFrame:
