@@ -45,6 +45,8 @@ END = 1
 #: BM25's parameters, and the terms of a seed that are looked up.
 K1, B = 1.2, 0.75
 QUERY_TERMS = 24
+#: Neighbours that are queued at once; when they are used up, more are sought.
+NEIGHBOURS = 64
 #: Tokens, and documents, that one index holds.
 SHARD_TOKENS, SHARD_DOCS = 1 << 20, 1024
 #: Words that a worker remembers.
@@ -56,12 +58,23 @@ _PLAIN = "\u0250"
 # Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the
 # others for the code points from 256 on, in order.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}  # the others
 
 
 _ENDED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 
 
+def _merges(tokenizer):
+    """A faster encoder of single pieces, from the tokenizer's own vocabulary: there
+    the ids of a byte-level BPE are the ranks of its merges."""
+    import tiktoken
+
+    bytes_of = {chr(b): b for b in _PRINTED} | {c: b for b, c in _BYTE_CHARS.items()}
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {bytes(map(bytes_of.__getitem__, token)): i for token, i in tokenizer.get_vocab(with_added_tokens=True).items() if token not in special}
+    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+
 class _Known(dict):
     """The packed ids of a stretch behind ``before``, made when asked for.
 
@@ -121,7 +134,7 @@ class Encoder:
         self.tokenizer = hf_tokenizer(tokenizer)
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind, self.code = (np.dtype("<u4"), "I") if wide else (np.dtype("<u2"), "H")
-        self.tokenize = self.tokenizer.model.tokenize
+        self.merges = _merges(self.tokenizer)
         self.known, self.bare, self.signs = _Known(self, " "), _Known(self, ""), _Signs(self)
         self.line = self.encode("\n")
 
@@ -131,8 +144,8 @@ class Encoder:
 
     def encode_word(self, word: str) -> bytes:
         """The packed ids of letters behind a space: one piece of the pre-tokeniser, so
-        the model alone is asked."""
-        return array(self.code, [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+        the merges alone are needed."""
+        return array(self.code, self.merges.encode_ordinary(word)).tobytes()
 
     def parts(self, text: str) -> list[str]:
         """Stretches of ``text``; each but the first stands for itself behind a space."""
@@ -188,12 +201,15 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             _encoders[tokenizer] = Encoder(tokenizer)
         own = _encoders[tokenizer]
         counts = np.zeros(own.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        mark = np.zeros(len(counts), np.uint8)
         n = size = 0
         for batch, texts in slices(batches):
             ids = own.encode_all([t.decode() for t in texts])
             arrays = [np.frombuffer(x, own.kind) for x in ids]
             for x in arrays:
-                counts[np.unique(x)] += 1
+                mark[x] = 1
+                counts += mark
+                mark[x] = 0
             n, size = n + len(ids), size + sum(map(len, arrays))
             names = batch.column(0).to_pylist()
             yield record_batch({"doc_id": names, "ids": ids, "key": [_key(x) for x in arrays], "tie": [xxhash.xxh3_64_intdigest(str(d)) >> 1 for d in names], "counts": [None] * len(ids)}, schema)
@@ -292,7 +308,10 @@ class Packer:
             if self.filled and not queue and unused.any():
                 near = np.where(unused, index.scores(doc if seed < 0 else seed), -1.0)
                 seed = doc
-                best = np.argsort(-near, kind="stable")[:64]
+                best = np.arange(len(near))
+                if len(near) > NEIGHBOURS:  # with all that tie with the last one
+                    best = np.flatnonzero(near >= np.partition(near, -NEIGHBOURS)[-NEIGHBOURS])
+                best = best[np.argsort(-near[best], kind="stable")[:NEIGHBOURS]]
                 queue = best[near[best] > 0][::-1].tolist()
         return rows
 
