@@ -88,16 +88,20 @@ def candidate_phrases(text: Column | str, least: int = 2, most: int = 6, limit:
     return F.aggregate(phrases, none, lambda done, p: F.when((F.size(done) < limit) & ~F.exists(done, lambda x: F.lower(x) == F.lower(p)), F.concat(done, F.array(p))).otherwise(done))
 
 
+# Fixed value: what stands before the candidates in a prompt.
+HINT = "Candidate phrases from the text (not all are relevant; you are not limited to these): "
+
+
 def user_prompt(title: Column | str, abstract: Column | str, candidates: Column | str) -> Column:
     """A prompt for one paper; the hint is there only with candidates."""
-    hint = F.concat(F.lit("\n\nCandidate phrases from the text (not all are relevant; you are not limited to these): "), F.array_join(candidates, ", "))
+    hint = F.concat(F.lit("\n\n" + HINT), F.array_join(candidates, ", "))
     return F.concat(F.lit("Title: "), title, F.lit("\n\nAbstract: "), abstract, F.when(F.size(candidates) > 0, hint).otherwise(""))
 
 
 def batch_prompt(papers: Column | str) -> Column:
     """A prompt for several papers: an array of (title, abstract, candidates)."""
     def one(p: Column, i: Column) -> Column:
-        hint = F.concat(F.lit("\nCandidate phrases from the text (not all are relevant; you are not limited to these): "), F.array_join(p["candidates"], ", "))
+        hint = F.concat(F.lit("\n" + HINT), F.array_join(p["candidates"], ", "))
         return F.concat(F.lit("=== Paper "), i.cast("string"), F.lit(" ===\nTitle: "), p["title"], F.lit("\n\nAbstract: "), p["abstract"], F.when(F.size(p["candidates"]) > 0, hint).otherwise(""))
 
     return F.array_join(F.transform(papers, one), "\n\n")
