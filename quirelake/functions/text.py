@@ -83,7 +83,7 @@ def candidate_phrases(text: Column | str, least: int = 2, most: int = 6, limit:
     words = "a an the of in on for and or to with by from is are was were be been this that these those we our it its as at can which their than then into such using use used via not no".split()
     breaks = rf"(?i)(?<![\p{{L}}\p{{N}}-])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}-])|[^\p{{L}}\p{{N}}\s-]"
     runs = F.split(F.regexp_replace(F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"\s+", " "), breaks, "\n"), "\n")
-    phrases = F.filter(F.transform(runs, F.trim), lambda p: F.size(F.split(p, " +")).between(least, most))
+    phrases = F.filter(F.transform(runs, lambda p: F.trim(p)), lambda p: F.size(F.split(p, " +")).between(least, most))
     none = F.array().cast("array<string>")
     return F.aggregate(phrases, none, lambda done, p: F.when((F.size(done) < limit) & ~F.exists(done, lambda x: F.lower(x) == F.lower(p)), F.concat(done, F.array(p))).otherwise(done))
 
