@@ -266,6 +266,14 @@ def expansion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.expansion(g, cases, weighted=False).filter("source IS NULL").select("count", *(F.round(c, 6).alias(c) for c in ("mrr", "recall_at_1", "recall_at_5")))
 
 
+@query("expansion_metrics_whole", None)
+def expansion_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole expansion evaluation: 500 cases of either source, by similarity and
+    shared values, to place 10; ``expansion_metrics`` is a part of it that SQL gives."""
+    g = graph(spark, sf_dir)
+    return EV.expansion(g, EV.expansion_cases(g), limit=10).select("source", "count", *(F.round(c, 6).alias(c) for c in ("mrr", "recall_at_1", "recall_at_5", "recall_at_10")))
+
+
 @query("prf1", """WITH c AS (SELECT source AS entity_type, CAST(sum(quality * toxic) AS BIGINT) AS tp, CAST(sum((1 - quality) * toxic) AS BIGINT) AS fp, CAST(sum(quality * (1 - toxic)) AS BIGINT) AS fn FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((source), ())),
 r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM c)
 SELECT entity_type, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM r""")
