@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from quirelake.llm import language_id, line_dedup, ngram_join, packing, secret_scan
 from quirelake.llm.common import table, written
 
-#: A document is rejected if it has no letters, or if no language has this share.
-LEAST_LANGUAGE_SHARE = 0.5
 #: Duplicates whose ids are broadcast (8 bytes each).
 BROADCAST_DUPLICATES = 1 << 20
 
@@ -24,10 +22,13 @@ def _with_text(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones have; rejected ones go."""
+    """Documents with letters, of one language or several; those without go.  A null
+    lang becomes the predicted one, unless the letters are of no learned script."""
     model = language_id.fit(docs.filter(~language_id.held_out()).select("doc_id", "text", "lang"))
-    kept = language_id.identify(docs, model).filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE))
-    return kept.select(*(F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else c for c in docs.columns))
+    # without any labelled row every text is und, so letters are looked for too
+    kept = language_id.identify(docs, model).filter((F.col("lang_pred") != language_id.UNDETERMINED) | F.col("text").rlike(r"\p{L}"))
+    known = F.when(F.col("score") > 0, F.col("lang_pred"))
+    return kept.select(*(F.coalesce("lang", known).alias(c) if c == "lang" else c for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

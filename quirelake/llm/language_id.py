@@ -8,8 +8,10 @@ language is the one whose spans hold most letters' bytes, and its score is their
 share of all such bytes.
 
 The model is fitted on labelled rows: all while there are no more than
-``SAMPLE_ROWS``, else about so many, chosen by a hash of doc_id.  That bound is
-the only one; every text is read whole, in fitting and in predicting.
+``SAMPLE_ROWS``, else about so many, chosen by a hash of doc_id.  Of each language
+about ``LANGUAGE_ROWS`` are taken at least (all if it has fewer, and the row of the
+least hash in any case), so none is lost to a large table.  These bounds are the
+only ones; every text is read whole, in fitting and in predicting.
 
 Nulls, empty and odd rows: a null text or one without letters is ``und`` with
 score 0; rows with a null lang aren't learned from; a text with letters of
@@ -33,8 +35,11 @@ from pyspark.sql.types import ArrayType, StructType
 
 from .common import record_batch, slices, table
 
-#: Labelled rows that a model is fitted on, at most (in expectation).
+#: Labelled rows that a model is fitted on, at most (in expectation), but for those
+#: that make up ``LANGUAGE_ROWS`` of each language.
 SAMPLE_ROWS = 20_000
+#: Rows of each language that are taken at least (in expectation), if there are.
+LANGUAGE_ROWS = 500
 #: Hash buckets of n-grams, and their lengths in bytes; a word stands between spaces.
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
@@ -114,12 +119,18 @@ class Model:
     common: int
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, lang) of labelled rows: all, or about ``rows`` by a hash of doc_id."""
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, language_rows: int = LANGUAGE_ROWS) -> DataFrame:
+    """(text, lang) of labelled rows: all, or about ``rows`` by a hash of doc_id, with
+    about ``language_rows`` of each language at least."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = labelled.select("doc_id").count()
+    place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 40))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).collect()
+    n = sum(r.n for r in counts)
     if n > rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
+        # a row for each language, of which the model has a column each
+        upto = [(r.lang, max(r.least, int(min(1.0, max(rows / n, language_rows / r.n)) * (1 << 40)) - 1)) for r in counts]
+        bounds = docs.sparkSession.createDataFrame(upto, "lang string, upto long")
+        labelled = labelled.join(F.broadcast(bounds), "lang").filter(place <= F.col("upto"))
     return labelled.select("text", "lang")
 
 
@@ -204,9 +215,10 @@ class Labeller:
         starts = np.concatenate([[0], np.cumsum(size)])
         flat = np.concatenate([at[i] for i in order]) if len(at) else np.zeros(0, np.int64)
         n = len(self.model.langs)
-        back, last = np.zeros((len(flat), n), np.int8), np.zeros(len(order), np.int64)
+        places = np.int8 if n < 128 else np.int32
+        back, last = np.zeros((len(flat), n), places), np.zeros(len(order), np.int64)
         best = np.zeros((len(order), n), np.float32)
-        scores, own = self.scores[flat], np.arange(n, dtype=np.int8)
+        scores, own = self.scores[flat], np.arange(n, dtype=places)
         active = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
         for t, a in enumerate(active.tolist()):  # all texts that have a word there at once
             v, rows = best[:a], starts[:a] + t

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quirelake.llm import ann_search, ngram_join
 
@@ -139,3 +140,16 @@ def test_pipeline(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         odd = written(stage(spark, odd, sf_dir), "odd")
     assert odd.columns[0] == "doc_id"
+
+
+def test_pipeline_keeps_clean_text(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    words = {r.lang: " ".join(r.text.split()[:60]) for r in docs.filter("length(text) > 800").dropDuplicates(["lang"]).collect()}
+    mixed = " ".join(words[x] for x in ("de", "en", "es", "fr"))
+    more = [(-1, mixed, None), (-2, "Привет мир и всё остальное", "ru"), (-3, "Привет мир", None), (-4, "12 !?", "en"), (-5, None, "en")]
+    odd = spark.createDataFrame([(d, t, lang, "s", 0) for d, t, lang in more], docs.schema)
+    found = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs.unionByName(odd), sf_dir).filter("doc_id < 0").collect()}
+    assert found.keys() == {-1, -2, -3} and found[-1] in words and found[-2] == "ru"
+    bare = corpus_pipeline.language(spark, odd.withColumn("lang", F.lit(None).cast("string")), sf_dir)
+    assert {r.doc_id: r.lang for r in bare.collect()} == {-1: None, -2: None, -3: None}

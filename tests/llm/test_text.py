@@ -63,6 +63,15 @@ def test_language(spark, sf_dir, odd_docs):
     assert [s.lang for s in spans] == ["en", "fr"] and abs(spans[0].end - len(words["en"])) < 80 and spans[-1].end == len(mixed)
 
 
+def test_rare_language_is_sampled(spark):
+    rows = [(i, f"plain words number {i}", "en") for i in range(3000)] + [(5000 + i, "ภาษาไทย คำ", "th") for i in range(3)] + [(None, "שלום עולם", "he")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs = [r.lang for r in language_id.sample(docs, 100, 2).collect()]
+    assert 50 < langs.count("en") < 200 and langs.count("th") >= 1 and langs.count("he") == 1
+    assert [r.lang for r in language_id.sample(docs, 100, 5).collect()].count("th") == 3
+    assert language_id.fit(docs, 10).langs == ["en", "he", "th"]
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(1)
     own = language_id.Labeller(language_id.Model(["a", "b", "c"], np.zeros((language_id.BUCKETS, 3), np.float32), np.ones((15, 3), bool), 0), 2.0)
