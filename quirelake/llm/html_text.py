@@ -4,7 +4,9 @@
    in, each container as its tag and its classes without digits.  A page's best
    container is the deepest that holds ``COVER`` of its good text, an article or
    main element before others; good text is what isn't in an element that by its tag, class or id is a menu, form, notice, advert or the
-   like, weighed by the share that isn't links.
+   like, weighed by the share that isn't links.  Unless it is an article or main
+   element, it gives way to the highest container above it that adds only headings
+   and blocks that aren't mostly links, so an article's title and intro stay.
 2. Each page votes for its best container's path; Spark sums the votes by host and
    path and chooses each host's winner.
 3. Pages are read again, and the blocks below their host's winning path are the
@@ -34,6 +36,8 @@ from .common import record_batch, slices, table, written
 
 #: Share of a page's good text that its best container holds.
 COVER = 0.8
+#: Least share that isn't links of a block that an article may gain, but for headings.
+PLAIN = 0.5
 #: Most hosts whose paths are broadcast.
 BROADCAST_HOSTS = 50_000
 
@@ -42,6 +46,7 @@ BROADCAST_HOSTS = 50_000
 SKIPPED = set("head nav footer aside form script style noscript template iframe svg math button select textarea menu dialog object canvas audio video".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = set("html head body main article section div nav aside header footer form ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address fieldset details summary hr menu dialog center hgroup search noscript template svg math button select textarea object canvas audio video title script style iframe".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr thead tbody tfoot table ul ol dl caption figcaption figure address summary hgroup center".split())
 CLOSED_BY_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
@@ -62,10 +67,10 @@ def _attributes(text: str) -> tuple[str, bool]:
     return "".join("." + c for c in classes if c), any(w in BOILERPLATE for w in words)
 
 
-def blocks(page: str) -> list[tuple[str, str, float]]:
-    """(path of containers, text, share that isn't links) of each block that isn't
-    in a skipped element, in the page's order."""
-    out: list[tuple[str, str, float]] = []
+def blocks(page: str) -> list[tuple[str, str, float, bool]]:
+    """(path of containers, text, share that isn't links, whether it is a heading) of
+    each block that isn't in a skipped element, in the page's order."""
+    out: list[tuple[str, str, float, bool]] = []
     stack: list[tuple[str, str, bool]] = []  # tag, path so far, skipped
     pieces: list[str] = []
     linked = 0
@@ -78,7 +83,7 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text and not (stack and stack[-1][2]):
-                out.append((stack[-1][1] if stack else "", text, max(0.0, 1 - linked / max(1, sum(map(len, pieces))))))
+                out.append((stack[-1][1] if stack else "", text, max(0.0, 1 - linked / max(1, sum(map(len, pieces)))), bool(stack) and stack[-1][0] in HEADINGS))
             pieces.clear()
         linked = 0
 
@@ -128,10 +133,11 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
     return out
 
 
-def best_container(found: list[tuple[str, str, float]]) -> tuple[str, float]:
-    """The deepest path that holds ``COVER`` of the good text, and that text's size."""
+def best_container(found: list[tuple[str, str, float, bool]]) -> tuple[str, float]:
+    """The deepest path that holds ``COVER`` of the good text, or what it climbs to,
+    and that text's size."""
     weight: dict[str, float] = {}
-    for path, text, own in found:
+    for path, text, own, _ in found:
         w = len(text) * own
         parts = path.split(">")
         for k in range(1, len(parts) + 1):
@@ -143,20 +149,35 @@ def best_container(found: list[tuple[str, str, float]]) -> tuple[str, float]:
     fit = [p for p, w in weight.items() if w >= COVER * total]
     # an article or main element is taken whole, headings and all
     best = max(fit, key=lambda p: (bool(re.match("(article|main)\\b", p.rpartition(">")[2])), p.count(">"), weight[p], p))
+    best = climb(found, best)
     return best, weight[best]
 
 
+def climb(found: list[tuple[str, str, float, bool]], core: str) -> str:
+    """The highest ancestor of ``core`` all of whose further blocks are headings or
+    not mostly links; one that adds no block isn't climbed to."""
+    best = top = core
+    while ">" in top and not re.match("(article|main)\\b", core.rpartition(">")[2]):
+        below, top = top, top.rpartition(">")[0]
+        added = [heading or own >= PLAIN for p, _, own, heading in found if within(p, top) and not within(p, below)]
+        if not all(added):
+            break
+        if added:
+            best = top
+    return best
+
+
 def within(path: str, top: str) -> bool:
     """Whether ``path`` is ``top`` or below."""
     return not top or path == top or path.startswith(top + ">")
 
 
-def extract(found: list[tuple[str, str, float]], winner: str | None) -> str:
+def extract(found: list[tuple[str, str, float, bool]], winner: str | None) -> str:
     """The text of the blocks below the winning path, or the page's own best one."""
-    own = [t for p, t, _ in found if within(p, winner)] if winner else []
+    own = [t for p, t, *_ in found if within(p, winner)] if winner else []
     if not own:
         top, _ = best_container(found)
-        own = [t for p, t, _ in found if within(p, top)]
+        own = [t for p, t, *_ in found if within(p, top)]
     return "\n".join(own)
 
 

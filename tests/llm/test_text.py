@@ -147,6 +147,16 @@ def test_pages(spark, sf_dir, hosts):
             assert r.text == "\n".join(p for p in parts if p)
 
 
+@pytest.mark.parametrize("hosts", [1000, 0])
+def test_title_and_intro_outside_the_core(spark, hosts):
+    body = "".join(f"<p>Paragraph {i} of the body has some words of its own.</p>" for i in range(12))
+    page = '<html><body><ul><li><a href="/">Start</a><li><a href="/all">All pages</a></ul><div class="post post-{0}"><h1><a href="/{0}">Title {0}</a></h1><div class=intro>Intro {0} says what follows, in short.</div><div class=body>{1}</div></div><div class=footer>Foot</div></body></html>'
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", page.format(i, body)) for i in range(3)], "page_id long, url string, html string")
+    paragraphs = "\n".join(f"Paragraph {i} of the body has some words of its own." for i in range(12))
+    for r in html_text.main_text(df, hosts).collect():
+        assert r.text == f"Title {r.page_id}\nIntro {r.page_id} says what follows, in short.\n{paragraphs}"
+
+
 def test_audio(odd_docs):
     rows = media_audio.digests(odd_docs).collect()
     texts = {r.doc_id: (r.text or "").encode() for r in odd_docs.collect()}
