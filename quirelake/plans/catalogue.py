@@ -444,6 +444,17 @@ def missing_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.missing_embedding(g.papers, g.embeddings, after=400, limit=200).select("arxiv_id")
 
 
+@query("export_papers_whole", "SELECT o_orderkey AS arxiv_id, 'Order ' || o_orderkey AS title FROM orders WHERE trim(o_orderpriority) <> ''")
+def export_papers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.export_papers(graph(spark, sf_dir).papers).select("arxiv_id", "title")
+
+
+@query("missing_embedding_whole", "SELECT o_orderkey AS arxiv_id FROM orders WHERE trim(o_orderpriority) <> '' AND o_orderkey NOT IN (SELECT vec_id FROM embeddings)")
+def missing_embedding_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir)
+    return M.missing_embedding(g.papers, g.embeddings).select("arxiv_id")
+
+
 @query("shards", "SELECT o_orderkey AS arxiv_id, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS INTEGER) AS shard FROM orders")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.shard_numbers(graph(spark, sf_dir).papers.select("arxiv_id")).select("arxiv_id", "shard")
