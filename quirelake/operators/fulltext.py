@@ -103,8 +103,9 @@ def lengths(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
     return sizes.select("n", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("mean")) for f in fields))).alias("x")).select("x.field", "n", "x.mean")
 
 
-def search(docs: DataFrame, query: str, fields: Sequence[str] = ("title", "abstract"), key: str = "arxiv_id", limit: int = 10) -> DataFrame:
-    """(key, score) of the best matches, ties by key.
+def search(docs: DataFrame, query: str, fields: Sequence[str] = ("title", "abstract"), key: str = "arxiv_id", limit: int | None = 10) -> DataFrame:
+    """(key, score) of the best matches, ties by key; of all, in no order, without a
+    limit.
 
     One pass over the texts counts the query's terms in place, so nothing is
     exploded; the corpus's numbers are a one-row aggregate of the same pass.
@@ -150,7 +151,8 @@ def search(docs: DataFrame, query: str, fields: Sequence[str] = ("title", "abstr
             score = score + weight * F.col(name) * (K1 + 1) / (F.col(name) + K1 * (1 - B + B * F.col(f"len_{f}") / F.col(f"mean_{f}")))
     wanted = musts if musts else [reduce(Column.__or__, shoulds)]
     matched = reduce(Column.__and__, [*wanted, *(~x for x in nots)])
-    return rows.filter(matched).crossJoin(F.broadcast(numbers)).select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    scored = rows.filter(matched).crossJoin(F.broadcast(numbers)).select(key, score.alias("score"))
+    return scored if limit is None else scored.orderBy(F.desc("score"), key).limit(limit)
 
 
 def search_index(index: DataFrame, sizes: DataFrame, query: str, key: str = "arxiv_id", limit: int = 10) -> DataFrame:

@@ -219,7 +219,7 @@ def fulltext_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fulltext_phrase", r"""WITH t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS w FROM documents)
 SELECT doc_id FROM t WHERE contains(w, ' apache license ') AND NOT contains(w, ' gnu ') ORDER BY doc_id""")
 def fulltext_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FT.search(table(spark, sf_dir, "documents"), '+"apache license" -gnu', ["text"], "doc_id", 1_000_000).select("doc_id").orderBy("doc_id")
+    return FT.search(table(spark, sf_dir, "documents"), '+"apache license" -gnu', ["text"], "doc_id", None).select("doc_id").orderBy("doc_id")
 
 
 @query("first_two_per_group", "WITH d AS (SELECT DISTINCT l_partkey AS a, l_orderkey AS p FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY p) AS i FROM d) SELECT x.a AS author_id, x.p AS first, y.p AS second FROM r x JOIN r y ON x.a = y.a AND x.i = 1 AND y.i = 2")

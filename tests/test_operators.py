@@ -125,6 +125,15 @@ def test_fulltext(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
 
 
+def test_fulltext_without_limit(spark, sf_dir):
+    from quirelake.plans.catalogue import QUERIES
+
+    docs = spark.range(30).select(F.col("id").cast("string").alias("arxiv_id"), F.lit("a graph").alias("title"), F.lit("of nodes").alias("abstract"))
+    assert FT.search(docs, "+graph", limit=None).count() == 30 and FT.search(docs, "+graph").count() == 10
+    plan = QUERIES["fulltext_phrase"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
+
+
 def test_metrics(spark):
     cases = spark.createDataFrame([("s", ["a", "b"], "a"), ("s", ["a", "b"], "x")], "source string, ranked_ids array<string>, expected_paper_id string")
     total = {r.source: r for r in EV.summarize(EV.ranks_of(cases), (1, 2)).collect()}
