@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch that one step of a Python worker holds as objects.
@@ -65,6 +67,19 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tu
             yield batch.slice(start, len(texts)), texts
 
 
+def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2 * SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Pieces of Arrow batches with their texts as an array of large strings (null:
+    empty), of about ``most`` bytes; a single longer text comes alone, whole."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
+        size = np.cumsum(pc.binary_length(column).to_numpy())
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most, side="right")))
+            yield batch.slice(start, stop - start), column.slice(start, stop - start)
+            start = stop
+
+
 def record_batch(columns: dict[str, list | pa.Array], schema: pa.Schema) -> pa.RecordBatch:
     """A batch of ``schema`` from lists or arrays."""
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for f in schema], schema=schema)

@@ -17,27 +17,29 @@ the next.  So only a partition's last sequence needs padding.
 A document's ids are those of its text and one ``END`` behind them.  They are cut
 freely; every id is in exactly one piece.
 
-Nulls, empty and odd rows: a null or empty text has ``END`` alone; a null id is
-carried; repeated rows are packed as documents of their own; ties in BM25 go to
-the document that comes first in the shard; other columns are ignored; an empty
-table gives an empty result.
+Nulls, empty and odd rows: a null or empty text has ``END`` alone; a very long text
+is encoded whole, alone in its batch, and cut into as many sequences as it fills; a
+null id is carried; repeated rows are packed as documents of their own; ties in BM25
+go to the document that comes first in the shard; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import math
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hf_tokenizer, record_batch, slices, table, written
+from .common import hf_tokenizer, record_batch, table, text_slices, written
 
 TOKENIZER = "byte_bpe_50k.json"
 LENGTH = 2048
@@ -49,145 +51,152 @@ QUERY_TERMS = 24
 NEIGHBOURS = 64
 #: Tokens, and documents, that one index holds.
 SHARD_TOKENS, SHARD_DOCS = 1 << 20, 1024
-#: Words that a worker remembers.
-CACHED_WORDS = 500_000
 
-
-#: Letters before this one are letters to every version of Unicode.
-_PLAIN = "\u0250"
 # Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the
 # others for the code points from 256 on, in order.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}  # the others
 
-
-_ENDED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+#: White space other than single spaces and line ends between other characters, and
+#: what versions of Unicode may differ on or what may be a special token.
+_ODD_SPACE = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_HARD = r"[^\x00-\x{24f}]|<\|"
+_HARD_ROW = r"[^\x00-\x{24f}]|<\||[\x1c-\x1f\x{85}\x{a0}]"
+# Fixed value: the pieces of a byte-level pre-tokeniser.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _merges(tokenizer):
-    """A faster encoder of single pieces, from the tokenizer's own vocabulary: there
-    the ids of a byte-level BPE are the ranks of its merges."""
+    """A faster encoder by the tokenizer's own vocabulary, where that is a byte-level
+    one whose ids, but for those of single bytes, are in the order of its merges; else
+    None."""
     import tiktoken
 
+    parts = json.loads(tokenizer.to_str())
+    model, pre = parts["model"], parts.get("pre_tokenizer") or {}
+    if parts.get("normalizer") or model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(p)) for p in pairs]
     bytes_of = {chr(b): b for b in _PRINTED} | {c: b for b, c in _BYTE_CHARS.items()}
-    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-    ranks = {bytes(map(bytes_of.__getitem__, token)): i for token, i in tokenizer.get_vocab(with_added_tokens=True).items() if token not in special}
-    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-
-
-class _Known(dict):
-    """The packed ids of a stretch behind ``before``, made when asked for.
-
-    Of two generations the older one goes when the newer is full, so that frequent
-    stretches stay.
-    """
-
-    def __init__(self, encoder: "Encoder", before: str):
-        super().__init__()
-        self.encoder, self.before, self.older = encoder, before, {}
-
-    def __missing__(self, part: str) -> bytes:
-        found = self.older.get(part)
-        if found is None:
-            found = self.make(part)
-        self[part] = found
-        return found
-
-    def make(self, part: str) -> bytes:
-        if part.isalpha() and (part.isascii() or max(part) < _PLAIN):
-            return self.encoder.encode_word(self.before + part)
-        # Signs behind letters are a piece of their own, and so is one line end
-        # between what isn't white space.
-        m = _ENDED.fullmatch(part)
-        if m and m[1].isalpha() and (m[1].isascii() or max(m[1]) < _PLAIN):
-            return self[m[1]] + self.encoder.signs[m[2]]
-        ahead, line, behind = part.partition("\n")
-        if line and ahead and behind and not ahead[-1].isspace() and not behind[0].isspace():
-            return self[ahead] + self.encoder.line + self.encoder.bare[behind]
-        return self.encoder.encode(self.before + part)
-
-    def age(self) -> None:
-        if len(self) > CACHED_WORDS:
-            self.older = dict(self)
-            self.clear()
-
-
-class _Signs(_Known):
-    """The packed ids of signs alone."""
-
-    def __init__(self, encoder: "Encoder"):
-        super().__init__(encoder, "")
-
-    def make(self, part: str) -> bytes:
-        return self.encoder.encode(part)
+    single = [t for t in model["vocab"] if t in bytes_of]
+    if None in made or any(x >= y for x, y in zip(made, made[1:], strict=False)) or len(single) < 256 or max(map(model["vocab"].get, single)) >= min(made, default=256):
+        return None
+    ranks = {bytes(map(bytes_of.__getitem__, t)): model["vocab"][t] for t in [*single, *map("".join, pairs)]}
+    return tiktoken.Encoding("merges", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
-    """Encodes whole texts by stretches that stand between single spaces.
+    """Encodes whole texts, a batch's at once.
 
-    The pre-tokeniser always begins a new piece at a space between two characters
-    that aren't white space, so such stretches, with their space, are encoded
-    independently.  Where white space stands together they are kept in one.
+    The pre-tokeniser always begins a new piece at a space, and at a line end, between
+    two characters that aren't white space, so such stretches, with what is before
+    them, are encoded independently.  Arrow tells a batch's stretches apart, and each
+    distinct one is encoded once.  Texts with other white space are encoded whole.
     """
 
     def __init__(self, tokenizer: str):
         self.tokenizer = hf_tokenizer(tokenizer)
-        wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.kind, self.code = (np.dtype("<u4"), "I") if wide else (np.dtype("<u2"), "H")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = np.dtype("<u4") if size > 1 << 16 else np.dtype("<u2")
         self.merges = _merges(self.tokenizer)
-        self.known, self.bare, self.signs = _Known(self, " "), _Known(self, ""), _Signs(self)
-        self.line = self.encode("\n")
-
-    def encode(self, text: str) -> bytes:
-        """The packed ids of one text."""
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode_word(self, word: str) -> bytes:
-        """The packed ids of letters behind a space: one piece of the pre-tokeniser, so
-        the merges alone are needed."""
-        return array(self.code, self.merges.encode_ordinary(word)).tobytes()
-
-    def parts(self, text: str) -> list[str]:
-        """Stretches of ``text``; each but the first stands for itself behind a space."""
-        found = text.split(" ")
-        words = text.split()
-        white = len(text) - sum(map(len, words))
-        if white == len(words) - 1 == len(found) - 1 + text.count("\n"):  # single spaces and line ends alone
-            return found
-        joined = [found[0]]
-        for part in found[1:]:
-            if part and not part[0].isspace() and joined[-1] and not joined[-1][-1].isspace():
-                joined.append(part)
-            else:
-                joined[-1] += " " + part
-        return joined
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed."""
-        self.known.age()
-        self.bare.age()
-        self.signs.age()
-        get = self.known.__getitem__
-        out = []
-        for text in texts:
-            first, *rest = self.parts(text)
-            out.append(self.bare[first] + b"".join(map(get, rest)))
-        return out
+        if self.merges is not None:
+            self.opens = np.zeros(size, bool)  # ids that begin with a space or line end
+            self.opens[[i for t, i in self.merges._mergeable_ranks.items() if t[:1] in (b" ", b"\n")]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of one text, by the tokenizer."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def stretches(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct stretches in one array, and where each begins and the
+        last one ends.  One that begins with a line end is behind it, others are behind
+        a space; an empty one has no ids."""
+        hard = pc.match_substring_regex(words, _HARD).to_numpy(zero_copy_only=False)
+        easy = np.flatnonzero(~hard & (pc.binary_length(words).to_numpy() > 0))
+        n = np.zeros(len(words), np.int64)
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(easy)], words.take(pa.array(easy))), pa.scalar(" ", words.type))[0].as_py() if len(easy) else ""
+        ids = self.merges.encode_to_numpy("x " * bool(len(easy)) + text.replace(" \n", "\n") if not text.startswith("\n") else "x" + text.replace(" \n", "\n"))
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(easy):
+            raise ValueError("stretches and pieces differ")
+        n[easy] = np.diff(np.append(at, len(ids)))
+        ids = ids[at[0] :] if len(at) else ids[:0]
+        if hard.any():
+            parts = np.split(ids, np.cumsum(n[easy])[:-1]) if len(easy) else []
+            every: list = [ids[:0]] * len(words)
+            for i, x in zip(easy.tolist(), parts, strict=True):
+                every[i] = x
+            for i in np.flatnonzero(hard).tolist():
+                word = words[i].as_py()
+                every[i] = self.encode(word if word[0] == "\n" else " " + word)
+                n[i] = len(every[i])
+            ids = np.concatenate(every)
+        return ids, np.concatenate([[0], np.cumsum(n)])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` (large strings without nulls) in one array, and where
+        each text's ids begin and the last one's end."""
+        if self.merges is None:
+            found = [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, self.kind), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        # "x" stands for x behind a space and "\nx" for x behind a line end; the first
+        # stretch of a text is what is encoded behind a line end, without that
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
+        counts = np.diff(split.offsets.to_numpy())
+        told = split.flatten().dictionary_encode()
+        at = told.indices.to_numpy().astype(np.int64)
+        first = np.cumsum(counts) - counts
+        lead, own = np.unique(at[first], return_inverse=True)
+        words = told.dictionary
+        leading = words.take(pa.array(lead))
+        line, none = (pa.scalar(x, words.type) for x in ("\n", ""))
+        begins = pc.if_else(pc.equal(leading, none), none, pc.binary_join_element_wise(line, leading, none))
+        flat, bounds = self.stretches(pa.concat_arrays([words, begins]))
+        start, n = bounds[:-1].copy(), np.diff(bounds)
+        skip = (n > 0) & (np.arange(len(n)) >= len(words))
+        start[skip] += 1
+        n[skip] -= 1
+        at[first] = own + len(words)
+        size = n[at]
+        stop = np.cumsum(size)
+        ids = flat[np.repeat(start[at] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)].astype(self.kind)
+        bounds = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(counts)])]
+        rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(rows):  # they have no ids so far
+            hard = pc.match_substring_regex(texts, _HARD_ROW).to_numpy(zero_copy_only=False)
+            pieces = np.split(ids, bounds[1:-1])
+            for i in rows.tolist():
+                text = texts[i].as_py()
+                pieces[i] = (self.encode(text) if hard[i] else self.merges.encode_to_numpy(text)).astype(self.kind)
+            ids = np.concatenate(pieces)
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)
+        return ids, bounds
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def _key(ids: np.ndarray) -> int:
-    """Alike for documents with common passages: the least hash of four ids in a row."""
-    if len(ids) < 4:
-        return int(ids[0]) if len(ids) else 0
-    x = ids.astype(np.uint32)
-    h = x[:-3]
-    for k in range(1, 4):
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + x[k : len(x) - 3 + k]
-    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return int((h ^ (h >> np.uint32(16))).min())
+def keys_of(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Alike for documents with common passages: the least hash of four ids in a row
+    of each document; of fewer, the first id."""
+    n = np.diff(bounds)
+    out = np.zeros(len(n), np.int64)
+    some = n > 0
+    out[some] = ids[bounds[:-1][some]]
+    full = np.flatnonzero(n >= 4)
+    if len(full):
+        x = np.concatenate([ids, np.zeros(3, ids.dtype)]).astype(np.uint32)
+        h = x[: len(ids)].copy()
+        for k in range(1, 4):
+            h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + x[k : len(ids) + k]
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h = h ^ (h >> np.uint32(16))
+        for k in range(1, 4):  # those that reach into the next document
+            h[bounds[1:][full] - k] = 0xFFFFFFFF
+        out[full] = np.minimum.reduceat(h, np.stack([bounds[full], bounds[full + 1] - 3], axis=1).ravel())[::2]
+    return out
 
 
 def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -196,23 +205,23 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     documents and their ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("key", pa.int64()), ("tie", pa.int64()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.large_binary()), ("key", pa.int64()), ("tie", pa.int64()), ("counts", pa.large_binary())])
         if tokenizer not in _encoders:
             _encoders[tokenizer] = Encoder(tokenizer)
         own = _encoders[tokenizer]
         counts = np.zeros(own.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
-        mark = np.zeros(len(counts), np.uint8)
+        place = np.zeros(len(counts), np.int64)
         n = size = 0
-        for batch, texts in slices(batches):
-            ids = own.encode_all([t.decode() for t in texts])
-            arrays = [np.frombuffer(x, own.kind) for x in ids]
-            for x in arrays:
-                mark[x] = 1
-                counts += mark
-                mark[x] = 0
-            n, size = n + len(ids), size + sum(map(len, arrays))
+        for batch, texts in text_slices(batches):
+            ids, bounds = own.encode_all(texts)
+            for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                x, here = ids[a:b], np.arange(a, b)
+                place[x] = here  # of an id's places one stays, so each counts once
+                counts[x[place[x] == here]] += 1
+            n, size = n + batch.num_rows, size + len(ids)
             names = batch.column(0).to_pylist()
-            yield record_batch({"doc_id": names, "ids": ids, "key": [_key(x) for x in arrays], "tie": [xxhash.xxh3_64_intdigest(str(d)) >> 1 for d in names], "counts": [None] * len(ids)}, schema)
+            packed = pa.Array.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer((bounds * own.kind.itemsize).astype(np.int64)), pa.py_buffer(ids)])
+            yield record_batch({"doc_id": names, "ids": packed, "key": keys_of(ids, bounds), "tie": [xxhash.xxh3_64_intdigest(str(d)) >> 1 for d in names], "counts": [None] * len(names)}, schema)
         if n:
             yield record_batch({"doc_id": [None], "ids": [np.array([n, size], np.int64).tobytes()], "key": [None], "tie": [None], "counts": [counts.tobytes()]}, schema)
 
@@ -233,8 +242,12 @@ def _statistics(rows: DataFrame) -> tuple[np.ndarray, int, int]:
         if total is not None:
             yield record_batch({"counts": [total.tobytes()], "ids": [both.tobytes()]}, pa.schema([("counts", pa.binary()), ("ids", pa.binary())]))
 
-    # in two steps, so that the driver gets a few rows of the vocabulary's size
-    sums = rows.filter("counts IS NOT NULL").select("counts", "ids").mapInArrow(add, "counts binary, ids binary").repartition(8).mapInArrow(add, "counts binary, ids binary").collect()
+    # level by level, so that no task adds up many and the driver gets few of them
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = rows.filter("counts IS NOT NULL").select("counts", "ids").mapInArrow(add, "counts binary, ids binary")
+    for n in (parts, math.isqrt(parts)) if parts > 64 else (math.isqrt(parts),):
+        sums = sums.repartition(n).mapInArrow(add, "counts binary, ids binary")
+    sums = sums.collect()
     if not sums:
         return np.zeros(0, np.int64), 0, 0
     both = sum(np.frombuffer(r.ids, np.int64) for r in sums)
@@ -335,7 +348,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, end:
         packer = Packer(length)
         first = TaskContext.get().partitionId() << 40
         names: list = []
-        ids: list[np.ndarray] = []
+        ids: list[np.ndarray] = []  # without the end's id, which is no term
 
         def shard():
             full = [np.append(x, np.array([end], x.dtype)) for x in ids]

@@ -29,8 +29,13 @@ def test_chunks_round_trip(text):
 @settings(max_examples=300, deadline=None)
 @given(ODD)
 def test_stretches(text):
-    own = packing.Encoder(packing.TOKENIZER)
-    assert np.frombuffer(own.encode_all([text])[0], own.kind).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    import pyarrow as pa
+
+    own = packing._encoders.setdefault(packing.TOKENIZER, packing.Encoder(packing.TOKENIZER) if packing.TOKENIZER not in packing._encoders else None)
+    texts = [text, "", "plain words, and " + text.strip(), text.replace("  ", " ").strip(" \n") or "a"]
+    ids, bounds = own.encode_all(pa.array(texts, pa.large_string()))
+    for t, a, b in zip(texts, bounds, bounds[1:], strict=False):
+        assert ids[a:b].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_chunks_are_reused():
