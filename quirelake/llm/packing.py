@@ -44,13 +44,12 @@ from .common import hf_tokenizer, record_batch, table, text_slices, written
 TOKENIZER = "byte_bpe_50k.json"
 LENGTH = 2048
 END = 1
-#: BM25's parameters, and the terms of a seed that are looked up.
+#: BM25's parameters.
 K1, B = 1.2, 0.75
-QUERY_TERMS = 24
 #: Neighbours that are queued at once; when they are used up, more are sought.
 NEIGHBOURS = 64
-#: Tokens, and documents, that one index holds.
-SHARD_TOKENS, SHARD_DOCS = 1 << 20, 1024
+#: Tokens that one index holds.
+SHARD_TOKENS = 1 << 20
 
 # Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the
 # others for the code points from 256 on, in order.
@@ -272,11 +271,8 @@ class Index:
         self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document for the seed's heaviest terms."""
-        terms = self.terms[seed]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(self.tf[seed] * self.idf[terms], -QUERY_TERMS)[-QUERY_TERMS:]]
-        terms = terms.astype(np.int64)
+        """BM25 of every document for all the seed's terms."""
+        terms = self.terms[seed].astype(np.int64)
         a, b = self.at[terms], self.at[terms + 1]
         n = b - a
         if not n.sum():
@@ -375,7 +371,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, end:
                 names.append(name)
                 ids.append(np.frombuffer(x.as_py(), "<u4" if wide else "<u2"))
                 held += len(ids[-1])
-                if held >= SHARD_TOKENS or len(ids) >= SHARD_DOCS:
+                if held >= SHARD_TOKENS:
                     yield shard()
                     held = 0
         if ids:
