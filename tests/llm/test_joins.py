@@ -51,9 +51,11 @@ def plain(texts):
     return [len(s) for s in sets], [root(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("shingles", [4 << 20, 2000])
-def test_components(spark, monkeypatch, shingles):
-    monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", shingles)  # the lesser one deals groups out in blocks
+@pytest.mark.parametrize("shingles, hot, flush", [(4 << 20, 1 << 16, 4 << 20), (2000, 3, 3000), (600, 10, 50)])
+def test_components(spark, monkeypatch, shingles, hot, flush):
+    monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", shingles)  # the lesser ones deal groups out in blocks
+    monkeypatch.setattr(ngram_join, "HOT_SETS", hot)
+    monkeypatch.setattr(ngram_join, "FLUSH", flush)
     texts = families(random.Random(3))
     sizes, roots = plain(texts)
     docs = spark.createDataFrame([(3 * i + 1, t, "x", 1) for i, t in enumerate(texts)] + [(None, "x y", "x", 1), (None, None, "x", 1)], "doc_id long, text string, name string, n int").repartition(4)
