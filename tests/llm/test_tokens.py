@@ -21,9 +21,32 @@ ODD = st.lists(st.sampled_from([*"abCDé½²ʰ \t\n\x0b\x0c\r\x1c\x85\xa0'…!?.
 @given(ODD)
 def test_chunks_round_trip(text):
     made = hf_tokenizer(bpe_chunks.TOKENIZER)
-    ids = made.encode(text, add_special_tokens=False).ids
-    found = bpe_chunks.encoder(bpe_chunks.TOKENIZER, 4).encode_all([text.encode()])[0]
-    assert found == (" ".join(map(str, ids)), made.decode(ids, skip_special_tokens=False), len(ids))
+    own = bpe_chunks.encoder(bpe_chunks.TOKENIZER, 4)
+    for t in (text, text + " " + text[::-1] + " plain words between"):
+        ids = made.encode(t, add_special_tokens=False).ids
+        found = own.encode_all([t.encode()])
+        assert found[0].tolist() == ids
+        assert own.decode_all(found) == [made.decode(ids, skip_special_tokens=False)]
+
+
+def test_joins_are_widened_until_they_agree(monkeypatch):
+    text = " ".join(random.Random(5).choices([f"word{i}," for i in range(300)], k=2000))
+    own = bpe_chunks.ChunkEncoder(bpe_chunks.TOKENIZER, 9)
+    wanted = own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert own.encode_all([text.encode()])[0].tolist() == wanted and own.joins > 15 and own.widened == 0
+    agrees = own.agrees
+    own.agrees = lambda left, right, words, ids: words > bpe_chunks.WINDOW and agrees(left, right, words, ids)
+    assert own.encode_all([text.encode()])[0].tolist() == wanted and own.widened > 15
+
+
+@settings(max_examples=150, deadline=None)
+@given(ODD)
+def test_another_tokenizer(text):
+    own = bpe_chunks.encoder(packing.TOKENIZER, 5)
+    text = text + " one two, three \n" * 20 + text
+    ids = own.encode_all([text.encode()])
+    assert not own.wordwise and ids[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert own.decode_all(ids) == [text]
 
 
 @settings(max_examples=300, deadline=None)
@@ -42,7 +65,7 @@ def test_chunks_are_reused():
     passage = " ".join(random.Random(1).choices([f"word{i}" for i in range(500)], k=3000)).encode()
     own = bpe_chunks.ChunkEncoder(bpe_chunks.TOKENIZER)
     own.encode_all([passage, b"something else in front, " + passage])
-    assert own.reused > 0.9 * own.made
+    assert own.reused > 0.8 * own.made
 
 
 def test_counts_and_digests(spark, odd_docs):
