@@ -3,20 +3,25 @@
 Every task puts the keys of its documents' lines into two filters: keys seen
 once, and keys seen (perhaps) twice.  Merged over all tasks, the second holds
 every key that two documents share.  Only lines found in it, the suspects, go
-through a shuffle, already summed by task, to be counted exactly by 128-bit hash;
-there the first occurrence is chosen too, for callers that keep it.
+through a shuffle, once for each key (by 128-bit hash) and document, to be counted
+exactly; there the first occurrence is chosen too, for callers that keep it.
+
+The filters have about eight bits for each line of usual length, up to ``MOST_BITS``
+(128 MB) each; tables of more than about 25 GB fill them beyond that, so that more of
+the lines are suspects, which costs shuffles (32 bytes a line) but changes no result.
 
 A key is a line without white space at both ends, A-Z in lower case.  A key that
 at least ``min_docs`` documents hold loses all its lines, or all but the first.
 
 The keys to drop are broadcast while they are few (``BROADCAST_KEYS``, counted
 first); beyond that they are joined to the suspects and the result to the
-documents.
+documents; there adaptive execution splits the rows of one text that many have.
 
 Nulls, empty and odd rows: a null or empty text is one empty line, which has no
-key and stays (a null text stays null); each row counts as a document, so
-repeated rows count repeatedly; ties cannot arise, since the first occurrence is
-the least (doc_id, line number), a null doc_id first; other columns are carried
+key and stays (a null text stays null); a very long text is read whole, alone in its
+batch; rows of one doc_id are one document, and rows without an id lose the lines that
+documents share but count as none; ties cannot arise, since the first occurrence is
+the least (doc_id, line number); other columns are carried
 unless they are named as one of the operator's own (n_lines, n_dropped), which
 replaces them; an empty table gives an empty result.
 """
@@ -38,8 +43,8 @@ from .common import input_bytes, slices, table, written
 
 MIN_DOCS = 10
 MIN_CHARS = 1
-#: Bits of each Bloom filter: an eighth of the input's bytes, within these bounds.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: Bits of each Bloom filter: 40 for each KB of the input, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 #: Bytes of a filter that travel in one row.
 BLOCK = 1 << 16
 #: Most keys to drop that are broadcast (about 100 bytes each in a worker).
@@ -74,7 +79,7 @@ def _put(filter_: np.ndarray, h: np.ndarray, bits: int) -> None:
 def filter_bits(docs: DataFrame) -> int:
     """The filters' size, from the optimiser's estimate of the input's bytes."""
     size = input_bytes(docs)
-    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, size // 8 - 1).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, size // 24 - 1).bit_length()))
 
 
 def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> bytes:
@@ -83,6 +88,7 @@ def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> bytes:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for _, texts in slices(batches):
+            # a document's repeated rows may only add to what is suspected
             found = [xxhash.xxh3_64_intdigest(k) for t in texts for k in set(keys_of(t, min_chars)) if k]
             h, n = np.unique(np.array(found, np.uint64), return_counts=True)
             _put(twice, h[(n > 1) | _has(once, h, bits)], bits)
@@ -124,29 +130,28 @@ def repeated_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
     shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, bits, min_chars))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("doc", pa.int64()), ("line", pa.int64())])
+        schema = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("line", pa.int64())])
         twice = np.frombuffer(shared.value, np.uint8)
         for batch, texts in slices(batches):
-            first: dict[bytes, list] = {}
+            keys: list[bytes] = []
+            docs_: list[int] = []
+            lines: list[int] = []
             for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                if doc is None:
+                    continue
                 own: dict[bytes, int] = {}
                 for i, k in enumerate(keys_of(text, min_chars)):
                     if k:
                         own.setdefault(k, i)
-                at = (-(1 << 63) if doc is None else doc,)
-                for k, i in own.items():
-                    if k in first:
-                        first[k][0] += 1
-                        first[k][1] = min(first[k][1], (*at, i))
-                    else:
-                        first[k] = [1, (*at, i)]
-            found = list(first)
-            if found:
-                hit = _has(twice, np.array([xxhash.xxh3_64_intdigest(k) for k in found], np.uint64), bits)
-                found = [k for k, x in zip(found, hit.tolist(), strict=True) if x]
-                yield pa.RecordBatch.from_pydict({"key": [xxhash.xxh3_128_digest(k) for k in found], "n": [first[k][0] for k in found], "doc": [first[k][1][0] for k in found], "line": [first[k][1][1] for k in found]}, schema)
-
-    return docs.mapInArrow(suspects, "key binary, n long, doc long, line long").groupBy("key").agg(F.sum("n").alias("n_docs"), F.min(F.struct("doc", "line")).alias("first")).filter(F.col("n_docs") >= min_docs).select("key", "n_docs", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
+                keys += own
+                docs_ += [doc] * len(own)
+                lines += own.values()
+            if keys:
+                hit = np.flatnonzero(_has(twice, np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), bits)).tolist()
+                yield pa.RecordBatch.from_pydict({"key": [xxhash.xxh3_128_digest(keys[i]) for i in hit], "doc": [docs_[i] for i in hit], "line": [lines[i] for i in hit]}, schema)
+
+    by_doc = docs.mapInArrow(suspects, "key binary, doc long, line long").groupBy("key", "doc").agg(F.min("line").alias("line"))
+    return by_doc.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "line")).alias("first")).filter(F.col("n_docs") >= min_docs).select("key", "n_docs", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
 
 
 def _rewrite(doc: int | None, text: bytes | None, drop, keep_first: bool, min_chars: int) -> tuple[bytes | None, int, int]:
@@ -156,7 +161,7 @@ def _rewrite(doc: int | None, text: bytes | None, drop, keep_first: bool, min_ch
     kept = []
     for i, (line, key) in enumerate(zip(lines, keys_of(text or b"", min_chars), strict=True)):
         first = drop.get(xxhash.xxh3_128_digest(key)) if key else None
-        if first is None or keep_first and first == (-(1 << 63) if doc is None else doc, i):
+        if first is None or keep_first and first == (doc, i):
             kept.append(line)
     return text if text is None or len(kept) == len(lines) else b"\n".join(kept), len(lines), len(lines) - len(kept)
 
