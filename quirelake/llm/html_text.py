@@ -3,22 +3,31 @@
 1. Every page is read into blocks of text with the path of containers they stand
    in, each container as its tag and its classes without digits.  A page's best
    container is the deepest that holds ``COVER`` of its good text, an article or
-   main element before others; good text is what isn't in an element that by its tag, class or id is a menu, form, notice, advert or the
-   like, weighed by the share that isn't links.  Unless it is an article or main
-   element, it gives way to the highest container above it that adds only headings
-   and blocks that aren't mostly links, so an article's title and intro stay.
+   main element before others; good text is weighed by the share that isn't links.
+   Unless it is an article or main element, it gives way to the highest container
+   above it that adds only headings and blocks that aren't mostly links, so an
+   article's title and intro stay.
 2. Each page votes for its best container's path; Spark sums the votes by host and
    path and chooses each host's winner.
 3. Pages are read again, and the blocks below their host's winning path are the
    text; a page that has none takes those of its own best container.
 
-Winning paths are broadcast while the hosts are few (``BROADCAST_HOSTS``, counted
-first) and joined by host beyond that.
+What is a menu, form, notice, advert, comment or the like by its tag or role, is
+hidden, or has a class or id all of whose words say so (``comment-list``, but not
+``related-work`` or ``post-header``) is left out everywhere, inline elements too.
 
-Nulls, empty and odd rows: a null html counts as empty and gives the empty text;
-pages with a null url are one host; ties go to the path with more text, then the
-first by name; repeated rows give repeated results and vote repeatedly; other
-columns are ignored; an empty table gives an empty result.
+Winning paths are broadcast while they are few (``BROADCAST_HOSTS`` and
+``BROADCAST_BYTES``, measured first) and joined by host beyond that; adaptive
+execution splits the pages of a large host there.
+
+Reading takes time and memory in proportion to the page, however it is nested and
+whatever is left open; containers are nodes of a tree, not strings.
+
+Nulls, empty and odd rows: a null html counts as empty and gives the empty text; a very
+long page is read whole, alone in its batch; pages with a null url are one host; ties
+go to the path with more text, then the first by name; repeated rows give repeated
+results and vote repeatedly; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -26,6 +35,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -38,11 +48,11 @@ from .common import record_batch, slices, table, written
 COVER = 0.8
 #: Least share that isn't links of a block that an article may gain, but for headings.
 PLAIN = 0.5
-#: Most hosts whose paths are broadcast.
-BROADCAST_HOSTS = 50_000
+#: Most hosts whose paths are broadcast, and most characters of all hosts and paths.
+BROADCAST_HOSTS, BROADCAST_BYTES = 50_000, 32 << 20
 
 # Elements that hold no main text, elements whose content isn't
-# markup, elements that end a block, and words of classes and ids.
+# markup, elements that end a block, roles, and words of classes and ids.
 SKIPPED = set("head nav footer aside form script style noscript template iframe svg math button select textarea menu dialog object canvas audio video".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = set("html head body main article section div nav aside header footer form ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address fieldset details summary hr menu dialog center hgroup search noscript template svg math button select textarea object canvas audio video title script style iframe".split())
@@ -51,134 +61,238 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr thead tbody tfoot table ul ol dl caption figcaption figure address summary hgroup center".split())
 CLOSED_BY_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
-BOILERPLATE = set("ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs byline-social comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination pager paywall popup promo promoted promotion related respond replies reply share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
-
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*>""", re.S)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert status menu menubar toolbar tablist form".split())
+BOILERPLATE = set("ad ads adsbygoogle adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination pager paywall popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
+# Words that say nothing of the content beside one of the former.
+FURNITURE = set("a all and area articles author bar block body bottom box btn button buttons col column container content count crumb fixed float form global group header icons id inner item items js left link links list main media message meta mobile more outer overlay page panel posts primary right row secondary section site slot small social sticky stories text thread title to tool top unit wrap wrapper zone".split())
+
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+_TO_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`]++)))?""")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+_WORDS = re.compile("[a-z]+")
+
+
+class Tag(NamedTuple):
+    """A tag's, comment's or declaration's place; the latter two have no name."""
+
+    start: int
+    end: int
+    closing: bool
+    name: str
+    attributes: str
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """The tags of ``page`` in order, without those in elements whose content isn't
+    markup.  What is left open ends with the page."""
+    at, quotes = 0, True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4) + 3
+            at = end if end > 2 else len(page)
+            yield Tag(start, at, False, "", "")
+            continue
+        closing = page.startswith("/", start + 1)
+        name = _NAME.match(page, start + 1 + closing)
+        if not name:
+            at = start + 1
+            if closing or page[at : at + 1] in ("!", "?"):
+                end = page.find(">", at)
+                at = end + 1 if end >= 0 else len(page)
+                yield Tag(start, at, False, "", "")
+            continue
+        to = _TO_END.match(page, name.end()) if quotes else None
+        if to:
+            at = to.end()
+        else:  # an open quote: from here on quotes don't count
+            quotes = False
+            at = page.find(">", name.end()) + 1 or len(page)
+        lower = name[0].lower()
+        if lower in RAW and not closing:
+            attributes = page[name.end() : at - 1]
+            close = _RAW_END[lower].search(page, at)
+            at = (page.find(">", close.end()) + 1 or len(page)) if close else len(page)
+            yield Tag(start, at, False, lower, attributes)
+        else:
+            yield Tag(start, at, closing, lower, page[name.end() : at - 1])
+
+
+def _says_boilerplate(token: str) -> bool:
+    words = _WORDS.findall(token)
+    return not BOILERPLATE.isdisjoint(words) and all(w in BOILERPLATE or w in FURNITURE for w in words)
 
 
 def _attributes(text: str) -> tuple[str, bool]:
-    """The classes for a path, and whether class, id or role say boilerplate."""
-    if "=" not in text:
-        return "", bool(re.search(r"\bhidden\b", text))
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(text)}
-    classes = sorted({re.sub(r"\d+", "", c) for c in found.get("class", "").lower().split()})
-    words = re.split(r"[^a-z]+", " ".join(found.values()).lower())
-    return "".join("." + c for c in classes if c), any(w in BOILERPLATE for w in words)
-
-
-def blocks(page: str) -> list[tuple[str, str, float, bool]]:
-    """(path of containers, text, share that isn't links, whether it is a heading) of
-    each block that isn't in a skipped element, in the page's order."""
-    out: list[tuple[str, str, float, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path so far, skipped
-    pieces: list[str] = []
-    linked = 0
-    in_link = False
-    at = 0
-    end = len(page)
-
-    def flush() -> None:
-        nonlocal linked
-        if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
-            if text and not (stack and stack[-1][2]):
-                out.append((stack[-1][1] if stack else "", text, max(0.0, 1 - linked / max(1, sum(map(len, pieces)))), bool(stack) and stack[-1][0] in HEADINGS))
+    """The classes for a path, and whether an element with these is left out."""
+    if not text or text.isspace():
+        return "", False
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    tokens = found.get("class", "").lower().replace(">", " ").split()
+    out = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I) is not None
+    out = out or found.get("role", "").lower() in ROLES or any(map(_says_boilerplate, [*tokens, found.get("id", "").lower()]))
+    return "".join("." + c for c in sorted({re.sub(r"\d+", "", c) for c in tokens}) if c), out
+
+
+class Block(NamedTuple):
+    """A block of text: its container, the share that isn't links, whether it is a
+    heading."""
+
+    node: int
+    text: str
+    plain: float
+    heading: bool
+
+
+class Page:
+    """A page's blocks in order, without those that are left out, and its containers:
+    a node for each path, after its parent."""
+
+    def __init__(self, page: str):
+        self.names, self.parents = [""], [-1]
+        self.nodes: dict[tuple[int, str], int] = {}
+        self.blocks: list[Block] = []
+        self._read(page)
+
+    def _node(self, parent: int, name: str) -> int:
+        if (parent, name) not in self.nodes:
+            self.nodes[parent, name] = len(self.names)
+            self.names.append(name)
+            self.parents.append(parent)
+        return self.nodes[parent, name]
+
+    def _read(self, page: str) -> None:
+        stack: list[tuple[str, int, bool, bool]] = []  # tag, node, left out, in an article
+        opened: dict[str, int] = {}  # how many of each tag the stack has
+        pieces: list[str] = []
+        linked = at = 0
+        in_link = False
+        skipping, depth = "", 0  # an inline element that is left out, and how deep in it
+
+        def flush() -> None:
+            nonlocal linked
+            _, node, out, _ = stack[-1] if stack else ("", 0, False, False)
+            if pieces and not out:
+                text = " ".join(html.unescape("".join(pieces)).split())
+                if text:
+                    self.blocks.append(Block(node, text, max(0.0, 1 - linked / max(1, sum(map(len, pieces)))), bool(stack) and stack[-1][0] in HEADINGS))
             pieces.clear()
-        linked = 0
-
-    while at < end:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
-            pieces.append(page[at:stop])
-            if in_link:
-                linked += stop - at
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if name == "br":
-            pieces.append(" ")
-        if name == "a":
-            in_link = not m[1]
-        if name not in BLOCKS and name not in RAW:
-            continue
+            linked = 0
+
+        def pop() -> None:
+            opened[stack.pop()[0]] -= 1
+
+        for tag in tags(page):
+            if tag.start > at and not skipping:
+                pieces.append(page[at : tag.start])
+                linked += (tag.start - at) * in_link
+            at = tag.end
+            name = tag.name
+            if not name:
+                continue
+            if name not in BLOCKS and name not in RAW:
+                if name == "br" and not skipping:
+                    pieces.append(" ")
+                elif name == "a":
+                    in_link = not tag.closing
+                if skipping:
+                    depth += (name == skipping) * (-1 if tag.closing else 1)
+                    skipping = skipping if depth else ""
+                elif not tag.closing and name not in VOID and not tag.attributes.rstrip().endswith("/") and _attributes(tag.attributes)[1]:
+                    skipping, depth = name, 1
+                continue
+            flush()
+            in_link, skipping = False, ""
+            if tag.closing:
+                if opened.get(name):
+                    while stack[-1][0] != name:
+                        pop()
+                    pop()
+                continue
+            if name in VOID:
+                continue
+            while stack and (stack[-1][0] in CLOSED_BY_BLOCKS or stack[-1][0] in CLOSES.get(name, ())):
+                pop()
+            if name in RAW or tag.attributes.rstrip().endswith("/"):
+                continue
+            classes, out = _attributes(tag.attributes)
+            _, node, above, inside = stack[-1] if stack else ("", 0, False, False)
+            core = name in ("article", "main")
+            out = above or name in SKIPPED or out and not core and name not in ("html", "body") or name == "header" and not inside
+            stack.append((name, node if name in LEAVES else self._node(node, name + classes), out, inside or core))
+            opened[name] = opened.get(name, 0) + 1
+        if at < len(page) and not skipping:
+            pieces.append(page[at:])
         flush()
-        in_link = False
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            continue
-        if name in VOID:
-            continue
-        while stack and (stack[-1][0] in CLOSED_BY_BLOCKS or stack[-1][0] in CLOSES.get(name, ())):
-            stack.pop()
-        classes, boilerplate = _attributes(m[3])
-        path, skipped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-        inside = "article" in path or "main" in path
-        skipped = skipped or name in SKIPPED or boilerplate and name not in ("html", "body", "article", "main") or name == "header" and not inside
-        if m[3].rstrip().endswith("/") and name not in RAW:
-            continue
-        if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
-            continue
-        stack.append((name, path if name in LEAVES else f"{path}>{name}{classes}" if path else name + classes, skipped))
-    flush()
-    return out
-
-
-def best_container(found: list[tuple[str, str, float, bool]]) -> tuple[str, float]:
-    """The deepest path that holds ``COVER`` of the good text, or what it climbs to,
-    and that text's size."""
-    weight: dict[str, float] = {}
-    for path, text, own, _ in found:
-        w = len(text) * own
-        parts = path.split(">")
-        for k in range(1, len(parts) + 1):
-            p = ">".join(parts[:k])
-            weight[p] = weight.get(p, 0.0) + w
-    total = max(weight.values(), default=0.0)
-    if not total:
-        return "", 0.0
-    fit = [p for p, w in weight.items() if w >= COVER * total]
-    # an article or main element is taken whole, headings and all
-    best = max(fit, key=lambda p: (bool(re.match("(article|main)\\b", p.rpartition(">")[2])), p.count(">"), weight[p], p))
-    best = climb(found, best)
-    return best, weight[best]
-
-
-def climb(found: list[tuple[str, str, float, bool]], core: str) -> str:
-    """The highest ancestor of ``core`` all of whose further blocks are headings or
-    not mostly links; one that adds no block isn't climbed to."""
-    best = top = core
-    while ">" in top and not re.match("(article|main)\\b", core.rpartition(">")[2]):
-        below, top = top, top.rpartition(">")[0]
-        added = [heading or own >= PLAIN for p, _, own, heading in found if within(p, top) and not within(p, below)]
-        if not all(added):
-            break
-        if added:
-            best = top
-    return best
-
-
-def within(path: str, top: str) -> bool:
-    """Whether ``path`` is ``top`` or below."""
-    return not top or path == top or path.startswith(top + ">")
-
-
-def extract(found: list[tuple[str, str, float, bool]], winner: str | None) -> str:
-    """The text of the blocks below the winning path, or the page's own best one."""
-    own = [t for p, t, *_ in found if within(p, winner)] if winner else []
-    if not own:
-        top, _ = best_container(found)
-        own = [t for p, t, *_ in found if within(p, top)]
-    return "\n".join(own)
+
+    def sums(self, of) -> list[float]:
+        """For each node, the sum of ``of`` a block over all blocks in and below it."""
+        out = [0.0] * len(self.names)
+        for b in self.blocks:
+            out[b.node] += of(b)
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parents[i]] += out[i]
+        return out
+
+    def path(self, node: int) -> str:
+        """The names of a node and those above it, the outermost first."""
+        names = []
+        while node > 0:
+            names.append(self.names[node])
+            node = self.parents[node]
+        return ">".join(reversed(names))
+
+    def find(self, path: str) -> int:
+        """The node of a path; -1 if there is none."""
+        node = 0
+        for name in path.split(">"):
+            node = self.nodes.get((node, name), -1)
+            if node < 0:
+                break
+        return node
+
+    def best(self) -> tuple[int, float]:
+        """The deepest node that holds ``COVER`` of the good text, or what it climbs to,
+        and its good text's size; 0 is the page itself."""
+        weight = self.sums(lambda b: len(b.text) * b.plain)
+        if not weight[0]:
+            return 0, 0.0
+        depth, core = [0] * len(weight), [False] * len(weight)
+        for i in range(1, len(weight)):
+            depth[i] = depth[self.parents[i]] + 1
+            core[i] = re.split("[.]", self.names[i], maxsplit=1)[0] in ("article", "main")
+        fit = [i for i, w in enumerate(weight) if w >= COVER * weight[0]]
+        best = max(fit, key=lambda i: (core[i], depth[i], weight[i], -i))
+        if not core[best]:
+            best = self._climb(best)
+        return best, weight[best]
+
+    def _climb(self, node: int) -> int:
+        """The highest ancestor all of whose further blocks are headings or not mostly
+        links; one that adds no block isn't climbed to."""
+        every, linked = self.sums(lambda b: 1), self.sums(lambda b: not b.heading and b.plain < PLAIN)
+        best = node
+        while node > 0 and self.parents[node] > 0:
+            below, node = node, self.parents[node]
+            if linked[node] > linked[below]:
+                break
+            if every[node] > every[below]:
+                best = node
+        return best
+
+    def text(self, winner: str | None) -> str:
+        """The text of the blocks below the winning path, or the page's own best one."""
+        top = self.find(winner) if winner else -1
+        own = self._below(top) if top >= 0 else []
+        return "\n".join(own or self._below(self.best()[0]))
+
+    def _below(self, top: int) -> list[str]:
+        inside = [False] * len(self.names)
+        for i, parent in enumerate(self.parents):
+            inside[i] = i == top or parent >= 0 and inside[parent]
+        return [b.text for b in self.blocks if inside[b.node]]
 
 
 def host(url: str | None) -> str:
@@ -195,9 +309,12 @@ def host_paths(pages: DataFrame) -> DataFrame:
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("score", pa.float64())])
         for batch, texts in slices(batches, "html"):
-            best = [best_container(blocks(t.decode())) for t in texts]
-            hosts = [host(u) for u in batch.column(batch.schema.get_field_index("url")).to_pylist()]
-            rows = [(h, p, s) for h, (p, s) in zip(hosts, best, strict=True) if p]
+            rows = []
+            for u, t in zip(batch.column(batch.schema.get_field_index("url")).to_pylist(), texts, strict=True):
+                page = Page(t.decode())
+                node, size = page.best()
+                if node:
+                    rows.append((host(u), page.path(node), size))
             yield record_batch({"host": [r[0] for r in rows], "path": [r[1] for r in rows], "score": [r[2] for r in rows]}, schema)
 
     votes = pages.select("url", "html").mapInArrow(vote, "host string, path string, score double").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.floor("score")).alias("score"))
@@ -213,9 +330,10 @@ def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataF
 
     def rewrite(batches: Iterator[pa.RecordBatch], paths) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "html"):
-            yield record_batch({"page_id": batch.column(0).to_pylist(), "url": batch.column(1).to_pylist(), "text": [extract(blocks(t.decode()), w) for t, w in zip(texts, paths(batch), strict=True)]}, schema)
+            yield record_batch({"page_id": batch.column(0).to_pylist(), "url": batch.column(1).to_pylist(), "text": [Page(t.decode()).text(w) for t, w in zip(texts, paths(batch), strict=True)]}, schema)
 
-    if winners.count() <= broadcast_hosts:
+    sizes = winners.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("host") + F.length("path")).alias("size")).first()
+    if sizes.n <= broadcast_hosts and (sizes.size or 0) <= BROADCAST_BYTES:
         shared = pages.sparkSession.sparkContext.broadcast({r.host: r.path for r in winners.toLocalIterator()})
 
         def by_broadcast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
