@@ -11,10 +11,15 @@ are read back come, each over the whole clip:
 - a tensor of fixed shape (``SPANS`` x ``MELS``): the mean log-mel energies of
   the clip's equal spans of time, with each span's start and end in seconds.
 
-Long clips are worked on block by block, so memory doesn't grow with the clip.
+Tensors and spans are stored as Arrow streams of fixed-shape tensors, a row for each
+clip, and what is told of the features is derived from the stored form.
+
+A clip is held whole, 14 bytes for each of its own at most; its frames are transformed
+block by block.
 
 Nulls, empty and odd rows: a null payload counts as empty; the payload is padded
-with zero bytes to a positive multiple of 64, so the empty text gives 64 zeros;
+with zero bytes to a positive multiple of 64, so the empty text gives 64 zeros; a very
+long text is one clip, alone in its batch;
 equal texts give equal values; repeated rows give repeated results; other columns
 are ignored; an empty table gives an empty result.
 """
@@ -135,41 +140,53 @@ def features(data: bytes) -> tuple[np.ndarray, list[tuple[float, float]], list[t
     return tensor.astype(np.float32), [(a * step, b * step) for a, b in zip(cuts, cuts[1:], strict=False)], [(a * step, b * step) for a, b in segments(energy)]
 
 
-def feature_string(tensor: np.ndarray, found: list[tuple[float, float]]) -> str:
-    """A short text: the bands' mean energies to a tenth, the segments' number and
-    their seconds in all."""
-    bands = ",".join(f"{x:.1f}" for x in tensor.mean(axis=0).tolist())
-    return f"mel={bands};segments={len(found)};active={sum(b - a for a, b in found):.3f}"
+#: The stored form's columns: tensors, and times in seconds.
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [SPANS, MELS])
+TIMES = pa.fixed_shape_tensor(pa.float64(), [SPANS, 2])
+STORED = pa.schema([("tensor", TENSOR), ("spans", TIMES), ("segments", pa.list_(pa.list_(pa.float64(), 2)))])
 
 
-#: The tensor's Arrow type: storage of a fixed length with its shape.
-TENSOR = pa.fixed_shape_tensor(pa.float32(), [SPANS, MELS])
+def _fixed(kind: pa.FixedShapeTensorType, parts: list) -> pa.Array:
+    flat = np.stack(parts).reshape(-1) if parts else np.zeros(0)
+    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(flat, kind.value_type), int(np.prod(kind.shape))))
 
 
-def tensor_file(tensors: list[np.ndarray]) -> bytes:
-    """An Arrow stream with one column of fixed-shape tensors."""
-    flat = np.stack(tensors).reshape(-1) if tensors else np.zeros(0, np.float32)
-    column = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), SPANS * MELS))
+def store(found: list[tuple]) -> bytes:
+    """An Arrow stream with a row for each clip's ``features``."""
+    segments_ = pa.array([[list(x) for x in f[2]] for f in found], STORED.field("segments").type)
     out = io.BytesIO()
-    with pa.ipc.new_stream(out, pa.schema([("tensor", TENSOR)])) as w:
-        w.write_batch(pa.RecordBatch.from_arrays([column], names=["tensor"]))
+    with pa.ipc.new_stream(out, STORED) as w:
+        w.write_batch(pa.RecordBatch.from_arrays([_fixed(TENSOR, [f[0] for f in found]), _fixed(TIMES, [f[1] for f in found]), segments_], schema=STORED))
     return out.getvalue()
 
 
+def stored(data: bytes) -> list[tuple[np.ndarray, list[tuple[float, float]], list[tuple[float, float]]]]:
+    """The features that ``store`` put into a stream."""
+    back = pa.ipc.open_stream(data).read_all().combine_chunks()
+    if not back.num_rows:
+        return []
+    tensors, spans = (back.column(c).chunk(0).to_numpy_ndarray() for c in ("tensor", "spans"))
+    return [(t, [tuple(x) for x in s.tolist()], [tuple(x) for x in g]) for t, s, g in zip(tensors, spans, back.column("segments").to_pylist(), strict=True)]
+
+
+def feature_string(tensor: np.ndarray, spans: list[tuple[float, float]], found: list[tuple[float, float]]) -> str:
+    """A short text: the bands' mean energies to a tenth, the end of the spans, the
+    segments' number and their seconds in all."""
+    bands = ",".join(f"{x:.1f}" for x in tensor.mean(axis=0).tolist())
+    return f"mel={bands};seconds={spans[-1][1]:.3f};segments={len(found)};active={sum(b - a for a, b in found):.3f}"
+
+
 def audio_columns(docs: DataFrame) -> DataFrame:
-    """(doc_id, media binary, tensor array<float> of ``SPANS`` x ``MELS``, spans and
-    segments array<struct<start, end>>) of ``docs`` (doc_id, text)."""
-    span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
+    """(doc_id, media binary, features binary) of ``docs`` (doc_id, text): each clip, and
+    its tensor, spans and segments as an Arrow stream of one row (``stored`` reads it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("media", pa.binary()), ("tensor", pa.list_(pa.float32())), ("spans", span), ("segments", span)])
+        schema = pa.schema([("doc_id", pa.int64()), ("media", pa.binary()), ("features", pa.binary())])
         for batch, texts in slices(batches):
             clips = [to_wav(payload(t)) for t in texts]
-            found = [features(from_wav(c)[0]) for c in clips]
-            pairs = lambda k: [[{"start": a, "end": b} for a, b in x[k]] for x in found]
-            yield record_batch({"doc_id": batch.column(0), "media": clips, "tensor": [x[0].reshape(-1) for x in found], "spans": pairs(1), "segments": pairs(2)}, schema)
+            yield record_batch({"doc_id": batch.column(0), "media": clips, "features": [store([features(from_wav(c)[0])]) for c in clips]}, schema)
 
-    return _narrow(docs).mapInArrow(run, "doc_id long, media binary, tensor array<float>, spans array<struct<start: double, end: double>>, segments array<struct<start: double, end: double>>")
+    return _narrow(docs).mapInArrow(run, "doc_id long, media binary, features binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -180,7 +197,7 @@ def digests(docs: DataFrame) -> DataFrame:
         for batch, texts in slices(batches):
             clips = [to_wav(payload(t)) for t in texts]
             back = [from_wav(c)[0] for c in clips]
-            found = [features(b) for b in back]
+            found = stored(store([features(b) for b in back]))
             yield record_batch(
                 {
                     "doc_id": batch.column(0),
@@ -190,7 +207,7 @@ def digests(docs: DataFrame) -> DataFrame:
                     "tail_crc32": [zlib.crc32(b[-UNIT:]) for b in back],
                     "media_bytes": [len(c) for c in clips],
                     "media_sha256": [hashlib.sha256(c).hexdigest() for c in clips],
-                    "feature": [feature_string(x[0], x[2]) for x in found],
+                    "feature": [feature_string(*x) for x in found],
                 },
                 schema,
             )
