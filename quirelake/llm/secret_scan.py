@@ -2,26 +2,31 @@
 
 Each text is searched for three kinds of candidates.  A candidate's value, hashed,
 is then counted over the whole corpus: in how many repositories and by how many
-distinct owners it stands.  What many owners share is a copied example (``shared``);
-what belongs to few is a live-looking credential (``owned``).  These verdicts are
+distinct owners it stands.  What many owners share, or two owners in many
+repositories, is a copied example (``shared``); what belongs to few is a live-looking
+credential (``owned``), however often its one owner repeats it.  These verdicts are
 spans of their own, over the value; the candidates' spans stay as they are.
 
 Spark has no function for the places of matches, so they are summed up from the
-lengths of the matches and of the stretches between them.
-
-Counting goes by (value, owner) first and the verdicts are joined with a salt, so
-a value that a third of all rows hold doesn't meet in one task.  The findings are
-written once, with a row number, and the texts are read once.
-
-Nulls, empty and odd rows: a null text counts as empty and has no spans; a null
-owner is one owner and a null repository one repository; repeated rows give
-repeated results and count as one repository if they share its id; spans that
-start together are in the order of ``KINDS``; other columns are ignored; an empty
-table gives an empty result.
+lengths of the matches and of the stretches between them, by doubling steps: n matches
+take n log n operations.
+
+Counting goes by (value, owner, repository) first.  Verdicts of values that stand in
+more than one in ``HOT_VALUES`` of all findings are broadcast, so there are no more of
+them than that, and a value that a third of all rows hold doesn't meet in one task.
+The findings are written once, with a row number, and the texts are read once.
+
+Nulls, empty and odd rows: a null text counts as empty and has no spans; a very long
+text is searched whole; a null owner is one owner and a null repository one repository
+of its owner; repeated rows give repeated results and count as one repository if they
+share its id; spans that start together are in the order of ``KINDS``; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,37 +42,52 @@ PATTERNS = [
 ]
 #: Every match of the first pattern has one of these, in some case.
 KEYWORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
-#: Owners from which on a value counts as shared.
-SHARED_OWNERS = 3
-#: Shares that a value's rows are dealt to when verdicts are joined.
-SALT = 8
-#: Documents with owned values whose spans are broadcast (about 100 bytes each).
-BROADCAST_ROWS = 200_000
+#: Owners from which on a value counts as shared, and repositories from which on one
+#: of two owners does.
+SHARED_OWNERS, SHARED_REPOSITORIES = 3, 10
+#: Most values whose verdicts are broadcast.
+HOT_VALUES = 1 << 16
+#: Documents with owned values, and spans of these, that are broadcast (about 20 bytes
+#: a span).
+BROADCAST_ROWS, BROADCAST_SPANS = 200_000, 1 << 20
+#: Characters of a piece of a text that is rewritten.
+PIECE = 4096
 
 _FOUND = "array<struct<start:int,kind:int,end:int,from:int,value:binary>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _scan(numbers: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """An array's running totals by ``join``, in doubling steps."""
+    steps = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda p: p < F.size(numbers))
+    return F.aggregate(steps, numbers, lambda done, p: F.transform(done, lambda x, i: F.when(i >= p, join(x, F.get(done, i - p))).otherwise(x)))
+
+
 def _matches(text: Column, kind: int) -> Column:
-    """(start, kind, end, from, value) of a pattern's matches in ``text``; ``from``
-    is where the value begins, which always ends with the match."""
+    """(start, kind, end, from, value) of all a pattern's matches in ``text``; ``from``
+    is where the value begins, which always ends with the match; the value, hashed, is
+    null where it is too short."""
     pattern, group, least = PATTERNS[kind]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.split(text, pattern, -1)
-    sizes = F.transform(F.arrays_zip(between.alias("b"), whole.alias("w"), value.alias("v")), lambda x: F.struct(F.length(x["b"]).alias("gap"), F.coalesce(F.length(x["w"]), F.lit(0)).alias("size"), F.coalesce(F.length(x["v"]), F.lit(0)).alias("own"), F.sha2(x["v"].cast("binary"), 256).alias("value")))
+    hashed = lambda v: F.when(F.length(v) >= least, F.unhex(F.sha2(v.cast("binary"), 256)))
+    sizes = F.transform(F.arrays_zip(between.alias("b"), whole.alias("w"), value.alias("v")), lambda x: F.struct((F.length(x["b"]) + F.coalesce(F.length(x["w"]), F.lit(0))).alias("both"), F.length(x["w"]).alias("size"), F.length(x["v"]).alias("own"), hashed(x["v"]).alias("value")))
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        end = start + x["size"]
-        found = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), (end - x["own"]).alias("from"), F.unhex(x["value"]).alias("value"))
-        return F.struct(end.alias("at"), F.when(x["own"] >= least, F.concat(done["found"], F.array(found))).otherwise(done["found"]).alias("found"))
+    def placed(s: Column, ends: Column) -> Column:
+        span = lambda x, i: F.struct((F.get(ends, i) - x["size"]).alias("start"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"), (F.get(ends, i) - x["own"]).alias("from"), x["value"].alias("value"))
+        return F.filter(F.transform(s, span), lambda x: x["start"].isNotNull())  # the stretch behind the last match has none
 
-    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found")), step)["found"]
+    return _let(sizes, lambda s: _let(_scan(F.transform(s, lambda x: x["both"]), lambda x, y: x + y), lambda ends: placed(s, ends)))
 
 
 def findings(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """(row, doc_id, owner, repository, found, text_hash) of every row of ``docs``;
-    found is sorted by start and kind, text_hash is null where it is empty."""
+    found has the kinds one after the other, text_hash is null where it is empty."""
     none = F.array().cast(_FOUND)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lower = docs.withColumn("lower", F.lower("text"))
@@ -75,29 +95,37 @@ def findings(docs: DataFrame, owner: str = "source", repository: str = "doc_id")
     for word in KEYWORDS:
         keyword = keyword | F.contains("lower", F.lit(word))
     marked = lower.select("doc_id", "owner", "repository", "text", keyword.alias("k0"), F.contains("text", F.lit("AKIA")).alias("k1"), F.col("text").rlike("[0-9a-f]{24}").alias("k2"))
-    found = F.array_sort(F.concat(*(F.when(F.col(f"k{i}"), _matches(F.col("text"), i)).otherwise(none) for i in range(len(PATTERNS)))))
+    found = F.concat(*(F.when(F.col(f"k{i}"), _matches(F.col("text"), i)).otherwise(none) for i in range(len(PATTERNS))))
     some = F.col("k0") | F.col("k1") | F.col("k2")
-    return marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", F.when(some, found).otherwise(none).alias("found"), F.when(some, F.sha2(F.col("text").cast("binary"), 256)).alias("text_hash"))
+    return marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", F.when(some, found).otherwise(none).cast(_FOUND).alias("found"), F.when(some, F.sha2(F.col("text").cast("binary"), 256)).alias("text_hash"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value, n_repositories, n_owners) of each candidate value of ``findings``."""
-    each = found.select("owner", "repository", F.explode("found").alias("f")).select(F.col("f.value").alias("value"), "owner", "repository")
-    by_owner = each.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("value", "owner").agg(F.count("one").alias("n"))
-    return by_owner.groupBy("value").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
+    """(value, findings, n_repositories, n_owners) of each candidate value of
+    ``findings``; a repository is one owner's."""
+    each = found.select("owner", "repository", F.explode("found").alias("f")).select(F.col("f.value").alias("value"), "owner", "repository").filter("value IS NOT NULL")
+    by_owner = each.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("rows")).groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+    return by_owner.groupBy("value").agg(F.sum("rows").alias("findings"), F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", shared_owners: int = SHARED_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:
     """(row, doc_id, base, all, text_hash): arrays of (start, kind, end), without and
     with the verdicts, for every row of ``docs``."""
     found = written(findings(docs, owner, repository), "secrets")
-    verdict = ownership(found).select("value", F.when(F.col("n_owners") >= shared_owners, F.lit(4)).otherwise(F.lit(3)).alias("verdict"))
-    verdict = verdict.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
-    each = found.filter(F.size("found") > 0).select("row", F.pmod("row", F.lit(SALT)).cast("int").alias("salt"), F.explode("found").alias("f"))
-    judged = each.select("row", "salt", F.col("f.value").alias("value"), F.col("f.from").alias("start"), F.col("f.end").alias("end")).join(verdict, ["value", "salt"])
-    judged = judged.groupBy("row").agg(F.collect_set(F.struct("start", F.col("verdict").alias("kind"), "end")).alias("more"))
-    base = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    return found.join(judged, "row", "left").select("row", "doc_id", base.alias("base"), F.array_sort(F.when(F.col("more").isNull(), base).otherwise(F.concat(base, "more"))).alias("all"), "text_hash")
+    copied = (F.col("n_owners") >= shared_owners) | (F.col("n_owners") > 1) & (F.col("n_repositories") >= shared_repositories)
+    verdicts = written(ownership(found).select("value", "findings", F.when(copied, F.lit(4)).otherwise(F.lit(3)).alias("verdict")), "secret-verdicts")
+    bound = max(1000, (verdicts.agg(F.sum("findings")).first()[0] or 0) // HOT_VALUES)
+    hot, rest = F.broadcast(verdicts.filter(F.col("findings") > bound).drop("findings")), verdicts.filter(F.col("findings") <= bound).drop("findings")
+    some = found.filter(F.size("found") > 0)
+    each = some.select("row", F.posexplode("found").alias("at", "f")).select("row", "at", F.col("f.value").alias("value"))
+    # one that is too short has no verdict, but its place
+    judged = each.join(hot, "value").union(each.join(hot, "value", "left_anti").join(rest, "value", "left"))
+    judged = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "verdict"))).alias("told"))
+    base = F.array_sort(F.transform(F.filter("found", lambda x: x["value"].isNotNull()), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    more = F.filter(F.transform("found", lambda x, i: F.struct(x["from"].alias("start"), F.get(F.col("told"), i)["verdict"].alias("kind"), x["end"].alias("end"))), lambda x: x["kind"].isNotNull())
+    once = _let(F.array_sort(more), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))))
+    spans = some.join(judged, "row").select("row", "doc_id", base.alias("base"), once.alias("more"), "text_hash").select("row", "doc_id", "base", F.array_sort(F.concat("base", "more")).alias("all"), "text_hash")
+    return found.filter(F.size("found") == 0).select("row", "doc_id", base.alias("base"), base.alias("all"), "text_hash").union(spans)
 
 
 def span_text(spans: Column) -> Column:
@@ -105,22 +133,35 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, owner: str = "source", mark: str = "[secret]", shared_owners: int = SHARED_OWNERS) -> DataFrame:
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``, of a text's pieces of ``PIECE`` characters."""
+    i, j = F.floor(start / F.lit(PIECE)).cast("int"), F.floor(end / F.lit(PIECE)).cast("int")
+    of = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    several = F.concat(F.substring(of(i), start - i * PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(of(j), F.lit(1), end - j * PIECE))
+    return F.when(i == j, F.substring(of(i), start - i * PIECE + 1, end - start)).otherwise(several)
+
+
+def redact(docs: DataFrame, owner: str = "source", mark: str = "[secret]", shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:
     """``docs`` with ``mark`` in the place of each owned value; all rows and columns
     stay.  Rows are known again by doc_id and the hash of their text."""
-    owned = F.filter("all", lambda x: x["kind"] == 3)
-    spans = scan(docs, owner, shared_owners=shared_owners).filter(F.size(owned) > 0).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), owned.alias("__owned")).dropDuplicates(["__doc", "__hash"])
+    owned = F.transform(F.filter("all", lambda x: x["kind"] == 3), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    spans = scan(docs, owner, shared_owners=shared_owners, shared_repositories=shared_repositories).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), owned.alias("__owned")).filter(F.size("__owned") > 0).dropDuplicates(["__doc", "__hash"])
     spans = written(spans, "secret-spans")
-    if spans.count() <= BROADCAST_ROWS:
+    sizes = spans.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("__owned")).alias("spans")).first()
+    if sizes.rows <= BROADCAST_ROWS and (sizes.spans or 0) <= BROADCAST_SPANS:
         spans = F.broadcast(spans)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("__hash"))
-    text = F.col("text")
+    text = F.col("text").cast("string")
 
-    def step(done: Column, x: Column) -> Column:
-        new = F.concat(done["out"], F.substring(text, done["at"] + 1, x["start"] - done["at"]), F.lit(mark))
-        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.when(x["start"] >= done["at"], new).otherwise(done["out"]).alias("out"))
+    def rewritten(own: Column, upto: Column, pieces: Column) -> Column:
+        """``upto``: the furthest end of the spans up to each one."""
+        before = lambda i: F.when(i > 0, F.get(upto, i - 1)).otherwise(F.lit(0))
+        parts = F.transform(own, lambda x, i: F.when(x["start"] >= before(i), F.concat(_between(pieces, before(i), x["start"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(parts, ""), _between(pieces, F.get(upto, F.size(own) - 1), F.length(text)))
 
-    clean = F.aggregate("__owned", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    ends = _scan(F.transform("__owned", lambda x: x["end"]), F.greatest)
+    clean = _let(pieces, lambda p: _let(ends, lambda e: rewritten(F.col("__owned"), e, p)))
     return docs.join(spans, same, "left").select(*(F.when(F.col("__owned").isNotNull(), clean).otherwise(text).alias("text") if c == "text" else docs[c] for c in docs.columns))
 
 
@@ -150,8 +191,9 @@ d1 AS (SELECT * FROM d WHERE contains(text, 'AKIA')),
 d2 AS (SELECT * FROM d WHERE regexp_matches(text, '[0-9a-f]{{24}}')),
 m AS ({parts}),
 f AS (SELECT row, doc_id, source, kind, CAST(f.start AS BIGINT) AS s, CAST(f.start AS BIGINT) + f.size AS e, f.value AS v FROM m WHERE length(f.value) >= CASE kind {least} END),
-o AS (SELECT v, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS n FROM f GROUP BY v),
-j AS (SELECT DISTINCT row, CASE WHEN o.n >= {SHARED_OWNERS} THEN 4 ELSE 3 END AS kind, e - length(f.v) AS s, e FROM f JOIN o ON f.v = o.v),
+r AS (SELECT DISTINCT v, source, doc_id FROM f),
+o AS (SELECT v, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS n, count(*) AS r FROM r GROUP BY v),
+j AS (SELECT DISTINCT row, CASE WHEN o.n >= {SHARED_OWNERS} OR o.n > 1 AND o.r >= {SHARED_REPOSITORIES} THEN 4 ELSE 3 END AS kind, e - length(f.v) AS s, e FROM f JOIN o ON f.v = o.v),
 n AS (SELECT row, kind, s, e, {'{'}'k': ['assign', 'access', 'hex', 'owned', 'shared'][kind + 1]{'}'} AS x FROM (SELECT row, kind, s, e FROM f UNION ALL SELECT row, kind, s, e FROM j)),
 t AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS c, count(*) FILTER (WHERE kind = 2) AS h,
   string_agg(x.k || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3) AS b, string_agg(x.k || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS p FROM n GROUP BY row)
