@@ -11,42 +11,51 @@ tables are reranked by their exact cosine.
 
 1. Equal vectors become one, with its ``k + 1`` least ids: no more of them can be
    among the nearest, because ties go to the smaller id.
-2. Every distinct vector goes to one bucket of each table, and buckets are dealt to
-   shards of about ``SHARD_ROWS`` rows; a query goes once to each shard that has
-   buckets to visit, with the list of them.
-3. A shard multiplies each bucket's vectors with those of the queries that visit
-   it and returns its k nearest for each query, so pairs never become rows.
+2. The index has every distinct vector once, with its bucket in each table, sorted by
+   the first of them.  Its rows are dealt out by files, so a bucket of any size has as
+   many tasks as it needs.
+3. Each query's estimates become a table of log probabilities by hash and cell, and
+   for each table the least estimate of a bucket that it visits.  Blocks of
+   ``QUERY_BLOCK`` queries (about 1 KB each) are broadcast, and one pass over the index
+   for each block finds, batch by batch, the buckets that a query visits, merges the
+   tables' candidates and keeps the k + 1 nearest so far: no vector is shuffled and no
+   pair becomes a row.  Queries that found fewer than k go on to all buckets.
 
 Nulls, empty and odd rows: vectors that are null, zero or hold null or non-finite
 components, rows with a null id, and vectors of another length than most have (ties
-to the greater length) take no part, as queries or candidates; repeated rows are
-one; a query's own id is no candidate; other columns are ignored; an empty table
-gives an empty result.
+to the greater length) take no part, as queries or candidates; very large or small
+components are scaled by powers of two first; repeated rows are one; a query's own id
+is no candidate; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import dropped, shared_dir, table, written
 
 K = 5
-TABLES, HASHES, WIDTH = 3, 5, 1.1
+TABLES, HASHES, WIDTH = 3, 10, 1.6
+#: Cells of a projection that are told apart; those beyond count as the last ones.
+CELLS = 3
 #: The distance of unit vectors that probing is planned for: a cosine of about 0.26.
 RADIUS = 1.22
 #: Estimated probability that a neighbour at that distance is in a visited bucket.
-SUCCESS = 0.985
-SHARD_ROWS = 16_384
+SUCCESS = 0.9995
 SEED = 20
-#: Cells of a projection that are told apart; those beyond count as the last ones.
-CELLS = 8
+#: Queries of one pass over the index.
+QUERY_BLOCK = 8192
+#: Queries and vectors that are multiplied at once.
+TILE_QUERIES, TILE_ROWS = 512, 2048
+#: Steps of a table's log probabilities in which its share is measured.
+STEPS = 4096
 
 _erf = np.vectorize(math.erf, otypes=[float])
 
@@ -57,41 +66,57 @@ def _hashes(dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _places(unit: np.ndarray) -> np.ndarray:
-    """Projections in cell widths, zero where the middle cell begins; by row, table
-    and hash."""
+    """Projections in cell widths, one where the middle cell of three begins; by row,
+    table and hash."""
     a, b = _hashes(unit.shape[1])
     return ((unit @ a.T + b) / WIDTH + CELLS // 2).reshape(len(unit), TABLES, HASHES)
 
 
 def buckets(unit: np.ndarray) -> np.ndarray:
-    """The bucket of each vector in each table, as a number."""
+    """The bucket of each vector in each table, as a number: the first hash has the
+    lowest digit."""
     cells = np.clip(np.floor(_places(unit)), 0, CELLS - 1).astype(np.int64)
-    return cells @ (CELLS ** np.arange(HASHES, dtype=np.int64)) + np.arange(TABLES) * CELLS**HASHES
+    return cells @ (CELLS ** np.arange(HASHES, dtype=np.int64))
 
 
-def probes(unit: np.ndarray) -> list[np.ndarray]:
-    """The buckets that each query visits."""
+def plans(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities by query, table, hash and cell, and by query and table the
+    least of a bucket that the query visits."""
     share = 1 - (1 - SUCCESS) ** (1 / TABLES)
     edges = np.arange(1, CELLS)
     below = 0.5 * (1 + _erf((edges - _places(unit)[..., None]) * WIDTH / (RADIUS * math.sqrt(2))))
     within = np.diff(np.concatenate([np.zeros((*below.shape[:3], 1)), below, np.ones((*below.shape[:3], 1))], axis=3), axis=3)
-    out = []
-    for query in within:
-        found = []
+    logs = np.log(np.maximum(within, 1e-30))
+    floors = np.zeros((len(unit), TABLES))
+    for i in range(len(unit)):
         for t in range(TABLES):
-            p = np.ones(1)
-            for k in range(HASHES):  # the first hash has the lowest digit
-                p = np.multiply.outer(query[t, k], p).ravel()
-            order = np.argsort(-p, kind="stable")
-            n = int(np.searchsorted(np.cumsum(p[order]), share)) + 1
-            found.append(order[:n] + t * CELLS**HASHES)
-        out.append(np.concatenate(found))
+            every = np.zeros(1)
+            for k in range(HASHES):
+                every = np.add.outer(logs[i, t, k], every).ravel()
+            top = float(every.max())
+            # mass by steps of the log probability below the most probable bucket's
+            step = np.minimum(((top - every) * (STEPS / 40)).astype(np.int64), STEPS - 1)
+            mass = np.cumsum(np.bincount(step, np.exp(every), STEPS))
+            last = min(int(np.searchsorted(mass, share)), STEPS - 1)
+            floors[i, t] = top - (last + 1) * (40 / STEPS) if last < STEPS - 1 else -np.inf
+    return logs, floors
+
+
+def visited(found: np.ndarray, logs: np.ndarray, floors: np.ndarray) -> np.ndarray:
+    """Whether each query visits a bucket of each row (rows x tables), in any table."""
+    out = np.zeros((len(logs), len(found)), bool)
+    for t in range(TABLES):
+        own, at = np.unique(found[:, t], return_inverse=True)
+        p = np.zeros((len(logs), len(own)))
+        for k in range(HASHES):
+            p += logs[:, t, k, own // CELLS**k % CELLS]
+        out |= (p >= floors[:, t, None])[:, at]
     return out
 
 
 def _valid(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, int]:
-    """(vec_id, v: the components packed as doubles) of the rows that take part, and
-    their length."""
+    """(vec_id, v: the components as doubles) of the rows that take part, and their
+    length."""
     v = F.col(embedding).cast("array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -105,14 +130,53 @@ def _matrix(packed) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.float64) for x in packed])
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest found of each row whose id is
-    divisible by ``every``."""
+def _scaled(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors scaled by powers of two so that their greatest component is about 1, and
+    their lengths."""
+    m = np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None])
+    return m, np.sqrt(np.einsum("ij,ij->i", m, m))
+
+
+class Nearest:
+    """The k + 1 nearest vectors so far of each of a block's queries, ties to those of
+    the least id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.found: list[list[tuple[float, list[int]]]] = [[] for _ in range(n)]
+
+    def add(self, first: int, scores: np.ndarray, ids: list[list[int]]) -> None:
+        """``scores`` of queries from ``first`` on and of vectors with ``ids``; those
+        that aren't candidates have -inf."""
+        who, what = np.nonzero((scores >= self.floor[first : first + len(scores), None]) & (scores > -np.inf))
+        for q, c, s in zip((who + first).tolist(), what.tolist(), scores[who, what].tolist(), strict=True):
+            self.found[q].append((-s, ids[c]))
+        for q in np.unique(who + first).tolist():
+            own = self.found[q]
+            if len(own) > self.k:
+                own.sort()  # by score, then by the least id
+                del own[self.k + 1 :]
+                if len(own) > self.k:
+                    self.floor[q] = -own[-1][0]
+
+    def rows(self, own: list[int]) -> Iterator[tuple[int, int, float]]:
+        """(query, id, score) of the k nearest ids other than the query's own."""
+        for query, found in zip(own, self.found, strict=True):
+            seen: dict[int, float] = {}
+            for s, i in sorted((s, i) for s, ids in found for i in ids if i != query):
+                if len(seen) < self.k:
+                    seen.setdefault(i, s)
+            for i, s in seen.items():
+                yield query, i, -s
+
+
+def search(vectors: DataFrame, every: int = 50, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score, candidates) of the k nearest found of each row
+    whose id is divisible by ``every``; candidates: how many vectors were reranked."""
     spark = vectors.sparkSession
     rows, dim = _valid(vectors, vec_id, embedding)
-    result = "query_id long, rank int, vec_id long, score double"
     if not dim:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, candidates long")
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,83 +191,91 @@ def search(vectors: DataFrame, every: int = 50, k: int = K, vec_id: str = "vec_i
                     del own[k + 1 :]
             yield pa.RecordBatch.from_pydict({"v": list(least), "ids": list(least.values())}, pa.schema([("v", pa.binary()), ("ids", pa.list_(pa.int64()))]))
 
-    ids = rows.mapInArrow(combine, "v binary, ids array<long>").select("v", F.explode("ids").alias("id")).distinct()
-    ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
-    distinct = written(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "vectors")
-    shards = max(1, -(-distinct.count() * TABLES // SHARD_ROWS))
-
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = _matrix(batch.column(0).to_pylist()) if batch.num_rows else np.zeros((0, dim))
-            found = buckets(m / np.linalg.norm(m, axis=1, keepdims=True))
-            for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array((found[:, t] * 0x9E3779B1 >> 7) % shards, pa.int64()), pa.array(found[:, t], pa.int64()), batch.column(0), batch.column(1)], names=["shard", "bucket", "v", "ids"])
+            if batch.num_rows:
+                m, n = _scaled(_matrix(batch.column(0).to_pylist()))
+                found = buckets(m / n[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array([x.tobytes() for x in found], pa.binary()), batch.column(0), batch.column(1)], names=["first", "buckets", "v", "ids"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int64()), ("query_id", pa.int64()), ("q", pa.binary()), ("visits", pa.binary())])
+        schema = pa.schema([("query_id", pa.int64()), ("q", pa.binary()), ("logs", pa.binary()), ("floors", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
-                m = flat.reshape(-1, dim)
-                for i, v, own in zip(part.column(0).to_pylist(), m, probes(m / np.linalg.norm(m, axis=1, keepdims=True)), strict=True):
-                    shard = (own * 0x9E3779B1 >> 7) % shards
-                    order = np.argsort(shard, kind="stable")
-                    own, shard = own[order], shard[order]
-                    cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-                    ends = np.append(cuts[1:], len(own))
-                    yield pa.RecordBatch.from_pydict({"shard": shard[cuts].tolist(), "query_id": [i] * len(cuts), "q": [v.tobytes()] * len(cuts), "visits": [own[a:b].astype(np.int32).tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]}, schema)
-
-    def meet(have: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if not len(have) or not len(asked):
-            return out
-        have = have.sort_values(["bucket", "v"], kind="stable")
-        m, q = _matrix(have["v"]), _matrix(asked["q"])
-        m_norm, q_norm = np.sqrt(np.einsum("ij,ij->i", m, m)), np.sqrt(np.einsum("ij,ij->i", q, q))
-        names, starts = np.unique(have["bucket"].to_numpy(), return_index=True)
-        ends = np.append(starts[1:], len(m))
-        visits = [np.frombuffer(x, np.int32) for x in asked["visits"]]
-        who, where = np.repeat(np.arange(len(q)), [len(x) for x in visits]), np.searchsorted(names, np.concatenate(visits))
-        fits = (where < len(names)) & (names[np.minimum(where, len(names) - 1)] == np.concatenate(visits))
-        order = np.lexsort((who[fits], where[fits]))
-        who, where = who[fits][order], where[fits][order]
-        own, ids = asked["query_id"].to_numpy(), have["ids"].tolist()
-        best: list[list] = [[] for _ in range(len(q))]
-        cuts = np.flatnonzero(np.diff(where, prepend=-1))
-        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(where)).tolist(), strict=True):
-            s, e = starts[where[a]], ends[where[a]]
-            for x in range(a, b, 1024):  # a block of queries against one of the bucket's rows
-                rows_ = who[x : min(b, x + 1024)]
-                for y in range(s, e, 4096):
-                    z = min(e, y + 4096)
-                    # a vector and itself give its own place; k others and itself at most count
-                    scores = (q[rows_] @ m[y:z].T) / (q_norm[rows_][:, None] * m_norm[y:z])
-                    n = min(k + 1, z - y)
-                    floor = np.partition(scores, -n, axis=1)[:, -n]
-                    i, j = np.nonzero(scores >= floor[:, None])
-                    for r, c, score in zip(rows_[i].tolist(), (j + y).tolist(), scores[i, j].tolist(), strict=True):
-                        best[r].append((-score, c))
-        found: list[tuple[int, int, float]] = []
-        for r, near in enumerate(best):
-            near = sorted({(s, i) for s, c in near for i in ids[c] if i != own[r]})
-            seen: dict[int, float] = {}
-            for s, i in near:  # tables may find one candidate twice, the last bits apart
-                if len(seen) < k:
-                    seen.setdefault(i, s)
-            near = [(s, i) for i, s in seen.items()]
-            found += [(int(own[r]), i, -s) for s, i in near]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                m, n = _scaled(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                logs, floors = plans(m / n[:, None])
+                yield pa.RecordBatch.from_pydict({"query_id": part.column(0).to_pylist(), "q": [x.tobytes() for x in m], "logs": [x.tobytes() for x in logs], "floors": [x.tobytes() for x in floors]}, schema)
 
-    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).mapInArrow(ask, "shard long, query_id long, q binary, visits binary")
-    near = distinct.mapInArrow(index, "shard long, bucket long, v binary, ids array<long>").groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    # tables find the same candidate again
-    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ids = rows.mapInArrow(combine, "v binary, ids array<long>").select("v", F.explode("ids").alias("id")).distinct()
+    ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
+    distinct = ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    indexed = distinct.mapInArrow(index, "first long, buckets binary, v binary, ids array<long>").repartitionByRange(parts, "first", F.xxhash64("v")).sortWithinPartitions("first")
+    indexed = written(indexed.select("buckets", "v", "ids"), "vectors")
+    asked = written(rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).mapInArrow(ask, "query_id long, q binary, logs binary, floors binary"), "vector-queries")
+
+    def one_pass(block: list, whole: bool = False) -> DataFrame:
+        """The results of a block of queries; with ``whole`` they visit all buckets."""
+        own = [r.query_id for r in block]
+        q = _matrix(r.q for r in block)
+        logs = np.stack([np.frombuffer(r.logs, np.float64).reshape(TABLES, HASHES, CELLS) for r in block])
+        floors = np.stack([np.frombuffer(r.floors, np.float64) for r in block])
+        shared = spark.sparkContext.broadcast((own, q, logs, np.full_like(floors, -np.inf) if whole else floors))
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, q, logs, floors = shared.value
+            near, count, lengths = Nearest(len(own), k), np.zeros(len(own), np.int64), np.sqrt(np.einsum("ij,ij->i", q, q))
+            for batch in batches:
+                for at in range(0, batch.num_rows, TILE_ROWS):
+                    part = batch.slice(at, TILE_ROWS)
+                    found = np.stack([np.frombuffer(x, np.int64) for x in part.column(0).to_pylist()])
+                    m, n = _scaled(_matrix(part.column(1).to_pylist()))
+                    names = part.column(2).to_pylist()
+                    for x in range(0, len(own), TILE_QUERIES):
+                        tile = slice(x, x + TILE_QUERIES)
+                        mask = visited(found, logs[tile], floors[tile])
+                        some = np.flatnonzero(mask.any(axis=0))
+                        count[tile] += mask.sum(axis=1)
+                        scores = np.where(mask[:, some], (q[tile] @ m[some].T) / (lengths[tile, None] * n[some]), -np.inf)
+                        near.add(x, scores, [names[i] for i in some.tolist()])
+            rows_ = list(near.rows(own))
+            rows_ += [(query, None, int(c)) for query, c in zip(own, count.tolist(), strict=True) if c]
+            yield pa.RecordBatch.from_pydict({"query_id": [r[0] for r in rows_], "vec_id": [r[1] for r in rows_], "score": [float(r[2]) for r in rows_]}, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+
+        near = written(indexed.mapInArrow(meet, "query_id long, vec_id long, score double"), "nearest-parts")
+        # rows without a vec_id have the candidates' numbers
+        counts = near.filter("vec_id IS NULL").groupBy("query_id").agg(F.sum("score").cast("long").alias("candidates"))
+        best = near.filter("vec_id IS NOT NULL").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+        return best.join(counts, "query_id").select("query_id", "rank", "vec_id", "score", "candidates")
+
+    path = f"{shared_dir(spark)}/quirelake-nearest-{uuid.uuid4().hex}"
+    schema = "query_id long, rank int, vec_id long, score double, candidates long"
+
+    def finish(block: list) -> None:
+        found = written(one_pass(block), "nearest-block")
+        full = {r.query_id for r in found.filter(F.col("rank") == k).select("query_id").collect()}  # of the block
+        short = [r for r in block if r.query_id not in full]
+        (found.filter(~F.col("query_id").isin([r.query_id for r in short])) if short else found).write.mode("append").parquet(path)
+        if short:  # too few were found, so they go on to all buckets
+            one_pass(short, True).write.mode("append").parquet(path)
+        dropped(found)
+
+    block: list = []
+    for row in asked.toLocalIterator():
+        block.append(row)
+        if len(block) == query_block:
+            finish(block)
+            block = []
+    if block:
+        finish(block)
+    else:  # no queries, or none left
+        spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    dropped(indexed, asked)
+    return spark.read.schema(schema).parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every fiftieth vector among all ``embeddings``."""
     return search(table(spark, sf_dir, "embeddings"))
-

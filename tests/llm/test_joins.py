@@ -103,7 +103,8 @@ def test_nearest(spark, sf_dir):
     scores[np.arange(len(asked)), asked] = -9
     best = np.argsort(-scores, axis=1, kind="stable")[:, :5]
     wanted = {(ids[a], ids[b]) for a, row in zip(asked, best, strict=True) for b in row}
-    found = ann_search.query(spark, sf_dir).toPandas()
+    found = ann_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), query_block=4).toPandas()
+    assert found.candidates.max() <= len(ids) and found.candidates.mean() < 0.8 * len(ids)
     assert len({(r.query_id, r.vec_id) for r in found.itertuples()} & wanted) >= 0.9 * len(wanted)
     at = {x: i for i, x in enumerate(ids)}
     for r in found.itertuples():
@@ -119,6 +120,30 @@ def test_nearest_odd_vectors(spark):
     assert found[:5] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 1.0), (0, 4, 4, 1.0), (0, 5, 50, 0.0)]
     assert [f[:3] for f in found[5:]] == [(50, k + 1, k) for k in range(5)]
     assert ann_search.search(df.limit(0)).count() == 0
+    huge = spark.createDataFrame([(50, [1e300, 2e300]), (1, [1e-300, 2e-300]), (2, [1.0, 2.0]), (3, [-1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, round(r.score, 9)) for r in ann_search.search(huge).orderBy("rank").collect()] == [(1, 1.0), (2, 1.0), (3, round(1 / 10**0.5, 9))]
+
+
+def test_visits_by_definition():
+    """A query's buckets in falling order of their estimate, up to the share."""
+    rng = np.random.default_rng(1)
+    unit = rng.normal(size=(300, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    logs, floors = ann_search.plans(unit[:5])
+    found = ann_search.buckets(unit)
+    mask = ann_search.visited(found, logs, floors)
+    share = 1 - (1 - ann_search.SUCCESS) ** (1 / ann_search.TABLES)
+    for i in range(5):
+        wanted = np.zeros(len(unit), bool)
+        for t in range(ann_search.TABLES):
+            codes = np.arange(ann_search.CELLS**ann_search.HASHES)
+            p = np.exp(sum(logs[i, t, k, codes // ann_search.CELLS**k % ann_search.CELLS] for k in range(ann_search.HASHES)))
+            order = np.argsort(-p, kind="stable")
+            n = int(np.searchsorted(np.cumsum(p[order]), share)) + 1
+            # the share is measured in steps, so a little more may be visited
+            assert n <= (p >= np.exp(floors[i, t])).sum() <= n * 1.1 + 5
+            wanted |= np.isin(found[:, t], order[:n])
+        assert mask[i][wanted].all() and mask[i].sum() <= wanted.sum() * 1.1 + 5
 
 
 def test_pipeline(spark, sf_dir):
