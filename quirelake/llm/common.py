@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -74,6 +76,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tu
             size += len(value)
         if texts:
             yield batch.slice(start, len(texts)), texts
+    free_memory()
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2 * SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -87,6 +90,14 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int
             stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most, side="right")))
             yield batch.slice(start, stop - start), column.slice(start, stop - start)
             start = stop
+    free_memory()
+
+
+def free_memory() -> None:
+    """Gives a Python worker's unused memory back, as it goes on to other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def record_batch(columns: dict[str, list | pa.Array], schema: pa.Schema) -> pa.RecordBatch:
