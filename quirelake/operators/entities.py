@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -50,6 +52,8 @@ def list_entities(graph: Graph, entity_type: str, query: str | None = None, limi
 def papers_for_entity(graph: Graph, entity_type: str, normalized_name: str, limit: int = 10, check: bool = False) -> DataFrame:
     """(arxiv_id, title, confidence) of papers that mention the entity, most confident
     first; with ``check`` an unknown entity is an error."""
+    if limit > 200:
+        raise GraphError("LIMIT_TOO_LARGE", "limit is at most 200")
     same = (F.col("entity_type") == check_type(entity_type)) & (F.col("normalized_name") == normalized_name)
     if check and graph.entities.filter(same).isEmpty():
         raise GraphError("ENTITY_NOT_FOUND", normalized_name)
@@ -84,15 +88,48 @@ def read_extractions(spark: SparkSession, path: str) -> DataFrame:
     """(seq, paper_id, name, entity_type, extraction_model, extracted_at) of every
     extracted entity in ``*.extracted.jsonl`` below ``path``, in order of file, line
     and place; repeated papers are all kept."""
-    rows = spark.read.schema(_PAPER).option("pathGlobFilter", "*.extracted.jsonl").json(path)
-    rows = rows.select(F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).alias("at"), "*")
+    return mentions_of(read_papers(spark, path))
+
+
+def read_papers(spark: SparkSession, path: str) -> DataFrame:
+    """(at, paper_id, entities, extraction_model, extracted_at): a row for each line of
+    what is named ``*.extracted.jsonl`` in the folder ``path``, files or folders of
+    files; ``at`` orders them by file and line."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.extracted.jsonl")
+    if not list(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []):
+        rows = spark.createDataFrame([], f"at struct<file: string, line: bigint>, {_PAPER}")
+        return rows
+    rows = spark.read.schema(_PAPER).json(f"{path}/*.extracted.jsonl")
+    return rows.select(F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).alias("at"), "*")
+
+
+_RESOLVED = "paper_id string, entity_type string, name string, normalized_name string, raw_name string, extraction_model string, extracted_at string"
+
+
+def read_resolved(spark: SparkSession, path: str) -> DataFrame:
+    """Resolved mentions of JSON lines, as ``merge_resolved`` takes them."""
+    rows = spark.read.schema(_RESOLVED).json(path)
+    return rows.select(F.col("paper_id").alias("arxiv_id"), "entity_type", "normalized_name", "name", "raw_name", F.lit(None).cast("double").alias("confidence"), "extraction_model", F.try_to_timestamp("extracted_at").alias("extracted_at"), F.monotonically_increasing_id().alias("seq"))
+
+
+def mentions_of(*parts: DataFrame) -> DataFrame:
+    """The mentions of papers' extractions, of all parts with all repeats: each has a
+    (file, line) ``at``, which with the place in the line becomes ``seq``."""
+    rows = reduce(DataFrame.unionByName, parts)
     each = rows.select("at", "paper_id", "extraction_model", "extracted_at", F.posexplode("entities").alias("place", "e"))
     return each.select(F.struct("at.file", "at.line", "place").alias("seq"), "paper_id", F.trim("e.name").alias("name"), F.col("e.type").alias("entity_type"), "extraction_model", "extracted_at")
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(arxiv_id, title, abstract) of input shards, without the extractor's own files."""
-    return spark.read.schema("arxiv_id string, title string, abstract string").option("pathGlobFilter", "shard_*[0-9].jsonl").json(path)
+    """(arxiv_id, title, abstract) of a shard file, or of a folder's shards: files or
+    folders of files, without the extractor's own."""
+    ddl = "arxiv_id string, title string, abstract string"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(where).isDirectory():
+        return spark.read.schema(ddl).json(path)
+    own = [str(s.getPath()) for s in fs.listStatus(where) if re.fullmatch(r"shard(_\d+\.jsonl|=\d+)", s.getPath().getName())]
+    return spark.read.schema(ddl).json(own) if own else spark.createDataFrame([], ddl)
 
 
 def needs_extraction(shards: DataFrame, extracted: DataFrame, key: str = "arxiv_id", seq: str = "seq") -> DataFrame:
@@ -146,33 +183,16 @@ def cluster(rows: DataFrame, group: str, order: list, key: str, vector: str = "v
     return rows.select(group, key, a.alias("__a"), b.alias("__b"), F.col(vector).alias("__v")).groupBy(group).applyInPandas(run, f"`{group}` {kind}, `{key}` {key_kind}, canonical {key_kind}")
 
 
-def resolve(mentions: DataFrame, encode: Callable, threshold: float = THRESHOLD, seq: str = "seq") -> DataFrame:
+def resolve(mentions: DataFrame, encode: Callable | DataFrame, threshold: float = THRESHOLD, seq: str = "seq") -> DataFrame:
     """``mentions`` (seq, paper_id, name, entity_type, ...) with their canonical names:
-    one row for each.  ``encode`` is a column function from names to vectors."""
+    one row for each.  ``encode`` is a column function from names to vectors, or a table
+    (name, vector) of stored ones, which must have all names."""
     names = name_counts(mentions, seq)
-    names = names.withColumn("vector", encode("name"))
+    names = names.join(encode, "name") if isinstance(encode, DataFrame) else names.withColumn("vector", encode("name"))
     found = cluster(names, "entity_type", [-F.col("n"), F.to_json(F.struct(F.col("first")))] if mentions.schema[seq].dataType.typeName() == "struct" else [-F.col("n"), F.col("first")], "name", "vector", threshold)
     return mentions.join(found, ["entity_type", "name"]).select("paper_id", "entity_type", F.col("canonical").alias("name"), T.normalize_entity("canonical").alias("normalized_name"), F.col("name").alias("raw_name"), "extraction_model", "extracted_at", seq)
 
 
-def extract(papers: DataFrame, client: Callable[[str, str], str], model: str) -> DataFrame:
-    """Extraction rows of ``papers`` (arxiv_id, title, abstract): ``client`` answers one
-    paper; whatever it can't do, or doesn't answer in JSON, gives no entities."""
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            answers = []
-            for title, abstract in zip(part["title"], part["abstract"], strict=True):
-                try:
-                    answers.append(client(title, abstract))
-                except Exception:  # noqa: BLE001  a model's failure is an empty answer
-                    answers.append("")
-            yield pd.DataFrame({"paper_id": part["arxiv_id"], "answer": answers})
-
-    told = papers.select("arxiv_id", "title", "abstract").mapInPandas(ask, "paper_id string, answer string")
-    return told.select("paper_id", T.parse_entities("answer").alias("entities"), F.lit(model).alias("extraction_model"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("extracted_at"))
-
-
 def batch_requests(papers: DataFrame, model: str, max_tokens: int = 512) -> DataFrame:
     """(value): a JSON request for each paper, for a batch service."""
     prompt = T.user_prompt("title", "abstract", T.candidate_phrases("abstract"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import subprocess
 import time
-from collections.abc import Callable, Sequence
+import warnings
+from collections.abc import Callable, Iterable, Sequence
 from datetime import datetime, timezone
 
 import numpy as np
@@ -13,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import percentile
-from ..schema import Graph
+from ..functions.vectors import Encoder, percentile
+from ..schema import ENTITY_TYPES, Graph
+from ..scratch import written
 
 CUTS = (1, 5, 10)
 
@@ -88,7 +90,8 @@ def ranks_of(cases: DataFrame, ranked: str = "ranked_ids", expected: str = "expe
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
-    """(query_id, key, score, rank) of the k nearest vectors of each query, exactly.
+    """(query_id, key, score, rank) of the k nearest vectors of each query, exactly, by
+    cosine, as ``vector_search`` has it; a zero vector is as near as an orthogonal one.
 
     Queries (query_id, vector) and vectors (key, vector) meet in blocks, each a
     matrix product in one task that returns its k best; pairs never become rows.
@@ -99,12 +102,16 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 20
     v = vectors.select(F.col("key").cast("long"), F.col("vector").alias("v"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     q = q.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
+    def unit(column) -> np.ndarray:
+        m = np.stack(column).astype(np.float64)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "key": [], "score": []})
         b = b.sort_values("key")
         keys = b["key"].to_numpy()
-        scores = np.stack(a["q"]).astype(np.float64) @ np.stack(b["v"]).astype(np.float64).T
+        scores = unit(a["q"]) @ unit(b["v"]).T
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), top.shape[1]), "key": keys[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
 
@@ -126,13 +133,16 @@ def expansion(graph: Graph, cases: DataFrame, limit: int = 5, pool_size: int = 2
     edges = graph.authored.join(graph.authors.select("author_id", "display_name"), "author_id").select("arxiv_id", "author_id", "display_name")
     codes = graph.in_category.filter("primary").select("arxiv_id", "code")
 
-    def pool(own: DataFrame, on: str, name: str, label: str) -> DataFrame:
+    def pool(own: DataFrame, on: str, name: str, label: str, others: DataFrame | None = None) -> DataFrame:
         mine = own.select(F.col("arxiv_id").alias("seed_id"), on).join(seeds, "seed_id", "left_semi").distinct()
-        shared = mine.join(own, on).filter(F.col("arxiv_id") != F.col("seed_id")).groupBy("seed_id", "arxiv_id").agg(F.countDistinct(name).alias(label))
+        shared = mine.join(own if others is None else others, on).filter(F.col("arxiv_id") != F.col("seed_id")).groupBy("seed_id", "arxiv_id").agg(F.countDistinct(name).alias(label))
         place = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc(label), "arxiv_id"))
         return shared.withColumn(f"{label}_place", place).filter(F.col(f"{label}_place") <= pool_size)
 
-    both = pool(edges, "author_id", "display_name", "authors").join(pool(codes, "code", "code", "codes"), ["seed_id", "arxiv_id"], "full_outer")
+    # a paper has one primary code, so all of a code's papers tie and the least ids count:
+    # one more than a pool has, because a seed isn't in its own
+    first = codes.withColumn("at", F.row_number().over(Window.partitionBy("code").orderBy("arxiv_id"))).filter(F.col("at") <= pool_size + 1).select("arxiv_id", "code")
+    both = pool(edges, "author_id", "display_name", "authors").join(pool(codes, "code", "code", "codes", first), ["seed_id", "arxiv_id"], "full_outer")
     both = both.select("seed_id", "arxiv_id", F.coalesce("authors", F.lit(0)).alias("authors"), F.coalesce("codes", F.lit(0)).alias("codes"), F.coalesce("authors_place", F.col("codes_place") + pool_size).alias("place"))
     order = [F.desc("authors"), F.desc("codes"), F.col("place")]
     if weighted:
@@ -174,26 +184,93 @@ def resolution_score(entities: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def percentiles(values: DataFrame, column: str, group: str | None = None, shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:
     """(group, n, mean, p50 ...): the value at place min(n - 1, floor(n p)), not
-    interpolated, by rank and without gathering a group into one row."""
+    interpolated.
+
+    Distinct values with their counts are written in sorted ranges; the ranges' sums
+    tell which one has a place, and only that one is gone through value by value.  So
+    no group, however large, is one task.
+    """
     keys = [group] if group else []
-    own = values.filter(F.col(column).isNotNull())
-    counts = own.groupBy(*keys, F.col(column).alias("v")).count()
-    place = F.sum("count").over(Window.partitionBy(*keys).orderBy("v"))
-    total = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"))
-    upto = counts.withColumn("upto", place)
-    joined = upto.join(total, keys) if keys else upto.crossJoin(total)
-    at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p))
-    return joined.groupBy(*keys, "n", "mean").agg(*(F.min(F.when(F.col("upto") > at(p), F.col("v"))).alias(f"p{round(p * 100)}") for p in shares))
+    own = values.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("v"))
+    counts = own.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("count"))
+    ranged = written(counts.repartitionByRange(*keys, "v").sortWithinPartitions(*keys, "v").withColumn("part", F.spark_partition_id()), "values")
+    sums = ranged.groupBy(*keys, "part").agg(F.sum("count").alias("held"))  # a row for each group in each range
+    upto = F.sum("held").over(Window.partitionBy(*keys).orderBy("part"))
+    total = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+    joined = sums.withColumn("upto", upto).join(F.broadcast(total), keys) if keys else sums.withColumn("upto", upto).crossJoin(F.broadcast(total))
+    places = F.array(*(F.struct(F.lit(f"p{round(p * 100)}").alias("name"), F.least(F.col("n") - 1, F.floor(F.col("n") * p)).alias("at")) for p in shares))
+    wanted = joined.withColumn("x", F.explode(places)).filter((F.col("x.at") < F.col("upto")) & (F.col("x.at") >= F.col("upto") - F.col("held"))).select(*keys, "part", "n", "mean", "x.name", (F.col("x.at") - F.col("upto") + F.col("held")).alias("at"))
+    within = F.sum("count").over(Window.partitionBy(*keys, "part").orderBy("v"))
+    found = ranged.join(F.broadcast(wanted.select(*keys, "part").distinct()), [*keys, "part"], "left_semi").withColumn("within", within)
+    found = found.join(F.broadcast(wanted), [*keys, "part"]).filter(F.col("within") > F.col("at"))
+    return found.groupBy(*keys, "n", "mean").agg(*(F.min(F.when(F.col("name") == f"p{round(p * 100)}", F.col("v"))).alias(f"p{round(p * 100)}") for p in shares))
 
 
 def latency(run: Callable[[], object], times: int = 20) -> dict[str, float]:
     """Milliseconds of calls: p50, p95 and mean, to two places."""
+    return latencies(lambda _: run(), range(times))
+
+
+def latencies(run: Callable[[object], object], inputs: Iterable) -> dict[str, float]:
+    """``latency`` of one call for each input, with their number, n."""
     taken = []
-    for _ in range(times):
+    for x in inputs:
         start = time.perf_counter()
-        run()
+        run(x)
         taken.append((time.perf_counter() - start) * 1000)
-    return {"p50": round(percentile(taken, 0.5), 2), "p95": round(percentile(taken, 0.95), 2), "mean": round(sum(taken) / len(taken), 2)}
+    if not taken:
+        return {"n": 0, "p50": 0.0, "p95": 0.0, "mean": 0.0}
+    return {"n": len(taken), "p50": round(percentile(taken, 0.5), 2), "p95": round(percentile(taken, 0.95), 2), "mean": round(sum(taken) / len(taken), 2)}
+
+
+def sample_embedded(graph: Graph, n: int, name: str = "embedding") -> DataFrame:
+    """(arxiv_id): the ``n`` first papers by id that have an embedding."""
+    own = graph.embeddings.filter((F.col("property") == name) & F.col("vector").isNotNull()).select("arxiv_id")
+    return graph.papers.select("arxiv_id").join(own, "arxiv_id", "left_semi").orderBy("arxiv_id").limit(n)
+
+
+def workload(graph: Graph, encoder: Encoder, queries: Sequence[str], top_k: int = 10, seeds: int = 10) -> dict[str, dict[str, float]]:
+    """``latencies`` of vector search, full-text search and expansion: each query, and
+    each of ``seeds`` embedded papers, once, to the whole answer."""
+    from . import expand, fulltext, search
+
+    plain = lambda q: " ".join(fulltext.plain_words(q)) or "a"
+    papers = [r.arxiv_id for r in sample_embedded(graph, seeds).collect()]
+    return {
+        "vector_search": latencies(lambda q: search.text_vector_search(graph, encoder, q, top_k).collect(), queries),
+        "fulltext_search": latencies(lambda q: fulltext.search(graph.papers, plain(q), limit=top_k).collect(), queries),
+        "graph_expand": latencies(lambda p: [x.collect() for x in expand.expand(graph, [p])], papers),
+    }
+
+
+_EVAL = "query string, expected_paper_id string, source string"
+
+
+def read_eval(spark: SparkSession, *paths: str) -> DataFrame:
+    """(query, expected_paper_id, source) of JSON-lines files, blank lines left out,
+    all rows of all files; a file that isn't there is left out with a warning."""
+    out = spark.createDataFrame([], _EVAL)
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            out = out.unionByName(spark.read.schema(_EVAL).json(path))
+        else:
+            warnings.warn(f"no such file, left out: {path}", stacklevel=2)
+    return out
+
+
+def write_eval(queries: DataFrame, path: str) -> None:
+    """Evaluation queries as JSON lines."""
+    queries.select("query", "expected_paper_id", "source").write.mode("overwrite").json(path)
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(entity_type, tp, fp, fn) of a ground truth's JSON lines: a list of the three
+    numbers by type; lines are kept apart, fields of other names ignored."""
+    rows = spark.read.schema(", ".join(f"{t} array<int>" for t in ENTITY_TYPES)).json(path)
+    each = F.array(*(F.struct(F.lit(t).alias("entity_type"), F.col(t).alias("n")) for t in ENTITY_TYPES))
+    own = rows.select(F.explode(each).alias("x")).filter("x.n IS NOT NULL")
+    return own.select("x.entity_type", *(F.get("x.n", F.lit(i)).cast("long").alias(c) for i, c in enumerate(("tp", "fp", "fn"))))
 
 
 def append_result(path: str, record: dict) -> dict:

@@ -57,13 +57,13 @@ def related_by_entity(graph: Graph, seeds: Sequence, entity_type: str, pool_size
     return _pool(own.filter(~F.col("arxiv_id").isin(seeds)).join(shared, "normalized_name", "left_semi"), "normalized_name", pool_size)
 
 
-def hops(graph: Graph, seeds: Sequence, depth: int = 2, fan: int = 1000) -> DataFrame:
-    """An extension: (arxiv_id, hop) of papers within ``depth`` shared authors of the
-    seeds; ``fan`` papers at most go on from each hop, by id."""
+def hops(graph: Graph, seeds: Sequence, depth: int = 2) -> DataFrame:
+    """An extension: (arxiv_id, hop) of all papers within ``depth`` shared authors of the
+    seeds."""
     seen = graph.papers.filter(F.col("arxiv_id").isin(list(seeds))).select("arxiv_id", F.lit(0).alias("hop"))
     edges = graph.authored.select("author_id", "arxiv_id").distinct()
     for hop in range(1, depth + 1):
-        front = seen.filter(F.col("hop") == hop - 1).orderBy("arxiv_id").limit(fan).select("arxiv_id")
+        front = seen.filter(F.col("hop") == hop - 1).select("arxiv_id")
         authors = edges.join(front, "arxiv_id", "left_semi").select("author_id").distinct()
         more = edges.join(authors, "author_id", "left_semi").select("arxiv_id").distinct().join(seen, "arxiv_id", "left_anti")
         seen = seen.unionByName(more.select("arxiv_id", F.lit(hop).alias("hop")))

@@ -8,14 +8,17 @@ Queries know ``term``, ``+term``, ``-term``, ``"a phrase"``, ``field:term``,
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import GraphError
+
 K1, B = 1.2, 0.75
 _TOKEN = r"([\p{L}\p{N}]+)"
 
@@ -89,9 +92,13 @@ def parse(query: str) -> list[Clause]:
     return clauses
 
 
+def plain_words(text: str) -> list[str]:
+    """The tokens of a text, as a query's are found."""
+    return _words(text)
+
+
 def postings(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """(key, field, length, term, tf, places): the index.  Written, partitioned by the
-    term's hash or sorted by term, look-ups read the terms' row groups alone."""
+    """(key, field, length, term, tf, places): the index."""
     rows = [docs.select(key, F.lit(f).alias("field"), tokens(f).alias("t")) for f in fields]
     each = reduce(DataFrame.unionByName, rows).select(key, "field", F.size("t").alias("length"), F.posexplode("t").alias("place", "term"))
     return each.groupBy(key, "field", "length", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
@@ -103,19 +110,63 @@ def lengths(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
     return sizes.select("n", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("mean")) for f in fields))).alias("x")).select("x.field", "n", "x.mean")
 
 
-def search(docs: DataFrame, query: str, fields: Sequence[str] = ("title", "abstract"), key: str = "arxiv_id", limit: int | None = 10) -> DataFrame:
-    """(key, score) of the best matches, ties by key; of all, in no order, without a
-    limit.
+def write_index(docs: DataFrame, path: str, key: str = "arxiv_id", fields: Sequence[str] = ("title", "abstract")) -> None:
+    """Writes the index below ``path``: postings in ranges of terms, sorted by term, so
+    that a look-up reads the terms' row groups alone, and the fields' lengths.  A
+    frequent term has several ranges."""
+    postings(docs, key, fields).repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
+    lengths(docs, fields).coalesce(1).write.mode("overwrite").parquet(f"{path}/lengths")
 
-    One pass over the texts counts the query's terms in place, so nothing is
-    exploded; the corpus's numbers are a one-row aggregate of the same pass.
-    """
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The postings and lengths that ``write_index`` wrote."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+
+
+def _checked(query: str, fields: Sequence[str], limit: int | None) -> list[Clause]:
+    if limit is not None and limit > 100:
+        raise GraphError("LIMIT_TOO_LARGE", "limit is at most 100")
     clauses = parse(query)
-    if not clauses:
-        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     for c in clauses:
         if c.field and c.field not in fields:
             raise ValueError(f"unknown field {c.field}")
+    return clauses
+
+
+def _scored(clauses: list[Clause], fields: Sequence[str], tf: Callable[[int, str], Column], idf: Callable[[str, str], Column], relative: Callable[[str], Column]) -> tuple[Column, Column]:
+    """The score of a row and whether it matches.  ``tf``: how often a clause is in a
+    field; ``relative``: a field's length by its mean."""
+    score, musts, nots, shoulds = F.lit(0.0), [], [], []
+    for i, c in enumerate(clauses):
+        own = [(f, tf(i, f)) for f in fields if c.field in (None, f)]
+        hit = reduce(Column.__or__, (n > 0 for _, n in own))
+        {"+": musts, "-": nots, " ": shoulds}[c.occur].append(hit)
+        if c.occur == "-":
+            continue
+        for f, n in own:
+            if c.prefix:
+                score = score + n.cast("double")
+                continue
+            weight = reduce(Column.__add__, (idf(w, f) for w in c.words))
+            score = score + F.when(n > 0, weight * n * (K1 + 1) / (n + K1 * (1 - B + B * relative(f)))).otherwise(0.0)
+    wanted = musts if musts else [reduce(Column.__or__, shoulds)]
+    return score, reduce(Column.__and__, [*wanted, *(~x for x in nots)])
+
+
+def _best(scored: DataFrame, key: str, limit: int | None) -> DataFrame:
+    return scored if limit is None else scored.orderBy(F.desc("score"), key).limit(limit)
+
+
+def search(docs: DataFrame, query: str, fields: Sequence[str] = ("title", "abstract"), key: str = "arxiv_id", limit: int | None = 10) -> DataFrame:
+    """(key, score) of the best matches, 100 at most, ties by key; of all, in no order,
+    without a limit.
+
+    Without an index: one pass over the texts counts the query's terms in place, so
+    nothing is exploded; the corpus's numbers are a one-row aggregate of a like pass.
+    """
+    clauses = _checked(query, fields, limit)
+    if not clauses:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     counted = docs.select(key, *(tokens(f).alias(f) for f in fields))
 
     def tf(c: Clause, f: str) -> Column:
@@ -127,51 +178,45 @@ def search(docs: DataFrame, query: str, fields: Sequence[str] = ("title", "abstr
         # tokens hold letters and digits alone, so they are their own pattern
         return F.regexp_count(F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")), F.lit(f"(?<= ){c.words[0]}(?= {' '.join(c.words[1:])} )"))
 
-    parts = [(i, c, f, f"tf_{i}_{f}") for i, c in enumerate(clauses) for f in fields if c.field in (None, f)]
-    words = sorted({(w, f) for _, c, f, _ in parts if not c.prefix for w in c.words})
-    rows = counted.select(key, *(F.size(f).alias(f"len_{f}") for f in fields), *(tf(c, f).alias(name) for _, c, f, name in parts), *(F.array_contains(F.col(f), w).alias(f"has_{k}") for k, (w, f) in enumerate(words)))
+    parts = [(i, c, f) for i, c in enumerate(clauses) for f in fields if c.field in (None, f)]
+    words = sorted({(w, f) for _, c, f in parts if not c.prefix for w in c.words})
+    rows = counted.select(key, *(F.size(f).alias(f"len_{f}") for f in fields), *(tf(c, f).alias(f"tf_{i}_{f}") for i, c, f in parts), *(F.array_contains(F.col(f), w).alias(f"has_{k}") for k, (w, f) in enumerate(words)))
     numbers = rows.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"len_{f}").alias(f"mean_{f}") for f in fields), *(F.count_if(f"has_{k}").alias(f"df_{k}") for k in range(len(words))))
 
     def idf(w: str, f: str) -> Column:
         df = F.col(f"df_{words.index((w, f))}")
         return F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
 
-    score, musts, nots, shoulds = F.lit(0.0), [], [], []
-    for i, c in enumerate(clauses):
-        own = [(f, name) for j, _, f, name in parts if j == i]
-        hit = reduce(Column.__or__, (F.col(name) > 0 for _, name in own))
-        {"+": musts, "-": nots, " ": shoulds}[c.occur].append(hit)
-        if c.occur == "-":
-            continue
-        for f, name in own:
-            if c.prefix:
-                score = score + F.col(name).cast("double")
-                continue
-            weight = reduce(Column.__add__, (idf(w, f) for w in c.words))
-            score = score + weight * F.col(name) * (K1 + 1) / (F.col(name) + K1 * (1 - B + B * F.col(f"len_{f}") / F.col(f"mean_{f}")))
-    wanted = musts if musts else [reduce(Column.__or__, shoulds)]
-    matched = reduce(Column.__and__, [*wanted, *(~x for x in nots)])
-    scored = rows.filter(matched).crossJoin(F.broadcast(numbers)).select(key, score.alias("score"))
-    return scored if limit is None else scored.orderBy(F.desc("score"), key).limit(limit)
+    score, matched = _scored(clauses, fields, lambda i, f: F.col(f"tf_{i}_{f}"), idf, lambda f: F.col(f"len_{f}") / F.col(f"mean_{f}"))
+    return _best(rows.filter(matched).crossJoin(F.broadcast(numbers)).select(key, score.alias("score")), key, limit)
 
 
-def search_index(index: DataFrame, sizes: DataFrame, query: str, key: str = "arxiv_id", limit: int = 10) -> DataFrame:
-    """``search`` for queries of plain terms, over ``postings`` and ``lengths`` that
-    were written: only the terms' postings are read."""
-    clauses = parse(query)
-    if any(len(c.words) > 1 or c.prefix or c.field for c in clauses):
-        raise ValueError("an index look-up takes single terms")
-    words = sorted({c.words[0] for c in clauses})
-    own = index.filter(F.col("term").isin(words)).join(F.broadcast(sizes), "field")
-    df = own.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    own = own.join(F.broadcast(df), ["field", "term"])  # a few words in a few fields
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    has = {w: F.max(F.col("term") == w).alias(f"has_{k}") for k, w in enumerate(words)}
-    kinds = {c.words[0]: c.occur for c in clauses}
-    scored = own.groupBy(key).agg(F.sum(F.when(F.col("term").isin([w for w, k in kinds.items() if k != "-"]), part)).alias("score"), *has.values())
-    for k, w in enumerate(words):
-        if kinds[w] == "+":
-            scored = scored.filter(f"has_{k}")
-        elif kinds[w] == "-":
-            scored = scored.filter(f"NOT has_{k}")
-    return scored.filter("score IS NOT NULL").select(key, "score").orderBy(F.desc("score"), key).limit(limit)
+def search_index(index: DataFrame, sizes: DataFrame, query: str, key: str = "arxiv_id", limit: int | None = 10) -> DataFrame:
+    """``search`` over ``postings`` and ``lengths`` that were written: only the postings
+    of the query's terms and prefixes are read."""
+    means = {r.field: (r.n, r.mean) for r in sizes.collect()}  # a row for each field
+    clauses = _checked(query, list(means), limit)
+    if not clauses:
+        return index.select(key, F.lit(0.0).alias("score")).limit(0)
+    words = sorted({w for c in clauses if not c.prefix for w in c.words})
+    starts = sorted({c.words[0] for c in clauses if c.prefix})
+    term = F.col("term")
+    own = index.filter(reduce(Column.__or__, [term.isin(words), *(term.startswith(p) for p in starts)]))
+    df = {(r.term, r.field): r.n for r in own.filter(term.isin(words)).groupBy("term", "field").agg(F.count(F.lit(1)).alias("n")).collect()}  # the query's words by field
+    in_ = lambda f, test: (F.col("field") == f) & test
+    columns = [F.max(F.when(F.col("field") == f, F.col("length"))).alias(f"len_{f}") for f in means]
+    columns += [F.first(F.when(in_(f, term == w), F.col("places")), True).alias(f"at_{k}_{f}") for k, w in enumerate(words) for f in means]
+    columns += [F.max(F.when(in_(f, term.startswith(p)), 1)).alias(f"pre_{k}_{f}") for k, p in enumerate(starts) for f in means]
+
+    def tf(i: int, f: str) -> Column:
+        c = clauses[i]
+        if c.prefix:
+            return F.coalesce(F.col(f"pre_{starts.index(c.words[0])}_{f}"), F.lit(0))
+        # the places where all words of a phrase stand one behind the other
+        back = lambda places, k: F.transform(places, lambda p: p - k)
+        moved = [back(F.col(f"at_{words.index(w)}_{f}"), k) for k, w in enumerate(c.words)]
+        return F.coalesce(F.size(reduce(F.array_intersect, moved)), F.lit(0))
+
+    idf = lambda w, f: F.lit(math.log(1 + (means[f][0] - df.get((w, f), 0) + 0.5) / (df.get((w, f), 0) + 0.5)))
+    score, matched = _scored(clauses, list(means), tf, idf, lambda f: F.col(f"len_{f}") / F.lit(float(means[f][1] or 1)))
+    return _best(own.groupBy(key).agg(*columns).filter(matched).select(key, score.alias("score")), key, limit)

@@ -15,6 +15,8 @@ from ..operators import expand as X
 from ..operators import fulltext as FT
 from ..operators import search as S
 from ..operators import stats as ST
+from ..schema import RAW, Graph
+from ..scratch import new_path
 from ..sources import metadata as M
 from .graph_view import graph, mention_rows, table
 
@@ -210,10 +212,28 @@ def fulltext_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FT.search(table(spark, sf_dir, "documents"), "license version apache", ["text"], "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
+def _stored_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    path = new_path(spark, "index")
+    FT.write_index(table(spark, sf_dir, "documents"), path, "doc_id", ["text"])
+    return FT.read_index(spark, path)
+
+
 @query("fulltext_index", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 10")
 def fulltext_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return FT.search_index(FT.postings(docs, "doc_id", ["text"]), FT.lengths(docs, ["text"]), "license version apache", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return FT.search_index(*_stored_index(spark, sf_dir), "license version apache", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+_PHRASE = r"""WITH t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS w FROM documents)
+"""
+
+
+@query("fulltext_index_phrase", _PHRASE + "SELECT doc_id FROM t WHERE (contains(w, ' apache license ') OR contains(w, ' anth')) AND contains(w, ' the ') AND NOT contains(w, ' gnu ')")
+def fulltext_index_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase or a prefix, a word that must and one that mustn't be there, over the
+    stored index: two searches, as the words' own OR doesn't bind beside a must."""
+    index = _stored_index(spark, sf_dir)
+    found = [FT.search_index(*index, q, "doc_id", None).select("doc_id") for q in ('+"apache license" +the -gnu', "+anth* +the -gnu")]
+    return found[0].union(found[1]).distinct()
 
 
 @query("fulltext_phrase", r"""WITH t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS w FROM documents)
@@ -235,7 +255,7 @@ def self_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "retrieval_metrics",
     """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), x AS (SELECT label, min(vec_id) AS first FROM e GROUP BY label),
-s AS (SELECT a.vec_id AS q, a.label, b.vec_id AS k, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS r FROM e a CROSS JOIN e b QUALIFY r <= 10),
+s AS (SELECT a.vec_id AS q, a.label, b.vec_id AS k, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id) AS r FROM e a CROSS JOIN e b QUALIFY r <= 10),
 h AS (SELECT e.vec_id, CAST(e.label AS VARCHAR) AS source, (SELECT min(r) FROM s WHERE s.q = e.vec_id AND s.k = x.first) AS r FROM e JOIN x ON x.label = e.label)
 SELECT source, count(*) AS count, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_at_10
 FROM h GROUP BY GROUPING SETS ((source), ())""",
@@ -266,7 +286,26 @@ def expansion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.expansion(g, cases, weighted=False).filter("source IS NULL").select("count", *(F.round(c, 6).alias(c) for c in ("mrr", "recall_at_1", "recall_at_5")))
 
 
-@query("expansion_metrics_whole", None)
+@query(
+    "expansion_metrics_whole",
+    f"""WITH {_AUTHORED}, v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+da AS (SELECT DISTINCT a, p FROM authored WHERE p IN (SELECT vec_id FROM v)), ra AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY p) AS i FROM da),
+ca AS (SELECT x.p AS s, y.p AS e, 'shared_author' AS source FROM ra x JOIN ra y ON x.a = y.a AND x.i = 1 AND y.i = 2 ORDER BY x.a LIMIT 500),
+rc AS (SELECT o_orderpriority AS a, o_orderkey AS p, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS i FROM orders WHERE o_orderkey IN (SELECT vec_id FROM v)),
+cc AS (SELECT x.p AS s, y.p AS e, 'shared_category' AS source FROM rc x JOIN rc y ON x.a = y.a AND x.i = 1 AND y.i = 2 ORDER BY x.a LIMIT 500),
+c AS (SELECT * FROM ca UNION ALL SELECT * FROM cc), sd AS (SELECT DISTINCT s FROM c),
+fa AS (SELECT sd.s, b.p, count(DISTINCT b.n) AS na FROM sd JOIN authored a ON a.p = sd.s JOIN authored b ON b.a = a.a AND b.p <> sd.s GROUP BY sd.s, b.p),
+pa AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY na DESC, p) AS r FROM fa QUALIFY r <= 20),
+fo AS (SELECT o_orderpriority AS a, o_orderkey AS p FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) <= 21),
+fc AS (SELECT sd.s, fo.p FROM sd JOIN orders o ON o.o_orderkey = sd.s JOIN fo ON fo.a = o.o_orderpriority AND fo.p <> sd.s),
+pc AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p) AS r FROM fc QUALIFY r <= 20),
+g AS (SELECT coalesce(pa.s, pc.s) AS s, coalesce(pa.p, pc.p) AS p, coalesce(na, 0) AS na, CASE WHEN pc.p IS NULL THEN 0 ELSE 1 END AS nc, coalesce(pa.r, pc.r + 20) AS r FROM pa FULL JOIN pc ON pa.s = pc.s AND pa.p = pc.p),
+w AS (SELECT g.*, coalesce(list_dot_product(x.e, y.e), 0) + CAST(0.1 AS DOUBLE) * na + CAST(0.05 AS DOUBLE) * nc AS score FROM g LEFT JOIN v x ON x.vec_id = g.p LEFT JOIN v y ON y.vec_id = g.s),
+k AS (SELECT s, p, row_number() OVER (PARTITION BY s ORDER BY score DESC, r) AS rk FROM w QUALIFY rk <= 10),
+h AS (SELECT c.source, k.rk FROM c LEFT JOIN k ON k.s = c.s AND k.p = c.e)
+SELECT source, count(*) AS count, round(avg(coalesce(1.0 / rk, 0)), 6) AS mrr, round(avg(CASE WHEN rk <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN rk <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5, round(avg(CASE WHEN rk <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_at_10
+FROM h GROUP BY GROUPING SETS ((source), ())""",
+)
 def expansion_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole expansion evaluation: 500 cases of either source, by similarity and
     shared values, to place 10; ``expansion_metrics`` is a part of it that SQL gives."""
@@ -320,10 +359,14 @@ def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.merge_resolved(graph(spark, sf_dir), mention_rows(spark, sf_dir))[1]
 
 
-@query("paper_upsert", "SELECT o_custkey AS arxiv_id, arg_max(o_orderpriority, o_orderkey) AS title, max(o_orderkey) AS seq FROM orders GROUP BY 1")
+@query("paper_upsert", """SELECT CAST(o_custkey AS VARCHAR) AS arxiv_id, coalesce(arg_max(o_orderpriority, o_orderkey) FILTER (WHERE o_orderkey % 2 = 0), arg_max(o_orderpriority, o_orderkey) FILTER (WHERE o_orderkey % 2 = 1)) AS title,
+coalesce(arg_max(o_orderstatus, o_orderkey) FILTER (WHERE o_orderkey % 2 = 0), arg_max(o_orderstatus, o_orderkey) FILTER (WHERE o_orderkey % 2 = 1)) AS comments FROM orders GROUP BY 1""")
 def paper_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("arxiv_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderkey").alias("seq"))
-    return rows.groupBy("arxiv_id").agg(F.max_by(F.struct("title", "seq"), "seq").alias("r")).select("arxiv_id", "r.title", "r.seq")
+    """Orders as records of their customers: the odd ones first, then the even ones."""
+    fields = F.struct(F.col("o_custkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("comments"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.from_json(F.to_json(fields), RAW).alias("record"))
+    old, new = (M.graph_of(M.transform(rows.filter(F.col("seq") % 2 == k))) for k in (1, 0))
+    return M.merge_graph(old, new).papers.select("arxiv_id", "title", "comments")
 
 
 @query("needs_extraction", "SELECT doc_id AS arxiv_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
@@ -353,11 +396,13 @@ def snapshot_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.filter_snapshot(_records(spark, sf_dir), _wanted(spark, sf_dir))[1]
 
 
-@query("union_mentions", "SELECT 'all' AS kind, count(*) AS n FROM (SELECT user_id, event_type FROM events UNION ALL SELECT user_id, event_type FROM events) UNION ALL SELECT 'distinct', count(*) FROM (SELECT user_id, event_type FROM events UNION SELECT user_id, event_type FROM events)")
+@query("union_mentions", "SELECT CAST(user_id AS VARCHAR) AS paper_id, event_type AS name, CASE WHEN user_id % 2 = 0 THEN 'method' ELSE 'topic' END AS entity_type, 2 * count(*) AS n FROM events GROUP BY ALL")
 def union_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_type")
-    both = e.unionByName(e)
-    return both.agg(F.count(F.lit(1)).alias("n")).select(F.lit("all").alias("kind"), "n").unionByName(both.distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("distinct").alias("kind"), "n"))
+    """Two parts of extractions with the same papers: all repeats are kept."""
+    kind = F.when(F.col("user_id") % 2 == 0, "method").otherwise("topic")
+    one = F.array(F.struct(F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("name"), kind.alias("type")))
+    part = lambda f: table(spark, sf_dir, "events").select(F.struct(F.lit(f).alias("file"), F.col("event_id").alias("line")).alias("at"), F.col("user_id").cast("string").alias("paper_id"), one.alias("entities"), F.lit("m").alias("extraction_model"), F.lit(None).cast("string").alias("extracted_at"))
+    return E.mentions_of(part("a"), part("b")).groupBy("paper_id", "name", "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stable_id", "SELECT p_partkey, 'author-' || sha256(lower(p_name))[1:16] AS author_id FROM part")
@@ -411,7 +456,10 @@ def user_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("json_parse", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """The number in an event's JSON, through an answer for the second of three papers."""
+    answer = F.format_string('{"papers": [{"index": 1, "entities": [{"name": "%s", "type": "topic"}, {"name": "", "type": "topic"}]}, {"index": 7, "entities": [{"name": "x", "type": "topic"}]}]}', F.get_json_object("props", "$.k"))
+    found = T.parse_batch_entities(answer, 3)
+    return table(spark, sf_dir, "events").select("event_id", found.alias("e")).filter("size(e[0]) = 0 AND size(e[1]) = 1 AND size(e[2]) = 0").select("event_id", F.col("e")[1][0]["name"].cast("long").alias("k"))
 
 
 @query("model_answers", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type || ':method' ELSE '' END AS found FROM events")
@@ -487,6 +535,54 @@ def resolve_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.resolve(p, V.encode_udf(V.hashing_encoder), 0.85).drop("seq")
 
 
+@query(
+    "resolve_names",
+    """WITH RECURSIVE n AS (SELECT label, vec_id, 'Name ' || vec_id AS name, vec_id % 3 + 1 AS n, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, vec_id) AS i FROM n),
+r AS (SELECT label, i, name, name AS canonical, [{'name': name, 'i': i, 'v': v}] AS f FROM e WHERE i = 1
+UNION ALL SELECT e.label, e.i, e.name, CASE WHEN b.s >= 0.3 THEN b.name ELSE e.name END, CASE WHEN b.s >= 0.3 THEN r.f ELSE list_append(r.f, {'name': e.name, 'i': e.i, 'v': e.v}) END
+FROM r JOIN e ON e.label = r.label AND e.i = r.i + 1 CROSS JOIN LATERAL (SELECT max(list_dot_product(u.x.v, e.v)) AS s, arg_max(u.x.name, (list_dot_product(u.x.v, e.v), -u.x.i)) AS name FROM (SELECT unnest(r.f) AS x) u) b)
+SELECT r.label AS entity_type, r.name AS raw_name, canonical AS name, lower(canonical) AS normalized_name, n.n AS mentions FROM r JOIN n ON n.name = r.name""",
+)
+def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions with stored vectors of their names, resolved by frequency, then place."""
+    e = table(spark, sf_dir, "embeddings").withColumn("name", F.concat(F.lit("Name "), F.col("vec_id").cast("string")))
+    rows = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("vec_id") % 3))).select((F.col("vec_id") * 10 + F.col("k")).alias("seq"), F.lit("p").alias("paper_id"), "name", F.col("label").alias("entity_type"), F.lit("m").alias("extraction_model"), F.lit(None).cast("string").alias("extracted_at"))
+    found = E.resolve(rows, e.select("name", F.col("embedding").alias("vector")), 0.3)
+    return found.groupBy("entity_type", "raw_name", "name", "normalized_name").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+@query(
+    "validation_of_faults",
+    """SELECT 'papers_without_authors' AS name, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS violations FROM orders
+UNION ALL SELECT 'papers_without_categories', count(*) FILTER (WHERE o_orderkey % 7 = 0) FROM orders
+UNION ALL SELECT 'papers_missing_title_or_abstract', count(*) FILTER (WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0) FROM orders
+UNION ALL SELECT 'duplicate_author_positions', count(*) FILTER (WHERE o_orderkey % 5 <> 0 AND o_orderkey % 3 = 0) FROM orders
+UNION ALL SELECT 'non_positive_version_numbers', count(*) FILTER (WHERE o_orderkey % 17 = 0) FROM orders
+UNION ALL SELECT 'papers_with_multiple_submitters', count(*) FILTER (WHERE o_orderkey % 19 = 0) FROM orders""",
+)
+def validation_of_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks on a graph that breaks each of them."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("arxiv_id"))
+    every = lambda k: F.col("arxiv_id") % k == 0
+    g = graph(spark, sf_dir)
+    faulty = Graph(**{
+        **g.tables(),
+        "papers": o.select("arxiv_id", F.when(~every(11), "t").alias("title"), F.when(~every(13), "a").alias("abstract")),
+        "authored": o.filter(~every(5)).select("arxiv_id", F.explode(F.when(every(3), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("author_id")).withColumn("position", F.lit(1)),
+        "in_category": o.filter(~every(7)).select("arxiv_id", F.lit("x").alias("code"), F.lit(1).alias("position"), F.lit(True).alias("primary")),
+        "versions": o.select("arxiv_id", F.when(every(17), 0).otherwise(1).alias("version_number")),
+        "submitted": o.select("arxiv_id", F.explode(F.when(every(19), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("submitter_id")),
+    })
+    return ST.validate(faulty).select("name", "violations")
+
+
+@query("sample_embedded", "SELECT o_orderkey AS arxiv_id FROM orders WHERE o_orderkey IN (SELECT vec_id FROM embeddings) ORDER BY 1 LIMIT 25")
+def sample_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of embedded papers (the feature's own limit)."""
+    return EV.sample_embedded(graph(spark, sf_dir), 25)
+
+
 @query("reservoir", None)
 def reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of fixed size (the feature's own limit; rows only)."""
@@ -531,7 +627,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hops", """WITH e AS (SELECT DISTINCT l_partkey AS a, l_orderkey AS p FROM lineitem), h0 AS (SELECT o_orderkey AS p, 0 AS hop FROM orders WHERE o_orderkey = 1),
 h1 AS (SELECT DISTINCT y.p, 1 AS hop FROM h0 JOIN e x ON x.p = h0.p JOIN e y ON y.a = x.a WHERE y.p NOT IN (SELECT p FROM h0)),
-h2 AS (SELECT DISTINCT y.p, 2 AS hop FROM (SELECT p FROM h1 ORDER BY p LIMIT 1000) f JOIN e x ON x.p = f.p JOIN e y ON y.a = x.a WHERE y.p NOT IN (SELECT p FROM h0 UNION ALL SELECT p FROM h1))
+h2 AS (SELECT DISTINCT y.p, 2 AS hop FROM h1 f JOIN e x ON x.p = f.p JOIN e y ON y.a = x.a WHERE y.p NOT IN (SELECT p FROM h0 UNION ALL SELECT p FROM h1))
 SELECT p AS arxiv_id, hop FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2""")
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.hops(graph(spark, sf_dir), [1])

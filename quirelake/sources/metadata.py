@@ -2,36 +2,108 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..schema import RAW, TABLES, Graph
+from ..schema import RAW, TABLES, Graph, GraphError
+from ..scratch import written
+
+
+def _scanned(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, id, line) of all lines; ``id`` grows within a split of a file."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, line) of each non-blank line: ``seq`` orders all lines of all files.
+    """(seq, file, line_no, line) of each non-blank line: ``seq`` orders all lines of all
+    files, ``line_no`` counts a file's lines from 1, blank ones too.
 
-    Files are ordered by path and lines by their place: the number that a scan gives
-    (file split, then line) increases with both, so no sort is needed.
+    Files are ordered by path and lines by their place.  A line's number is its place
+    in its split of the file and the lines of the splits before: a small table that
+    is counted without reading the lines again in any order.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start")).alias("block"), F.monotonically_increasing_id().alias("id"))
-    return lines.filter(F.trim(F.regexp_replace("line", r"\s", " ")) != "").select(F.struct("file", "block", "id").alias("seq"), "line")
+    lines = _scanned(spark, path)
+    splits = _scanned(spark, path).groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = lines.join(F.broadcast(splits.select("file", "block", "first", before.alias("before"))), ["file", "block"])
+    number = F.col("before") + F.col("id") - F.col("first") + 1
+    return found.filter(F.trim(F.regexp_replace("line", r"\s", " ")) != "").select(F.struct("file", "block", "id").alias("seq"), "file", number.alias("line_no"), "line")
+
+
+def _object(line: str = "line") -> Column:
+    """Whether a line is a JSON object."""
+    return F.get_json_object(line, "$").isNotNull() & F.col(line).rlike(r"^\s*\{")
 
 
 def read_metadata(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(seq, record) of a JSON-lines file, by an explicit schema.
+    """(seq, record, file, line_no) of a JSON-lines file, by an explicit schema.
 
-    Blank lines are skipped.  A line that isn't a JSON object is an error, or left
-    out without ``strict``.
+    Blank lines are skipped, but counted.  A line that isn't a JSON object is an error
+    that names it, or left out without ``strict``.
     """
     parsed = F.from_json("line", RAW, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = numbered_lines(spark, path).withColumn("ok", F.get_json_object("line", "$").isNotNull() & F.col("line").rlike(r"^\s*\{"))
+    rows = numbered_lines(spark, path).withColumn("ok", _object())
     if strict:
-        rows = rows.withColumn("line", F.when(F.col("ok"), F.col("line")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("line", 1, 80)))))
+        where = F.format_string("%s line %d: not a JSON object: %s", "file", "line_no", F.substring("line", 1, 80))
+        rows = rows.withColumn("line", F.when(F.col("ok"), F.col("line")).otherwise(F.raise_error(where)))
     else:
         rows = rows.filter("ok")
-    return rows.select("seq", parsed.alias("record"))
+    return rows.select("seq", parsed.alias("record"), "file", "line_no")
+
+
+def peek(spark: SparkSession, path: str) -> DataFrame:
+    """(line): the first line of a text file, as it is."""
+    return spark.read.text(path).limit(1).withColumnRenamed("value", "line")
+
+
+def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:
+    """Raw lines as text files."""
+    lines.select(column).write.mode("overwrite").text(path)
+
+
+def load_batches(spark: SparkSession, path: str, put: Callable[[DataFrame], None], mark: str, batch: int = 1_000_000, resume: bool = True) -> int:
+    """Gives ``put`` the records (seq, record, file, line_no) of one file, ``batch`` of
+    them at a time in order; how many there were.
+
+    After each batch ``mark`` (a path) gets its last line and id, from behind which the
+    next call goes on.  A batch that fails leaves the mark as it is and is an error that
+    names its lines.
+    """
+    rows = read_metadata(spark, path)
+    done = read_mark(spark, mark) if resume else None
+    last, total = done["last_line"] if done else 0, 0
+    while True:
+        ends = rows.filter(F.col("line_no") > last).select("line_no").orderBy("line_no").limit(batch).agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"), F.max("line_no").alias("last")).first()
+        if not ends["n"]:
+            return total
+        part = rows.filter(F.col("line_no").between(ends["first"], ends["last"]))
+        try:
+            put(part)
+        except Exception as e:
+            raise GraphError("LOAD_FAILED", f"{path} lines {ends['first']} to {ends['last']}: {e}") from e
+        last, total = ends["last"], total + ends["n"]
+        name = part.filter(F.col("line_no") == last).select("record.id").first()[0]
+        write_mark(spark, mark, {"last_line": last, "last_id": name})
+
+
+def read_mark(spark: SparkSession, path: str) -> dict | None:
+    """What ``write_mark`` wrote, if it did."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return json.loads("".join(r.value for r in spark.read.text(path).collect()))
+
+
+def write_mark(spark: SparkSession, path: str, value: dict) -> None:
+    """A small JSON file, in place of the one that is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
 
 
 def with_category(records: DataFrame, code: str = "cs.AI") -> DataFrame:
@@ -51,7 +123,7 @@ def sample_lines(lines: DataFrame, n: int, seed: int, key: str = "line") -> Data
 
 def valid_lines(lines: DataFrame) -> DataFrame:
     """Rows whose line is a JSON object."""
-    return lines.filter(F.get_json_object("line", "$").isNotNull() & F.col("line").rlike(r"^\s*\{"))
+    return lines.filter(_object())
 
 
 def filter_snapshot(records: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -202,13 +274,17 @@ def missing_embedding(papers: DataFrame, embeddings: DataFrame, name: str = "emb
 def shard_numbers(papers: DataFrame, size: int = 1000) -> DataFrame:
     """``papers`` with ``shard``: exactly ``size`` rows each, in order of id.
 
-    The place of a row is its place in its range plus the sizes of the ranges
-    before, so no window over all rows is needed.
+    The sorted ranges are written with each row's place in its range, which with the
+    sizes of the ranges before gives its place among all: no window over all rows is
+    needed, and both steps see the same ranges.
     """
-    ranged = papers.repartitionByRange("arxiv_id").sortWithinPartitions("arxiv_id").withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy("arxiv_id"))
-    return ranged.withColumn("__own", own).join(F.broadcast(counts.select("__part", "before")), "__part").withColumn("shard", ((F.col("before") + F.col("__own") - 1) / size).cast("int")).drop("__part", "__own", "before")
+    place = F.monotonically_increasing_id()  # the range above bit 33, the place in it below
+    ranged = written(papers.repartitionByRange("arxiv_id").sortWithinPartitions("arxiv_id").withColumn("__place", place), "ranges")
+    part = F.shiftright("__place", 33)
+    counts = ranged.groupBy(part.alias("__part")).count()  # a row for each range
+    before = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("shard", F.floor((F.col("__before") + own) / size).cast("int")).drop("__part", "__before", "__place")
 
 
 def write_shards(papers: DataFrame, path: str, size: int = 1000) -> None:

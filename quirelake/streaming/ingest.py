@@ -10,7 +10,7 @@ from typing import TypeVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import TABLES, Graph, empty, read, write
+from ..schema import TABLES, Graph, GraphError, empty, read, write
 from ..sources.metadata import graph_of, merge_graph, transform
 
 R = TypeVar("R")
@@ -57,8 +57,9 @@ def store(spark: SparkSession, graph: Graph, path: str, version: int) -> None:
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, replace_edges: bool = False) -> int:
     """Puts the files of ``source`` that weren't read yet into the tables of
     ``target``; how many records there were.  A batch is a version, named by its
-    number, so one that is run again writes the same tables once more."""
-    total = [0]
+    number, so one that is run again writes the same tables once more.  One that
+    fails is an error that names its files' lines."""
+    total, failed = [0], []
 
     def put(batch: DataFrame, number: int) -> None:
         rows = batch.filter(F.trim("value") != "")
@@ -70,16 +71,35 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, repla
             if n == 0 or before is not None and before > number:
                 return
             base = empty(spark) if before is None else read(spark, f"{target}/v={before if before < number else number - 1}")
-            store(spark, merge_graph(base, graph_of(transform(parse_lines(lines))), replace_edges), target, number)
+            try:
+                store(spark, merge_graph(base, graph_of(transform(parse_lines(lines))), replace_edges), target, number)
+            except Exception as e:
+                failed.append(GraphError("LOAD_FAILED", f"batch {number}: {line_ranges(lines)}: {e}"))
+                raise
             total[0] += n
         finally:
             lines.unpersist()
 
-    stream = spark.readStream.format("text").load(source).select("value", F.col("_metadata.file_path").alias("file"))
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream = spark.readStream.format("text").load(source).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    try:
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    except Exception as e:
+        raise (failed[0] if failed else e) from None
     return total[0]
 
 
+def line_ranges(lines: DataFrame, most: int = 5) -> str:
+    """The files of a batch's lines, with how many there are of each, and the first of
+    them that isn't a JSON object, for a message."""
+    bad = ~(F.get_json_object("line", "$").isNotNull() & F.col("line").rlike(r"^\s*\{"))
+    files = lines.groupBy("seq.file").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(bad, F.col("seq"))).alias("bad")).orderBy(F.col("bad").isNull(), "file").limit(most).collect()
+    out = []
+    for r in files:
+        place = lines.filter((F.col("seq.file") == r.file) & (F.col("seq") <= F.struct(F.lit(r.bad.file), F.lit(r.bad.block), F.lit(r.bad.id)))).count() if r.bad else 0
+        out.append(f"{r.file} lines 1 to {r.n} that aren't blank" + (f", number {place} isn't a JSON object" if place else ""))
+    return "; ".join(out)
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """(seq, record) of (seq, line); a line that isn't a JSON object is an error."""
     from ..schema import RAW

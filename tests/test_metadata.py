@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
 from quirelake.operators import search, stats
-from quirelake.schema import empty
+from quirelake.schema import GraphError, empty
 from quirelake.sources import metadata as M
 from quirelake.streaming import ingest as I
 
+# A record and what it becomes.
 RECORD = {
     "id": "0704.0047",
     "submitter": "Igor Grabec",
@@ -77,7 +78,7 @@ def test_optional_fields(spark, tmp_path):
 
 def test_bad_lines(spark, tmp_path):
     path = lines(tmp_path / "a.jsonl", RECORD, "not json", "[1]", "", RECORD)
-    with pytest.raises(Exception, match="not a JSON object"):
+    with pytest.raises(Exception, match="a.jsonl line 2: not a JSON object: not json"):
         M.read_metadata(spark, path).collect()
     assert M.read_metadata(spark, path, strict=False).count() == 2
     assert M.with_category(M.read_metadata(spark, path, strict=False)).count() == 2
@@ -133,3 +134,62 @@ def test_detail_needs_all_lists(spark, tmp_path):
     assert stats.report([{"name": "a", "violations": 0, "passed": True, "description": "d"}, {"name": "b", "violations": 3, "passed": False, "description": "why"}]) == (["PASS a: 0", "FAIL b: 3", "     why"], False)
     with pytest.raises(ValueError):
         stats.parse_checks("SELECT 1")
+
+
+def test_line_numbers(spark, tmp_path):
+    path = lines(tmp_path / "a.jsonl", "", RECORD, "  ", *([RECORD] * 300), "")
+    wanted = [2, *range(4, 304)]
+    try:
+        for size in ("128m", "4k"):  # one split, and many
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert [r.line_no for r in M.read_metadata(spark, path).orderBy("seq").collect()] == wanted
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert M.peek(spark, path).first().line == ""
+    M.write_lines(spark.createDataFrame([("x",), ("y",)], "line string"), str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["x", "y"]
+
+
+def test_load_batches(spark, tmp_path):
+    # Ids, batches of two, marks
+    path, mark = lines(tmp_path / "a.jsonl", *({"id": f"1000.000{i}"} for i in range(1, 6))), str(tmp_path / "mark")
+    seen = []
+    put = lambda df: seen.append([r.record.id for r in df.orderBy("line_no").collect()])
+    assert M.load_batches(spark, path, put, mark, 2) == 5
+    assert seen == [["1000.0001", "1000.0002"], ["1000.0003", "1000.0004"], ["1000.0005"]]
+    assert M.load_batches(spark, path, put, mark, 2) == 0
+    M.write_mark(spark, mark, {"last_line": 3, "last_id": "1000.0003"})
+    seen.clear()
+    assert M.load_batches(spark, path, put, mark, 50) == 2 and seen == [["1000.0004", "1000.0005"]]
+    calls = []
+
+    def fail(df):
+        calls.append(df.count())
+        if len(calls) == 2:
+            raise OSError("no room")
+
+    with pytest.raises(GraphError, match="lines 3 to 4: no room"):
+        M.load_batches(spark, path, fail, mark, 2, resume=False)
+    assert M.read_mark(spark, mark) == {"last_line": 2, "last_id": "1000.0002"}
+
+
+def test_failed_batch_names_its_lines(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    lines(source / "1.jsonl", {"id": "a"}, {"id": "b"}, "not json")
+    with pytest.raises(Exception, match="1.jsonl lines 1 to 3 that aren't blank, number 3 isn't a JSON object"):
+        I.ingest(spark, str(source), str(tmp_path / "out"), str(tmp_path / "mark"))
+
+
+def test_shards_are_whole_under_adaptive_execution(spark):
+    papers = spark.range(200_000).select(F.format_string("%07d", F.col("id")).alias("arxiv_id"), F.repeat(F.lit("x"), 50).alias("title"))
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        found = M.shard_numbers(papers).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("arxiv_id").alias("first")).orderBy("shard").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [(r.shard, r.n, r.first) for r in found] == [(i, 1000, f"{i * 1000:07d}") for i in range(200)]

@@ -111,7 +111,7 @@ def test_answers(spark):
     assert [[x.name for x in p] for p in spark.createDataFrame([(batch,)], "a string").select(T.parse_batch_entities("a", 3).alias("e")).first().e] == [[], ["A"], []]
 
 
-def test_fulltext(spark):
+def test_fulltext(spark, tmp_path):
     docs = spark.createDataFrame([("1", "Graph neural networks", "deep graph models"), ("2", "Neural graph", None), ("3", "Other", "networks of neurons")], "arxiv_id string, title string, abstract string")
     ids = lambda q: {r.arxiv_id for r in FT.search(docs, q).collect()}
     assert ids("graph") == {"1", "2"} and ids('"graph neural"') == {"1"} and ids("neur*") == {"1", "2", "3"}
@@ -119,10 +119,17 @@ def test_fulltext(spark):
     for bad in ("", '"open', "(a", "a AND", "NOT", "title:", "*a b*c*x(", "x:y"):
         with pytest.raises(ValueError):
             FT.search(docs, bad).collect()
-    index, sizes = FT.postings(docs, "arxiv_id", ["title", "abstract"]), FT.lengths(docs, ["title", "abstract"])
-    a = {r.arxiv_id: r.score for r in FT.search(docs, "graph networks").collect()}
-    b = {r.arxiv_id: r.score for r in FT.search_index(index, sizes, "graph networks").collect()}
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    with pytest.raises(GraphError, match="at most 100"):
+        FT.search(docs, "graph", limit=101)
+    path = str(tmp_path / "index")
+    FT.write_index(docs, path)
+    index = FT.read_index(spark, path)
+    for q in ("graph networks", '"graph neural"', '+"neural graph" -deep', "neur*", "title:neur* networks", "+graph -deep", "graph AND deep", '"deep graph models" OR other', "nothing", "the NOT graph"):
+        a = {r.arxiv_id: r.score for r in FT.search(docs, q).collect()}
+        b = {r.arxiv_id: r.score for r in FT.search_index(*index, q).collect()}
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a), q
+    with pytest.raises(ValueError):
+        FT.search_index(*index, "x:y")
 
 
 def test_fulltext_without_limit(spark, sf_dir):
@@ -154,3 +161,51 @@ def test_prompts(spark):
     assert row.select(T.user_prompt("t", "a", "c").alias("p")).first().p.endswith("these): x, y")
     assert row.select(T.candidate_phrases("a").alias("p")).first().p == ["deep network", "graph data"]
     assert row.select(T.batch_prompt(F.array(F.struct(F.col("t").alias("title"), F.col("a").alias("abstract"), F.col("c").alias("candidates")))).alias("p")).first().p.startswith("=== Paper 0 ===\nTitle: T\n\nAbstract: A deep")
+
+
+def test_percentiles_without_groups(spark):
+    values = [float(x) for x in np.random.default_rng(3).integers(0, 50, 999)]
+    df = spark.createDataFrame([(v, "ab"[i % 2]) for i, v in enumerate(values)] + [(None, "a")], "v double, g string").repartition(8)
+    row = EV.percentiles(df, "v", shares=(0.0, 0.5, 0.95, 1.0)).first()
+    assert (row.n, row.p0, row.p50, row.p95, row.p100) == (999, min(values), V.percentile(values, 0.5), V.percentile(values, 0.95), max(values))
+    for r in EV.percentiles(df, "v", "g").collect():
+        own = values["ab".index(r.g) :: 2]
+        assert (r.n, r.p50, r.p95) == (len(own), V.percentile(own, 0.5), V.percentile(own, 0.95))
+
+
+def test_nearest_is_by_cosine(spark):
+    v = spark.createDataFrame([(1, [10.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 0.0])], "key long, vector array<double>")
+    q = spark.createDataFrame([(7, [3.0, 4.0])], "query_id long, vector array<double>")
+    assert [(r.key, round(r.score, 6)) for r in EV.nearest(q, v).orderBy("rank").collect()] == [(2, 1.0), (1, 0.6), (3, 0.0)]
+
+
+def test_eval_files(spark, tmp_path):
+    rows = [("a query", "1234.5678", "paraphrased"), ("another query", "8765.4321", "self_retrieval")]
+    EV.write_eval(spark.createDataFrame(rows, "query string, expected_paper_id string, source string"), str(tmp_path / "a"))
+    (tmp_path / "b.jsonl").write_text('{"query": "q1", "expected_paper_id": "1", "source": "s"}\n\n{"query": "q2", "expected_paper_id": "2", "source": "s"}\n')
+    with pytest.warns(UserWarning, match="left out"):
+        found = EV.read_eval(spark, str(tmp_path / "a"), str(tmp_path / "none.jsonl"), str(tmp_path / "b.jsonl"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted([*rows, ("q1", "1", "s"), ("q2", "2", "s")])
+
+
+def test_caps(graph):
+    with pytest.raises(GraphError, match="at most 200"):
+        E.papers_for_entity(graph, "method", "cnn", 201)
+    assert [r.arxiv_id for r in EV.sample_embedded(graph, 1).collect()] == ["p1"]
+
+
+def test_extraction_failures(spark):
+    from quirelake.operators import extraction as EX
+
+    papers = spark.createDataFrame([(f"p{i}", "t", f"deep networks {i} for graph data") for i in range(5)], "arxiv_id string, title string, abstract string")
+
+    def client(prompt, tokens):
+        if "networks 3" in prompt:
+            raise OSError
+        assert tokens in (512, 1024)
+        return EX.phrases_client(prompt, tokens)
+
+    for per, lost in ((1, {"p3"}), (2, {"p2", "p3"})):
+        rows = EX.extract(papers, client, "m", per).collect()
+        assert [r.paper_id for r in rows] == [f"p{i}" for i in range(5)]
+        assert {r.paper_id for r in rows if not r.entities} == lost
