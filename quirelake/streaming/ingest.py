@@ -63,7 +63,7 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, repla
 
     def put(batch: DataFrame, number: int) -> None:
         rows = batch.filter(F.trim("value") != "")
-        lines = rows.select(F.struct("file", F.monotonically_increasing_id().alias("id")).alias("seq"), F.col("value").alias("line"))
+        lines = rows.select(F.struct("file", "block", F.monotonically_increasing_id().alias("id")).alias("seq"), F.col("value").alias("line"))
         lines = lines.persist()
         try:
             n = lines.count()
@@ -95,7 +95,7 @@ def line_ranges(lines: DataFrame, most: int = 5) -> str:
     files = lines.groupBy("seq.file").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(bad, F.col("seq"))).alias("bad")).orderBy(F.col("bad").isNull(), "file").limit(most).collect()
     out = []
     for r in files:
-        place = lines.filter((F.col("seq.file") == r.file) & (F.col("seq") <= F.struct(F.lit(r.bad.file), F.lit(r.bad.block), F.lit(r.bad.id)))).count() if r.bad else 0
+        place = lines.filter((F.col("seq.file") == r.file) & (F.col("seq") <= F.struct(F.lit(r.bad.file), F.lit(r.bad.block).cast("long"), F.lit(r.bad.id).cast("long")))).count() if r.bad else 0
         out.append(f"{r.file} lines 1 to {r.n} that aren't blank" + (f", number {place} isn't a JSON object" if place else ""))
     return "; ".join(out)
 
