@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +12,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import dropped, shared_dir, written
+
+__all__ = ["dropped", "free_memory", "hf_tokenizer", "input_bytes", "public_tokenizer", "record_batch", "shared_dir", "slices", "table", "text_slices", "written"]
+
 #: Rows of an Arrow batch that one step of a Python worker holds as objects.
 SLICE_ROWS = 512
 #: Bytes of text that one such step holds at most, unless one row has more.
@@ -25,41 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one that the session names in ``spark.checkpoint.dir``.  Only a
-    local session, whose executors are the driver, may do without: it gets a
-    temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="quirelake-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and what
-    several later steps read is computed once and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quirelake-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.written_to = path
-    return back
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` made and that nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Pieces of Arrow batches with their texts as UTF-8 (null: empty), a few
     megabytes at a time; a single longer text comes alone, whole."""

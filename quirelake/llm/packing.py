@@ -2,7 +2,7 @@
 
 Each sequence has a seed document; an inverted index of its shard returns the
 unused documents nearest to it by BM25, which fill the sequence one after the
-other.  The last one is cut where the sequence is full, and its remainder seeds
+other.  Where a seed has no unused neighbour, the next document is the seed.  The last one is cut where the sequence is full, and its remainder seeds
 the next.  So only a partition's last sequence needs padding.
 
 1. Texts are encoded once.  A table in the shared folder keeps the ids in two
@@ -302,7 +302,7 @@ class Packer:
             else:
                 while not unused[following]:
                     following += 1
-                doc = following
+                doc = seed = following
             unused[doc] = False
             start = 0
             while start < sizes[doc]:
@@ -315,8 +315,7 @@ class Packer:
                 if self.filled == self.length:
                     self.sequence, self.filled = self.sequence + 1, 0
             if self.filled and not queue and unused.any():
-                near = np.where(unused, index.scores(doc if seed < 0 else seed), -1.0)
-                seed = doc
+                near = np.where(unused, index.scores(seed), -1.0)
                 best = np.arange(len(near))
                 if len(near) > NEIGHBOURS:  # with all that tie with the last one
                     best = np.flatnonzero(near >= np.partition(near, -NEIGHBOURS)[-NEIGHBOURS])

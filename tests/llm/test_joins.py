@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quirelake.llm import ann_search, ngram_join
 
+from .test_text import plain_secrets
+
 V = [f"w{i}" for i in range(400)]
 
 
@@ -157,6 +160,30 @@ def test_pipeline(spark, sf_dir):
         seen[name] = before, docs
         if name != "packing":
             assert docs.columns == before.columns and docs.count() <= before.count()
+    # each stage's whole result by a plain version
+    before, after = (x.toPandas() for x in seen["language ID"])
+    lettered = before.text.fillna("").map(lambda t: any(c.isalpha() for c in t))
+    assert sorted(after.doc_id) == sorted(before.doc_id[lettered]) and dict(zip(after.doc_id, after.text, strict=True)) == dict(zip(before.doc_id[lettered], before.text[lettered], strict=True))
+    before, after = (x.toPandas() for x in seen["line dedup"])
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    holders = Counter(k for t in before.text for k in {key(x) for x in t.split("\n")} if k)
+    wanted = {d: "\n".join(x for x in t.split("\n") if not key(x) or holders[key(x)] < 10) for d, t in zip(before.doc_id, before.text, strict=True)}
+    assert dict(zip(after.doc_id, after.text, strict=True)) == wanted and (after.n_chars == after.text.str.len()).all()
+    before, after = (x.toPandas() for x in seen["secret scans"])
+    owners, found = {}, {}
+    for d, s, t in zip(before.doc_id, before.source, before.text, strict=True):
+        found[d] = plain_secrets(t)
+        for x in found[d]:
+            owners.setdefault(x[3], set()).add((s, d))
+    shared = {v for v, x in owners.items() if len({s for s, _ in x}) >= 3 or len({s for s, _ in x}) > 1 and len(x) >= 10}
+    for d, t in zip(before.doc_id, before.text, strict=True):
+        out, at = "", 0
+        for start, end in sorted({(e - len(v), e) for _, _, e, v in found[d] if v not in shared}):
+            if start >= at:
+                out += t[at:start] + "[secret]"
+            at = max(at, end)
+        wanted[d] = out + t[at:]
+    assert dict(zip(after.doc_id, after.text, strict=True)) == {d: wanted[d] for d in before.doc_id}
     before, after = (x.toPandas() for x in seen["n-gram Jaccard join"])
     _, roots = plain(before.sort_values("doc_id").text.fillna("").tolist())
     ids = before.sort_values("doc_id").doc_id.tolist()

@@ -123,8 +123,76 @@ def test_neighbours_are_lexical():
     for seed in range(20):
         best = np.argsort(-index.scores(seed), kind="stable")[:5]
         assert {order[b] // 5 for b in best} == {order[seed] // 5}
-    repeated = packing.pack  # repeated rows are documents of their own
-    assert repeated is not None
+
+
+def plain_packing(docs, idf, mean, length):
+    """The pieces of one shard: BM25 written out, neighbours queued as documented."""
+    weights = []
+    for d in docs:
+        terms, n = np.unique(d, return_counts=True)
+        weights.append({int(t): k * (packing.K1 + 1) / (k + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) * idf[t] for t, k in zip(terms, n, strict=True)})
+    score = lambda seed, d: sum(weights[d].get(t, 0.0) for t in weights[seed])
+    sizes, unused = [len(d) + 1 for d in docs], set(range(len(docs)))
+    rows, queue, seed, sequence, filled = [], [], -1, 0, 0
+    while unused:
+        queue = [d for d in queue if d in unused]
+        if queue:
+            doc = queue.pop(0)
+        else:
+            doc = seed = min(unused)
+        unused.discard(doc)
+        start = 0
+        while start < sizes[doc]:
+            if not filled:
+                seed, queue = doc, []
+            n = min(sizes[doc] - start, length - filled)
+            rows.append((doc, start, n, sequence, filled))
+            start, filled = start + n, filled + n
+            if filled == length:
+                sequence, filled = sequence + 1, 0
+        if filled and not [d for d in queue if d in unused]:
+            near = sorted(((-round(score(seed, d), 9), d) for d in unused if score(seed, d) > 0))
+            queue = [d for _, d in near[: packing.NEIGHBOURS]]
+    return rows
+
+
+@pytest.mark.parametrize("length", [40, 100])
+def test_greedy_filling_by_a_plain_packer(length):
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(0, 60, rng.integers(1, 50)) + 60 * int(rng.integers(0, 4)) for _ in range(120)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=256)
+    idf, mean = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)), float(np.mean([len(d) for d in docs]))
+    found = packing.Packer(length).pack([len(d) + 1 for d in docs], packing.Index(docs, idf, mean))
+    assert found == plain_packing(docs, idf, mean, length)
+
+
+def test_keys_by_definition():
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 9, n).astype(np.uint16) for n in (0, 1, 3, 4, 5, 30, 0, 4)]
+    bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    alone = [int(packing.keys_of(d, np.array([0, len(d)]))[0]) for d in docs]
+    assert packing.keys_of(np.concatenate(docs), bounds).tolist() == alone
+    whole = docs[5]
+    fours = [packing.keys_of(whole[i : i + 4], np.array([0, 4]))[0] for i in range(len(whole) - 3)]
+    assert alone[5] == min(fours) and alone[:3] == [0, int(docs[1][0]), int(docs[2][0])]
+
+
+def test_all_documents_by_the_library(spark, sf_dir):
+    made = hf_tokenizer(token_counts.TOKENIZER)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ids = {r.doc_id: made.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in token_counts.query(spark, sf_dir).collect()} == {d: len(x) for d, x in ids.items()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    found = {r.doc_id: (r.ids_sha256, r.decoded_sha256) for r in bpe_chunks.query(spark, sf_dir).collect()}
+    assert found == {d: (sha(" ".join(map(str, x))), sha(made.decode(x, skip_special_tokens=False))) for d, x in ids.items()}
+
+
+def test_long_pre_tokens_count_whole(spark):
+    word = "x" * 5000 + "é" * 3000
+    text = f"{word} {word}, {'7' * 2000} <|endoftext|>{word}"
+    made = hf_tokenizer(token_counts.TOKENIZER)
+    docs = spark.createDataFrame([(1, text), (2, "y" * 64 + " " + "z" * 64)] * 3, "doc_id long, text string")
+    assert {r.n_tokens for r in token_counts.token_counts(docs).filter("doc_id = 1").collect()} == {len(made.encode(text, add_special_tokens=False).ids)}
 
 
 def test_repeated_rows_are_packed(spark):
