@@ -146,22 +146,38 @@ def name_counts(mentions: DataFrame, seq: str = "seq") -> DataFrame:
     return mentions.groupBy("entity_type", "name").agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("first"))
 
 
-def greedy_clusters(vectors: np.ndarray, threshold: float = THRESHOLD) -> list[int]:
+def greedy_clusters(vectors: np.ndarray, threshold: float = THRESHOLD, block: int = 1024) -> list[int]:
     """For each vector in turn, the place of the founder it joins: the most similar
-    one so far if that reaches the threshold (ties to the earliest), else itself."""
+    one so far if that reaches the threshold (ties to the earliest), else itself.
+
+    Blocks of vectors are compared with all founders before them at once, and with the
+    founders of their own block one after the other.
+    """
     founders = np.empty_like(vectors)
     places: list[int] = []
-    out = []
-    for i, v in enumerate(vectors):
+    out: list[int] = []
+    for start in range(0, len(vectors), block):
+        own = vectors[start : start + block]
+        best, score = np.full(len(own), -1), np.full(len(own), -np.inf)
         if places:
-            close = founders[: len(places)] @ v
-            best = int(close.argmax())
-            if close[best] >= threshold:
-                out.append(places[best])
+            close = own @ founders[: len(places)].T
+            best = close.argmax(axis=1)
+            score = close[np.arange(len(own)), best]
+        among = own @ own.T
+        new: list[int] = []  # of this block, by their places in it
+        for i in range(len(own)):
+            at, top = int(best[i]), float(score[i])
+            if new:
+                k = int(among[i, new].argmax())
+                if among[i, new[k]] > top:
+                    at, top = -2 - new[k], float(among[i, new[k]])
+            if top >= threshold:
+                out.append(places[at] if at >= 0 else start - 2 - at)
                 continue
-        founders[len(places)] = v
-        places.append(i)
-        out.append(i)
+            new.append(i)
+            out.append(start + i)
+        founders[len(places) : len(places) + len(new)] = own[new]
+        places += [start + i for i in new]
     return out
 
 

@@ -90,7 +90,7 @@ def test_greedy_clusters():
         else:
             founders.append(i)
             wanted.append(i)
-    assert E.greedy_clusters(v, 0.6) == wanted
+    assert E.greedy_clusters(v, 0.6) == E.greedy_clusters(v, 0.6, 7) == E.greedy_clusters(v, 0.6, 1) == wanted
     same = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
     assert E.greedy_clusters(same, 1.0) == [0, 0, 2]  # the threshold is inclusive
 
