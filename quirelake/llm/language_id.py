@@ -11,7 +11,7 @@ The model is fitted on labelled rows: all while there are no more than
 ``SAMPLE_ROWS``, else about so many, chosen by a hash of doc_id.  Of each language
 about ``LANGUAGE_ROWS`` are taken at least (all if it has fewer, and the row of the
 least hash in any case), so none is lost to a large table.  These bounds are the
-only ones; every text is read whole, in fitting and in predicting.
+only ones; every text, however long, is read whole, in fitting and in predicting.
 
 Nulls, empty and odd rows: a null text or one without letters is ``und`` with
 score 0; rows with a null lang aren't learned from; a text with letters of
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import record_batch, slices, table
+from .common import record_batch, slices, table, text_slices
+from .words import told_apart
 
 #: Labelled rows that a model is fitted on, at most (in expectation), but for those
 #: that make up ``LANGUAGE_ROWS`` of each language.
@@ -182,12 +183,12 @@ class Labeller:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.model.langs)), np.float32)
         self.letters = np.zeros(0, np.int32)
 
-    def learn(self, words: list[bytes]) -> None:
-        lower = [w.decode().lower() for w in words]
+    def learn(self, words: list[str]) -> None:
+        lower = [w.lower() for w in words]
         scripts = np.array([script_of(w) for w in lower])
         grams, owner = _grams([w.replace(" ", "_").encode() for w in lower])
         scores = np.stack([np.bincount(owner, self.model.weights[grams, j], len(words) + 1)[: len(words)] for j in range(len(self.model.langs))], axis=1)
@@ -198,49 +199,62 @@ class Labeller:
         self.place.update(zip(words, range(len(self.letters), len(self.letters) + len(words)), strict=True))
         self.scores = np.concatenate([self.scores, scores.astype(np.float32)])
         # a word of letters of an unknown script has -1, so that it is still a letter
-        self.letters = np.concatenate([self.letters, np.where(known, [len(w) for w in words], np.where(scripts >= 0, -1, 0)).astype(np.int32)])
+        self.letters = np.concatenate([self.letters, np.where(known, [len(w.encode()) for w in words], np.where(scripts >= 0, -1, 0)).astype(np.int32)])
 
-    def paths(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its words' languages (by place) and their bytes, which are
-        0 for words without letters and -1 for those of unknown scripts."""
+    def paths(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (large strings) its words' languages (by place) and their bytes,
+        which are 0 for words without letters and -1 for those of unknown scripts.
+
+        A path that switches gains the best scores of all words at most and loses a
+        penalty, so a text that falls short of them by less in one language is of that
+        one; only the others go through the Viterbi pass.
+        """
         if len(self.place) > CACHED_WORDS:
             self.clear()
-        words = [t.split() for t in texts]
-        missing = list(set().union(*words).difference(self.place))
+        words, at, counts = told_apart(texts)
+        missing = [w for w in words if w not in self.place]
         if missing:
             self.learn(missing)
-        at = [np.fromiter(map(self.place.__getitem__, w), np.int64, len(w)) for w in words]
-        order = sorted(range(len(at)), key=lambda i: -len(at[i]))
-        size = np.array([len(at[i]) for i in order])
-        starts = np.concatenate([[0], np.cumsum(size)])
-        flat = np.concatenate([at[i] for i in order]) if len(at) else np.zeros(0, np.int64)
+        flat = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[at]
+        ends = np.cumsum(counts)
+        starts = ends - counts
+        scores, letters = self.scores[flat], self.letters[flat]
+        label = np.zeros(len(flat), np.int64)
+        full = np.flatnonzero(counts)
+        if len(full):
+            sums = np.add.reduceat(scores, starts[full], axis=0, dtype=np.float64)
+            most = np.add.reduceat(scores.max(axis=1), starts[full], dtype=np.float64)
+            best = sums.argmax(axis=1)
+            sure = sums[np.arange(len(full)), best] > most - self.switch + 1e-6
+            for i, lang in zip(full[sure].tolist(), best[sure].tolist(), strict=True):
+                label[starts[i] : ends[i]] = lang
+            self._viterbi(full[~sure], starts, counts, scores, label)
+        return [(label[a:b], letters[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def _viterbi(self, which: np.ndarray, starts: np.ndarray, counts: np.ndarray, scores: np.ndarray, label: np.ndarray) -> None:
+        """Writes the best paths of some texts into ``label``."""
+        order = which[np.argsort(-counts[which], kind="stable")]
+        size, first = counts[order], starts[order]
         n = len(self.model.langs)
         places = np.int8 if n < 128 else np.int32
-        back, last = np.zeros((len(flat), n), places), np.zeros(len(order), np.int64)
+        own = np.arange(n, dtype=places)
+        held = np.cumsum(size) - size  # where each text's back pointers begin
+        back = np.zeros((int(size.sum()), n), places)
         best = np.zeros((len(order), n), np.float32)
-        scores, own = self.scores[flat], np.arange(n, dtype=places)
         active = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
         for t, a in enumerate(active.tolist()):  # all texts that have a word there at once
-            v, rows = best[:a], starts[:a] + t
+            v = best[:a]
             top = v.argmax(axis=1)
             high = v[np.arange(a), top] - self.switch
-            stay = v >= high[:, None]
-            back[rows] = np.where(stay, own, top[:, None])
-            best[:a] = np.maximum(v, high[:, None]) + scores[rows]
+            back[held[:a] + t] = np.where(v >= high[:, None], own, top[:, None])
+            best[:a] = np.maximum(v, high[:, None]) + scores[first[:a] + t]
         last = best.argmax(axis=1)
-        label = np.zeros(len(flat), np.int64)
         for t in range(len(active) - 1, -1, -1):
             a = active[t]
-            rows = starts[:a] + t
-            label[rows] = last[:a]
-            last[:a] = back[rows, last[:a]]
-        letters = self.letters[flat]
-        out: list = [None] * len(at)
-        for k, i in enumerate(order):
-            out[i] = label[starts[k] : starts[k + 1]], letters[starts[k] : starts[k + 1]]
-        return out
+            label[first[:a] + t] = last[:a]
+            last[:a] = back[held[:a] + t, last[:a]]
 
-    def label(self, texts: list[bytes]) -> list[tuple[str, float]]:
+    def label(self, texts: pa.Array) -> list[tuple[str, float]]:
         """(language, score) of each text."""
         if not self.model.langs:
             return [(UNDETERMINED, 0.0)] * len(texts)
@@ -255,11 +269,11 @@ class Labeller:
                 out.append((self.model.langs[int(share.argmax())], float(share.max() / share.sum())))
         return out
 
-    def spans(self, texts: list[bytes]) -> list[list[dict]]:
+    def spans(self, texts: pa.Array) -> list[list[dict]]:
         """Each text's spans: code points from the first to after the last word of a
         stretch of one language."""
         out = []
-        for text, (label, letters) in zip(texts, self.paths(texts), strict=True):
+        for text, (label, letters) in zip(texts.cast(pa.large_binary()).to_pylist(), self.paths(texts), strict=True):
             found: list[dict] = []
             at = 0
             for word, lang, n in zip(text.split(), label.tolist(), letters.tolist(), strict=True):
@@ -288,7 +302,7 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
-        for batch, texts in slices(batches):
+        for batch, texts in text_slices(batches):
             found = labeller.label(texts)
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if with_spans:

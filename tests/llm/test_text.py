@@ -72,19 +72,21 @@ def test_rare_language_is_sampled(spark):
     assert language_id.fit(docs, 10).langs == ["en", "he", "th"]
 
 
-def test_viterbi_is_exact():
+@pytest.mark.parametrize("switch", [2.0, 30.0])
+def test_viterbi_is_exact(switch):
+    import itertools
+
+    import pyarrow as pa
+
     rng = np.random.default_rng(1)
-    own = language_id.Labeller(language_id.Model(["a", "b", "c"], np.zeros((language_id.BUCKETS, 3), np.float32), np.ones((15, 3), bool), 0), 2.0)
+    own = language_id.Labeller(language_id.Model(["a", "b", "c"], np.zeros((language_id.BUCKETS, 3), np.float32), np.ones((15, 3), bool), 0), switch)
     names = [chr(97 + i) * 3 for i in range(8)]
-    own.learn([w.encode() for w in names])
+    own.learn(names)
     own.scores = rng.normal(0, 2, own.scores.shape).astype(np.float32)
-    import itertools
-
-    for n in (1, 2, 5):
-        words = rng.choice(names, n)
-        label, _ = own.paths([" ".join(words).encode(), b"aaa"])[0]
-        value = lambda path: sum(own.scores[own.place[w.encode()]][p] for w, p in zip(words, path, strict=True)) - 2 * sum(a != b for a, b in zip(path, path[1:], strict=False))
-        assert value(label.tolist()) == pytest.approx(max(map(value, itertools.product(range(3), repeat=n))), abs=1e-4)
+    texts = [rng.choice(names, n) for n in (1, 2, 5, 6, 0, 4, 6, 3)]
+    for words, (label, _) in zip(texts, own.paths(pa.array([" ".join(w) for w in texts], pa.large_string())), strict=True):
+        value = lambda path: sum(own.scores[own.place[w]][p] for w, p in zip(words, path, strict=True)) - switch * sum(a != b for a, b in zip(path, path[1:], strict=False))
+        assert value(label.tolist()) == pytest.approx(max(map(value, itertools.product(range(3), repeat=len(words)))), abs=1e-4)
 
 
 def plain_secrets(text):
