@@ -22,7 +22,7 @@ document's component.
    the overlap so far, shared by all sets below a node; a subtree goes when the
    shingles that remain can't raise the overlap enough.  Sets that are already
    connected aren't compared again, so a group sends fewer links than sets.
-   Groups over ``GROUP_SHINGLES`` are cut into blocks: each block's sets are compared
+   Groups over ``GROUP_SHINGLES`` or ``GROUP_SETS`` are cut into blocks: each block's sets are compared
    with the leader's, and only sets that don't link with it meet all blocks.
 5. Components of the links by repeated minimum with pointer jumping, one written
    table for each round.
@@ -57,8 +57,8 @@ WORDS = 5
 THRESHOLD = 75
 #: Documents whose ids are broadcast to pick their texts (8 bytes each).
 BROADCAST_IDS = 1 << 20
-#: Shingles of a group that one task holds; larger groups are dealt out in blocks.
-GROUP_SHINGLES = 2 << 20
+#: Shingles, and sets, of a group that one task holds; larger ones are dealt out in blocks.
+GROUP_SHINGLES, GROUP_SETS = 1 << 18, 256
 #: Shingles, and sets, of a flush (one longer text has more of the former).
 FLUSH, FLUSH_SETS = 4 << 20, 65_000
 #: Sets from which on a shingle's sets don't meet in one task.
@@ -630,7 +630,12 @@ def _pairs(ids: list, other: list, found: list[tuple[int, int]]) -> pd.DataFrame
     return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [other[y] for _, y in found]}, columns=["a", "b"], dtype="int64")
 
 
-def large_group_links(large: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+def _shares(shingles, sets):
+    """Blocks that a group's sets are dealt to."""
+    return F.greatest(F.lit(1), F.ceil(shingles / F.lit(GROUP_SHINGLES)), F.ceil(sets / F.lit(GROUP_SETS))).cast("int")
+
+
+def large_group_links(large: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): links of groups (leader, doc_id, n, blocks) that are cut into blocks."""
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -647,7 +652,7 @@ def large_group_links(large: DataFrame, sets: DataFrame, threshold: int = THRESH
     first = members.filter("doc_id <> leader").union(pivots).groupBy("leader", "block").applyInPandas(with_pivot, "leader long, doc_id long, n long, blocks int, linked boolean")
     first = written(first, "pivot-links")
     left = first.filter("NOT linked")
-    parts = left.groupBy("leader").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(group_shingles))).cast("int").alias("parts"))
+    parts = left.groupBy("leader").agg(_shares(F.sum("n"), F.count(F.lit(1))).alias("parts"))
     # what doesn't link with the leader meets every block of the group
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int")
     both = first.join(parts, "leader").withColumn("side", F.explode(F.when(F.col("linked"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))))
@@ -677,8 +682,7 @@ def component_links(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     dropped(found)
     # a group of one has nothing to compare
     sized = groups.groupBy("leader").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(GROUP_SHINGLES))).cast("int")
-    cut = written(groups.join(sized.select("leader", blocks.alias("blocks")), "leader").select("leader", "doc_id", "n", "blocks"), "shingle-cut")
+    cut = written(groups.join(sized.select("leader", _shares(F.col("total"), F.col("members")).alias("blocks")), "leader").select("leader", "doc_id", "n", "blocks"), "shingle-cut")
     dropped(groups)
     sets = written(sets_of(docs, cut.select("doc_id").distinct(), words), "shingle-set-values")
 
@@ -688,7 +692,7 @@ def component_links(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
 
     linked = cut.filter("blocks = 1").join(sets, "doc_id").groupBy("leader").applyInPandas(link, "a long, b long")
     if not cut.filter("blocks > 1").isEmpty():
-        linked = linked.union(large_group_links(cut.filter("blocks > 1"), sets, threshold, GROUP_SHINGLES))
+        linked = linked.union(large_group_links(cut.filter("blocks > 1"), sets, threshold))
     linked = written(linked.filter("a <> b").distinct(), "shingle-links")
     dropped(cut, sets)
     return named, known, linked
