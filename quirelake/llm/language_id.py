@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import record_batch, slices, table, text_slices
+from .common import SLICE_BYTES, record_batch, slices, table, text_slices
 from .words import told_apart
 
 #: Labelled rows that a model is fitted on, at most (in expectation), but for those
@@ -49,7 +49,7 @@ SWITCH = 12.0
 #: Least share of a language's letters for a script to count as its own.
 SCRIPT_SHARE = 0.002
 #: Words whose scores a worker remembers.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 UNDETERMINED = "und"
 
 # First and last code point of the ranges of common scripts.
@@ -302,7 +302,7 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, most=SLICE_BYTES):
             found = labeller.label(texts)
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if with_spans:

@@ -48,6 +48,9 @@ END = 1
 K1, B = 1.2, 0.75
 #: Neighbours that are queued at once; when they are used up, more are sought.
 NEIGHBOURS = 64
+#: Bytes of text whose stretches are told apart at once (a worker's memory grows by 16
+#: times as much).
+BATCH_BYTES = 4 << 20
 #: Tokens that one index holds.
 SHARD_TOKENS = 1 << 20
 
@@ -211,7 +214,7 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         counts = np.zeros(own.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         place = np.zeros(len(counts), np.int64)
         n = size = 0
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, most=BATCH_BYTES):
             ids, bounds = own.encode_all(texts)
             for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
                 x, here = ids[a:b], np.arange(a, b)
