@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, bpe_chunks, html_text, language_id, line_dedup, media_audio, ngram_join, packing, secret_scan, token_counts
+from . import ann_search, bpe_chunks, html_text, language_id, line_dedup, media_audio, mixing, ngram_join, packing, prefix_trie, secret_scan, token_alignment, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multiprobe_ann": ann_search.query,
@@ -19,9 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_audio": media_audio.query,
     "op9_secret_scan": secret_scan.query,
     "op10_ngram_jaccard_join": ngram_join.query,
+    "op11_token_alignment": token_alignment.query,
+    "op12_source_mixing": mixing.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op9_secret_scan": secret_scan.ORACLE,
+    "op12_source_mixing": mixing.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
