@@ -1,6 +1,6 @@
 """Alignment of two tokenizers' tokens of the same text, by Spark's relational operators.
 
-Each document is encoded twice where its partition is; both token lists are exploded with
+Each document is encoded twice where it is read; both token lists are exploded with
 their places, and running sums of byte lengths, by a window, give where each token ends.
 A full outer equi-join on document and end, done by grouping as both sides are one
 stream, gives a row for each place where any token ends.  Such a row is a link: between
@@ -9,7 +9,7 @@ there or later (a running ``last`` from the end of the text).  So links are foun
 pairing tokens within a group, however large that is.  Running counts of the places where
 both end are the group ids.
 
-Texts are dealt out once, by a number of their row, and everything up to a document's
+Ids are dealt out once, by a number of the row, and everything up to a document's
 result happens there.  Links are counted for each document and id pair before they are
 counted over the corpus.
 
@@ -23,22 +23,24 @@ null; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, dropped, free_memory, input_bytes, public_tokenizer, table, written
+from .common import SLICE_BYTES, input_bytes, public_tokenizer, record_batch, table, text_slices, written
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 #: Input bytes of a partition of texts.
 PARTITION_BYTES = 8 << 20
+#: What is taken from an id to make it a smallint, which bounds ids by 65,536.
+SHIFT = 1 << 15
 #: Id pairs whose counts are broadcast.
 BROADCAST_PAIRS = 500_000
 
-_TOKENS = "array<struct<id: int, length: int>>"
-
 
 def _path(name: str) -> str:
     return name if "/" in name else public_tokenizer(name)
@@ -103,32 +105,18 @@ def tokens_of(texts: list[str], names: tuple[str, str]) -> list[tuple[list[int],
 
 
 def _encoder(names: tuple[str, str]):
-    def run(text: pa.Array) -> pa.Array:
-        if isinstance(text, pa.ChunkedArray):
-            text = text.combine_chunks()
-        texts = [x or "" for x in text.to_pylist()]
-        ids: list[list[np.ndarray]] = [[], []]
-        start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= SLICE_BYTES // 4):
-                size += len(texts[stop])
-                stop += 1
-            for pair in tokens_of(texts[start:stop], names):
-                for side, x in zip(ids, pair, strict=True):
-                    side.append(np.array(x, np.int32))
-            start = stop
-        made = []
-        for name, side in zip(names, ids, strict=True):
-            flat = np.concatenate([*side, np.zeros(0, np.int32)])
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in side])]).astype(np.int32)
-            each = pa.StructArray.from_arrays([pa.array(flat, pa.int32()), pa.array(_side(name).lengths[flat], pa.int32())], ["id", "length"])
-            made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each))
-        free_memory()
-        return pa.StructArray.from_arrays(made, ["a", "b"])
-
-    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, f"struct<a: {_TOKENS}, b: {_TOKENS}>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("a", pa.list_(pa.int16())), ("b", pa.list_(pa.int16()))])
+        for batch, texts in text_slices(batches, most=SLICE_BYTES // 2):
+            pairs = tokens_of(texts.to_pylist(), names)
+            made = []
+            for side in zip(*pairs, strict=True):
+                flat = np.concatenate([np.array(x, np.int32) for x in side]) - SHIFT
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in side])])
+                made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int16())))
+            yield record_batch({"key": batch.column(0), "doc_id": batch.column(1), "a": made[0], "b": made[1]}, schema)
+
+    return run
 
 
 def places(docs: DataFrame, names: tuple[str, str] = (BYTE_BPE, PIECE_BPE)) -> DataFrame:
@@ -136,12 +124,14 @@ def places(docs: DataFrame, names: tuple[str, str] = (BYTE_BPE, PIECE_BPE)) -> D
     where tokens end, the ids of those that end there, the ids that lie before it, and
     how many cuts are there or later.  A document without tokens has one row of nulls."""
     many = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // PARTITION_BYTES + 1)
-    dealt = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartition(many, "key")
-    encoded = dealt.select("key", "doc_id", _encoder(names)("text").alias("t"))
-    sides = encoded.select("key", "doc_id", F.posexplode(F.array("t.a", "t.b")).alias("side", "tokens"))
-    tokens = sides.select("key", "doc_id", "side", F.posexplode_outer("tokens").alias("pos", "token"))
-    length = F.sum(F.col("token.length").cast("long")).over(Window.partitionBy("key", "side").orderBy("pos"))
-    ended = tokens.select("key", "doc_id", "side", "token.id", length.alias("end"))
+    texts = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    encoded = texts.mapInArrow(_encoder(names), "key long, doc_id long, a array<smallint>, b array<smallint>").repartition(many, "key")
+    sides = encoded.select("key", "doc_id", F.posexplode(F.array("a", "b")).alias("side", "ids"))
+    tokens = sides.select("key", "doc_id", "side", F.posexplode_outer("ids").alias("pos", "id")).withColumn("id", F.col("id").cast("int") + SHIFT)
+    lengths = [F.split(F.lit(",".join(map(str, _side(n).lengths.tolist()))), ",").cast("array<int>") for n in names]  # folded to one literal
+    length = F.when(F.col("side") == 0, F.get(lengths[0], F.col("id"))).otherwise(F.get(lengths[1], F.col("id")))
+    end = F.sum(length.cast("long")).over(Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    ended = tokens.select("key", "doc_id", "side", "id", end.alias("end"))
     # the full outer join of both sides on document and end: ends of one side differ
     met = ended.groupBy("key", "doc_id", "end").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("b"))
     back = Window.partitionBy("key").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
