@@ -44,6 +44,8 @@ def rows_of(frame) -> list[str]:
     """A pandas frame's rows as sorted text, columns by name, numbers to 6 places."""
     frame = frame[sorted(frame.columns)].copy()
     for c in frame.columns:
+        if frame[c].dtype.kind in "iu" and frame[c].isna().any():  # nullable integers are floats in Spark's frames
+            frame[c] = frame[c].astype("float64")
         if frame[c].dtype.kind == "f":
             frame[c] = frame[c].round(6) + 0.0
     return sorted(map(str, frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None)))
