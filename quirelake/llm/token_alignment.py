@@ -34,8 +34,10 @@ from .common import SLICE_BYTES, input_bytes, public_tokenizer, record_batch, ta
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
-#: Input bytes of a partition of texts.
-PARTITION_BYTES = 8 << 20
+#: Input bytes of a partition, of which each token becomes a row that is sorted, and
+#: partitions at most; beyond that they spill.
+PARTITION_BYTES = 1 << 20
+MOST_PARTITIONS = 50_000
 #: What is taken from an id to make it a smallint, which bounds ids by 65,536.
 SHIFT = 1 << 15
 #: Id pairs whose counts are broadcast.
@@ -123,7 +125,7 @@ def places(docs: DataFrame, names: tuple[str, str] = (BYTE_BPE, PIECE_BPE)) -> D
     """(key, doc_id, end, a, b, link_a, link_b, later): for each document, the places
     where tokens end, the ids of those that end there, the ids that lie before it, and
     how many cuts are there or later.  A document without tokens has one row of nulls."""
-    many = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // PARTITION_BYTES + 1)
+    many = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, input_bytes(docs) // PARTITION_BYTES + 1))
     texts = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     encoded = texts.mapInArrow(_encoder(names), "key long, doc_id long, a array<smallint>, b array<smallint>").repartition(many, "key")
     sides = encoded.select("key", "doc_id", F.posexplode(F.array("a", "b")).alias("side", "ids"))
