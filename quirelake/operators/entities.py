@@ -6,8 +6,6 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +13,10 @@ from ..functions import text as T
 from ..functions.vectors import Encoder
 from ..schema import ENTITY_TYPES, Graph, GraphError
 from ..sources.metadata import upsert
+from .clusters import THRESHOLD, cluster, greedy_clusters
+
+__all__ = ["THRESHOLD", "cluster", "greedy_clusters"]
 
-THRESHOLD = 0.85
 _PAPER = "paper_id string, entities array<struct<name: string, type: string>>, extraction_model string, extracted_at string"
 
 
@@ -146,66 +146,13 @@ def name_counts(mentions: DataFrame, seq: str = "seq") -> DataFrame:
     return mentions.groupBy("entity_type", "name").agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("first"))
 
 
-def greedy_clusters(vectors: np.ndarray, threshold: float = THRESHOLD, block: int = 1024) -> list[int]:
-    """For each vector in turn, the place of the founder it joins: the most similar
-    one so far if that reaches the threshold (ties to the earliest), else itself.
-
-    Blocks of vectors are compared with all founders before them at once, and with the
-    founders of their own block one after the other.
-    """
-    founders = np.empty_like(vectors)
-    places: list[int] = []
-    out: list[int] = []
-    for start in range(0, len(vectors), block):
-        own = vectors[start : start + block]
-        best, score = np.full(len(own), -1), np.full(len(own), -np.inf)
-        if places:
-            close = own @ founders[: len(places)].T
-            best = close.argmax(axis=1)
-            score = close[np.arange(len(own)), best]
-        among = own @ own.T
-        new: list[int] = []  # of this block, by their places in it
-        for i in range(len(own)):
-            at, top = int(best[i]), float(score[i])
-            if new:
-                k = int(among[i, new].argmax())
-                if among[i, new[k]] > top:
-                    at, top = -2 - new[k], float(among[i, new[k]])
-            if top >= threshold:
-                out.append(places[at] if at >= 0 else start - 2 - at)
-                continue
-            new.append(i)
-            out.append(start + i)
-        founders[len(places) : len(places) + len(new)] = own[new]
-        places += [start + i for i in new]
-    return out
-
-
-def cluster(rows: DataFrame, group: str, order: list, key: str, vector: str = "vector", threshold: float = THRESHOLD) -> DataFrame:
-    """(group, key, canonical): greedy clustering within each group in the given order.
-
-    Each answer depends on those before it, so a group is one task; that is the
-    operator's definition, and a group is a type's distinct names, not mentions.
-    """
-    kind, key_kind = rows.schema[group].dataType.simpleString(), rows.schema[key].dataType.simpleString()
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["__a", "__b"], kind="stable")
-        found = greedy_clusters(np.stack(part["__v"]).astype(np.float64), threshold)
-        keys = part[key].tolist()
-        return pd.DataFrame({group: part[group].tolist(), key: keys, "canonical": [keys[i] for i in found]})
-
-    a, b = (order + [F.lit(0)])[:2]
-    return rows.select(group, key, a.alias("__a"), b.alias("__b"), F.col(vector).alias("__v")).groupBy(group).applyInPandas(run, f"`{group}` {kind}, `{key}` {key_kind}, canonical {key_kind}")
-
-
 def resolve(mentions: DataFrame, encode: Callable | DataFrame, threshold: float = THRESHOLD, seq: str = "seq") -> DataFrame:
     """``mentions`` (seq, paper_id, name, entity_type, ...) with their canonical names:
     one row for each.  ``encode`` is a column function from names to vectors, or a table
     (name, vector) of stored ones, which must have all names."""
     names = name_counts(mentions, seq)
     names = names.join(encode, "name") if isinstance(encode, DataFrame) else names.withColumn("vector", encode("name"))
-    found = cluster(names, "entity_type", [-F.col("n"), F.to_json(F.struct(F.col("first")))] if mentions.schema[seq].dataType.typeName() == "struct" else [-F.col("n"), F.col("first")], "name", "vector", threshold)
+    found = cluster(names, "entity_type", [-F.col("n"), F.col("first"), F.col("name")], "name", "vector", threshold)
     return mentions.join(found, ["entity_type", "name"]).select("paper_id", "entity_type", F.col("canonical").alias("name"), T.normalize_entity("canonical").alias("normalized_name"), F.col("name").alias("raw_name"), "extraction_model", "extracted_at", seq)
 
 

@@ -271,20 +271,25 @@ def missing_embedding(papers: DataFrame, embeddings: DataFrame, name: str = "emb
     return found if limit is None else found.limit(limit)
 
 
-def shard_numbers(papers: DataFrame, size: int = 1000) -> DataFrame:
-    """``papers`` with ``shard``: exactly ``size`` rows each, in order of id.
+def numbered(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """``rows`` with ``name``: their places from 0 in the given order.
 
     The sorted ranges are written with each row's place in its range, which with the
     sizes of the ranges before gives its place among all: no window over all rows is
     needed, and both steps see the same ranges.
     """
     place = F.monotonically_increasing_id()  # the range above bit 33, the place in it below
-    ranged = written(papers.repartitionByRange("arxiv_id").sortWithinPartitions("arxiv_id").withColumn("__place", place), "ranges")
+    ranged = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", place), "ranges")
     part = F.shiftright("__place", 33)
     counts = ranged.groupBy(part.alias("__part")).count()  # a row for each range
     before = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     own = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("shard", F.floor((F.col("__before") + own) / size).cast("int")).drop("__part", "__before", "__place")
+    return ranged.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + own).drop("__part", "__before", "__place")
+
+
+def shard_numbers(papers: DataFrame, size: int = 1000) -> DataFrame:
+    """``papers`` with ``shard``: exactly ``size`` rows each, in order of id."""
+    return numbered(papers, "arxiv_id", name="shard").withColumn("shard", F.floor(F.col("shard") / size).cast("int"))
 
 
 def write_shards(papers: DataFrame, path: str, size: int = 1000) -> None:
