@@ -1,7 +1,7 @@
 """Command line over a folder of graph tables: ``python -m quirelake COMMAND ...``.
 
 Retrieval: search, by-id, by-author, by-category, by-year, fulltext, entities,
-entity-papers, paper-entities, expand, stats, index.  Ingestion: schema, load, embed,
+entity-papers, paper-entities, expand, stats, index, index-vectors.  Ingestion: schema, load, embed,
 validate, ingest-all.  Extraction: export, extract, pending, resolve, merge,
 extract-all.  Batches: batch-submit, batch-status, batch-collect, batch-run.
 Evaluation: generate, evaluate, evaluate-expansion, evaluate-entities, latency.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .functions import vectors as V
 from .functions.text import paper_text, preview
-from .operators import entities, evaluate, expand, extraction, fulltext, search, stats
+from .operators import entities, evaluate, expand, extraction, fulltext, search, stats, vector_index
 from .schema import Graph, GraphError
 from .session import spark_session
 from .sources import metadata
@@ -47,13 +47,14 @@ def parser() -> argparse.ArgumentParser:
     add("embed", ("--all", {"action": "store_true"}), limit)
     add("validate")
     add("stats")
-    add("search", ("query", {}), ("--top-k", {"type": int, "default": 5}), ("--related", {"type": int, "default": 5}))
+    add("search", ("query", {}), ("--top-k", {"type": int, "default": 5}), ("--related", {"type": int, "default": 5}), ("--index", {"help": "folder that index-vectors wrote"}))
     add("by-id", ("id", {}), ("--related", {"type": int, "default": 5}))
     add("by-author", ("name", {}), limit)
     add("by-category", ("code", {}), limit)
     add("by-year", ("start", {"type": int}), ("end", {"type": int, "nargs": "?"}), limit)
     add("fulltext", ("query", {}), ("--index", {"help": "folder that index wrote"}), limit)
     add("index", ("target", {}))
+    add("index-vectors", ("target", {}), ("--cells", {"type": int}))
     add("schema", ("--database", {"default": "default"}))
     add("ingest-all", ("source", {}), ("--checkpoint", {"required": True}), ("--replace-edges", {"action": "store_true"}))
     add("entities", kind, ("--contains", {}), limit)
@@ -197,11 +198,16 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[list[DataFrame],
     if command == "index":
         fulltext.write_index(g.papers, args.target)
         return [], 0
+    if command == "index-vectors":
+        vectors = g.embeddings.filter("property = 'embedding'").select(F.col("arxiv_id").alias("key"), "vector")
+        index = vector_index.write(vectors, args.target, args.cells)
+        return [spark.createDataFrame([(len(index.cells), int(index.rows.sum()))], "cells long, vectors long")], 0
     if command == "fulltext" and args.index:
         return [fulltext.search_index(*fulltext.read_index(spark, args.index), args.query, limit=args.limit)], 0
     if command == "search":
         vector = V.encode_query(encoder, args.query)
-        return list(expand.search_and_expand(g, vector, args.top_k, related_limit=args.related)), 0
+        index = vector_index.read(spark, args.index) if args.index else None
+        return list(expand.search_and_expand(g, vector, args.top_k, index, related_limit=args.related)), 0
     if command == "by-id":
         return [search.paper_detail(g, args.id), *expand.expand_paper(g, args.id, related_limit=args.related)], 0
     if command == "export":

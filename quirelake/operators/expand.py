@@ -102,11 +102,12 @@ def expand(graph: Graph, seeds: Sequence, query: Sequence[float] | None = None,
     return seed_context(graph, seeds), ranked.select("arxiv_id", "title", "shared_authors", "shared_categories", "score", "rank")
 
 
-def search_and_expand(graph: Graph, query: Sequence[float], top_k: int = 5, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The nearest papers, and the expansion of them with the same query."""
+def search_and_expand(graph: Graph, query: Sequence[float], top_k: int = 5, index=None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nearest papers, by a stored vector ``index`` if there is one, and the
+    expansion of them with the same query."""
     from .search import vector_search
 
-    hits = vector_search(graph, query, top_k)
+    hits = vector_search(graph, query, top_k, index=index)
     seeds = [r.arxiv_id for r in hits.select("arxiv_id").collect()]  # top_k ids
     return (hits, *expand(graph, seeds, query, **options))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.text import normalize_name
 from ..schema import Graph, GraphError
+from . import vector_index as VI
 
 
 def _limit(name: str, value: int, most: int) -> int:
@@ -98,12 +99,16 @@ def paper_detail(graph: Graph, arxiv_id=None) -> DataFrame:
     return only(graph.papers).join(authors, "arxiv_id").join(categories, "arxiv_id").join(versions, "arxiv_id").join(journal, "arxiv_id", "left")
 
 
-def vector_search(graph: Graph, query: Sequence[float], top_k: int = 5, name: str = "embedding") -> DataFrame:
+def vector_search(graph: Graph, query: Sequence[float], top_k: int = 5, name: str = "embedding", index: VI.VectorIndex | None = None, probes: int | None = None) -> DataFrame:
     """(arxiv_id, score) of the nearest papers, by cosine on a scale from 0 to 1.
 
-    Exact: one pass over the vectors, of which each task keeps its own best.
+    Exact: one pass over the vectors, of which each task keeps its own best.  With a
+    stored ``index`` the cells that could hold one of the best are read, or the nearest
+    ``probes`` of them, which may miss some.
     """
     _limit("top_k", top_k, 50)
+    if index is not None:
+        return VI.search(index, [float(x) for x in query], top_k, probes or VI.PROBES, exact=probes is None).withColumnRenamed("key", "arxiv_id")
     query = [float(x) for x in query]
     own = V.literal(query)
     right = graph.embeddings.filter((F.col("property") == name) & F.col("vector").isNotNull())

@@ -15,6 +15,7 @@ from ..operators import expand as X
 from ..operators import fulltext as FT
 from ..operators import search as S
 from ..operators import stats as ST
+from ..operators import vector_index as VI
 from ..schema import RAW, Graph
 from ..scratch import new_path
 from ..sources import metadata as M
@@ -201,6 +202,14 @@ def vector_by_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.vector_search(graph(spark, sf_dir), _first_vector(spark, sf_dir, 7), 20).select("arxiv_id", F.round("score", 6).alias("score"))
 
 
+@query("vector_index_topk", f"WITH {_NEAR.format(11)} SELECT arxiv_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, arxiv_id LIMIT 20")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors by a stored index, from the cells that could hold one."""
+    g = graph(spark, sf_dir)
+    index = VI.write(g.embeddings.select(F.col("arxiv_id").alias("key"), "vector"), new_path(spark, "vector-index"))
+    return S.vector_search(g, _first_vector(spark, sf_dir, 11), 20, index=index).select("arxiv_id", F.round("score", 6).alias("score"))
+
+
 _BM25 = r"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS m FROM t),
 c AS (SELECT doc_id, len(w) AS l, unnest(['license', 'version', 'apache']) AS q, w FROM t), f AS (SELECT doc_id, l, q, len(list_filter(w, lambda x: x = q)) AS tf FROM c),
 d AS (SELECT q, count(*) AS df FROM f WHERE tf > 0 GROUP BY q),

@@ -30,6 +30,8 @@ def test_commands(spark, tmp_path, capsys):
     assert call("by-category", "zz")[0] == 2
     assert call("index", str(tmp_path / "index"))[0] == 0
     assert call("fulltext", "graph +about", "--index", str(tmp_path / "index"))[1] == call("fulltext", "graph +about")[1]
+    assert "4" in call("index-vectors", str(tmp_path / "vectors"))[1]
+    assert call("search", "graph paper 1", "--index", str(tmp_path / "vectors"))[1] == call("search", "graph paper 1")[1]
     assert call("generate", str(tmp_path / "eval"))[0] == 0
     record = str(tmp_path / "results.jsonl")
     for command in (["evaluate", "--eval-file", str(tmp_path / "eval"), "--eval-file", str(tmp_path / "nowhere")], ["evaluate-expansion"], ["evaluate-entities"], ["latency", str(tmp_path / "eval"), "--times", "2", "--seeds", "1"]):
