@@ -2,7 +2,7 @@
 
 Retrieval: search, by-id, by-author, by-category, by-year, fulltext, entities,
 entity-papers, paper-entities, expand, stats, index, index-vectors.  Ingestion: schema, load, embed,
-validate, ingest-all.  Extraction: export, extract, pending, resolve, merge,
+validate, ingest-all, vacuum, rebucket.  Extraction: export, extract, usage, pending, resolve, merge,
 extract-all.  Batches: batch-submit, batch-status, batch-collect, batch-run.
 Evaluation: generate, evaluate, evaluate-expansion, evaluate-entities, latency.
 
@@ -25,7 +25,7 @@ from .functions.text import paper_text, preview
 from .operators import entities, evaluate, expand, extraction, fulltext, search, stats, vector_index
 from .schema import Graph, GraphError
 from .session import spark_session
-from .sources import metadata
+from .sources import metadata, tables
 from .streaming import ingest
 
 
@@ -53,6 +53,8 @@ def parser() -> argparse.ArgumentParser:
     add("by-category", ("code", {}), limit)
     add("by-year", ("start", {"type": int}), ("end", {"type": int, "nargs": "?"}), limit)
     add("fulltext", ("query", {}), ("--index", {"help": "folder that index wrote"}), limit)
+    add("vacuum", ("--keep", {"type": int, "default": 1}))
+    add("rebucket", ("buckets", {"type": int}))
     add("index", ("target", {}))
     add("index-vectors", ("target", {}), ("--cells", {"type": int}))
     add("schema", ("--database", {"default": "default"}))
@@ -65,10 +67,12 @@ def parser() -> argparse.ArgumentParser:
     add("pending", ("shards", {}), ("extracted", {}))
     model = (("--client", {"default": "quirelake.operators.extraction:phrases_client"}), ("--model", {"default": "stand-in"}))
     per = ("--papers-per-request", {"type": int, "default": 1})
-    add("extract", ("shard", {}), ("output", {}), *model, per, ("--no-resume", {"action": "store_true"}))
+    at_once = ("--window", {"type": int, "default": 1, "help": "requests of a task at a time"})
+    add("extract", ("shard", {}), ("output", {}), *model, per, at_once, ("--no-resume", {"action": "store_true"}))
+    add("usage", ("output", {}))
     add("resolve", ("extracted", {}), ("target", {}), ("--threshold", {"type": float, "default": entities.THRESHOLD}))
     add("merge", ("resolved", {}))
-    add("extract-all", ("work", {}), *model, per, ("--threshold", {"type": float, "default": entities.THRESHOLD}))
+    add("extract-all", ("work", {}), *model, per, at_once, ("--threshold", {"type": float, "default": entities.THRESHOLD}))
     service = ("--service", {"required": True, "help": "folder of the batch service"})
     answered = ("--answer", {"action": "store_true", "help": "let the client answer at once"})
     add("batch-submit", ("shards", {}), service, answered, *model, ("--chunk", {"type": int, "default": extraction.CHUNK}))
@@ -84,11 +88,6 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _save(spark: SparkSession, graph: Graph, path: str) -> None:
-    last = ingest.newest(spark, path)
-    ingest.store(spark, graph, path, 0 if last is None else last + 1)
-
-
 def _client(name: str) -> extraction.Client:
     module, _, function = name.partition(":")
     return getattr(importlib.import_module(module), function)
@@ -105,8 +104,10 @@ def _extraction(spark: SparkSession, args: argparse.Namespace) -> tuple[list[Dat
     """Commands that need no graph: extraction of shards and batches."""
     command = args.command
     if command == "extract":
-        n = extraction.extract_shard(spark, args.shard, args.output, _client(args.client), args.model, args.papers_per_request, not args.no_resume)
+        n = extraction.extract_shard(spark, args.shard, args.output, _client(args.client), args.model, args.papers_per_request, not args.no_resume, args.window)
         return [spark.createDataFrame([(n,)], "extracted long")], 0
+    if command == "usage":
+        return [extraction.usage(spark, args.output)], 0
     if not command.startswith("batch-"):
         return None
     service = extraction.FolderService(spark, args.service, _client(args.client) if getattr(args, "answer", False) else None)
@@ -152,9 +153,9 @@ def _resolved(spark: SparkSession, extracted: str, target: str, threshold: float
 
 
 def _merged(spark: SparkSession, g: Graph, path: str, resolved: str) -> DataFrame:
-    merged, sent = entities.merge_resolved(g, entities.read_resolved(spark, resolved))
-    _save(spark, merged, path)
-    return sent
+    rows = entities.read_resolved(spark, resolved)
+    tables.put(spark, path, entities.resolved_rows(g, rows))
+    return entities.sent(rows)
 
 
 def _embedded(spark: SparkSession, path: str, dim: int, every: bool = False) -> None:
@@ -162,7 +163,7 @@ def _embedded(spark: SparkSession, path: str, dim: int, every: bool = False) ->
     papers = metadata.eligible(g.papers) if every else metadata.missing_embedding(g.papers, g.embeddings)
     encode = V.encode_udf(lambda: V.hashing_encoder(dim))
     new = papers.select("arxiv_id", F.lit("embedding").alias("property"), encode(paper_text("title", "abstract")).alias("vector"), F.lit("hashing").alias("model"))
-    _save(spark, Graph(**{**g.tables(), "embeddings": metadata.update_embeddings(g.embeddings, new, g.papers)}), path)
+    tables.put(spark, path, Graph(embeddings=new))
 
 
 def _validated(g: Graph) -> int:
@@ -188,6 +189,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[list[DataFrame],
         return [spark.createDataFrame([(n,)], "loaded long")], 0
     g = ingest.current(spark, path)
     encoder = V.hashing_encoder(args.dimension)
+    if command == "vacuum":
+        return [spark.createDataFrame([(tables.vacuum(spark, path, args.keep),)], "buckets long")], 0
+    if command == "rebucket":
+        return [spark.createDataFrame([(tables.rebucket(spark, path, args.buckets),)], "version long")], 0
     if command == "embed":
         _embedded(spark, path, args.dimension, args.all)
         return [spark.createDataFrame([("embedded",)], "done string")], 0
@@ -222,7 +227,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[list[DataFrame],
         return [_merged(spark, g, path, args.resolved)], 0
     if command == "extract-all":
         metadata.write_shards(metadata.export_papers(g.papers), f"{args.work}/shards")
-        extraction.extract_shard(spark, f"{args.work}/shards", f"{args.work}/all.extracted.jsonl", _client(args.client), args.model, args.papers_per_request)
+        extraction.extract_shard(spark, f"{args.work}/shards", f"{args.work}/all.extracted.jsonl", _client(args.client), args.model, args.papers_per_request, window=args.window)
         _resolved(spark, args.work, f"{args.work}/resolved", args.threshold, args.dimension)
         return [_merged(spark, g, path, f"{args.work}/resolved")], 0
     short = lambda df: df.withColumn("abstract", preview("abstract")) if "abstract" in df.columns else df

@@ -69,19 +69,25 @@ def last_mention(rows: DataFrame, seq: str = "seq") -> DataFrame:
     return last.select("arxiv_id", "entity_type", "normalized_name", *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
-def merge_resolved(graph: Graph, rows: DataFrame, seq: str = "seq") -> tuple[Graph, DataFrame]:
-    """``graph`` with resolved mentions put in, and the counts (entity_type, entities,
-    mentions) of what was sent.
-
-    A new entity takes the last name of its rows, but one that is there keeps its
-    own.  An edge takes its last row; both its ends must exist.
-    """
+def resolved_rows(graph: Graph, rows: DataFrame, seq: str = "seq") -> Graph:
+    """The entities and mentions that resolved mentions put into ``graph``: an entity
+    has the last name of its rows, and an edge, both of whose ends must exist, its last
+    row."""
     entities = rows.groupBy("entity_type", "normalized_name").agg(F.max_by("name", seq).alias("name"))
-    merged = upsert(graph.entities, entities, "entities", ("name",))
     mentions = last_mention(rows, seq).join(graph.papers.select("arxiv_id"), "arxiv_id", "left_semi")
-    sent = rows.groupBy("entity_type").agg(F.countDistinct("normalized_name").alias("entities"), F.count(F.lit(1)).alias("mentions"))
-    made = Graph(**{**graph.tables(), "entities": merged, "mentions": upsert(graph.mentions, mentions.select(*graph.mentions.columns), "mentions")})
-    return made, sent
+    return Graph(entities=entities, mentions=mentions.select(*graph.mentions.columns))
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """The counts (entity_type, entities, mentions) of resolved mentions."""
+    return rows.groupBy("entity_type").agg(F.countDistinct("normalized_name").alias("entities"), F.count(F.lit(1)).alias("mentions"))
+
+
+def merge_resolved(graph: Graph, rows: DataFrame, seq: str = "seq") -> tuple[Graph, DataFrame]:
+    """``graph`` with resolved mentions put in, and the counts of what was sent.  An
+    entity that is there keeps its own name."""
+    new = resolved_rows(graph, rows, seq)
+    return Graph(**{**graph.tables(), "entities": upsert(graph.entities, new.entities, "entities", ("name",)), "mentions": upsert(graph.mentions, new.mentions, "mentions")}), sent(rows)
 
 
 def read_extractions(spark: SparkSession, path: str) -> DataFrame:
@@ -186,4 +192,5 @@ def extract_until_done(shards: DataFrame, read: Callable[[], DataFrame], submit:
 
 def token_usage(calls: DataFrame) -> DataFrame:
     """(prompt_tokens, completion_tokens, calls) in all."""
-    return calls.agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.count(F.lit(1)).alias("calls"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return calls.agg(total("prompt_tokens"), total("completion_tokens"), F.count(F.lit(1)).alias("calls"))

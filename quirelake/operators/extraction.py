@@ -1,32 +1,42 @@
 """Extraction of entities by a model: directly, and through a batch service.
 
-A client is a callable (prompt, most tokens) -> answer that can be sent to workers; a
-service keeps a batch's requests until it has answers.  Both are passed in.
+A client is a callable (prompt, most tokens) -> answer that can be sent to workers and
+called by several threads; a service keeps a batch's requests until it has answers.  Both are passed in.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import time
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from concurrent.futures import ThreadPoolExecutor
+from datetime import UTC, datetime
+from typing import NamedTuple, Protocol
 
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import GraphError
+from ..scratch import dropped, written
+from ..sources import files
 from ..sources.metadata import read_mark, shard_numbers, write_mark
-from .entities import batch_requests, batch_results, needs_extraction, read_papers, read_shards
+from .entities import batch_requests, batch_results, needs_extraction, read_papers, read_shards, token_usage
 
-Client = Callable[[str, int], str]
+Client = Callable[[str, int], "str | Answer"]
 #: Tokens of an answer: for each paper, and in all.
 PAPER_TOKENS, MOST_TOKENS = 512, 4096
-#: Papers of one batch of a service, and that one write of direct extraction keeps.
-CHUNK, COMMIT = 1500, 10_000
+#: Papers of one batch of a service, and answers of one file of a task's log (1 where a
+#: store shows what is written only when the file is closed).
+CHUNK, SEGMENT = 1500, 100
+LOGGED = "request string, ids array<string>, extraction_model string, answer string, input_tokens long, output_tokens long, extracted_at string"
 
 
 def phrases_client(prompt: str, max_tokens: int) -> str:
@@ -39,66 +49,179 @@ def phrases_client(prompt: str, max_tokens: int) -> str:
     return json.dumps({"papers": [{"index": int(i), "entities": json.loads(phrases_client("Title:" + text, max_tokens))["entities"]} for i, text in zip(papers[::2], papers[1::2], strict=True)]})
 
 
-def _stamped(rows: DataFrame, model: str) -> DataFrame:
-    return rows.select("paper_id", "entities", F.lit(model).alias("extraction_model"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("extracted_at"))
+class Answer(NamedTuple):
+    """A client's answer with what it used; a client may give the text alone."""
 
+    text: str
+    input_tokens: int = 0
+    output_tokens: int = 0
 
-def extract(papers: DataFrame, client: Client, model: str, per_request: int = 1) -> DataFrame:
-    """Extraction rows of ``papers`` (arxiv_id, title, abstract) in order of id, with
-    ``per_request`` papers in a prompt.  What the client can't do, or answers in no
-    usable form, gives no entities."""
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            answers = []
-            for prompt, tokens in zip(part["prompt"], part["tokens"], strict=True):
-                try:
-                    answers.append(client(prompt, int(tokens)))
-                except Exception:  # noqa: BLE001  a model's failure is an empty answer
-                    answers.append("")
-            yield pd.DataFrame({"ids": part["ids"], "answer": answers})
-
-    kind = papers.schema["arxiv_id"].dataType.simpleString()
+
+def _requests(papers: DataFrame, per_request: int) -> DataFrame:
+    """(ids, prompt, tokens): ``per_request`` papers in a prompt, in order of id."""
     hinted = papers.select("arxiv_id", "title", "abstract", T.candidate_phrases("abstract").alias("candidates"))
     if per_request == 1:
-        asked = hinted.select(F.array("arxiv_id").alias("ids"), T.user_prompt("title", "abstract", "candidates").alias("prompt"), F.lit(PAPER_TOKENS).alias("tokens"))
-    else:
-        grouped = shard_numbers(hinted, per_request).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("arxiv_id", "title", "abstract", "candidates"))).alias("p"))
-        own = F.transform("p", lambda x: x["arxiv_id"])
-        # one paper alone gets the prompt for one
-        alone = T.user_prompt(F.col("p")[0]["title"], F.col("p")[0]["abstract"], F.col("p")[0]["candidates"])
-        asked = grouped.select(own.alias("ids"), F.when(F.size("p") == 1, alone).otherwise(T.batch_prompt(F.col("p"))).alias("prompt"), F.least(F.size("p") * PAPER_TOKENS, F.lit(MOST_TOKENS)).alias("tokens"))
-    told = asked.mapInPandas(ask, f"ids array<{kind}>, answer string")
+        return hinted.select(F.array("arxiv_id").alias("ids"), T.user_prompt("title", "abstract", "candidates").alias("prompt"), F.lit(PAPER_TOKENS).alias("tokens"))
+    grouped = shard_numbers(hinted, per_request).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("arxiv_id", "title", "abstract", "candidates"))).alias("p"))
+    own = F.transform("p", lambda x: x["arxiv_id"])
+    # one paper alone gets the prompt for one
+    alone = T.user_prompt(F.col("p")[0]["title"], F.col("p")[0]["abstract"], F.col("p")[0]["candidates"])
+    return grouped.select(own.alias("ids"), F.when(F.size("p") == 1, alone).otherwise(T.batch_prompt(F.col("p"))).alias("prompt"), F.least(F.size("p") * PAPER_TOKENS, F.lit(MOST_TOKENS)).alias("tokens"))
+
+
+def _asked(client: Client, prompt: str, tokens: int) -> Answer:
+    try:
+        found = client(prompt, tokens)
+    except Exception:  # noqa: BLE001  a model's failure is an empty answer
+        return Answer("")
+    return found if isinstance(found, Answer) else Answer(found)
+
+
+class _Log:
+    """A task's answers as JSON lines in a folder of its partition: each is flushed as
+    it is written, and a file has ``SEGMENT`` of them at most."""
+
+    def __init__(self, uri: str, partition: int):
+        self.fs, where = fs.FileSystem.from_uri(uri)
+        self.folder, self.stream, self.left = f"{where}/p={partition}", None, 0
+        self.fs.create_dir(self.folder, recursive=True)
+
+    def before(self) -> dict[str, dict]:
+        """What earlier attempts of this task have been answered, by request."""
+        found = {}
+        for info in self.fs.get_file_info(fs.FileSelector(self.folder)):
+            with self.fs.open_input_stream(info.path) as file:
+                for line in file.read().decode(errors="replace").split("\n"):
+                    try:
+                        row = json.loads(line)
+                        found[row["request"]] = row
+                    except ValueError:  # the last line of an attempt that ended in it
+                        continue
+        return found
+
+    def add(self, row: dict) -> None:
+        if not self.left:
+            self.close()
+            self.stream, self.left = self.fs.open_output_stream(f"{self.folder}/{uuid.uuid4().hex}.jsonl"), SEGMENT
+        self.stream.write(json.dumps(row).encode() + b"\n")
+        self.stream.flush()
+        self.left -= 1
+
+    def close(self) -> None:
+        if self.stream is not None:
+            self.stream.close()
+
+
+def _asker(client: Client, window: int, model: str, log: str | None):
+    """Asks a task's requests, ``window`` of them at a time; answers come in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = _Log(log, TaskContext.get().partitionId()) if log else None
+        known = own.before() if own else {}
+        with ThreadPoolExecutor(window) as pool:
+            try:
+                for part in batches:
+                    waiting: deque = deque()
+                    rows: list[dict] = []
+
+                    def next_answer(waiting=waiting, rows=rows) -> None:
+                        row, answer = waiting.popleft()
+                        if answer is not None:
+                            found = answer.result()
+                            row |= {"answer": found.text, "input_tokens": found.input_tokens, "output_tokens": found.output_tokens, "extracted_at": datetime.now(UTC).isoformat(timespec="seconds")}
+                            if own:
+                                own.add(row)
+                        rows.append(row)
+
+                    for ids, prompt, tokens in zip(part["ids"], part["prompt"], part["tokens"], strict=True):
+                        ids = [str(x) for x in ids]
+                        request = hashlib.sha256("\n".join(ids).encode()).hexdigest()
+                        if request in known:
+                            waiting.append((known[request], None))
+                        else:
+                            waiting.append(({"request": request, "ids": ids, "extraction_model": model}, pool.submit(_asked, client, prompt, int(tokens))))
+                        if len(waiting) >= window:
+                            next_answer()
+                    while waiting:
+                        next_answer()
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in LOGGED.split(", ")])
+            finally:
+                if own:
+                    own.close()
+
+    return run
+
+
+def _rows_of(answers: DataFrame, per_request: int) -> DataFrame:
+    """Extraction rows of answers (ids, answer, extraction_model, extracted_at); an
+    answer in no usable form gives no entities."""
     several = T.parse_batch_entities("answer", per_request)
     entities = F.when(F.size("ids") == 1, F.array(T.parse_entities("answer"))).otherwise(several)
-    each = told.select("ids", entities.alias("entities")).select(F.posexplode("ids").alias("i", "paper_id"), "entities").select("paper_id", F.get("entities", F.col("i")).alias("entities"))
-    return _stamped(each, model).orderBy("paper_id")
+    each = answers.withColumn("entities", entities).select(F.posexplode("ids").alias("i", "paper_id"), "entities", "extraction_model", "extracted_at")
+    return each.select("paper_id", F.get("entities", F.col("i")).alias("entities"), "extraction_model", "extracted_at")
 
 
-def extract_shard(spark: SparkSession, shard: str, output: str, client: Client, model: str, per_request: int = 1, resume: bool = True, commit: int = COMMIT) -> int:
+def extract(papers: DataFrame, client: Client, model: str, per_request: int = 1, window: int = 1) -> DataFrame:
+    """Extraction rows of ``papers`` (arxiv_id, title, abstract) in order of id, with
+    ``per_request`` papers in a prompt and ``window`` requests of a task at a time.
+    What the client can't do, or answers in no usable form, gives no entities."""
+    kind = papers.schema["arxiv_id"].dataType
+    told = _requests(papers, per_request).mapInPandas(_asker(client, window, model, None), LOGGED)
+    rows = _rows_of(told, per_request)
+    return rows.withColumn("paper_id", F.col("paper_id").cast(kind)).orderBy("paper_id")
+
+
+def _commit(spark: SparkSession, output: str, log: str, per_request: int) -> int:
+    """Puts the log's answers into ``output``, those of papers that it doesn't have, and
+    what they used beside it; how many papers."""
+    if not any(files.names(spark, f"{log}/{p}") for p in files.names(spark, log)):
+        return 0
+    lines = spark.read.text(f"{log}/*/*.jsonl").select(F.from_json("value", LOGGED).alias("r")).select("r.*").filter(F.col("request").isNotNull() & F.col("answer").isNotNull())
+    answers = written(lines.dropDuplicates(["request"]), "answers")
+    for target, found, key in ((f"{output}_usage", answers.select("request", F.size("ids").alias("papers"), "extraction_model", "input_tokens", "output_tokens"), "request"), (output, _rows_of(answers, per_request), "paper_id")):
+        if files.exists(spark, target):
+            found = found.join(spark.read.schema(f"{key} string").json(target), key, "left_anti")
+        if target == output:
+            found = written(found.dropDuplicates(["paper_id"]), "extracted")
+            n = found.count()
+        found.sortWithinPartitions(key).write.mode("append").json(target)
+    dropped(answers, found)
+    files.delete(spark, log)
+    return n
+
+
+def extract_shard(spark: SparkSession, shard: str, output: str, client: Client, model: str, per_request: int = 1, resume: bool = True, window: int = 1) -> int:
     """Appends the extraction rows of a shard's papers to ``output``, a folder named
-    ``*.extracted.jsonl``, ``commit`` papers at a time; how many there were.  With
-    ``resume`` papers that it has are left out, else it is begun anew."""
-    papers = read_shards(spark, shard).dropDuplicates(["arxiv_id"])
-    total, mode = 0, "append" if resume else "overwrite"
-    last = None
-    while True:
-        left = papers
-        if resume and _exists(spark, output):
-            left = left.join(spark.read.schema("paper_id string").json(output).select(F.col("paper_id").alias("arxiv_id")), "arxiv_id", "left_anti")
-        if last is not None:
-            left = left.filter(F.col("arxiv_id") > last)
-        part = left.orderBy("arxiv_id").limit(commit)
-        ends = part.agg(F.count(F.lit(1)).alias("n"), F.max("arxiv_id").alias("last")).first()
-        if not ends["n"]:
-            return total
-        extract(part, client, model, per_request).write.mode(mode).json(output)
-        total, last, mode = total + ends["n"], ends["last"], "append"
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    ``*.extracted.jsonl``; how many papers were asked about.
+
+    Each task asks ``window`` requests at a time and logs every answer as it comes in
+    ``<output>_log``; an attempt that is run again reads the log of the one before.  The
+    log is put into ``output`` at the end, or when the next call begins, so a run that
+    fails loses no answer.  With ``resume`` papers that ``output`` has are left out,
+    else it is begun anew.
+    """
+    log = f"{output}_log"
+    if not resume:
+        for old in (log, output, f"{output}_usage"):
+            files.delete(spark, old)
+    _commit(spark, output, log, per_request)
+    left = read_shards(spark, shard).dropDuplicates(["arxiv_id"])
+    if files.exists(spark, output):
+        left = left.join(spark.read.schema("paper_id string").json(output).select(F.col("paper_id").alias("arxiv_id")), "arxiv_id", "left_anti")
+    asked = written(_requests(left, per_request), "requests")
+    if asked.limit(1).count():
+        where = files.qualified(spark, log)
+        asked.mapInPandas(_asker(client, window, model, where), LOGGED).write.format("noop").mode("overwrite").save()
+    dropped(asked)
+    return _commit(spark, output, log, per_request)
+
+
+def usage(spark: SparkSession, output: str) -> DataFrame:
+    """(prompt_tokens, completion_tokens, calls) of all requests that ``output`` is
+    made of, each once however often its task was run."""
+    kinds = "request string, input_tokens long, output_tokens long"
+    rows = spark.read.schema(kinds).json(f"{output}_usage") if files.exists(spark, f"{output}_usage") else spark.createDataFrame([], kinds)
+    return token_usage(rows.dropDuplicates(["request"]).select(F.col("input_tokens").alias("prompt_tokens"), F.col("output_tokens").alias("completion_tokens")))
 
 
 class BatchService(Protocol):
@@ -140,14 +263,14 @@ class FolderService:
         return batch
 
     def status(self, batch: str) -> dict:
-        if not _exists(self.spark, f"{self.path}/{batch}/requests"):
+        if not files.exists(self.spark, f"{self.path}/{batch}/requests"):
             return {"status": "failed", "total": 0, "completed": 0}
-        done = _exists(self.spark, f"{self.path}/{batch}/results/_SUCCESS")
+        done = files.exists(self.spark, f"{self.path}/{batch}/results/_SUCCESS")
         total = self.spark.read.text(f"{self.path}/{batch}/requests").count()
         return {"status": "completed" if done else "in_progress", "total": total, "completed": total if done else 0}
 
     def results(self, batch: str) -> DataFrame | None:
-        return self.spark.read.text(f"{self.path}/{batch}/results") if _exists(self.spark, f"{self.path}/{batch}/results") else None
+        return self.spark.read.text(f"{self.path}/{batch}/results") if files.exists(self.spark, f"{self.path}/{batch}/results") else None
 
 
 def pending(spark: SparkSession, shards: str, extracted: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ RAW = """id string, submitter string, authors string, title string, comments str
 abstract string, versions array<struct<version: string, created: string>>, update_date string,
 authors_parsed array<array<string>>"""
 
-#: Columns of each table; the first ones up to the bar are its key.
+#: Key and columns of each table; fixed values, as readers know them by these names.
 TABLES: dict[str, tuple[list[str], str]] = {
     "papers": (["arxiv_id"], "arxiv_id string, title string, abstract string, comments string, doi string, license string, update_date date, first_submitted_at timestamp, latest_version string, version_count int, source string"),
     "authors": (["author_id"], "author_id string, display_name string, family_name string, given_names string, suffix string, normalized_name string"),
@@ -64,19 +64,6 @@ def empty(spark: SparkSession) -> Graph:
     return Graph(**{name: spark.createDataFrame([], ddl) for name, (_, ddl) in TABLES.items()})
 
 
-def read(spark: SparkSession, path: str) -> Graph:
-    """A graph from the Parquet tables below ``path``."""
-    return Graph(**{name: spark.read.schema(ddl).parquet(f"{path}/{name}") for name, (_, ddl) in TABLES.items()})
-
-
-def write(graph: Graph, path: str) -> None:
-    """Writes the tables; sorted by key within files, so that point look-ups skip
-    row groups by their least and greatest values, and mentions split by type."""
-    for name, df in graph.tables().items():
-        out = df.sortWithinPartitions(*TABLES[name][0]).write.mode("overwrite")
-        out.parquet(f"{path}/{name}")
-
-
 class GraphError(ValueError):
     """An argument that a query rejects; ``code`` is its stable name."""
 

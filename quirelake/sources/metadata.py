@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 
@@ -10,7 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import RAW, TABLES, Graph, GraphError
-from ..scratch import written
+from ..scratch import dropped, written
+from . import files
+
+#: Splits of files whose line counts are broadcast.
+BROADCAST_SPLITS = 1_000_000
+#: Tables of a paper's edges.
+EDGES = {"authored", "in_category", "versions", "submitted", "published_in", "has_report"}
 
 
 def _scanned(spark: SparkSession, path: str) -> DataFrame:
@@ -18,6 +25,19 @@ def _scanned(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
 
 
+def _splits(lines: DataFrame, *counts: Column) -> DataFrame:
+    """(file, block, first, before, ...): a row for each split of a file, with how many
+    of its file's lines come before it."""
+    found = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), *counts)
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+
+
+def _filled(line: str = "line") -> Column:
+    """Whether a line isn't blank."""
+    return F.trim(F.regexp_replace(line, r"\s", " ")) != ""
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(seq, file, line_no, line) of each non-blank line: ``seq`` orders all lines of all
     files, ``line_no`` counts a file's lines from 1, blank ones too.
@@ -26,12 +46,21 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     in its split of the file and the lines of the splits before: a small table that
     is counted without reading the lines again in any order.
     """
-    lines = _scanned(spark, path)
-    splits = _scanned(spark, path).groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = lines.join(F.broadcast(splits.select("file", "block", "first", before.alias("before"))), ["file", "block"])
+    splits = _splits(_scanned(spark, path))
+    if splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
+    found = _scanned(spark, path).join(splits, ["file", "block"])
+    number = F.col("before") + F.col("id") - F.col("first") + 1
+    return found.filter(_filled()).select(F.struct("file", "block", "id").alias("seq"), "file", number.alias("line_no"), "line")
+
+
+def _placed(raw: DataFrame) -> DataFrame:
+    """(seq, file, line_no, place, line) of the non-blank lines of a stored scan of one
+    file: ``place`` counts them from 0."""
     number = F.col("before") + F.col("id") - F.col("first") + 1
-    return found.filter(F.trim(F.regexp_replace("line", r"\s", " ")) != "").select(F.struct("file", "block", "id").alias("seq"), "file", number.alias("line_no"), "line")
+    lines = raw.join(F.broadcast(_splits(raw)), ["file", "block"]).filter(_filled())  # a row for each split of one file
+    rows = lines.select(F.struct("file", "block", "id").alias("seq"), "file", number.alias("line_no"), "line")
+    return numbered(rows, "line_no")
 
 
 def _object(line: str = "line") -> Column:
@@ -45,8 +74,12 @@ def read_metadata(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     Blank lines are skipped, but counted.  A line that isn't a JSON object is an error
     that names it, or left out without ``strict``.
     """
+    return _parsed(numbered_lines(spark, path), strict)
+
+
+def _parsed(rows: DataFrame, strict: bool = True) -> DataFrame:
     parsed = F.from_json("line", RAW, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = numbered_lines(spark, path).withColumn("ok", _object())
+    rows = rows.withColumn("ok", _object())
     if strict:
         where = F.format_string("%s line %d: not a JSON object: %s", "file", "line_no", F.substring("line", 1, 80))
         rows = rows.withColumn("line", F.when(F.col("ok"), F.col("line")).otherwise(F.raise_error(where)))
@@ -65,45 +98,66 @@ def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:
     lines.select(column).write.mode("overwrite").text(path)
 
 
-def load_batches(spark: SparkSession, path: str, put: Callable[[DataFrame], None], mark: str, batch: int = 1_000_000, resume: bool = True) -> int:
+def _control(folder: str, source: str) -> str:
+    return f"{folder}/{hashlib.sha256(source.encode()).hexdigest()[:16]}.json"
+
+
+def read_control(spark: SparkSession, folder: str, source: str) -> dict | None:
+    """How far a source was loaded: path, size, last_line, last_id and ``prefix``, the
+    hash of its lines so far.  None without a whole row of just that source."""
+    source = files.qualified(spark, source)
+    row = files.read_json(spark, _control(folder, source))
+    kinds = {"path": str, "size": int, "last_line": int, "prefix": int}
+    return row if row and all(isinstance(row.get(k), t) for k, t in kinds.items()) and row["path"] == source else None
+
+
+def load_batches(spark: SparkSession, path: str, put: Callable[[DataFrame], None], control: str, batch: int = 1_000_000, resume: bool = True) -> int:
     """Gives ``put`` the records (seq, record, file, line_no) of one file, ``batch`` of
     them at a time in order; how many there were.
 
-    After each batch ``mark`` (a path) gets its last line and id, from behind which the
-    next call goes on.  A batch that fails leaves the mark as it is and is an error that
-    names its lines.
+    After each batch the source's row in the folder ``control`` gets its last line and
+    id, from behind which the next call goes on if the lines up to there are the same:
+    a file that was replaced or edited is loaded whole, one that has grown from where it
+    ended, and a row that isn't readable counts as none.  A batch that fails leaves the
+    row as it is and is an error that names its lines.
+
+    The file is read once; its numbered lines are written, and batches are ranges of them.
     """
-    rows = read_metadata(spark, path)
-    done = read_mark(spark, mark) if resume else None
-    last, total = done["last_line"] if done else 0, 0
-    while True:
-        ends = rows.filter(F.col("line_no") > last).select("line_no").orderBy("line_no").limit(batch).agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"), F.max("line_no").alias("last")).first()
-        if not ends["n"]:
-            return total
-        part = rows.filter(F.col("line_no").between(ends["first"], ends["last"]))
-        try:
-            put(part)
-        except Exception as e:
-            raise GraphError("LOAD_FAILED", f"{path} lines {ends['first']} to {ends['last']}: {e}") from e
-        last, total = ends["last"], total + ends["n"]
-        name = part.filter(F.col("line_no") == last).select("record.id").first()[0]
-        write_mark(spark, mark, {"last_line": last, "last_id": name})
+    raw = written(_scanned(spark, path), "source-lines")
+    lines = written(_placed(raw), "numbered-lines")
+    dropped(raw)
+    row, source = read_control(spark, control, path) if resume else None, files.qualified(spark, path)
+    prefix = lambda last: lines.filter(F.col("line_no") <= last).agg(F.coalesce(F.bit_xor(F.xxhash64("line_no", "line")), F.lit(0)).alias("x")).first().x
+    same = row is not None and prefix(row["last_line"]) == row["prefix"]
+    last, seen = (row["last_line"], row["prefix"]) if same else (0, 0)
+    last, total, size = int(last), 0, files.size_of(spark, path)
+    first_place = lines.filter(F.col("line_no") > last).agg(F.min("place")).first()[0]
+    try:
+        while first_place is not None:
+            own = lines.filter((F.col("place") >= first_place) & (F.col("place") < first_place + batch))
+            ends = own.agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.bit_xor(F.xxhash64("line_no", "line")).alias("x"), F.max_by("line", "line_no").alias("line")).first()
+            if not ends["n"]:
+                break
+            try:
+                put(_parsed(own))
+            except Exception as e:
+                raise GraphError("LOAD_FAILED", f"{path} lines {ends['first']} to {ends['last']}: {e}") from e
+            first_place, total, seen = first_place + batch, total + ends["n"], seen ^ ends["x"]
+            name = json.loads(ends["line"]).get("id")
+            files.write_json(spark, _control(control, source), {"path": source, "size": size, "last_line": ends["last"], "last_id": name, "prefix": seen})
+        return total
+    finally:
+        dropped(lines)
 
 
 def read_mark(spark: SparkSession, path: str) -> dict | None:
     """What ``write_mark`` wrote, if it did."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return None
-    return json.loads("".join(r.value for r in spark.read.text(path).collect()))
+    return files.read_json(spark, path)
 
 
 def write_mark(spark: SparkSession, path: str, value: dict) -> None:
     """A small JSON file, in place of the one that is there."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
-    out.write(bytearray(json.dumps(value).encode()))
-    out.close()
+    files.write_json(spark, path, value)
 
 
 def with_category(records: DataFrame, code: str = "cs.AI") -> DataFrame:
@@ -233,13 +287,12 @@ def merge_graph(old: Graph, new: Graph, replace_edges: bool = False) -> Graph:
     """``old`` with ``new`` put in; with ``replace_edges`` the old edges of papers
     that ``new`` has are deleted first (an extension: by default they stay)."""
     out = {}
-    edges = {"authored", "in_category", "versions", "submitted", "published_in", "has_report"}
     for name, have in old.tables().items():
         more = getattr(new, name)
         if more is None:
             out[name] = have
             continue
-        if replace_edges and name in edges:
+        if replace_edges and name in EDGES:
             have = have.join(new.papers.select("arxiv_id"), "arxiv_id", "left_anti").select(*have.columns)
         out[name] = upsert(have, more, name, ("name",) if name == "entities" else ())
     return Graph(**out)

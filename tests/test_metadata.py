@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from quirelake.functions import text as T
 from quirelake.operators import search, stats
 from quirelake.schema import GraphError, empty
 from quirelake.sources import metadata as M
+from quirelake.sources import tables
 from quirelake.streaming import ingest as I
 
 # A record and what it becomes.
@@ -151,16 +154,13 @@ def test_line_numbers(spark, tmp_path):
 
 
 def test_load_batches(spark, tmp_path):
-    # Ids, batches of two, marks
+    # Ids, batches of two
     path, mark = lines(tmp_path / "a.jsonl", *({"id": f"1000.000{i}"} for i in range(1, 6))), str(tmp_path / "mark")
     seen = []
     put = lambda df: seen.append([r.record.id for r in df.orderBy("line_no").collect()])
     assert M.load_batches(spark, path, put, mark, 2) == 5
     assert seen == [["1000.0001", "1000.0002"], ["1000.0003", "1000.0004"], ["1000.0005"]]
     assert M.load_batches(spark, path, put, mark, 2) == 0
-    M.write_mark(spark, mark, {"last_line": 3, "last_id": "1000.0003"})
-    seen.clear()
-    assert M.load_batches(spark, path, put, mark, 50) == 2 and seen == [["1000.0004", "1000.0005"]]
     calls = []
 
     def fail(df):
@@ -170,7 +170,109 @@ def test_load_batches(spark, tmp_path):
 
     with pytest.raises(GraphError, match="lines 3 to 4: no room"):
         M.load_batches(spark, path, fail, mark, 2, resume=False)
-    assert M.read_mark(spark, mark) == {"last_line": 2, "last_id": "1000.0002"}
+    row = M.read_control(spark, mark, path)
+    assert (row["last_line"], row["last_id"]) == (2, "1000.0002") and row["size"] == os.path.getsize(path) and row["path"].endswith("/a.jsonl")
+    seen.clear()
+    assert M.load_batches(spark, path, put, mark, 50) == 3 and seen == [["1000.0003", "1000.0004", "1000.0005"]]
+
+
+def test_changed_sources_load_whole(spark, tmp_path):
+    path, mark = tmp_path / "a.jsonl", str(tmp_path / "mark")
+    seen = []
+    put = lambda df: seen.extend(r.record.id for r in df.orderBy("line_no").collect())
+    run = lambda: (seen.clear(), M.load_batches(spark, str(path), put, mark, 3), list(seen))[1:]
+    lines(path, *({"id": f"a{i}"} for i in range(5)))
+    assert run() == (5, [f"a{i}" for i in range(5)])
+    lines(path, *({"id": f"b{i}"} for i in range(7)))  # replaced by another, longer file
+    assert run() == (7, [f"b{i}" for i in range(7)])
+    lines(path, *({"id": f"b{i}"} for i in range(7)), "", {"id": "b7"}, {"id": "b8"})  # grown
+    assert run() == (2, ["b7", "b8"]) and run() == (0, [])
+    lines(path, *({"id": f"b{i}"} for i in range(6)), {"id": "x6"}, "", {"id": "b7"}, {"id": "b8"})  # edited, of the same size
+    assert run()[0] == 9
+    lines(path, {"id": "b0"})  # cut
+    assert run() == (1, ["b0"])
+    (row,) = [x for x in os.listdir(mark) if x.endswith(".json")]
+    for bad in ("", "{", "[1]", '{"last_line": "x"}'):
+        (tmp_path / "mark" / row).write_text(bad)
+        if bad != "{":  # else its checksum is wrong too
+            (tmp_path / "mark" / f".{row}.crc").unlink(missing_ok=True)
+        assert run() == (1, ["b0"]), bad
+    assert run() == (0, [])
+
+
+def test_changed_files_of_a_stream_are_read_anew(spark, tmp_path):
+    source, target, mark = (tmp_path / x for x in ("in", "out", "mark"))
+    source.mkdir()
+    lines(source / "1.jsonl", {"id": "a", "title": "old"}, {"id": "b", "title": "old"})
+    run = lambda: I.ingest(spark, str(source), str(target), str(mark))
+    assert run() == 2 and run() == 0
+    lines(source / "1.jsonl", {"id": "a", "title": "new one"}, {"id": "c", "title": "new"}, {"id": "d", "title": "new"})
+    lines(source / "2.jsonl", {"id": "e", "title": "new"})
+    assert run() == 4 and run() == 0
+    assert {r.arxiv_id: r.title for r in I.current(spark, str(target)).papers.collect()} == {"a": "new one", "b": "old", "c": "new", "d": "new", "e": "new"}
+
+
+def _files(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_a_small_batch_rewrites_its_buckets_alone(spark, tmp_path):
+    rows = [{**RECORD, "id": f"1000.{i:04d}", "title": f"t{i}"} for i in range(200)]
+    graph = str(tmp_path / "graph")
+    new = lambda *r: M.graph_of(load(spark, lines(tmp_path / f"{uuid.uuid4().hex}.jsonl", *r)))
+    assert tables.put(spark, graph, new(*rows), buckets=16) == 0
+    before = _files(tmp_path / "graph")
+    plain = M.merge_graph(new(*rows), new({**RECORD, "id": "1000.0007", "title": "changed", "categories": "x.YZ"}))
+    wanted = {n: sorted(map(str, t.collect())) for n, t in plain.tables().items()}
+    assert tables.put(spark, graph, new({**RECORD, "id": "1000.0007", "title": "changed", "categories": "x.YZ"})) == 1
+    after = _files(tmp_path / "graph")
+    assert before.items() <= after.items()
+    added = sorted(set(after) - set(before))
+    assert len([p for p in added if "/papers/" in p]) == 1 and all("/g=1/" in p for p in added)
+    have = tables.read(spark, graph)
+    assert {n: sorted(map(str, getattr(have, n).collect())) for n in wanted} == wanted
+    assert tables.read(spark, graph, 0).papers.filter("title = 'changed'").count() == 0
+    gone = tables.vacuum(spark, graph)
+    assert gone > 0 and tables.versions(spark, graph) == [1] and tables.vacuum(spark, graph) == 0
+    have = tables.read(spark, graph)
+    assert {n: sorted(map(str, getattr(have, n).collect())) for n in wanted} == wanted
+    assert tables.rebucket(spark, graph, 3) == 2 and set(tables.manifest(spark, graph)["tables"]["papers"]) == {"0", "1", "2"}
+    have = tables.read(spark, graph)
+    assert {n: sorted(map(str, getattr(have, n).collect())) for n in wanted} == wanted
+    tables.put(spark, graph, new({**RECORD, "id": "1000.0007", "title": "t", "categories": "only"}), replace_edges=True)
+    assert [r.code for r in tables.read(spark, graph).in_category.filter("arxiv_id = '1000.0007'").collect()] == ["only"]
+    assert tables.read(spark, graph).in_category.filter("arxiv_id = '1000.0008'").count() > 1
+
+
+def test_a_batch_that_ends_before_its_manifest_changes_nothing(spark, tmp_path, monkeypatch):
+    graph = str(tmp_path / "graph")
+    new = lambda title: M.graph_of(load(spark, lines(tmp_path / "b.jsonl", {**RECORD, "title": title})))
+    tables.put(spark, graph, new("one"), buckets=4)
+    with monkeypatch.context() as m:
+        m.setattr(tables.files, "write_json", lambda *a, **k: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            tables.put(spark, graph, new("two"))
+    assert [r.title for r in tables.read(spark, graph).papers.collect()] == ["one"] and tables.vacuum(spark, graph) == 0
+    assert tables.put(spark, graph, new("three")) == 1
+    assert [r.title for r in tables.read(spark, graph).papers.collect()] == ["three"]
+    with monkeypatch.context() as m:  # another writer was faster
+        m.setattr(tables, "manifest", lambda *a: {"version": 0, "buckets": 4, "tables": {}, "applied": {}})
+        with pytest.raises(GraphError, match="CONFLICT|already"):
+            tables.put(spark, graph, new("four"))
+
+
+def test_transient_errors_are_tried_again():
+    calls, waits = [], []
+
+    def fail(error):
+        calls.append(1)
+        raise error
+
+    for error, n in ((OSError("x"), 3), (ValueError("java.io.IOException: lost"), 3), (ValueError("not a JSON object"), 1)):
+        calls.clear()
+        with pytest.raises(type(error)):
+            I.with_retry(lambda e=error: fail(e), retries=2, sleep=waits.append, when=I.is_transient)
+        assert len(calls) == n
 
 
 def test_failed_batch_names_its_lines(spark, tmp_path):
