@@ -1,9 +1,12 @@
 """Full-text search with BM25 over an inverted index that is a table.
 
-Tokens are runs of letters and digits in lower case.  A clause's score is summed
-over the fields; idf = ln(1 + (N - df + 0.5) / (df + 0.5)), k1 = 1.2, b = 0.75.
-Queries know ``term``, ``+term``, ``-term``, ``"a phrase"``, ``field:term``,
-``prefix*`` and the words AND, OR and NOT; others are errors.
+Tokens are runs of letters and digits in lower case.  A leaf's score is summed over the
+fields; idf = ln(1 + (N - df + 0.5) / (df + 0.5)), k1 = 1.2, b = 0.75.  Queries know
+``term``, ``"a phrase"``, ``prefix*``, ``te?t`` and ``*ing``, ``term~`` and ``term~1``
+(edits, 2 at most), ``[a TO c]`` and ``{a TO c}`` (terms between), ``field:``, ``+``,
+``-``, AND, OR, NOT, groups in parentheses, ``^2`` behind any of them and ``\\`` before a
+character; what is malformed is an error.  What may match several terms scores 1 for
+each field, as there is no one term's frequency.
 """
 
 from __future__ import annotations
@@ -40,56 +43,148 @@ def _words(text: str) -> list[str]:
 
 
 @dataclass(frozen=True)
-class Clause:
-    """A part of a query: must (+), must not (-) or should (a space) match."""
+class Leaf:
+    """What texts are searched for: words one behind the other, or one pattern."""
 
-    occur: str
     words: tuple[str, ...]
-    prefix: bool = False
+    kind: str = "words"  # or prefix, wildcard, fuzzy, range
     field: str | None = None
+    edits: int = 0
+    ends: tuple[bool, bool] = (True, True)  # whether a range has its ends
+    boost: float = 1.0
+
+    def test(self, term: Column) -> Column:
+        """Whether a pattern matches a term."""
+        word = self.words[0]
+        if self.kind == "prefix":
+            return term.startswith(word)
+        if self.kind == "wildcard":
+            return term.rlike("^" + "".join({"*": ".*", "?": "."}.get(c, c) for c in word) + "$")
+        if self.kind == "fuzzy":
+            near = F.levenshtein(term, F.lit(word), self.edits) >= 0
+            return F.length(term).between(len(word) - self.edits, len(word) + self.edits) & near
+        low, high = self.words
+        above = F.lit(True) if low == "*" else term >= low if self.ends[0] else term > low
+        return above & (F.lit(True) if high == "*" else term <= high if self.ends[1] else term < high)
 
 
-def parse(query: str) -> list[Clause]:
-    """The clauses of a query; a malformed one is a ValueError."""
+@dataclass(frozen=True)
+class Group:
+    """Parts that must (+), must not (-) or should (a space) match."""
+
+    parts: tuple[tuple[str, Leaf | Group], ...]
+    boost: float = 1.0
+
+
+_PIECES = re.compile(r"""(?P<space>\s+)|(?P<quote>"[^"]*")|(?P<range>[\[{][^\]}]*[\]}])|(?P<mark>[()])|(?P<sign>[+-](?=\S))|(?P<field>\w+):(?=[^\s:])|(?P<boost>\^\d+(\.\d+)?)|(?P<fuzzy>~\d*)|(?P<word>(?:\\.|[^\s()\[\]{}"^~:\\])+)""", re.S)
+
+
+def _pieces(query: str) -> list[tuple[str, str]]:
+    out, at = [], 0
+    while at < len(query):
+        m = _PIECES.match(query, at)
+        # a sign, or what could be one, inside of a word belongs to it
+        if m is None:
+            raise ValueError(f"unsupported syntax at {query[at:at + 10]!r}")
+        out.append((m.lastgroup if m.lastgroup != "boost" else "boost", m["field"] if m["field"] else m[0]))
+        at = m.end()
+    return out
+
+
+def parse(query: str) -> Group | None:
+    """The tree of a query, None if nothing could match it; a malformed one is a
+    ValueError."""
     if not query.strip():
         raise ValueError("query is empty")
-    if query.count('"') % 2:
-        raise ValueError("a quote isn't closed")
-    if re.search(r"[(){}\[\]^~\\/]", re.sub(r'"[^"]*"', "", query)):
-        raise ValueError("unsupported syntax")
-    parts = re.findall(r'[+-]?(?:\w+:)?"[^"]*"|\S+', query)
-    clauses: list[Clause] = []
-    negate = join = False
-    for i, part in enumerate(parts):
-        if part in ("AND", "OR", "NOT"):
-            if part != "NOT" and (not clauses or i == len(parts) - 1 or negate) or part == "NOT" and i == len(parts) - 1:
-                raise ValueError(f"{part} has no operand")
-            negate |= part == "NOT"
-            if part == "AND":
-                join = True
-                if clauses[-1].occur == " ":
-                    clauses[-1] = Clause("+", *[getattr(clauses[-1], f) for f in ("words", "prefix", "field")])
-            continue
-        occur, field = " ", None
-        if part[0] in "+-":
-            occur, part = part[0], part[1:]
-        if m := re.match(r"(\w+):(.+)$", part, re.S):
-            field, part = m[1], m[2]
-        if part.endswith(":") or part.startswith(":") or not part:
-            raise ValueError("a field has no term")
-        occur = "-" if negate else "+" if join and occur == " " else occur
-        negate = join = False
-        prefix = part.endswith("*") and '"' not in part
-        found = tuple(_words(part))
-        if prefix and len(found) != 1:
-            raise ValueError("a prefix is one word")
-        if found:
-            clauses.append(Clause(occur, found, prefix, field))
-    if negate or join:
-        raise ValueError("an operator has no operand")
-    if not any(c.occur != "-" for c in clauses):
-        return []
-    return clauses
+    pieces = _pieces(query.strip())
+    at = 0
+
+    def peek() -> tuple[str, str]:
+        return pieces[at] if at < len(pieces) else ("end", "")
+
+    def take() -> tuple[str, str]:
+        nonlocal at
+        at += 1
+        return pieces[at - 1]
+
+    def boost() -> float:
+        return float(take()[1][1:]) if peek()[0] == "boost" else 1.0
+
+    def group(field: str | None, inner: bool) -> Group | None:
+        parts: list[tuple[str, Leaf | Group]] = []
+        joined = negated = must = False
+        operand = False  # whether something stands before
+        while True:
+            kind, text = peek()
+            if kind == "space":
+                take()
+                continue
+            if kind == "end" or text == ")":
+                if (kind == "end") == inner or joined or negated:
+                    raise ValueError("a group or an operator isn't complete")
+                if inner:
+                    take()
+                return Group(tuple(parts), boost() if inner else 1.0) if any(o != "-" for o, _ in parts) else None
+            if kind == "word" and text in ("AND", "OR", "NOT"):
+                take()
+                if negated or text != "NOT" and (not operand or joined):
+                    raise ValueError(f"{text} has no operand")
+                if text == "AND" and parts and parts[-1][0] == " ":
+                    parts[-1] = ("+", parts[-1][1])
+                joined, negated = joined or text != "NOT", text == "NOT"
+                must = text == "AND" or text == "NOT" and must
+                continue
+            sign = take()[1] if kind == "sign" else " "
+            found = part(field)
+            occur = "-" if negated else "+" if joined and must and sign == " " else sign
+            joined = negated = must = False
+            operand = True
+            if found is not None:
+                parts.append((occur, found))
+
+    def part(field: str | None) -> Leaf | Group | None:
+        kind, text = take() if at < len(pieces) else ("end", "")
+        if kind == "field":
+            return part(text)
+        if text == "(":
+            return group(field, True)
+        if kind == "quote":
+            found = tuple(_words(text))
+            if peek()[0] == "fuzzy":
+                raise ValueError("a phrase can't be fuzzy")
+            return Leaf(found, field=field, boost=boost()) if found else None
+        if kind == "range":
+            ends = text[1:-1].split()
+            if len(ends) != 3 or ends[1] != "TO":
+                raise ValueError("a range is [a TO b]")
+            return Leaf((ends[0].lower(), ends[2].lower()), "range", field, ends=(text[0] == "[", text[-1] == "]"), boost=boost())
+        if kind != "word":
+            raise ValueError(f"unsupported syntax at {text!r}")
+        plain = re.sub(r"\\(.)", lambda m: m[1] if m[1] not in "*?" else " ", text)
+        if re.search(r"(?<!\\)[*?]", text):
+            bare = re.sub(r"\\.", "", text).lower()
+            if not all(c.isalnum() or c in "*?" for c in bare):
+                raise ValueError("a pattern is one word")
+            if re.fullmatch(r"[^*?]+\*", bare):
+                return Leaf((bare[:-1],), "prefix", field, boost=boost())
+            return Leaf((bare,), "wildcard", field, boost=boost())
+        found = tuple(_words(plain))
+        if peek()[0] == "fuzzy":
+            edits = int(take()[1][1:] or 2)
+            if len(found) != 1 or edits > 2:
+                raise ValueError("a fuzzy term is one word with 2 edits at most")
+            return Leaf(found, "fuzzy", field, edits, boost=boost()) if edits else Leaf(found, field=field, boost=boost())
+        weight = boost()
+        return Leaf(found, field=field, boost=weight) if found else None
+
+    return group(None, False)
+
+
+def leaves(tree: Leaf | Group) -> list[Leaf]:
+    """The leaves of a tree, from left to right, each one once."""
+    if isinstance(tree, Leaf):
+        return [tree]
+    return list(dict.fromkeys(x for _, p in tree.parts for x in leaves(p)))
 
 
 def plain_words(text: str) -> list[str]:
@@ -123,34 +218,39 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
 
 
-def _checked(query: str, fields: Sequence[str], limit: int | None) -> list[Clause]:
+def _checked(query: str, fields: Sequence[str], limit: int | None) -> Group | None:
     if limit is not None and limit > 100:
         raise GraphError("LIMIT_TOO_LARGE", "limit is at most 100")
-    clauses = parse(query)
-    for c in clauses:
-        if c.field and c.field not in fields:
-            raise ValueError(f"unknown field {c.field}")
-    return clauses
-
-
-def _scored(clauses: list[Clause], fields: Sequence[str], tf: Callable[[int, str], Column], idf: Callable[[str, str], Column], relative: Callable[[str], Column]) -> tuple[Column, Column]:
-    """The score of a row and whether it matches.  ``tf``: how often a clause is in a
-    field; ``relative``: a field's length by its mean."""
-    score, musts, nots, shoulds = F.lit(0.0), [], [], []
-    for i, c in enumerate(clauses):
-        own = [(f, tf(i, f)) for f in fields if c.field in (None, f)]
-        hit = reduce(Column.__or__, (n > 0 for _, n in own))
-        {"+": musts, "-": nots, " ": shoulds}[c.occur].append(hit)
-        if c.occur == "-":
-            continue
+    tree = parse(query)
+    for x in leaves(tree) if tree else ():
+        if x.field and x.field not in fields:
+            raise ValueError(f"unknown field {x.field}")
+    return tree
+
+
+def _scored(tree: Leaf | Group, fields: Sequence[str], tf: Callable[[Leaf, str], Column], idf: Callable[[str, str], Column], relative: Callable[[str], Column]) -> tuple[Column, Column]:
+    """The score of a row, 0 where it doesn't match, and whether it matches.  ``tf``: how
+    often a leaf is in a field; ``relative``: a field's length by its mean."""
+    if isinstance(tree, Leaf):
+        own = [(f, tf(tree, f)) for f in fields if tree.field in (None, f)]
+        score = F.lit(0.0)
         for f, n in own:
-            if c.prefix:
+            if tree.kind != "words":
                 score = score + n.cast("double")
                 continue
-            weight = reduce(Column.__add__, (idf(w, f) for w in c.words))
+            weight = reduce(Column.__add__, (idf(w, f) for w in tree.words))
             score = score + F.when(n > 0, weight * n * (K1 + 1) / (n + K1 * (1 - B + B * relative(f)))).otherwise(0.0)
-    wanted = musts if musts else [reduce(Column.__or__, shoulds)]
-    return score, reduce(Column.__and__, [*wanted, *(~x for x in nots)])
+        return score * tree.boost, reduce(Column.__or__, (n > 0 for _, n in own))
+    found: dict[str, list[Column]] = {"+": [], "-": [], " ": []}
+    score = F.lit(0.0)
+    for occur, part in tree.parts:
+        own, hit = _scored(part, fields, tf, idf, relative)
+        found[occur].append(hit)
+        if occur != "-":
+            score = score + own
+    wanted = found["+"] or [reduce(Column.__or__, found[" "])]
+    matched = reduce(Column.__and__, [*wanted, *(~x for x in found["-"])])
+    return F.when(matched, score * tree.boost).otherwise(0.0), matched
 
 
 def _best(scored: DataFrame, key: str, limit: int | None) -> DataFrame:
@@ -164,59 +264,58 @@ def search(docs: DataFrame, query: str, fields: Sequence[str] = ("title", "abstr
     Without an index: one pass over the texts counts the query's terms in place, so
     nothing is exploded; the corpus's numbers are a one-row aggregate of a like pass.
     """
-    clauses = _checked(query, fields, limit)
-    if not clauses:
+    tree = _checked(query, fields, limit)
+    if tree is None:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     counted = docs.select(key, *(tokens(f).alias(f) for f in fields))
 
-    def tf(c: Clause, f: str) -> Column:
+    def tf(c: Leaf, f: str) -> Column:
         own = F.col(f)
-        if c.prefix:
-            return F.when(F.exists(own, lambda x: x.startswith(c.words[0])), 1).otherwise(0)
+        if c.kind != "words":
+            return F.exists(own, c.test).cast("int")
         if len(c.words) == 1:
             return F.size(F.filter(own, lambda x: x == c.words[0]))
         # tokens hold letters and digits alone, so they are their own pattern
         return F.regexp_count(F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")), F.lit(f"(?<= ){c.words[0]}(?= {' '.join(c.words[1:])} )"))
 
-    parts = [(i, c, f) for i, c in enumerate(clauses) for f in fields if c.field in (None, f)]
-    words = sorted({(w, f) for _, c, f in parts if not c.prefix for w in c.words})
-    rows = counted.select(key, *(F.size(f).alias(f"len_{f}") for f in fields), *(tf(c, f).alias(f"tf_{i}_{f}") for i, c, f in parts), *(F.array_contains(F.col(f), w).alias(f"has_{k}") for k, (w, f) in enumerate(words)))
+    parts = [(c, f) for c in leaves(tree) for f in fields if c.field in (None, f)]
+    words = sorted({(w, f) for c, f in parts if c.kind == "words" for w in c.words})
+    rows = counted.select(key, *(F.size(f).alias(f"len_{f}") for f in fields), *(tf(c, f).alias(f"tf_{i}") for i, (c, f) in enumerate(parts)), *(F.array_contains(F.col(f), w).alias(f"has_{k}") for k, (w, f) in enumerate(words)))
     numbers = rows.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"len_{f}").alias(f"mean_{f}") for f in fields), *(F.count_if(f"has_{k}").alias(f"df_{k}") for k in range(len(words))))
 
     def idf(w: str, f: str) -> Column:
         df = F.col(f"df_{words.index((w, f))}")
         return F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
 
-    score, matched = _scored(clauses, fields, lambda i, f: F.col(f"tf_{i}_{f}"), idf, lambda f: F.col(f"len_{f}") / F.col(f"mean_{f}"))
+    score, matched = _scored(tree, fields, lambda c, f: F.col(f"tf_{parts.index((c, f))}"), idf, lambda f: F.col(f"len_{f}") / F.col(f"mean_{f}"))
     return _best(rows.filter(matched).crossJoin(F.broadcast(numbers)).select(key, score.alias("score")), key, limit)
 
 
 def search_index(index: DataFrame, sizes: DataFrame, query: str, key: str = "arxiv_id", limit: int | None = 10) -> DataFrame:
     """``search`` over ``postings`` and ``lengths`` that were written: only the postings
-    of the query's terms and prefixes are read."""
+    of the query's terms and patterns are read."""
     means = {r.field: (r.n, r.mean) for r in sizes.collect()}  # a row for each field
-    clauses = _checked(query, list(means), limit)
-    if not clauses:
+    tree = _checked(query, list(means), limit)
+    if tree is None:
         return index.select(key, F.lit(0.0).alias("score")).limit(0)
-    words = sorted({w for c in clauses if not c.prefix for w in c.words})
-    starts = sorted({c.words[0] for c in clauses if c.prefix})
+    words = sorted({w for c in leaves(tree) if c.kind == "words" for w in c.words})
+    patterns = [c for c in leaves(tree) if c.kind != "words"]
     term = F.col("term")
-    own = index.filter(reduce(Column.__or__, [term.isin(words), *(term.startswith(p) for p in starts)]))
+    own = index.filter(reduce(Column.__or__, [term.isin(words), *(c.test(term) for c in patterns)]))
     df = {(r.term, r.field): r.n for r in own.filter(term.isin(words)).groupBy("term", "field").agg(F.count(F.lit(1)).alias("n")).collect()}  # the query's words by field
     in_ = lambda f, test: (F.col("field") == f) & test
     columns = [F.max(F.when(F.col("field") == f, F.col("length"))).alias(f"len_{f}") for f in means]
     columns += [F.first(F.when(in_(f, term == w), F.col("places")), True).alias(f"at_{k}_{f}") for k, w in enumerate(words) for f in means]
-    columns += [F.max(F.when(in_(f, term.startswith(p)), 1)).alias(f"pre_{k}_{f}") for k, p in enumerate(starts) for f in means]
+    columns += [F.max(F.when(in_(f, c.test(term)), 1)).alias(f"any_{k}_{f}") for k, c in enumerate(patterns) for f in means]
 
-    def tf(i: int, f: str) -> Column:
-        c = clauses[i]
-        if c.prefix:
-            return F.coalesce(F.col(f"pre_{starts.index(c.words[0])}_{f}"), F.lit(0))
+    def tf(c: Leaf, f: str) -> Column:
+        if c.kind != "words":
+            return F.coalesce(F.col(f"any_{patterns.index(c)}_{f}"), F.lit(0))
         # the places where all words of a phrase stand one behind the other
         back = lambda places, k: F.transform(places, lambda p: p - k)
         moved = [back(F.col(f"at_{words.index(w)}_{f}"), k) for k, w in enumerate(c.words)]
         return F.coalesce(F.size(reduce(F.array_intersect, moved)), F.lit(0))
 
     idf = lambda w, f: F.lit(math.log(1 + (means[f][0] - df.get((w, f), 0) + 0.5) / (df.get((w, f), 0) + 0.5)))
-    score, matched = _scored(clauses, list(means), tf, idf, lambda f: F.col(f"len_{f}") / F.lit(float(means[f][1] or 1)))
+    score, matched = _scored(tree, list(means), tf, idf, lambda f: F.col(f"len_{f}") / F.lit(float(means[f][1] or 1)))
     return _best(own.groupBy(key).agg(*columns).filter(matched).select(key, score.alias("score")), key, limit)

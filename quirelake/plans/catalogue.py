@@ -251,7 +251,23 @@ def fulltext_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FT.search(table(spark, sf_dir, "documents"), '+"apache license" -gnu', ["text"], "doc_id", None).select("doc_id").orderBy("doc_id")
 
 
-@query("first_two_per_group", "WITH d AS (SELECT DISTINCT l_partkey AS a, l_orderkey AS p FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY p) AS i FROM d) SELECT x.a AS author_id, x.p AS first, y.p AS second FROM r x JOIN r y ON x.a = y.a AND x.i = 1 AND y.i = 2")
+@query(
+    "fulltext_tree",
+    _PHRASE + """, s AS (SELECT doc_id, regexp_extract_all(w, '[^ ]+') AS t, w FROM t)
+SELECT doc_id FROM s WHERE (contains(w, ' apache license ') OR len(list_filter(t, lambda x: regexp_full_match(x, 'v.rsio.*'))) > 0)
+AND (len(list_filter(t, lambda x: levenshtein(x, 'lisence') <= 2)) > 0 OR len(list_filter(t, lambda x: x >= 'der' AND x < 'die')) > 0) AND NOT (contains(w, ' gnu ') AND contains(w, ' the '))""",
+)
+def fulltext_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, a phrase, a wildcard, edits and a range of terms over the stored index."""
+    asked = '("apache license" OR v?rsio*) AND (lisence~ OR [der TO die}) AND NOT (gnu AND the)'
+    return FT.search_index(*_stored_index(spark, sf_dir), asked, "doc_id", None).select("doc_id")
+
+
+@query(
+    "first_two_per_group",
+    """WITH d AS (SELECT DISTINCT l_partkey AS a, l_orderkey AS p FROM lineitem), x AS (SELECT a, min(p) AS f FROM d GROUP BY a)
+SELECT d.a AS author_id, f AS first, min(p) AS second FROM d JOIN x ON x.a = d.a AND d.p > x.f GROUP BY d.a, f""",
+)
 def first_two_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.first_two(graph(spark, sf_dir).authored, "author_id", "arxiv_id")
 

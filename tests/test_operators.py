@@ -116,7 +116,13 @@ def test_fulltext(spark, tmp_path):
     ids = lambda q: {r.arxiv_id for r in FT.search(docs, q).collect()}
     assert ids("graph") == {"1", "2"} and ids('"graph neural"') == {"1"} and ids("neur*") == {"1", "2", "3"}
     assert ids("+graph -deep") == {"2"} and ids("title:networks") == {"1"} and ids("graph AND deep") == {"1"} and ids("graph NOT deep") == {"2"} and ids("deep OR other") == {"1", "3"}
-    for bad in ("", '"open', "(a", "a AND", "NOT", "title:", "*a b*c*x(", "x:y"):
+    assert ids("(deep OR other) AND network*") == {"1", "3"} and ids("graph AND (deep OR other)") == {"1"} and ids("graph -(deep OR other)") == {"2"} and ids("+(neural (other AND deep)) +graph") == {"1", "2"}
+    assert ids("grahp~") == {"1", "2"} and ids("grpah~1") == set() and ids("neurol~1") == {"1", "2"} and ids("title:networkz~1") == {"1"}
+    assert ids("net?orks") == {"1", "3"} and ids("*ons") == {"3"} and ids("n*l") == {"1", "2"} and ids("title:[graph TO n]") == {"1", "2"} and ids("title:{graph TO neural}") == {"1"} and ids("title:[o TO *]") == {"3"}
+    assert ids(r"deep\+graph") == {"1"} and ids("graph NOT (deep)") == {"2"} and ids("(graph)^3") == {"1", "2"} and ids("-graph") == set() and ids("title:(other graph)") == {"1", "2", "3"}
+    score = lambda q: {r.arxiv_id: r.score for r in FT.search(docs, q).collect()}["1"]
+    assert score("graph^3 deep") == pytest.approx(3 * score("graph") + score("deep")) and score("(graph deep)^2") == pytest.approx(2 * score("graph deep")) and score("neur*^2") == 2.0
+    for bad in ("", '"open', "(a", "a AND", "NOT", "title:", "*a b*c*x(", "x:y", "a)", "AND a", "a OR OR b", "a~3", '"a b"~2', "[a b]", "a^", "()("):
         with pytest.raises(ValueError):
             FT.search(docs, bad).collect()
     with pytest.raises(GraphError, match="at most 100"):
@@ -124,7 +130,7 @@ def test_fulltext(spark, tmp_path):
     path = str(tmp_path / "index")
     FT.write_index(docs, path)
     index = FT.read_index(spark, path)
-    for q in ("graph networks", '"graph neural"', '+"neural graph" -deep', "neur*", "title:neur* networks", "+graph -deep", "graph AND deep", '"deep graph models" OR other', "nothing", "the NOT graph"):
+    for q in ("graph networks", '"graph neural"', '+"neural graph" -deep', "neur*", "title:neur* networks", "+graph -deep", "graph AND deep", '"deep graph models" OR other', "nothing", "the NOT graph", "(deep OR other) AND network*", "grahp~ title:net?orks^2", "+(neural (other AND deep)^2) graph -[x TO z]", "*ons OR neurol~1"):
         a = {r.arxiv_id: r.score for r in FT.search(docs, q).collect()}
         b = {r.arxiv_id: r.score for r in FT.search_index(*index, q).collect()}
         assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a), q
