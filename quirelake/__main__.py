@@ -70,7 +70,7 @@ def parser() -> argparse.ArgumentParser:
     at_once = ("--window", {"type": int, "default": 1, "help": "requests of a task at a time"})
     add("extract", ("shard", {}), ("output", {}), *model, per, at_once, ("--no-resume", {"action": "store_true"}))
     add("usage", ("output", {}))
-    add("resolve", ("extracted", {}), ("target", {}), ("--threshold", {"type": float, "default": entities.THRESHOLD}))
+    add("resolve", ("extracted", {}), ("target", {}), ("--threshold", {"type": float, "default": entities.THRESHOLD}), ("--acronyms", {"action": "store_true"}))
     add("merge", ("resolved", {}))
     add("extract-all", ("work", {}), *model, per, at_once, ("--threshold", {"type": float, "default": entities.THRESHOLD}))
     service = ("--service", {"required": True, "help": "folder of the batch service"})
@@ -147,8 +147,8 @@ def _evaluation(spark: SparkSession, g: Graph, args: argparse.Namespace, encoder
     return None
 
 
-def _resolved(spark: SparkSession, extracted: str, target: str, threshold: float, dim: int) -> None:
-    rows = entities.resolve(entities.read_extractions(spark, extracted), V.encode_udf(lambda: V.hashing_encoder(dim)), threshold)
+def _resolved(spark: SparkSession, extracted: str, target: str, threshold: float, dim: int, acronyms: bool = False) -> None:
+    rows = entities.resolve(entities.read_extractions(spark, extracted), V.encode_udf(lambda: V.hashing_encoder(dim)), threshold, acronyms=acronyms)
     rows.drop("seq").write.mode("overwrite").json(target)
 
 
@@ -221,7 +221,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[list[DataFrame],
     if command == "pending":
         return [extraction.pending(spark, args.shards, args.extracted)], 0
     if command == "resolve":
-        _resolved(spark, args.extracted, args.target, args.threshold, args.dimension)
+        _resolved(spark, args.extracted, args.target, args.threshold, args.dimension, args.acronyms)
         return [], 0
     if command == "merge":
         return [_merged(spark, g, path, args.resolved)], 0

@@ -21,10 +21,11 @@ def literal(vector: Sequence[float]) -> Column:
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
-    """The dot product; an error where the lengths differ, null where one is null."""
+    """The dot product, of as many components as the shorter has; null where one is null."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    total = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(a) == F.size(b), total).when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit("vectors differ in length")).cast("double"))
+    total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    both = F.least(F.size(a), F.size(b))
+    return F.when(F.size(a) == F.size(b), total(a, b)).when(a.isNotNull() & b.isNotNull(), total(F.slice(a, 1, both), F.slice(b, 1, both)))
 
 
 def norm(a: Column | str) -> Column:

@@ -152,13 +152,30 @@ def name_counts(mentions: DataFrame, seq: str = "seq") -> DataFrame:
     return mentions.groupBy("entity_type", "name").agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("first"))
 
 
-def resolve(mentions: DataFrame, encode: Callable | DataFrame, threshold: float = THRESHOLD, seq: str = "seq") -> DataFrame:
+def expanded(names: DataFrame) -> DataFrame:
+    """(entity_type, name, expansion) of the acronyms among ``names`` (entity_type, name,
+    n, first): two to six capitals that are the initials of another name's words, the
+    most frequent of those, then the first.  A plural's s may follow."""
+    word = F.filter(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    initials = F.array_join(F.transform(word, lambda x: F.substring(x, 1, 1)), "")
+    full = names.filter(F.size(word) >= 2).groupBy("entity_type", initials.alias("letters")).agg(F.min_by("name", F.struct(-F.col("n"), F.col("first"), F.col("name"))).alias("expansion"))
+    short = names.filter(F.col("name").rlike(r"^\p{Lu}{2,6}s?$")).select("entity_type", "name", F.lower(F.regexp_extract("name", r"^(\p{Lu}+)", 1)).alias("letters"))
+    return short.join(full, ["entity_type", "letters"]).select("entity_type", "name", "expansion")
+
+
+def resolve(mentions: DataFrame, encode: Callable | DataFrame, threshold: float = THRESHOLD, seq: str = "seq", acronyms: bool = False) -> DataFrame:
     """``mentions`` (seq, paper_id, name, entity_type, ...) with their canonical names:
     one row for each.  ``encode`` is a column function from names to vectors, or a table
-    (name, vector) of stored ones, which must have all names."""
+    (name, vector) of stored ones, which must have all names.
+
+    With ``acronyms``, an extension, an acronym joins its expansion's cluster, and so
+    does all that joined the acronym."""
     names = name_counts(mentions, seq)
     names = names.join(encode, "name") if isinstance(encode, DataFrame) else names.withColumn("vector", encode("name"))
     found = cluster(names, "entity_type", [-F.col("n"), F.col("first"), F.col("name")], "name", "vector", threshold)
+    if acronyms:
+        longer = expanded(names).join(found.withColumnRenamed("name", "expansion").withColumnRenamed("canonical", "whole"), ["entity_type", "expansion"]).select("entity_type", F.col("name").alias("canonical"), "whole")
+        found = found.join(longer, ["entity_type", "canonical"], "left").select("entity_type", "name", F.coalesce("whole", "canonical").alias("canonical"))
     return mentions.join(found, ["entity_type", "name"]).select("paper_id", "entity_type", F.col("canonical").alias("name"), T.normalize_entity("canonical").alias("normalized_name"), F.col("name").alias("raw_name"), "extraction_model", "extracted_at", seq)
 
 

@@ -6,19 +6,23 @@ import json
 import subprocess
 import time
 import warnings
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Encoder, percentile
 from ..schema import ENTITY_TYPES, Graph
 from ..scratch import written
+from ..sources.metadata import numbered
 
 CUTS = (1, 5, 10)
+#: Bytes of queries that are broadcast at a time, and lists of a query merged at a time.
+BLOCK_BYTES, MERGED = 64 << 20, 64
 
 # Pairs of names, their type, and whether resolution should merge them.
 SYNONYM_PAIRS = [
@@ -89,35 +93,65 @@ def ranks_of(cases: DataFrame, ranked: str = "ranked_ids", expected: str = "expe
     return cases.withColumn("rank", F.nullif(F.array_position(ranked, F.col(expected)), F.lit(0)))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+def _top(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of each row, best first, ties to the smaller key."""
+    order = np.lexsort((keys, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
+
+
+def _unit(column) -> np.ndarray:
+    m = np.stack(column).astype(np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _heaps(shared, k: int, rows: int = 2048):
+    """Each task's ``k`` best vectors of every query, in one pass over its vectors."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, asked = shared.value
+        scores, keys = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        for part in parts:
+            for start in range(0, len(part), rows):
+                own = part.iloc[start : start + rows].sort_values("key")
+                m, names = _unit(own["vector"]), own["key"].to_numpy()
+                best, found = [], []
+                for i in range(0, len(ids), rows):
+                    close = asked[i : i + rows] @ m.T
+                    top = np.argsort(-close, axis=1, kind="stable")[:, :k]
+                    best.append(np.take_along_axis(close, top, 1))
+                    found.append(names[top])
+                scores, keys = _top(np.concatenate([scores, np.concatenate(best)], 1), np.concatenate([keys, np.concatenate(found)], 1), k)
+        if scores.shape[1]:
+            yield pd.DataFrame({"query_id": np.repeat(ids, scores.shape[1]), "key": keys.ravel(), "score": scores.ravel(), "task": TaskContext.get().partitionId()})
+
+    return run
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, key, score, rank) of the k nearest vectors of each query, exactly, by
     cosine, as ``vector_search`` has it; a zero vector is as near as an orthogonal one.
 
-    Queries (query_id, vector) and vectors (key, vector) meet in blocks, each a
-    matrix product in one task that returns its k best; pairs never become rows.
+    Queries (query_id, vector) are broadcast in blocks of ``block_bytes``; a block is one
+    pass over the vectors (key, vector), of which each task keeps the k best for every
+    query.  The tasks' lists are merged in two steps, so no vector is shuffled.
     """
-    n = max(1, -(-queries.count() // block))
-    q = queries.select(F.col("query_id").cast("long"), F.col("vector").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("i"))
-    parts = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    v = vectors.select(F.col("key").cast("long"), F.col("vector").alias("v"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    q = q.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def unit(column) -> np.ndarray:
-        m = np.stack(column).astype(np.float64)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "key": [], "score": []})
-        b = b.sort_values("key")
-        keys = b["key"].to_numpy()
-        scores = unit(a["q"]) @ unit(b["v"]).T
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), top.shape[1]), "key": keys[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
-
-    found = q.groupBy("i", "j").cogroup(v.groupBy("i", "j")).applyInPandas(meet, "query_id long, key long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    spark = queries.sparkSession
+    asked = written(numbered(queries.select(F.col("query_id").cast("long"), "vector"), "query_id"), "queries")
+    first = asked.select(F.size("vector")).first()
+    per = max(1, block_bytes // (8 * max(1, first[0] if first else 1)))
+    found = None
+    for block in range(-(-asked.count() // per)):
+        rows = asked.filter((F.col("place") >= block * per) & (F.col("place") < (block + 1) * per)).select("query_id", "vector").toPandas()  # ``block_bytes``
+        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(rows["vector"])))
+        own = vectors.select(F.col("key").cast("long"), "vector").mapInPandas(_heaps(shared, k), "query_id long, key long, score double, task int")
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, key long, score double, rank int")
+    merged = lambda x: F.slice(F.array_sort(x), 1, k)
+    item = F.struct((-F.col("score")).alias("s"), "key")
+    some = found.groupBy("query_id", (F.col("task") % MERGED).alias("part")).agg(merged(F.collect_list(item)).alias("best"))
+    best = some.groupBy("query_id").agg(merged(F.flatten(F.collect_list("best"))).alias("best"))
+    return best.select("query_id", F.posexplode("best").alias("i", "b")).select("query_id", "b.key", (-F.col("b.s")).alias("score"), (F.col("i") + 1).alias("rank"))
 
 
 def retrieval(queries: DataFrame, vectors: DataFrame, top_k: int = 10, cuts: Sequence[int] = CUTS) -> DataFrame:

@@ -185,6 +185,46 @@ def test_nearest_is_by_cosine(spark):
     assert [(r.key, round(r.score, 6)) for r in EV.nearest(q, v).orderBy("rank").collect()] == [(2, 1.0), (1, 0.6), (3, 0.0)]
 
 
+@pytest.mark.parametrize("block", [64 << 20, 8 * 6 * 7])
+def test_nearest_by_brute_force(spark, block):
+    rng = np.random.default_rng(5)
+    m, q = rng.normal(size=(300, 6)).round(1), rng.normal(size=(20, 6)).round(1)
+    m[10:15] = m[9]  # ties
+    m[20] = 0
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "key long, vector array<double>").repartition(5)
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate([*q, m[9]])], "query_id long, vector array<double>")
+    found = EV.nearest(queries, vectors, 7, block)
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    close = (unit(np.concatenate([q, m[9:10]])) @ unit(m).T).round(12)
+    wanted = {(i, int(k), r + 1) for i in range(21) for r, k in enumerate(np.lexsort((np.arange(300), -close[i]))[:7])}
+    assert {(r.query_id, r.key, r["rank"]) for r in found.collect()} == wanted
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.split("\n") if "Exchange" in x]
+    assert exchanges and "CoGroup" not in plan and plan.index("MapInPandas") > plan.index("Exchange")  # vectors are read below all exchanges
+    assert EV.nearest(queries.limit(0), vectors).count() == 0 and EV.nearest(queries, vectors.limit(0)).count() == 0
+
+
+def test_acronyms_join_their_expansions(spark):
+    pairs = [(a, b, kind, merge) for a, b, kind, merge in EV.SYNONYM_PAIRS]
+    names = sorted({(kind, x) for a, b, kind, _ in pairs for x in (a, b)})
+    rows = [(i, "p", name, kind, "m", "t") for i, (kind, name) in enumerate(names)]
+    mentions = spark.createDataFrame([*rows, (900, "p", "CNNs", "method", "m", "t")], "seq long, paper_id string, name string, entity_type string, extraction_model string, extracted_at string")
+    encode = V.encode_udf(V.hashing_encoder)
+    found = E.resolve(mentions, encode, 0.95, acronyms=True)
+    to = {(r.entity_type, r.raw_name): r.name for r in found.collect()}
+    for a, b, kind, merge in pairs:
+        assert (to[kind, a] == to[kind, b]) == merge, (a, b)
+    assert to["method", "CNNs"] == "convolutional neural network"
+    score = EV.resolution_score(found.select("entity_type", F.col("raw_name").alias("name"), "normalized_name"), EV.synonym_pairs(spark)).first()
+    assert score.merge_recall == 1.0 and score.merge_precision == 1.0
+    assert E.resolve(mentions, encode, 0.95).filter("raw_name = 'CNN' AND name <> 'CNN'").count() == 0
+
+
+def test_dot_of_unequal_lengths(spark):
+    row = spark.createDataFrame([([1.0, 2.0, 5.0], [3.0, 4.0], None)], "a array<double>, b array<double>, c array<double>")
+    assert tuple(row.select(V.dot("a", "b"), V.dot("b", "a"), V.dot("a", "c")).first()) == (11.0, 11.0, None)
+
+
 def test_eval_files(spark, tmp_path):
     rows = [("a query", "1234.5678", "paraphrased"), ("another query", "8765.4321", "self_retrieval")]
     EV.write_eval(spark.createDataFrame(rows, "query string, expected_paper_id string, source string"), str(tmp_path / "a"))
