@@ -1,7 +1,8 @@
 """Command line over a folder of graph tables: ``python -m quirelake COMMAND ...``.
 
 Retrieval: search, by-id, by-author, by-category, by-year, fulltext, entities,
-entity-papers, paper-entities, expand, stats, index, index-vectors.  Ingestion: schema, load, embed,
+entity-papers, paper-entities, expand, stats, index, index-add,
+index-delete, index-merge, index-vectors.  Ingestion: schema, load, embed,
 validate, ingest-all, vacuum, rebucket.  Extraction: export, extract, usage, pending, resolve, merge,
 extract-all.  Batches: batch-submit, batch-status, batch-collect, batch-run.
 Evaluation: generate, evaluate, evaluate-expansion, evaluate-entities, latency.
@@ -56,6 +57,9 @@ def parser() -> argparse.ArgumentParser:
     add("vacuum", ("--keep", {"type": int, "default": 1}))
     add("rebucket", ("buckets", {"type": int}))
     add("index", ("target", {}))
+    add("index-add", ("target", {}), ("ids", {"nargs": "+", "help": "papers that are new or have changed"}))
+    add("index-delete", ("target", {}), ("ids", {"nargs": "+"}))
+    add("index-merge", ("target", {}))
     add("index-vectors", ("target", {}), ("--cells", {"type": int}))
     add("schema", ("--database", {"default": "default"}))
     add("ingest-all", ("source", {}), ("--checkpoint", {"required": True}), ("--replace-edges", {"action": "store_true"}))
@@ -203,6 +207,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[list[DataFrame],
     if command == "index":
         fulltext.write_index(g.papers, args.target)
         return [], 0
+    if command in ("index-add", "index-delete"):
+        named = g.papers.filter(F.col("arxiv_id").isin(args.ids))
+        (fulltext.add_docs if command == "index-add" else fulltext.delete_docs)(named if command == "index-add" else spark.createDataFrame([(i,) for i in args.ids], "arxiv_id string"), args.target)
+        return [], 0
+    if command == "index-merge":
+        fulltext.merge_segments(spark, args.target)
+        fulltext.vacuum_index(spark, args.target)
+        return [], 0
     if command == "index-vectors":
         vectors = g.embeddings.filter("property = 'embedding'").select(F.col("arxiv_id").alias("key"), "vector")
         index = vector_index.write(vectors, args.target, args.cells)

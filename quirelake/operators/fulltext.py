@@ -17,10 +17,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import GraphError
+from ..scratch import dropped, written
+from ..sources import files
 
 K1, B = 1.2, 0.75
 _TOKEN = r"([\p{L}\p{N}]+)"
@@ -205,17 +207,118 @@ def lengths(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
     return sizes.select("n", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("mean")) for f in fields))).alias("x")).select("x.field", "n", "x.mean")
 
 
+#: Segments that ``add_docs`` leaves before it merges them.
+SEGMENTS = 10
+
+
+def _state(spark: SparkSession, path: str) -> dict:
+    have = [n for n in files.names(spark, f"{path}/_state") if n.endswith(".json")]
+    found = files.read_json(spark, f"{path}/_state/{max(have)}") if have else None
+    if found is None:
+        raise GraphError("NO_INDEX", path)
+    return found
+
+
+def _commit(spark: SparkSession, path: str, state: dict) -> None:
+    """What makes a change count: until it is there, readers see the state before."""
+    if not files.write_json(spark, f"{path}/_state/{state['version']:012d}.json", state, replace=False):
+        raise GraphError("CONFLICT", f"{path} has a state {state['version']} already")
+
+
+def _put_segment(docs: DataFrame, path: str, segment: int, key: str, fields: Sequence[str]) -> dict[str, list[int]]:
+    """Writes the postings of ``docs`` and their lengths; documents and tokens by field."""
+    postings(docs, key, fields).repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings/s={segment}")
+    docs.select(key, *(F.size(tokens(f)).alias(f) for f in fields)).write.mode("overwrite").parquet(f"{path}/docs/s={segment}")
+    return _totals(docs.sparkSession.read.parquet(f"{path}/docs/s={segment}"), fields)
+
+
+def _totals(docs: DataFrame, fields: Sequence[str]) -> dict[str, list[int]]:
+    row = docs.agg(F.count(F.lit(1)).alias("n"), *(F.sum(f).alias(f) for f in fields)).first()
+    return {f: [row.n, int(row[f] or 0)] for f in fields}
+
+
+def _plus(a: dict[str, list[int]], b: dict[str, list[int]], sign: int = 1) -> dict[str, list[int]]:
+    return {f: [x + sign * y for x, y in zip(a[f], b[f], strict=True)] for f in a}
+
+
 def write_index(docs: DataFrame, path: str, key: str = "arxiv_id", fields: Sequence[str] = ("title", "abstract")) -> None:
-    """Writes the index below ``path``: postings in ranges of terms, sorted by term, so
-    that a look-up reads the terms' row groups alone, and the fields' lengths.  A
+    """Writes the index below ``path`` anew: postings in ranges of terms, sorted by term,
+    so that a look-up reads the terms' row groups alone, and documents' lengths.  A
     frequent term has several ranges."""
-    postings(docs, key, fields).repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
-    lengths(docs, fields).coalesce(1).write.mode("overwrite").parquet(f"{path}/lengths")
+    spark = docs.sparkSession
+    have = [int(n[:-5]) for n in files.names(spark, f"{path}/_state") if n.endswith(".json")]
+    segment = max((int(n[2:]) for n in files.names(spark, f"{path}/postings") if n.startswith("s=")), default=-1) + 1
+    totals = _put_segment(docs, path, segment, key, fields)
+    _commit(spark, path, {"version": max(have, default=-1) + 1, "key": key, "fields": list(fields), "segments": [segment], "next": segment + 1, "totals": totals, "deletions": []})
+
+
+def _live(spark: SparkSession, path: str, state: dict, kind: str) -> DataFrame:
+    """The rows of all segments whose documents weren't deleted since."""
+    rows = spark.read.option("basePath", f"{path}/{kind}").parquet(*(f"{path}/{kind}/s={s}" for s in state["segments"]))
+    if not state["deletions"]:
+        return rows.drop("s")
+    gone = spark.read.parquet(*(f"{path}/deletions/v={v}" for v in state["deletions"])).groupBy("__key").agg(F.max("before").alias("before"))
+    return rows.join(gone, (F.col(state["key"]) == F.col("__key")) & (F.col("s") < F.col("before")), "left_anti").drop("s")
+
+
+def _delete(spark: SparkSession, path: str, state: dict, ids: DataFrame, before: int) -> dict:
+    """``state`` after the documents of ``ids`` are gone from segments before ``before``."""
+    known = _live(spark, path, state, "docs").join(ids.select(state["key"]).distinct(), state["key"], "left_semi")
+    version = state["version"] + 1
+    found = written(known, "deleted")
+    if found.count():
+        found.select(F.col(state["key"]).alias("__key"), F.lit(before).alias("before")).write.mode("overwrite").parquet(f"{path}/deletions/v={version}")
+        state = {**state, "deletions": [*state["deletions"], version], "totals": _plus(state["totals"], _totals(found, state["fields"]), -1)}
+    dropped(found)
+    return state
+
+
+def add_docs(docs: DataFrame, path: str, most: int = SEGMENTS) -> None:
+    """Puts documents into a stored index, in place of those of their keys, as a segment
+    of its own: what is there isn't rewritten until there are more than ``most``."""
+    spark = docs.sparkSession
+    state = _state(spark, path)
+    segment = state["next"]
+    totals = _put_segment(docs, path, segment, state["key"], state["fields"])
+    state = _delete(spark, path, state, docs, segment)
+    state = {**state, "version": state["version"] + 1, "segments": [*state["segments"], segment], "next": segment + 1, "totals": _plus(state["totals"], totals)}
+    _commit(spark, path, state)
+    if len(state["segments"]) > most:
+        merge_segments(spark, path)
+
+
+def delete_docs(ids: DataFrame, path: str) -> None:
+    """Deletes the documents of ``ids`` (the key) from a stored index."""
+    spark = ids.sparkSession
+    state = _state(spark, path)
+    after = _delete(spark, path, state, ids, state["next"])
+    if after is not state:
+        _commit(spark, path, {**after, "version": state["version"] + 1})
+
+
+def merge_segments(spark: SparkSession, path: str) -> None:
+    """Writes all segments as one, without what was deleted.  Old ones stay until
+    ``vacuum_index``, as somebody may be reading them."""
+    state = _state(spark, path)
+    segment, key = state["next"], state["key"]
+    _live(spark, path, state, "postings").repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings/s={segment}")
+    _live(spark, path, state, "docs").write.mode("overwrite").parquet(f"{path}/docs/s={segment}")
+    _commit(spark, path, {**state, "version": state["version"] + 1, "segments": [segment], "next": segment + 1, "deletions": []})
+
+
+def vacuum_index(spark: SparkSession, path: str) -> None:
+    """Deletes what the newest state doesn't name."""
+    state = _state(spark, path)
+    for kind, named in (("postings", {f"s={s}" for s in state["segments"]}), ("docs", {f"s={s}" for s in state["segments"]}), ("deletions", {f"v={v}" for v in state["deletions"]}), ("_state", {f"{state['version']:012d}.json"})):
+        for name in set(files.names(spark, f"{path}/{kind}")) - named:
+            files.delete(spark, f"{path}/{kind}/{name}")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The postings and lengths that ``write_index`` wrote."""
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+    """The postings and lengths of a stored index as it is now."""
+    state = _state(spark, path)
+    sizes = [(f, n, total / n if n else None) for f, (n, total) in state["totals"].items()]
+    return _live(spark, path, state, "postings"), spark.createDataFrame(sizes, "field string, n long, mean double")
 
 
 def _checked(query: str, fields: Sequence[str], limit: int | None) -> Group | None:

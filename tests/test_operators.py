@@ -147,6 +147,48 @@ def test_fulltext_without_limit(spark, sf_dir):
     assert "Limit" not in plan
 
 
+def test_index_segments(spark, tmp_path):
+    """Adding and deleting a few documents writes a few, and scores are those of an index
+    that is written anew."""
+    words = [f"w{i % 17} w{i % 5} graph x{i}" for i in range(300)]
+    frame = lambda rows: spark.createDataFrame(rows, "arxiv_id string, title string, abstract string")
+    rows = {f"{i:03d}": (f"{i:03d}", w, None if i % 4 else f"about {w}") for i, w in enumerate(words)}
+    path = tmp_path / "index"
+    FT.write_index(frame(list(rows.values())), str(path))
+    size = lambda: {str(p): p.stat().st_size for p in path.rglob("*.parquet")}
+    before = size()
+
+    def same():
+        FT.write_index(frame(list(rows.values())), str(tmp_path / "new"))
+        old, new = FT.read_index(spark, str(path)), FT.read_index(spark, str(tmp_path / "new"))
+        assert sorted(map(tuple, old[1].collect())) == sorted(map(tuple, new[1].collect()))
+        for q in ("graph w3", '"graph x7"', "fresh", "x29* -w4"):
+            a, b = ({r.arxiv_id: r.score for r in FT.search_index(*x, q, limit=None).collect()} for x in (old, new))
+            assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a), q
+
+    changed = [("007", "fresh graph", "new words"), ("300", "w3 graph fresh", None), ("301", None, None)]
+    FT.add_docs(frame(changed), str(path))
+    rows |= {r[0]: r for r in changed}
+    same()
+    gone = ["005", "300", "nobody"]
+    FT.delete_docs(spark.createDataFrame([(x,) for x in gone], "arxiv_id string"), str(path))
+    for x in gone:
+        rows.pop(x, None)
+    same()
+    after = size()
+    assert before.items() <= after.items() and sum(v for k, v in after.items() if k not in before and "/postings/" in k) < 0.3 * sum(v for k, v in before.items() if "/postings/" in k)
+    FT.delete_docs(spark.createDataFrame([("nobody",)], "arxiv_id string"), str(path))
+    FT.add_docs(frame([("300", "back w3", None)]), str(path), most=2)  # three segments become one
+    rows["300"] = ("300", "back w3", None)
+    assert len(FT._state(spark, str(path))["segments"]) == 1
+    same()
+    FT.vacuum_index(spark, str(path))
+    assert len(list((path / "postings").iterdir())) == 1 and not list((path / "deletions").iterdir())
+    same()
+    with pytest.raises(GraphError, match="none"):
+        FT.read_index(spark, str(tmp_path / "none"))
+
+
 def test_metrics(spark):
     cases = spark.createDataFrame([("s", ["a", "b"], "a"), ("s", ["a", "b"], "x")], "source string, ranked_ids array<string>, expected_paper_id string")
     total = {r.source: r for r in EV.summarize(EV.ranks_of(cases), (1, 2)).collect()}
