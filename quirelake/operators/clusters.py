@@ -168,7 +168,9 @@ def cluster(rows: DataFrame, group: str, order: list[Column], key: str, vector:
     """
     by = [f"__o{i}" for i in range(len(order))]
     named = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).alias("vector"), *(o.alias(b) for o, b in zip(order, by, strict=True)))
-    placed = written(numbered(named, "g", *by).drop(*by), "ordered-names")
+    ordered = numbered(named, "g", *by)
+    placed = written(ordered.drop(*by), "ordered-names")
+    dropped(ordered)
     ends = placed.groupBy("g").agg(F.min("place").alias("first"), F.max("place").alias("last")).withColumnRenamed("g", "__g")
     whole = written(placed.join(ends, F.col("g").eqNullSafe(F.col("__g"))).select("g", "k", "vector", "first", "last", "place"), "cluster-names")
     own = whole.select("first", "last", "place", "vector")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import Encoder, percentile
 from ..schema import ENTITY_TYPES, Graph
-from ..scratch import written
+from ..scratch import dropped, written
 from ..sources.metadata import numbered
 
 CUTS = (1, 5, 10)
@@ -136,7 +136,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block_bytes: in
     query.  The tasks' lists are merged in two steps, so no vector is shuffled.
     """
     spark = queries.sparkSession
-    asked = written(numbered(queries.select(F.col("query_id").cast("long"), "vector"), "query_id"), "queries")
+    ordered = numbered(queries.select(F.col("query_id").cast("long"), "vector"), "query_id")
+    asked = written(ordered, "queries")
     first = asked.select(F.size("vector")).first()
     per = max(1, block_bytes // (8 * max(1, first[0] if first else 1)))
     found = None
@@ -145,6 +146,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block_bytes: in
         shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(rows["vector"])))
         own = vectors.select(F.col("key").cast("long"), "vector").mapInPandas(_heaps(shared, k), "query_id long, key long, score double, task int")
         found = own if found is None else found.unionByName(own)
+    dropped(ordered, asked)
     if found is None:
         return spark.createDataFrame([], "query_id long, key long, score double, rank int")
     merged = lambda x: F.slice(F.array_sort(x), 1, k)

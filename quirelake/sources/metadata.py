@@ -60,7 +60,7 @@ def _placed(raw: DataFrame) -> DataFrame:
     number = F.col("before") + F.col("id") - F.col("first") + 1
     lines = raw.join(F.broadcast(_splits(raw)), ["file", "block"]).filter(_filled())  # a row for each split of one file
     rows = lines.select(F.struct("file", "block", "id").alias("seq"), "file", number.alias("line_no"), "line")
-    return numbered(rows, "line_no")
+    return numbered(rows, "line_no")  # the range tables are dropped by the caller
 
 
 def _object(line: str = "line") -> Column:
@@ -124,8 +124,9 @@ def load_batches(spark: SparkSession, path: str, put: Callable[[DataFrame], None
     The file is read once; its numbered lines are written, and batches are ranges of them.
     """
     raw = written(_scanned(spark, path), "source-lines")
-    lines = written(_placed(raw), "numbered-lines")
-    dropped(raw)
+    placed = _placed(raw)
+    lines = written(placed, "numbered-lines")
+    dropped(raw, placed)
     row, source = read_control(spark, control, path) if resume else None, files.qualified(spark, path)
     prefix = lambda last: lines.filter(F.col("line_no") <= last).agg(F.coalesce(F.bit_xor(F.xxhash64("line_no", "line")), F.lit(0)).alias("x")).first().x
     same = row is not None and prefix(row["last_line"]) == row["prefix"]
@@ -337,17 +338,24 @@ def numbered(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:
     counts = ranged.groupBy(part.alias("__part")).count()  # a row for each range
     before = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     own = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + own).drop("__part", "__before", "__place")
+    out = ranged.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + own).drop("__part", "__before", "__place")
+    out.written_to = ranged.written_to  # for ``dropped``, when the places aren't read any more
+    return out
 
 
 def shard_numbers(papers: DataFrame, size: int = 1000) -> DataFrame:
     """``papers`` with ``shard``: exactly ``size`` rows each, in order of id."""
-    return numbered(papers, "arxiv_id", name="shard").withColumn("shard", F.floor(F.col("shard") / size).cast("int"))
+    placed = numbered(papers, "arxiv_id", name="shard")
+    out = placed.withColumn("shard", F.floor(F.col("shard") / size).cast("int"))
+    out.written_to = placed.written_to
+    return out
 
 
 def write_shards(papers: DataFrame, path: str, size: int = 1000) -> None:
     """JSON lines in a folder for each shard."""
-    shard_numbers(papers, size).write.mode("overwrite").partitionBy("shard").json(path)
+    found = shard_numbers(papers, size)
+    found.write.mode("overwrite").partitionBy("shard").json(path)
+    dropped(found)
 
 
 def update_embeddings(old: DataFrame, new: DataFrame, papers: DataFrame) -> DataFrame:
