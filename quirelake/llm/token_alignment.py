@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, input_bytes, public_tokenizer, record_batch, table, text_slices, written
+from .common import SLICE_BYTES, dropped, input_bytes, public_tokenizer, record_batch, table, text_slices, written
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -176,13 +176,15 @@ def align(docs: DataFrame, names: tuple[str, str] = (BYTE_BPE, PIECE_BPE)) -> Da
     (doc_id, text), a row for each."""
     found = documents(places(docs, names)).withColumn("groups_sha256", F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))).drop("groups")
     aligned = written(found, "aligned")
-    counts = pair_counts(aligned)
+    counts = written_counts = pair_counts(aligned)
     if counts.count() <= BROADCAST_PAIRS:
         counts = F.broadcast(counts)
     links = aligned.select("key", F.explode("pairs").alias("p")).select("key", "p.a", "p.b", "p.n").join(counts, ["a", "b"])
     sums = links.groupBy("key").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).cast("long").alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
     none = F.lit(0).cast("long")
     out = aligned.drop("pairs").join(sums, "key", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), "groups_sha256")
+    out = written(out, "alignment")
+    dropped(aligned, written_counts)
     return out
 
 
