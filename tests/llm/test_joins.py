@@ -127,6 +127,37 @@ def test_nearest_odd_vectors(spark):
     assert [(r.vec_id, round(r.score, 9)) for r in ann_search.search(huge).orderBy("rank").collect()] == [(1, 1.0), (2, 1.0), (3, round(1 / 10**0.5, 9))]
 
 
+def test_nearest_of_clusters(spark):
+    """Queries with near neighbours take few products."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    m = centres[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 64)) * 0.03
+    found = ann_search.search(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")).toPandas()
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    asked = np.arange(0, 2000, 50)
+    scores = m[asked] @ m.T
+    scores[np.arange(len(asked)), asked] = -9
+    wanted = {(50 * a, b) for a, row in enumerate(np.argsort(-scores, axis=1, kind="stable")[:, :5].tolist()) for b in row}
+    assert len({(r.query_id, r.vec_id) for r in found.itertuples()} & wanted) >= 0.95 * len(wanted)
+    assert found.candidates.mean() < 0.2 * len(m)
+
+
+def test_products_are_of_visited_pairs():
+    rng = np.random.default_rng(2)
+    m = np.repeat(rng.normal(size=(150, 16)), 2, axis=0) + rng.normal(size=(300, 16)) * 0.001
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    found, q = ann_search.buckets(m), m[::7]
+    near, far = ann_search.plans(q, 0.45), ann_search.plans(q, 1.22)
+    first, then = ann_search.visited(found, *near), ann_search.visited(found, *far)
+    for visits, mask in [([near], first), ([near, far], then & ~first), ([near, far, None], ~then & ~first)]:
+        done = np.zeros(mask.shape, int)
+        for who, rows, dots in ann_search.products(q, m, found, visits):
+            done[np.ix_(who, rows)] += 1
+            assert dots.shape == (len(who), len(rows)) and np.allclose(dots, q[who] @ m[rows].T)
+        assert (done == mask).all()  # each visited pair once, no other at all
+
+
 def test_visits_by_definition():
     """A query's buckets in falling order of their estimate, up to the share."""
     rng = np.random.default_rng(1)
