@@ -6,15 +6,20 @@
    main element before others; good text is weighed by the share that isn't links.
    Unless it is an article or main element, it gives way to the highest container
    above it that adds only headings and blocks that aren't mostly links, so an
-   article's title and intro stay.
+   article's title and intro stay.  An article gives way to a main or article element
+   around it, without what is mostly links there, and to another container if that
+   adds only a title and what follows it, before an article that has none.
 2. Each page votes for its best container's path; Spark sums the votes by host and
    path and chooses each host's winner.
 3. Pages are read again, and the blocks below their host's winning path are the
-   text; a page that has none takes those of its own best container.
+   text.  A page takes those of its own best container if it has no such path, or if
+   that container is around the winner, below body, or holds articles beside it.
 
-What is a menu, form, notice, advert, comment or the like by its tag or role, is
-hidden, or has a class or id all of whose words say so (``comment-list``, but not
-``related-work`` or ``post-header``) is left out everywhere, inline elements too.
+What is a menu, notice, advert, comment or the like by its tag or role, is hidden, or
+has a class or id all of whose words say so (``comment-list`` or ``ArticleComments``,
+but not ``related-work`` or ``post-header``) is left out everywhere, inline elements
+too.  So is a form, unless it holds at least ``FORM`` of the page's good text: then it
+is a container.  Scripts, images and the like inside a sentence don't divide it.
 
 Winning paths are broadcast while they are few (``BROADCAST_HOSTS`` and
 ``BROADCAST_BYTES``, measured first) and joined by host beyond that; adaptive
@@ -32,6 +37,7 @@ result.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -48,14 +54,18 @@ from .common import record_batch, slices, table, written
 COVER = 0.8
 #: Least share that isn't links of a block that an article may gain, but for headings.
 PLAIN = 0.5
+#: Least share of a page's good text of a form that is a container.
+FORM = 0.5
 #: Most hosts whose paths are broadcast, and most characters of all hosts and paths.
 BROADCAST_HOSTS, BROADCAST_BYTES = 50_000, 32 << 20
 
 # Elements that hold no main text, elements whose content isn't
-# markup, elements that end a block, roles, and words of classes and ids.
-SKIPPED = set("head nav footer aside form script style noscript template iframe svg math button select textarea menu dialog object canvas audio video".split())
+# markup, elements that end a block, inline elements that hold no text, roles, and
+# words of classes and ids.
+SKIPPED = set("head nav footer aside script style noscript template iframe button select textarea menu dialog object canvas audio video".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-BLOCKS = set("html head body main article section div nav aside header footer form ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address fieldset details summary hr menu dialog center hgroup search noscript template svg math button select textarea object canvas audio video title script style iframe".split())
+BLOCKS = set("html head body main article section div nav aside header footer form ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address fieldset details summary hr menu dialog center hgroup search noscript template button select textarea object canvas audio video".split())
+UNSEEN = set("svg annotation annotation-xml".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr thead tbody tfoot table ul ol dl caption figcaption figure address summary hgroup center".split())
@@ -64,13 +74,19 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert status menu menubar toolbar tablist form".split())
 BOILERPLATE = set("ad ads adsbygoogle adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination pager paywall popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
 # Words that say nothing of the content beside one of the former.
-FURNITURE = set("a all and area articles author bar block body bottom box btn button buttons col column container content count crumb fixed float form global group header icons id inner item items js left link links list main media message meta mobile more outer overlay page panel posts primary right row secondary section site slot small social sticky stories text thread title to tool top unit wrap wrapper zone".split())
+FURNITURE = set("a all and area articles author bar block body bottom box btn button buttons col column container content count crumb fixed float form global group header icons id inner item items js left link links list main media message meta mobile more new now outer overlay page panel posts primary reader right row secondary section site slot small social sticky stories text thread title to tool top unit us user users wrap wrapper your zone".split())
+# Words of what follows a text, and those of the text that say nothing beside them, as
+# in "post-comments", but do beside others, as in "post-header".
+FOLLOWING = set("comment disqus pager pagination related replies reply respond share sharing".split())
+TEXTS = set("article blog entry news post story".split())
 
 _NAME = re.compile(r"[A-Za-z][^\s/>]*+")
 _TO_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`]++)))?""")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
-_WORDS = re.compile("[a-z]+")
+_WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Letters of a word that may be two written as one, and of the first part at least.
+JOINED, PART = 24, 4
 
 
 class Tag(NamedTuple):
@@ -118,9 +134,21 @@ def tags(page: str) -> Iterator[Tag]:
             yield Tag(start, at, closing, lower, page[name.end() : at - 1])
 
 
+def _boilerplate_in(word: str) -> str:
+    """The word, its singular, or what is left of it without a word of furniture at its
+    end or beginning, that is one of ``BOILERPLATE``; empty if there is none."""
+    parts = [word, word.removesuffix("s")]
+    for i in range(1, len(word)) if len(word) <= JOINED else ():
+        parts += [word[:i]] * (i >= PART and word[i:] in FURNITURE) + [word[i:]] * (len(word) - i >= PART and word[:i] in FURNITURE)
+    return next((x for x in parts if x in BOILERPLATE), "")
+
+
+@functools.lru_cache(maxsize=1 << 14)
 def _says_boilerplate(token: str) -> bool:
-    words = _WORDS.findall(token)
-    return not BOILERPLATE.isdisjoint(words) and all(w in BOILERPLATE or w in FURNITURE for w in words)
+    words = [w.lower() for w in _WORDS.findall(token)]
+    says = [_boilerplate_in(w) for w in words]
+    follows = any(x.removesuffix("s") in FOLLOWING for x in says)
+    return any(says) and all(x or w in FURNITURE or follows and w in TEXTS for x, w in zip(says, words, strict=True))
 
 
 def _attributes(text: str) -> tuple[str, bool]:
@@ -130,10 +158,10 @@ def _attributes(text: str) -> tuple[str, bool]:
     found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(text):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    tokens = found.get("class", "").lower().replace(">", " ").split()
+    tokens = found.get("class", "").replace(">", " ").split()
     out = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I) is not None
-    out = out or found.get("role", "").lower() in ROLES or any(map(_says_boilerplate, [*tokens, found.get("id", "").lower()]))
-    return "".join("." + c for c in sorted({re.sub(r"\d+", "", c) for c in tokens}) if c), out
+    out = out or found.get("role", "").lower() in ROLES or any(map(_says_boilerplate, [*tokens, found.get("id", "")]))
+    return "".join("." + c for c in sorted({re.sub(r"\d+", "", c.lower()) for c in tokens}) if c), out
 
 
 class Block(NamedTuple):
@@ -155,6 +183,7 @@ class Page:
         self.nodes: dict[tuple[int, str], int] = {}
         self.blocks: list[Block] = []
         self._read(page)
+        self._core()
 
     def _node(self, parent: int, name: str) -> int:
         if (parent, name) not in self.nodes:
@@ -164,7 +193,9 @@ class Page:
         return self.nodes[parent, name]
 
     def _read(self, page: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = []  # tag, node, left out, in an article
+        stack: list[tuple[str, int, bool, bool, int]] = []  # tag, node, left out, in an article, in which form
+        forms = 0
+        form_of: list[int] = []  # of each block; 0: none
         opened: dict[str, int] = {}  # how many of each tag the stack has
         pieces: list[str] = []
         linked = at = 0
@@ -173,11 +204,12 @@ class Page:
 
         def flush() -> None:
             nonlocal linked
-            _, node, out, _ = stack[-1] if stack else ("", 0, False, False)
+            _, node, out, _, form = stack[-1] if stack else ("", 0, False, False, 0)
             if pieces and not out:
                 text = " ".join(html.unescape("".join(pieces)).split())
                 if text:
                     self.blocks.append(Block(node, text, max(0.0, 1 - linked / max(1, sum(map(len, pieces)))), bool(stack) and stack[-1][0] in HEADINGS))
+                    form_of.append(form)
             pieces.clear()
             linked = 0
 
@@ -190,9 +222,9 @@ class Page:
                 linked += (tag.start - at) * in_link
             at = tag.end
             name = tag.name
-            if not name:
+            if not name or name in RAW:
                 continue
-            if name not in BLOCKS and name not in RAW:
+            if name not in BLOCKS:
                 if name == "br" and not skipping:
                     pieces.append(" ")
                 elif name == "a":
@@ -200,7 +232,7 @@ class Page:
                 if skipping:
                     depth += (name == skipping) * (-1 if tag.closing else 1)
                     skipping = skipping if depth else ""
-                elif not tag.closing and name not in VOID and not tag.attributes.rstrip().endswith("/") and _attributes(tag.attributes)[1]:
+                elif not tag.closing and name not in VOID and not tag.attributes.rstrip().endswith("/") and (name in UNSEEN or _attributes(tag.attributes)[1]):
                     skipping, depth = name, 1
                 continue
             flush()
@@ -215,17 +247,30 @@ class Page:
                 continue
             while stack and (stack[-1][0] in CLOSED_BY_BLOCKS or stack[-1][0] in CLOSES.get(name, ())):
                 pop()
-            if name in RAW or tag.attributes.rstrip().endswith("/"):
+            if tag.attributes.rstrip().endswith("/"):
                 continue
             classes, out = _attributes(tag.attributes)
-            _, node, above, inside = stack[-1] if stack else ("", 0, False, False)
+            _, node, above, inside, form = stack[-1] if stack else ("", 0, False, False, 0)
             core = name in ("article", "main")
             out = above or name in SKIPPED or out and not core and name not in ("html", "body") or name == "header" and not inside
-            stack.append((name, node if name in LEAVES else self._node(node, name + classes), out, inside or core))
+            if name == "form" and not form:
+                forms += 1
+                form = forms
+            stack.append((name, node if name in LEAVES else self._node(node, name + classes), out, inside or core, form))
             opened[name] = opened.get(name, 0) + 1
         if at < len(page) and not skipping:
             pieces.append(page[at:])
         flush()
+        if forms:  # those that aren't containers go
+            held = [0.0] * (forms + 1)
+            for b, form in zip(self.blocks, form_of, strict=True):
+                held[form] += len(b.text) * b.plain
+            least = FORM * sum(held)
+            self.blocks = [b for b, form in zip(self.blocks, form_of, strict=True) if not form or held[form] >= least > 0]
+
+    def _core(self) -> None:
+        """Which nodes are articles or main elements."""
+        self.core = [name.split(".", 1)[0] in ("article", "main") for name in self.names]
 
     def sums(self, of) -> list[float]:
         """For each node, the sum of ``of`` a block over all blocks in and below it."""
@@ -259,16 +304,35 @@ class Page:
         weight = self.sums(lambda b: len(b.text) * b.plain)
         if not weight[0]:
             return 0, 0.0
-        depth, core = [0] * len(weight), [False] * len(weight)
+        depth, core = [0] * len(weight), self.core
         for i in range(1, len(weight)):
             depth[i] = depth[self.parents[i]] + 1
-            core[i] = re.split("[.]", self.names[i], maxsplit=1)[0] in ("article", "main")
         fit = [i for i, w in enumerate(weight) if w >= COVER * weight[0]]
         best = max(fit, key=lambda i: (core[i], depth[i], weight[i], -i))
-        if not core[best]:
-            best = self._climb(best)
+        best = self._around(best) if core[best] else self._climb(best)
         return best, weight[best]
 
+    def _around(self, node: int) -> int:
+        """The outermost article or main element around ``node``, and a container around
+        that, below body, which adds only a title and what follows it, before an article
+        that has no such."""
+        up = node
+        while up > 0:
+            node = up if self.core[up] else node
+            up = self.parents[up]
+        every = self.sums(lambda b: 1)
+        up = self.parents[node]
+        while up > 0 and self.names[up].split(".", 1)[0] not in ("html", "body") and every[up] == every[node]:
+            up = self.parents[up]
+        if up <= 0 or self.names[up].split(".", 1)[0] in ("html", "body"):
+            return node
+        inside, above = self._inside(node), self._inside(up)
+        own = [b for b in self.blocks if above[b.node]]
+        first = next(i for i, b in enumerate(own) if inside[b.node])
+        before = own[:first]
+        titled = bool(before) and before[0].heading and not any(b.heading for b in own[first : first + 1])
+        return up if titled and len(before) + every[node] == len(own) and all(b.heading or b.plain >= PLAIN for b in before) else node
+
     def _climb(self, node: int) -> int:
         """The highest ancestor all of whose further blocks are headings or not mostly
         links; one that adds no block isn't climbed to."""
@@ -285,14 +349,39 @@ class Page:
     def text(self, winner: str | None) -> str:
         """The text of the blocks below the winning path, or the page's own best one."""
         top = self.find(winner) if winner else -1
-        own = self._below(top) if top >= 0 else []
-        return "\n".join(own or self._below(self.best()[0]))
+        own = self.best()[0]
+        if top < 0 or not self._below(top) or self._holds_more(own, top):
+            top = own
+        return "\n".join(self._below(top))
+
+    def _holds_more(self, own: int, top: int) -> bool:
+        """Whether ``own`` is around ``top``, and below body, or holds articles beside."""
+        inside, under = self._inside(own), self._inside(top)
+        if under[own]:
+            return False
+        beside = any(inside[b.node] and not under[b.node] and self._in_core(b.node) for b in self.blocks)
+        return beside or inside[top] and self.names[own].split(".", 1)[0] not in ("", "html", "body")
+
+    def _in_core(self, node: int) -> bool:
+        while node > 0 and not self.core[node]:
+            node = self.parents[node]
+        return node > 0
 
-    def _below(self, top: int) -> list[str]:
+    def _inside(self, top: int) -> list[bool]:
+        """For each node, whether it is ``top`` or below."""
         inside = [False] * len(self.names)
         for i, parent in enumerate(self.parents):
             inside[i] = i == top or parent >= 0 and inside[parent]
-        return [b.text for b in self.blocks if inside[b.node]]
+        return inside
+
+    def _below(self, top: int) -> list[str]:
+        """The texts below ``top``; beside an article in it that holds ``COVER`` of its
+        good text, without blocks that are mostly links."""
+        inside = self._inside(top)
+        weight = self.sums(lambda b: len(b.text) * b.plain)
+        cores = [i for i in range(top + 1, len(weight)) if inside[i] and self.core[i] and weight[i] >= COVER * weight[top] > 0]
+        within = self._inside(cores[-1]) if cores else inside
+        return [b.text for b in self.blocks if inside[b.node] and (within[b.node] or b.heading or b.plain >= PLAIN)]
 
 
 def host(url: str | None) -> str:

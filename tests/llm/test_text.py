@@ -192,6 +192,39 @@ def test_class_words(spark):
     assert {r.text for r in html_text.main_text(df).collect()} == {wanted}
 
 
+_BODY = "".join(f"<p>Paragraph {i} of the article is of some length, as they are.</p>" for i in range(8))
+_TEXT = "\n".join(f"Paragraph {i} of the article is of some length, as they are." for i in range(8))
+
+
+@pytest.mark.parametrize(
+    "page,wanted",
+    [
+        (f"<main><h1>The Title</h1><article>{_BODY}</article></main>", f"The Title\n{_TEXT}"),
+        (f"<main><h1>The Title</h1><article>{_BODY}</article><div><a href=/1>One other page</a></div></main>", f"The Title\n{_TEXT}"),
+        (f"<div id=page><div class=post><h1>The Title</h1><p>Lead</p><article>{_BODY}</article></div><div><p>Something else</p></div></div>", f"The Title\nLead\n{_TEXT}"),
+        (f"<div id=page><div><h1>Site</h1></div><article><h1>The Title</h1>{_BODY}</article></div>", f"The Title\n{_TEXT}"),
+        (f"<main><article>{_BODY}</article><section><p>{'A last section. ' * 6}</p></section></main>", f"{_TEXT}\n{('A last section. ' * 6).strip()}"),
+        (f"<form id=aspnetForm><nav>Menu</nav><div>{_BODY}</div><input><button>Send</button></form>", _TEXT),
+        (f"<article>{_BODY}<form>Your name <input></form></article>", _TEXT),
+        (f"<article>{_BODY}<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds<script>f(1)</script> here <svg><title>i</title><text>no</text></svg>too.</p></article>", f"{_TEXT}\nSo x=1 holds here too."),
+        *((f"<article>{_BODY}<div class={c}><p>Nothing of the article</p></div></article>", _TEXT) for c in ("user-comment", "commentlist", "ArticleComments", "siteFooter", "footer-widgets", "subscribe-now", "CommentThread", "post-comments")),
+        *((f"<article>{_BODY}<div class={c}><p>Of the article</p></div></article>", f"{_TEXT}\nOf the article") for c in ("post-header", "article-header", "related-work", "address", "commentary", "information", "intoForm")),
+    ],
+)
+def test_what_stays_of_a_page(page, wanted):
+    assert html_text.Page(f"<html><body>{page}</body></html>").text(None) == wanted
+
+
+def test_winners_that_hold_less_than_the_page():
+    """A host's path isn't used for a page whose own articles lie beside it."""
+    both = html_text.Page(f"<html><body><article class=x><p>{'First. ' * 20}</p></article><article class=y>{_BODY}</article></body></html>")
+    assert both.text("html>body>article.x") == f"{('First. ' * 20).strip()}\n{_TEXT}"
+    wide = html_text.Page(f"<html><body><main><article>{_BODY}</article><section><p>{'More. ' * 10}</p></section></main></body></html>")
+    assert wide.text("html>body>main>article") == f"{_TEXT}\n{('More. ' * 10).strip()}"
+    note = html_text.Page(f"<html><body><div class=story>{_BODY}</div><div class=box><p>{'A note. ' * 300}</p></div></body></html>")
+    assert note.text("html>body>div.story") == _TEXT and note.text(None) != _TEXT
+
+
 def test_pages_without_articles_by_plain_consensus(spark):
     """Hosts with one template each, some of whose pages look otherwise, against votes
     that are counted plainly."""
