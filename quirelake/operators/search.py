@@ -140,14 +140,14 @@ def papers_with(graph: Graph, papers: DataFrame, year: tuple[int, int] | None =
     return papers
 
 
-def hybrid(lexical: DataFrame, semantic: DataFrame, weight: float = 0.5, limit: int = 10) -> DataFrame:
+def hybrid(lexical: DataFrame, semantic: DataFrame, weight: float = 0.5, limit: int = 10, flat: float = 1.0) -> DataFrame:
     """An extension: two result lists (arxiv_id, score) as one, by the weighted sum of
     their scores, each scaled to 0..1 in its list; ``methods`` says where a paper
-    was found."""
+    was found.  In a list whose scores are all equal each is ``flat``."""
 
     def scaled(df: DataFrame, name: str) -> DataFrame:
         ends = df.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-        return df.join(F.broadcast(ends)).select("arxiv_id", F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0).alias(name))
+        return df.join(F.broadcast(ends)).select("arxiv_id", F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(flat)).alias(name))
 
     both = scaled(lexical, "lexical").join(scaled(semantic, "semantic"), "arxiv_id", "full_outer")
     score = weight * F.coalesce("lexical", F.lit(0.0)) + (1 - weight) * F.coalesce("semantic", F.lit(0.0))
