@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,10 @@ from ..scratch import dropped, written
 from ..sources import files
 
 K1, B = 1.2, 0.75
+#: Tokens that one step of a Python worker groups at a time.
+STEP_TOKENS = 2_000_000
+#: Postings of a pack.
+PACK = 64
 _TOKEN = r"([\p{L}\p{N}]+)"
 
 
@@ -194,11 +201,62 @@ def plain_words(text: str) -> list[str]:
     return _words(text)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, field, t) as packs of postings: a document's places are grouped where
+    it is, and then a term's documents of a step, ``PACK`` at most."""
+    for batch in batches:
+        counts = pc.list_value_length(batch.column(2)).to_numpy().astype(np.int64)
+        upto = np.cumsum(counts)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + STEP_TOKENS, side="right")))
+            own, n = batch.slice(start, stop - start), counts[start:stop]
+            told, fields = own.column(2).flatten().dictionary_encode(), own.column(1).dictionary_encode()
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            word = told.indices.to_numpy().astype(np.int64) * len(fields.dictionary) + fields.indices.to_numpy()[row]
+            order = np.lexsort((row, word))  # places stay in order
+            row, word, place = row[order], word[order], place[order]
+            first = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(word, prepend=-1))  # of each posting
+            if len(first):
+                turn = np.flatnonzero(np.diff(word[first], prepend=-1))  # of each term's
+                nth = np.arange(len(first)) - np.repeat(turn, np.diff(np.append(turn, len(first))))
+                pack = np.flatnonzero(nth % PACK == 0)
+                at, upto_pack = word[first[pack]], np.append(pack, len(first))
+                tf = np.diff(np.append(first, len(order)))
+                lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                columns = {
+                    "term": told.dictionary.take(pa.array(at // len(fields.dictionary))),
+                    "field": fields.dictionary.take(pa.array(at % len(fields.dictionary))),
+                    "keys": lists(upto_pack, own.column(0).take(pa.array(row[first]))),
+                    "lengths": lists(upto_pack, pa.array(n[row[first]], pa.int32())),
+                    "tfs": lists(upto_pack, pa.array(tf, pa.int32())),
+                    "ends": lists(upto_pack, pa.array(np.cumsum(tf) - np.repeat(first[pack], np.diff(upto_pack)), pa.int32())),
+                    "places": lists(np.append(first[pack], len(order)), pa.array(place, pa.int32())),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            start = stop
+
+
+def _packs(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(term, field, keys, lengths, tfs, ends, places): postings of ``docs``, a row for
+    each document, in packs.  A term is written once in a pack, which is what makes the
+    one exchange small."""
+    rows = [docs.select(F.col(key).alias("key"), F.lit(f).alias("field"), tokens(f).alias("t")) for f in fields]
+    each = reduce(DataFrame.unionByName, rows)
+    kind = each.schema["key"].dataType.simpleString()
+    return each.mapInArrow(_grouped, f"term string, field string, keys array<{kind}>, lengths array<int>, tfs array<int>, ends array<int>, places array<int>")
+
+
+def _unpacked(packs: DataFrame, key: str) -> DataFrame:
+    each = packs.select("*", F.posexplode("keys").alias("i", key))
+    tf, end = F.get("tfs", F.col("i")), F.get("ends", F.col("i"))
+    return each.select(key, "field", F.get("lengths", F.col("i")).alias("length"), "term", tf.cast("long").alias("tf"), F.slice("places", end - tf + 1, tf).alias("places"))
+
+
 def postings(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """(key, field, length, term, tf, places): the index."""
-    rows = [docs.select(key, F.lit(f).alias("field"), tokens(f).alias("t")) for f in fields]
-    each = reduce(DataFrame.unionByName, rows).select(key, "field", F.size("t").alias("length"), F.posexplode("t").alias("place", "term"))
-    return each.groupBy(key, "field", "length", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
+    return _unpacked(_packs(docs, key, fields), key)
 
 
 def lengths(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -227,7 +285,8 @@ def _commit(spark: SparkSession, path: str, state: dict) -> None:
 
 def _put_segment(docs: DataFrame, path: str, segment: int, key: str, fields: Sequence[str]) -> dict[str, list[int]]:
     """Writes the postings of ``docs`` and their lengths; documents and tokens by field."""
-    postings(docs, key, fields).repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings/s={segment}")
+    ranged = _packs(docs, key, fields).repartitionByRange("term", F.get("keys", F.lit(0))).sortWithinPartitions("term", F.get("keys", F.lit(0)))
+    _unpacked(ranged, key).write.mode("overwrite").parquet(f"{path}/postings/s={segment}")
     docs.select(key, *(F.size(tokens(f)).alias(f) for f in fields)).write.mode("overwrite").parquet(f"{path}/docs/s={segment}")
     return _totals(docs.sparkSession.read.parquet(f"{path}/docs/s={segment}"), fields)
 

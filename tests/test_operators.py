@@ -297,3 +297,18 @@ def test_extraction_failures(spark):
         rows = EX.extract(papers, client, "m", per).collect()
         assert [r.paper_id for r in rows] == [f"p{i}" for i in range(5)]
         assert {r.paper_id for r in rows if not r.entities} == lost
+
+
+def test_index_is_shuffled_in_packs(spark, tmp_path):
+    words = [f"w{i % 97}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 7 :]), "Title w3" if i % 2 else None) for i in range(300)] + [(300, None, ""), (None, "w5 w5", None)], "doc_id long, text string, title string")
+    found = FT.postings(docs, "doc_id", ["text", "title"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # the grouping by document was one
+    wanted = []
+    for d in docs.collect():
+        for f in ("text", "title"):
+            own = (d[f] or "").lower().split()
+            wanted += [(d.doc_id, f, len(own), w, own.count(w), [i for i, x in enumerate(own) if x == w]) for w in set(own)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
+    FT.write_index(docs, str(tmp_path / "index"), "doc_id", ["text", "title"])
+    assert sorted(map(tuple, FT.read_index(spark, str(tmp_path / "index"))[0].collect()), key=str) == sorted(wanted, key=str)
