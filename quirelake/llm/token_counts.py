@@ -4,14 +4,15 @@ Tier one is a compact table of the most frequent pre-tokens and their numbers of
 tokens, of a fixed number of entries, that every executor gets.  Tier two is a bounded
 cache in each Python worker: pre-tokens that the table hasn't are encoded once by the
 tokenizer and remembered.  A worker also remembers the counts of whole words, so that
-only new words are cut into pre-tokens.  No pre-token is shuffled.
+only new words are cut into pre-tokens.  What is shuffled is a count for each of a
+task's distinct pre-tokens.
 
 A word is what stands between ASCII white space.  The tokenizer's normaliser and
 pre-tokeniser never join or compare anything across white space, so a text's count
 is the sum over its words, and a word's over its pre-tokens.
 
-The table is made on the driver of the pre-tokens of about ``SAMPLE_ROWS`` rows, chosen
-by a hash of their place: it decides on speed alone, and every text is counted whole.
+The table's pre-tokens are the most frequent of all texts, by a pass that counts them
+before: it decides on speed alone, and every text is counted whole.
 
 Nulls, empty and odd rows: a null text counts as empty and has 0 tokens; a very long
 text is counted whole, alone in its batch; a null id stays null; repeated rows give
@@ -31,19 +32,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hf_tokenizer, record_batch, table, text_slices
+from .common import dropped, hf_tokenizer, record_batch, table, text_slices, written
 from .words import told_apart
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-#: Rows, in expectation, whose pre-tokens the table is chosen from.
-SAMPLE_ROWS = 4000
-#: Entries of the table, and of what one task may add to it.
+#: Entries of the table.
 FREQUENT = 40_000
-SUMMARY = 10_000
 #: Longest pre-token of the table; longer ones are left to the workers' caches.
 LONGEST = 64
-#: Pre-tokens, and words, that a worker remembers besides the table.
+#: Pre-tokens, and words, that a worker remembers at a time besides the table.
 CACHED = 300_000
 
 _LETTERS_SIGNS = re.compile("([A-Za-z]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -78,27 +76,40 @@ class PreTokens:
         return [len(x) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
-def frequent(docs: DataFrame, tokenizer: str = TOKENIZER, entries: int = FREQUENT, rows: int = SAMPLE_ROWS) -> list[str]:
-    """The most frequent pre-tokens of a sample: at most ``entries`` of at most
-    ``LONGEST`` characters.  Each task sends at most ``SUMMARY``, of its rows in it."""
+def frequent(docs: DataFrame, tokenizer: str = TOKENIZER, entries: int = FREQUENT) -> list[str]:
+    """The most frequent pre-tokens of all ``docs``: at most ``entries`` of at most
+    ``LONGEST`` characters, ties to the least.  Tasks count words, which are cut once a
+    task or whenever there are ``CACHED``, and Spark adds the counts."""
 
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PreTokens(tokenizer)
+        schema = pa.schema([("piece", pa.string()), ("n", pa.int64())])
+
+        def cut(seen: Counter[str]) -> pa.RecordBatch:
+            pieces: Counter[str] = Counter()
+            for word, n in seen.items():
+                for piece in own.of(word):
+                    pieces[piece] += n
+            kept = [(w, n) for w, n in pieces.items() if len(w) <= LONGEST]
+            return record_batch({"piece": [w for w, _ in kept], "n": [n for _, n in kept]}, schema)
+
         seen: Counter[str] = Counter()
         for _, texts in text_slices(batches):
             words, at, _ = told_apart(texts)
             for word, n in zip(words, np.bincount(at, minlength=len(words)).tolist(), strict=True):
-                for piece in own.of(word) if n else ():
-                    seen[piece] += n
-        top = [(w, n) for w, n in seen.most_common(SUMMARY) if len(w) <= LONGEST]
-        yield record_batch({"piece": [w for w, _ in top], "n": [n for _, n in top]}, pa.schema([("piece", pa.string()), ("n", pa.int64())]))
-
-    share = min(1.0, rows / max(1, docs.count()))
-    chosen = docs.select("text").filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 40)) <= int(share * (1 << 40)))
-    total: Counter[str] = Counter()
-    for r in chosen.mapInArrow(summarise, "piece string, n long").collect():  # of the sample
-        total[r.piece] += r.n
-    return [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:entries]]
+                if n:
+                    seen[word] += n
+            if len(seen) > CACHED:
+                yield cut(seen)
+                seen.clear()
+        yield cut(seen)
+
+    counts = docs.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    # written, as a collected limit sends every partition's ``entries`` to the driver
+    top = written(counts.orderBy(F.desc("n"), "piece").limit(entries), "pre-tokens")
+    found = sorted(top.collect(), key=lambda r: (-r.n, r.piece))  # ``entries``
+    dropped(top)
+    return [r.piece for r in found]
 
 
 class Counting:

@@ -198,3 +198,16 @@ def test_long_pre_tokens_count_whole(spark):
 def test_repeated_rows_are_packed(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "x")], "doc_id long, text string")
     assert packing.pack(docs).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].loc[1] == 2
+
+
+def test_table_is_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHED", 50)  # counts are handed on in parts
+    rare = [(i, f"filler{i} other{i % 900} only{i % 7}") for i in range(6000)]
+    docs = spark.createDataFrame([*rare, (6000, "needle " * 9000)], "doc_id long, text string").repartition(6)
+    wanted: dict[str, int] = {}
+    own = token_counts.PreTokens(token_counts.TOKENIZER)
+    for _, text in [*rare, (6000, "needle " * 9000)]:
+        for word in text.split():
+            for piece in own.of(word):
+                wanted[piece] = wanted.get(piece, 0) + 1
+    assert token_counts.frequent(docs, entries=20) == sorted(wanted, key=lambda w: (-wanted[w], w))[:20]
