@@ -1,43 +1,59 @@
 """Alignment of two tokenizers' tokens of the same text, by Spark's relational operators.
 
-Each document is encoded twice where it is read; both token lists are exploded with
-their places, and running sums of byte lengths, by a window, give where each token ends.
-A full outer equi-join on document and end, done by grouping as both sides are one
-stream, gives a row for each place where any token ends.  Such a row is a link: between
-it and the place before it lie one token of either side, which are the next that end
-there or later (a running ``last`` from the end of the text).  So links are found without
-pairing tokens within a group, however large that is.  Running counts of the places where
-both end are the group ids.
+Neither tokenizer joins anything across the begin of white space, so a text is cut there
+into stretches, which are aligned independently.  Texts go in slices of some megabytes;
+a slice's distinct stretches are encoded twice where it is read, and its documents become
+the numbers of their stretches.
 
-Ids are dealt out once, by a number of the row, and everything up to a document's
-result happens there.  Links are counted for each document and id pair before they are
-counted over the corpus.
+Both token lists of each stretch are exploded with their places, and running sums of byte
+lengths, by a window, give where each token ends.  A full outer equi-join on stretch and
+end, done by grouping as both sides are one stream, gives a row for each place where any
+token ends.  Such a row is a link: between it and the place before it lie one token of
+either side, which are the next that end there or later (a running ``last`` from the end
+of the stretch).  So links are found without pairing tokens within a group, however large
+that is.  Places where both end are the cuts between groups.
 
-The input must give a partition's rows in one order, as files do.
+Slices are dealt out once, by number, and everything up to a document's result happens
+there: its stretches' places are put together in its order.  Links are counted for each
+document and id pair before they are counted over the corpus.
+
+Tokenizers that could join across white space have whole texts as stretches.
 
 Nulls, empty and odd rows: a null or empty text, and one that either tokenizer doesn't
 give back byte by byte, has no tokens: zeros and the empty string; a very long text is
-one document like others; repeated rows are documents of their own; a null id stays
-null; other columns are ignored; an empty table gives an empty result.
+one document like others; repeated rows are documents of their own; a
+null id stays null; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, dropped, input_bytes, public_tokenizer, record_batch, table, text_slices, written
+from .common import dropped, free_memory, input_bytes, public_tokenizer, record_batch, table, text_slices, written
+from .packing import _merges
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
-#: Input bytes of a partition, of which each token becomes a row that is sorted, and
-#: partitions at most; beyond that they spill.
-PARTITION_BYTES = 1 << 20
+#: Bytes of text of a slice, of whose distinct stretches each token becomes a row that is
+#: sorted; and its documents at most.
+TEXT_BYTES = 8 << 20
+SLICE_DOCS = 1 << 20
+#: Input bytes of a partition, of which a slice has several, and partitions at most.
+PARTITION_BYTES = 2 << 20
 MOST_PARTITIONS = 50_000
+#: Stretches that are encoded one behind the other.
+JOINED = 256
+#: Links that are put together at a time.
+LINKS = 1 << 18
 #: What is taken from an id to make it a smallint, which bounds ids by 65,536.
 SHIFT = 1 << 15
 #: Id pairs whose counts are broadcast.
@@ -65,9 +81,23 @@ class ByteLevel:
         size = self.own.get_vocab_size()
         entries = [self.own.id_to_token(i) or "" for i in range(size)]
         self.bytes = [bytes(letters[c] for c in e) if all(c in letters for c in e) else e.encode() for e in entries]
+        self.merges = _merges(self.own)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.own.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return self.behind([" " + t for t in texts])
+
+    def parts(self) -> bool:
+        """Whether tokens never go on where white space begins: GPT-2's pattern, by
+        which white space is only at a token's begin."""
+        return self.own.normalizer is None and [self.own.pre_tokenizer.pre_tokenize_str(t) for t in _PROBES] == _PROBED
+
+    def behind(self, stretches: list[str]) -> list[list[int]]:
+        """Ids of stretches of a text."""
+        return [x.ids for x in self.own.encode_batch_fast(stretches, add_special_tokens=False)]
+
+    def joined(self, text: str) -> np.ndarray:
+        """Ids of stretches one behind the other."""
+        return np.array(self.merges.encode_to_numpy(text) if self.merges else self.behind([text])[0], np.int32)
 
 
 class Pieces:
@@ -83,7 +113,28 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.own.encode(texts, num_threads=1)
 
+    def parts(self) -> bool:
+        """Whether tokens never go on where white space begins: no piece has any behind
+        something else, and none has a line end."""
+        pieces = [self.own.id_to_piece(i) for i in range(self.own.get_piece_size())]
+        return not any("\n" in p or " " in p or "▁" in p.lstrip("▁") for p in pieces) and self.own.encode("\n") == [self.own.piece_to_id("▁"), self.own.piece_to_id("<0x0A>")]
+
+    def behind(self, stretches: list[str]) -> list[list[int]]:
+        """Ids of stretches of a text, where ``parts``: a line end before them keeps the
+        space that the model adds apart."""
+        return [x[2:] for x in self.own.encode(["\n" + t for t in stretches], num_threads=1)]
 
+    def joined(self, text: str) -> np.ndarray:
+        """Ids of stretches one behind the other."""
+        return np.array(self.own.encode("\n" + text)[2:], np.int32)
+
+
+#: How the pattern of ``ByteLevel.parts`` cuts.
+_PROBES = [" ab\n\nc  d. 12'll\t e", "a\n b\u3000 c"]
+_PROBED = [
+    [("Ġab", (0, 3)), ("Ċ", (3, 4)), ("Ċ", (4, 5)), ("c", (5, 6)), ("Ġ", (6, 7)), ("Ġd", (7, 9)), (".", (9, 10)), ("Ġ12", (10, 13)), ("'ll", (13, 16)), ("ĉ", (16, 17)), ("Ġe", (17, 19))],
+    [("a", (0, 1)), ("Ċ", (1, 2)), ("Ġb", (2, 4)), ("ãĢĢ", (4, 5)), ("Ġc", (5, 7))],
+]
 #: Of this process.
 _sides: dict[str, ByteLevel | Pieces] = {}
 
@@ -106,64 +157,259 @@ def tokens_of(texts: list[str], names: tuple[str, str]) -> list[tuple[list[int],
     return found
 
 
+def starts(data: np.ndarray) -> np.ndarray:
+    """Where stretches begin in UTF-8 bytes, after the first one: at a space or line end
+    behind what isn't white space.  A few letters count as such by their last bytes, which
+    leaves a stretch longer."""
+    at = np.flatnonzero((data[1:] == 32) | (data[1:] == 10)) + 1
+    return at[~_white(data[at - 1], data[np.maximum(at - 2, 0)])]
+
+
+def _white(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether white space may end with these bytes."""
+    return _WHITE[last] | (_WHITE_LAST[last] & _WHITE_BEFORE[before])
+
+
+#: Last bytes of white space beyond ASCII, and the bytes before them.
+_WHITE, _WHITE_LAST, _WHITE_BEFORE = (np.zeros(256, bool) for _ in range(3))
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+for _c in [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]:
+    _WHITE_BEFORE[chr(_c).encode()[-2]] = _WHITE_LAST[chr(_c).encode()[-1]] = True
+
+
+def stretches_of(texts: pa.Array, apart: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct stretches of ``texts`` (large strings without nulls), each text with a
+    space before it; the places of each text's stretches among them; and how many it has.
+    An empty text has none."""
+    size = np.diff(np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8))
+    held = np.flatnonzero(size > 0)
+    spaced = pc.binary_join_element_wise(pa.scalar("", texts.type), texts.take(pa.array(held)), pa.scalar(" ", texts.type)) if len(held) else texts.slice(0, 0)
+    offsets = np.frombuffer(spaced.buffers()[1], np.int64, len(spaced) + 1, spaced.offset * 8) if len(held) else np.zeros(1, np.int64)
+    begins = offsets[:-1]
+    if apart and len(held):
+        data = np.frombuffer(spaced.buffers()[2], np.uint8, int(offsets[-1]))
+        here = np.zeros(len(data), bool)
+        here[begins] = here[starts(data)] = True
+        begins = np.flatnonzero(here)
+    counts = np.zeros(len(texts), np.int64)
+    counts[held] = np.diff(np.searchsorted(begins, offsets))
+    if not len(held):
+        return spaced, np.zeros(0, np.int32), counts
+    cut = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, offsets[-1]).astype(np.int64)), spaced.buffers()[2])
+    told = cut.dictionary_encode()
+    return told.dictionary, told.indices.to_numpy().astype(np.int32), counts
+
+
+def ids_of(stretches: list[str], names: tuple[str, str], apart: bool) -> list[tuple[list[int], list[int]]]:
+    """Ids of both sides of each stretch; none if the bytes of either aren't its own."""
+    if not apart:
+        return tokens_of([x[1:] for x in stretches], names)
+    own = [_side(n) for n in names]
+    found = []
+    for text, a, b in zip(stretches, own[0].behind(stretches), own[1].behind(stretches), strict=True):
+        whole = text.encode()
+        found.append((a, b) if all(b"".join(map(s.bytes.__getitem__, ids)) == whole for s, ids in zip(own, (a, b), strict=True)) else ([], []))
+    return found
+
+
+def _flat(found: list[tuple[list[int], list[int]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each side, all ids and how many each stretch has."""
+    sides = []
+    for own in ([x[i] for x in found] for i in (0, 1)):
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        sides.append((np.fromiter(itertools.chain.from_iterable(own), np.int32, int(size.sum())), size))
+    return sides
+
+
+def sides_of(every: list[str], names: tuple[str, str], apart: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``ids_of`` as arrays: for each side, all ids and how many each stretch has.
+    Stretches are encoded one behind the other, ``JOINED`` at a time, and alone where one
+    ends with white space or the bytes differ."""
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    for start in range(0, len(every), JOINED):
+        texts = every[start : start + JOINED]
+        whole = "".join(texts)
+        data = whole.encode()
+        stop = np.cumsum([len(x.encode()) for x in texts])
+        flat = np.frombuffer(data, np.uint8)
+        found = []
+        if apart and not _white(flat[stop - 1], flat[np.maximum(stop - 2, 0)]).any():
+            for own in map(_side, names):
+                ids = own.joined(whole)
+                ends = np.cumsum(own.lengths[ids], dtype=np.int64)
+                at = np.searchsorted(ends, stop)
+                if not len(ends) or ends[-1] != len(data) or (ends[at] != stop).any() or b"".join(map(own.bytes.__getitem__, ids.tolist())) != data:
+                    break
+                found.append((ids, np.diff(at, prepend=-1)))
+        parts.append(found if len(found) == 2 else _flat(ids_of(texts, names, apart)))
+    return [tuple(np.concatenate([p[i][j] for p in parts]) for j in (0, 1)) for i in (0, 1)]
+
+
+_SLICES = "slice long, code int, doc_id long, codes binary, a array<smallint>, b array<smallint>"
+
+
 def _encoder(names: tuple[str, str]):
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+        ids: list[pa.Array] = []
+        held: list[pa.Array] = []
+        for batch, texts in text_slices(batches, most=TEXT_BYTES // 4):
+            ids.append(batch.column(0))
+            held.append(texts)
+            if sum(x.nbytes for x in held) >= TEXT_BYTES or sum(map(len, held)) >= SLICE_DOCS // 2:
+                yield pa.concat_arrays(ids), pa.concat_arrays(held)
+                ids, held = [], []
+        if held:
+            yield pa.concat_arrays(ids), pa.concat_arrays(held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("a", pa.list_(pa.int16())), ("b", pa.list_(pa.int16()))])
-        for batch, texts in text_slices(batches, most=SLICE_BYTES // 2):
-            pairs = tokens_of(texts.to_pylist(), names)
-            made = []
-            for side in zip(*pairs, strict=True):
-                flat = np.concatenate([np.array(x, np.int32) for x in side]) - SHIFT
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in side])])
-                made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int16())))
-            yield record_batch({"key": batch.column(0), "doc_id": batch.column(1), "a": made[0], "b": made[1]}, schema)
+        schema = pa.schema([("slice", pa.int64()), ("code", pa.int32()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("a", pa.list_(pa.int16())), ("b", pa.list_(pa.int16()))])
+        apart = all(_side(n).parts() for n in names)
+        place = TaskContext.get().partitionId() << 20
+        for number, (doc_ids, texts) in enumerate(slices(batches), place):
+            told, at, counts = stretches_of(texts, apart)
+            for start in range(0, len(told), 50_000):
+                own = sides_of(told.slice(start, 50_000).to_pylist(), names, apart)
+                n = len(own[0][1])
+                made = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array((ids - SHIFT).astype(np.int16))) for ids, size in own]
+                yield record_batch({"slice": pa.array(np.full(n, number)), "code": pa.array(np.arange(start, start + n, dtype=np.int32)), "doc_id": pa.nulls(n, pa.int64()), "codes": pa.nulls(n, pa.binary()), "a": made[0], "b": made[1]}, schema)
+            stop = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            n = len(doc_ids)
+            for start in range(0, n, 2000):
+                here = range(start, min(start + 2000, n))
+                codes = pa.array([at[stop[i] : stop[i + 1]].tobytes() for i in here], pa.binary())
+                m = len(here)
+                yield record_batch({"slice": pa.array(np.full(m, number)), "code": pa.array(-1 - np.arange(start, start + m, dtype=np.int32)), "doc_id": doc_ids.slice(start, m), "codes": codes, "a": pa.nulls(m, schema.field("a").type), "b": pa.nulls(m, schema.field("b").type)}, schema)
 
     return run
 
 
 def places(docs: DataFrame, names: tuple[str, str] = (BYTE_BPE, PIECE_BPE)) -> DataFrame:
-    """(key, doc_id, end, a, b, link_a, link_b, later): for each document, the places
-    where tokens end, the ids of those that end there, the ids that lie before it, and
-    how many cuts are there or later.  A document without tokens has one row of nulls."""
+    """(slice, code, doc_id, codes, end, a, b, link_a, link_b): for each distinct stretch
+    of a slice (``code``, from 0), the places where tokens end, last first, the ids of those
+    that end there and the ids that lie before it; one without tokens has one row of nulls.
+    A document is a row with a negative code and its stretches' codes."""
     many = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, input_bytes(docs) // PARTITION_BYTES + 1))
-    texts = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = texts.mapInArrow(_encoder(names), "key long, doc_id long, a array<smallint>, b array<smallint>").repartition(many, "key")
-    sides = encoded.select("key", "doc_id", F.posexplode(F.array("a", "b")).alias("side", "ids"))
-    tokens = sides.select("key", "doc_id", "side", F.posexplode_outer("ids").alias("pos", "id")).withColumn("id", F.col("id").cast("int") + SHIFT)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    encoded = texts.mapInArrow(_encoder(names), _SLICES).repartition(many, "slice")
+    own = ["slice", "code", "doc_id", "codes"]
+    sides = encoded.select(*own, F.posexplode(F.array("a", "b")).alias("side", "ids"))
+    tokens = sides.filter("code >= 0 OR side = 0").select(*own, "side", F.posexplode_outer("ids").alias("pos", "id")).withColumn("id", F.col("id").cast("int") + SHIFT)
     lengths = [F.split(F.lit(",".join(map(str, _side(n).lengths.tolist()))), ",").cast("array<int>") for n in names]  # folded to one literal
     length = F.when(F.col("side") == 0, F.get(lengths[0], F.col("id"))).otherwise(F.get(lengths[1], F.col("id")))
-    end = F.sum(length.cast("long")).over(Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    ended = tokens.select("key", "doc_id", "side", "id", end.alias("end"))
-    # the full outer join of both sides on document and end: ends of one side differ
-    met = ended.groupBy("key", "doc_id", "end").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("b"))
-    back = Window.partitionBy("key").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    return met.select("key", "doc_id", "end", "a", "b", F.last("a", True).over(back).alias("link_a"), F.last("b", True).over(back).alias("link_b"), F.sum(cut).over(back).alias("later"))
-
-
-def _listed(tokens: str, own: str) -> F.Column:
-    """The ids of a document's groups as texts, from (end, a, b) of its places: the ids
-    of one side, with a semicolon where a group ends and a comma else."""
-    has = F.filter(tokens, lambda x: x[own].isNotNull())
-    both = lambda x: x["a"].isNotNull() & x["b"].isNotNull()
-    text = F.array_join(F.transform(has, lambda x: F.concat(x[own].cast("string"), F.when(both(x), F.lit(";")).otherwise(F.lit(",")))), "")
-    return F.split(text, ";")
+    end = F.sum(length.cast("long")).over(Window.partitionBy("slice", "code", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    ended = tokens.select(*own, "side", "id", end.alias("end"))
+    # the full outer join of both sides on stretch and end: ends of one side differ
+    met = ended.groupBy(*own, "end").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("b"))
+    back = Window.partitionBy("slice", "code").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    return met.select(*own, "end", "a", "b", F.last("a", True).over(back).alias("link_a"), F.last("b", True).over(back).alias("link_b"))
+
+
+_DOCUMENTS = "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<a: int, b: int, n: int>>"
+
+
+def _texts(a: np.ndarray, b: np.ndarray, tokens: np.ndarray, links: np.ndarray) -> pa.Array:
+    """The groups of stretches as texts, each group with a semicolon behind it, from
+    their places, in order of falling stretches and rising ends (-1: an id that doesn't
+    end there), and how many tokens and places each has; ``LINKS`` at a time."""
+    words = pa.array([f"{i}{sign}" for sign in ",|;" for i in range(2 * SHIFT)], pa.large_string())
+    tokens, ends = tokens[::-1], np.concatenate([[0], np.cumsum(links[::-1])])
+    parts, low = [pa.array([], pa.large_string())], 0
+    while low < len(tokens):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + LINKS, side="right")) - 1)
+        x, y = a[ends[low] : ends[high]], b[ends[low] : ends[high]]
+        group = np.cumsum(np.concatenate([[0], (x >= 0) & (y >= 0)]))[:-1]
+        at = [np.flatnonzero(own >= 0) for own in (x, y)]
+        key = np.concatenate([2 * group[at[0]], 2 * group[at[1]] + 1])
+        order = np.argsort(key, kind="stable")
+        key, ids = key[order], np.concatenate([x[at[0]], y[at[1]]])[order]
+        last = np.append(key[1:] != key[:-1], True)[: len(key)]
+        taken = words.take(pa.array(ids + 2 * SHIFT * np.where(last, 1 + (key & 1), 0)))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[np.concatenate([[0], np.cumsum(tokens[low:high])])]
+        parts.append(pa.LargeStringArray.from_buffers(high - low, pa.py_buffer(offsets), taken.buffers()[2]))
+        low = high
+    return pa.concat_arrays(parts).take(pa.array(np.arange(len(tokens))[::-1]))
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A slice's documents from its places, see ``documents``."""
+    parts: list[list[np.ndarray]] = [[], [], [], [], []]
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        number, code = batch.column(0)[0].as_py(), batch.column(1).to_numpy()
+        if (code < 0).any():
+            held.append(batch.select(["code", "doc_id", "codes"]).filter(pa.array(code < 0)))
+        for part, c in zip(parts, (code, *(pc.fill_null(batch[c], -1).to_numpy() for c in ("a", "b", "link_a", "link_b"))), strict=True):
+            part.append(c[code >= 0][::-1])
+    # places come by codes and falling ends
+    code, a, b, link_a, link_b = (np.concatenate(x[::-1]) for x in parts)
+    del parts
+    n = int(code.max(initial=-1)) + 1
+    odd = np.zeros(n, bool)
+    odd[code[link_a < 0]] = True
+    if odd.any():
+        code, a, b, link_a, link_b = (x[link_a >= 0] for x in (code, a, b, link_a, link_b))
+    # the first place of a stretch is behind those of the stretches after it
+    each = np.stack([np.bincount(code[x], minlength=n) for x in (a >= 0, b >= 0, (a >= 0) & (b >= 0), a >= -1)], axis=1).astype(np.int64)
+    first = len(code) - np.cumsum(each[:, 3])
+    pair = link_a.astype(np.int64) << 16 | link_b
+    text = _texts(a, b, each[:, 0] + each[:, 1], each[:, 3])
+    del code, a, b, link_a, link_b
+    free_memory()
+    for docs in held:
+        lists = [np.frombuffer(x, np.int32) for x in docs["codes"].to_pylist()]
+        lists = [x if not odd[x].any() else x[:0] for x in lists]
+        sums = np.array([each[x].sum(axis=0) for x in lists], np.int64).reshape(len(lists), 4)
+        key = (number << 20) - 1 - docs["code"].to_numpy().astype(np.int64)
+        start, stop = 0, 0
+        while start < len(lists):
+            links = 0
+            while stop < len(lists) and (stop == start or links + sums[stop, 3] <= LINKS):
+                links += sums[stop, 3]
+                stop += 1
+            yield _some(key[start:stop], docs["doc_id"].slice(start, stop - start), lists[start:stop], sums[start:stop], text, each[:, 3], first, pair)
+            start = stop
+    free_memory()
+
+
+def _some(keys: np.ndarray, doc_ids: pa.Array, lists: list[np.ndarray], sums: np.ndarray, text: pa.Array, sizes: np.ndarray, first: np.ndarray, pair: np.ndarray) -> pa.RecordBatch:
+    """Some documents from their stretches (``lists``), of which the texts, how many
+    links each has and where its first is in ``pair`` are given."""
+    shas = []
+    for x in lists:
+        whole = text.take(pa.array(x))
+        offsets = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1)
+        shas.append(hashlib.sha256(memoryview(whole.buffers()[2])[offsets[0] : offsets[-1] - 1]).hexdigest() if len(x) else "")
+    own = np.repeat(np.arange(len(lists), dtype=np.int64) << 32, [len(x) for x in lists]) | np.concatenate(lists)
+    own, times = np.unique(own, return_counts=True)  # a document's distinct stretches
+    size = sizes[own & 0xFFFFFFFF]
+    at = np.repeat(first[own & 0xFFFFFFFF] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    link = np.repeat(own >> 32 << 32, size) | pair[at]
+    by = np.argsort(link)
+    link, times = link[by], np.repeat(times, size)[by]
+    begins = np.flatnonzero(np.append(True, link[1:] != link[:-1])[: len(link)])
+    link, times = link[begins], np.add.reduceat(times, begins) if len(begins) else times
+    # one more row has in how many of these documents each pair is linked
+    told, docs = np.unique(link & 0xFFFFFFFF, return_counts=True)
+    ends = np.cumsum([0, *np.bincount(link >> 32, minlength=len(lists)).tolist(), len(told)])
+    columns = [np.concatenate([x, y]) for x, y in ((link >> 16 & 0xFFFF, told >> 16), (link & 0xFFFF, told & 0xFFFF), (times, docs))]
+    structs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in columns], names=["a", "b", "n"])
+    sums = np.concatenate([sums, np.zeros((1, 4), np.int64)])
+    made = {c: pa.array(sums[:, i]) for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
+    return pa.record_batch({"key": pa.array([*keys.tolist(), None], pa.int64()), "doc_id": pa.array([*doc_ids.to_pylist(), None], pa.int64()), **made, "groups_sha256": pa.array([*shas, None], pa.string()), "pairs": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)})
 
 
 def documents(found: DataFrame) -> DataFrame:
-    """(key, doc_id, n_a, n_b, n_groups, n_links, groups, pairs) from ``places``; pairs
-    are a document's linked ids and how many links each has."""
-    own = found.groupBy("key", "doc_id", "link_a", "link_b").agg(F.count("end").alias("n"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("later").alias("later"), F.collect_list(F.struct("end", "a", "b")).alias("tokens"))
-    whole = own.groupBy("key", "doc_id").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.max("later").alias("n_groups"), F.sum("n").alias("n_links"), F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"), F.collect_list(F.when(F.col("n") > 0, F.struct(F.col("link_a").alias("a"), F.col("link_b").alias("b"), F.col("n").cast("int").alias("n")))).alias("pairs"))
-    each = F.zip_with(_listed("tokens", "a"), _listed("tokens", "b"), lambda x, y: F.concat(x, F.lit("|"), y))
-    groups = F.when(F.col("n_links") == 0, F.lit("")).otherwise(F.array_join(F.slice(each, 1, F.col("n_groups").cast("int")), ";"))
-    return whole.select("key", "doc_id", "n_a", "n_b", F.coalesce("n_groups", F.lit(0)).cast("long").alias("n_groups"), "n_links", groups.alias("groups"), "pairs")
+    """(key, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs) from ``places``;
+    pairs are a document's linked ids and how many links each has.  A row without a key
+    has pairs of some documents of a slice, and in how many of them each is linked."""
+    kept = found.select("slice", "code", "doc_id", "codes", *(F.col(c).cast("int").alias(c) for c in ("a", "b", "link_a", "link_b")))
+    return kept.groupBy("slice").applyInArrow(_put_together, _DOCUMENTS)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(a, b, docs, best) over the corpus: in how many documents a and b are linked, and
     whether no other id is linked with a in more."""
-    pairs = aligned.select(F.explode("pairs").alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("docs"))
+    pairs = aligned.filter("key IS NULL").select(F.explode("pairs").alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.n").alias("docs"))
     pairs = written(pairs, "pair-counts")
     top = pairs.groupBy("a").agg(F.max("docs").alias("top"))
     out = pairs.join(top, "a").select("a", "b", "docs", (F.col("docs") == F.col("top")).alias("best"))
@@ -174,17 +420,17 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 def align(docs: DataFrame, names: tuple[str, str] = (BYTE_BPE, PIECE_BPE)) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of ``docs``
     (doc_id, text), a row for each."""
-    found = documents(places(docs, names)).withColumn("groups_sha256", F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))).drop("groups")
-    aligned = written(found, "aligned")
+    aligned = found = written(documents(places(docs, names)), "aligned")
     counts = written_counts = pair_counts(aligned)
     if counts.count() <= BROADCAST_PAIRS:
         counts = F.broadcast(counts)
+    aligned = aligned.filter("key IS NOT NULL")
     links = aligned.select("key", F.explode("pairs").alias("p")).select("key", "p.a", "p.b", "p.n").join(counts, ["a", "b"])
     sums = links.groupBy("key").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).cast("long").alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
     none = F.lit(0).cast("long")
     out = aligned.drop("pairs").join(sums, "key", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), "groups_sha256")
     out = written(out, "alignment")
-    dropped(aligned, written_counts)
+    dropped(found, written_counts)
     return out
 
 

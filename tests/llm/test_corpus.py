@@ -189,6 +189,27 @@ def test_alignment(spark, odd_docs, sf_dir, broadcast, monkeypatch):
     assert token_alignment.align(df.limit(0)).count() == 0
 
 
+def test_stretches_are_aligned_once(spark):
+    """Tokens become rows once for each distinct stretch of a slice, not once a copy."""
+    text = "Plain words, again and again.\nOther words " * 20
+    rows = lambda n: token_alignment.places(spark.createDataFrame([(i, text) for i in range(n)], "doc_id long, text string").coalesce(1)).filter("code >= 0").count()
+    assert 0 < rows(1) == rows(50) < 40
+
+
+def test_stretches_by_the_library():
+    import pyarrow as pa
+
+    pick = random.Random(3)
+    signs = [*"abCDé½²ʰ \t\n\x0b\x0c\r\x1c\x85\xa0'…!?.,12#中Σİ\x00▁\u2009\u3000", " ", "\n", "<|endoftext|>", "</s>", "<0x41>", "'ll", "  ", "\n\n\n", "the"]
+    texts = ["".join(pick.choices(signs, k=pick.randrange(40))) for _ in range(3000)]
+    told, at, counts = token_alignment.stretches_of(pa.array(["x", *texts], pa.large_string()).slice(1), True)
+    sides = [np.split(ids, np.cumsum(size)[:-1]) for ids, size in token_alignment.sides_of(told.to_pylist(), NAMES, True)]
+    for own, wanted in zip(np.split(at, np.cumsum(counts)[:-1]), token_alignment.tokens_of(texts, NAMES), strict=True):
+        found = [[i for x in own for i in side[x].tolist()] for side in sides]
+        odd = any(not len(sides[0][x]) for x in own)
+        assert ([], []) == wanted if odd else found == list(map(list, wanted))
+
+
 def test_ids_by_the_library():
     """Token bytes are those that the libraries decode to."""
     for name in NAMES:
