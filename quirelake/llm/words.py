@@ -28,7 +28,8 @@ def told_apart(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 class WordIds:
-    """Ids of words, of which a worker remembers ``most`` and then begins anew."""
+    """Ids of words, of which a worker remembers ``most`` and then keeps those that it met
+    more than once since, unless they are more than half."""
 
     def __init__(self, tokenizer: str, most: int):
         self.tokenizer, self.most = hf_tokenizer(tokenizer), most
@@ -36,13 +37,24 @@ class WordIds:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
+        self.ids, self.ends, self.met = array("I"), array("q", [0]), array("I")
+
+    def keep(self) -> None:
+        """Forgets the words that were met once."""
+        place, ids, ends, met = self.place, self.ids, self.ends, self.met
+        kept = [(w, i) for w, i in place.items() if met[i] > 1]
+        self.clear()
+        for word, i in kept if len(kept) <= self.most // 2 else ():
+            self.place[word] = len(self.met)
+            self.ids.extend(ids[ends[i] : ends[i + 1]])
+            self.ends.append(len(self.ids))
+            self.met.append(1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all words of ``texts`` in one array, where each word's end, and
         how many words each text has."""
         if len(self.place) > self.most:
-            self.clear()
+            self.keep()
         words, at, counts = told_apart(texts)
         found = list(map(self.place.get, words))
         missing = [w for w, x in zip(words, found, strict=True) if x is None]
@@ -51,7 +63,10 @@ class WordIds:
                 self.place[word] = len(self.ends) - 1
                 self.ids.extend(x.ids)
                 self.ends.append(len(self.ids))
+                self.met.append(0)
             found = list(map(self.place.get, words))
+        if words:
+            np.frombuffer(self.met, np.uint32)[found] += 1
         ends = np.frombuffer(self.ends, np.int64)
         at = np.array(found, np.int64)[at]
         n = ends[at + 1] - ends[at]

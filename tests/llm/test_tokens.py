@@ -211,3 +211,19 @@ def test_table_is_of_all_texts(spark, monkeypatch):
             for piece in own.of(word):
                 wanted[piece] = wanted.get(piece, 0) + 1
     assert token_counts.frequent(docs, entries=20) == sorted(wanted, key=lambda w: (-wanted[w], w))[:20]
+
+
+def test_words_met_again_are_kept():
+    import pyarrow as pa
+
+    from quirelake.llm.words import WordIds
+
+    own = WordIds(bpe_chunks.TOKENIZER, 100)
+    made = hf_tokenizer(bpe_chunks.TOKENIZER)
+    for i in range(6):
+        text = "often and " + " ".join(f"once{i}x{j}" for j in range(60)) + " again"
+        ids, _, counts = own.encode(pa.array([text], pa.large_string()))
+        assert ids.tolist() == made.encode(text, add_special_tokens=False).ids and counts.tolist() == [63]
+        assert i < 3 or len(own.place) <= 163
+    own.keep()
+    assert {"often", "and", "again"} <= set(own.place) and len(own.place) < 70
