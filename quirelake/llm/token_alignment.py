@@ -5,13 +5,17 @@ into stretches, which are aligned independently.  Texts go in slices of some meg
 a slice's distinct stretches are encoded twice where it is read, and its documents become
 the numbers of their stretches.
 
-Both token lists of each stretch are exploded with their places, and running sums of byte
-lengths, by a window, give where each token ends.  A full outer equi-join on stretch and
-end, done by grouping as both sides are one stream, gives a row for each place where any
-token ends.  Such a row is a link: between it and the place before it lie one token of
-either side, which are the next that end there or later (a running ``last`` from the end
-of the stretch).  So links are found without pairing tokens within a group, however large
-that is.  Places where both end are the cuts between groups.
+Both token lists are exploded with their places, and running sums of byte lengths, by a
+window, give where each token begins and ends.  A full outer equi-join on stretch and
+begin, done by a second window as both sides are one stream, sorted by begins, gives a row
+for each place where any token begins.  Such a row is a link: between it and the place
+after it lie one token of either side, which are the last that began there or before (a
+running ``last``).  So links are found without pairing tokens within a group, however
+large that is.  Places where both begin are the cuts between groups.
+
+Rows and windows have ``BLOCK`` stretches of a slice, as a window costs far more to begin
+than a row of it.  Both sides have the same bytes, so a begin within the block tells the
+stretch too.
 
 Slices are dealt out once, by number, and everything up to a document's result happens
 there: its stretches' places are put together in its order.  Links are counted for each
@@ -52,10 +56,18 @@ PARTITION_BYTES = 2 << 20
 MOST_PARTITIONS = 50_000
 #: Stretches that are encoded one behind the other.
 JOINED = 256
+#: Stretches of a row, and of a window's partition.
+BLOCK_BITS = 8
+BLOCK = 1 << BLOCK_BITS
 #: Links that are put together at a time.
 LINKS = 1 << 18
-#: What is taken from an id to make it a smallint, which bounds ids by 65,536.
-SHIFT = 1 << 15
+#: Bounds ids.  As an id it stands for a stretch without tokens, as if of one byte.
+NO_ID = 1 << 16
+#: The bits of a token that are its id; above them its side and its stretch's number in
+#: the block.
+ID_BITS = 2 * NO_ID - 1
+SIDE_BIT = 2 * NO_ID
+TOKEN_BITS = 18 + BLOCK_BITS
 #: Id pairs whose counts are broadcast.
 BROADCAST_PAIRS = 500_000
 
@@ -200,6 +212,15 @@ def stretches_of(texts: pa.Array, apart: bool) -> tuple[pa.Array, np.ndarray, np
     return told.dictionary, told.indices.to_numpy().astype(np.int32), counts
 
 
+def one_of(parts: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``stretches_of`` all texts from those of their parts."""
+    if len(parts) == 1:
+        return parts[0]
+    told = pa.concat_arrays([x[0] for x in parts]).dictionary_encode()
+    number, first = told.indices.to_numpy().astype(np.int32), np.cumsum([0, *(len(x[0]) for x in parts)])
+    return told.dictionary, np.concatenate([number[low:][at] for low, (_, at, _) in zip(first, parts, strict=False)]), np.concatenate([x[2] for x in parts])
+
+
 def ids_of(stretches: list[str], names: tuple[str, str], apart: bool) -> list[tuple[list[int], list[int]]]:
     """Ids of both sides of each stretch; none if the bytes of either aren't its own."""
     if not apart:
@@ -245,63 +266,112 @@ def sides_of(every: list[str], names: tuple[str, str], apart: bool) -> list[tupl
     return [tuple(np.concatenate([p[i][j] for p in parts]) for j in (0, 1)) for i in (0, 1)]
 
 
-_SLICES = "slice long, code int, doc_id long, codes binary, a array<smallint>, b array<smallint>"
+#: The stretches of this process's last slice, and its sides.
+_last: dict[tuple, tuple[pa.Array, list[tuple[np.ndarray, np.ndarray]]]] = {}
+
+
+def sides_after(told: pa.Array, names: tuple[str, str], apart: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``sides_of`` a slice's distinct stretches; those of the slice before are taken
+    from there."""
+    had, sides = _last.pop((names, apart), (told.slice(0, 0), [(np.zeros(0, np.int32), np.zeros(0, np.int64))] * 2))
+    at = pc.index_in(told, value_set=had)
+    new = told.filter(at.is_null())
+    parts = [sides, *(sides_of(new.slice(start, 200 * JOINED).to_pylist(), names, apart) for start in range(0, len(new), 200 * JOINED))]
+    place = at.fill_null(-1).to_numpy().astype(np.int64)
+    place[place < 0] = len(had) + np.arange(len(new))
+    found = []
+    for i in (0, 1):
+        ids, size = (np.concatenate([x[i][j] for x in parts]) for j in (0, 1))
+        begin, own = (np.cumsum(size) - size)[place], size[place]
+        found.append((ids[np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))], own))
+    _last.clear()
+    if told.nbytes <= TEXT_BYTES:
+        _last[names, apart] = told, found
+    return found
+
+
+_SLICES = "slice long, first int, side int, doc struct<doc_id: long, codes: binary>, tokens array<int>"
+
+
+def _blocks(side: int, ids: np.ndarray, size: np.ndarray) -> pa.Array:
+    """One side's tokens (see ``ID_BITS``) of each ``BLOCK`` of stretches, from all ids and
+    how many each stretch has."""
+    if (size == 0).any():
+        ids = np.insert(ids, (np.cumsum(size) - size)[size == 0], NO_ID)
+        size = np.maximum(size, 1)
+    tokens = np.repeat(np.arange(len(size), dtype=np.int32) % BLOCK << TOKEN_BITS - BLOCK_BITS, size) | side * SIDE_BIT | ids
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return pa.ListArray.from_arrays(pa.array(np.append(ends[:-1:BLOCK], ends[-1]), pa.int32()), pa.array(tokens.astype(np.int32)))
 
 
 def _encoder(names: tuple[str, str]):
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    def slices(batches: Iterator[pa.RecordBatch], apart: bool) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+        """Documents' ids and, as of ``stretches_of``, their stretches, a slice at a time;
+        only a fourth of a slice's texts are held at once."""
         ids: list[pa.Array] = []
-        held: list[pa.Array] = []
+        parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        size = 0
         for batch, texts in text_slices(batches, most=TEXT_BYTES // 4):
             ids.append(batch.column(0))
-            held.append(texts)
-            if sum(x.nbytes for x in held) >= TEXT_BYTES or sum(map(len, held)) >= SLICE_DOCS // 2:
-                yield pa.concat_arrays(ids), pa.concat_arrays(held)
-                ids, held = [], []
-        if held:
-            yield pa.concat_arrays(ids), pa.concat_arrays(held)
+            parts.append(stretches_of(texts, apart))
+            size += texts.nbytes
+            if size >= TEXT_BYTES or sum(map(len, ids)) >= SLICE_DOCS // 2:
+                yield pa.concat_arrays(ids), *one_of(parts)
+                ids, parts, size = [], [], 0
+        if ids:
+            yield pa.concat_arrays(ids), *one_of(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("slice", pa.int64()), ("code", pa.int32()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("a", pa.list_(pa.int16())), ("b", pa.list_(pa.int16()))])
+        schema = pa.schema([("slice", pa.int64()), ("first", pa.int32()), ("side", pa.int32()), ("doc", pa.struct([("doc_id", pa.int64()), ("codes", pa.binary())])), ("tokens", pa.list_(pa.int32()))])
         apart = all(_side(n).parts() for n in names)
         place = TaskContext.get().partitionId() << 20
-        for number, (doc_ids, texts) in enumerate(slices(batches), place):
-            told, at, counts = stretches_of(texts, apart)
-            for start in range(0, len(told), 50_000):
-                own = sides_of(told.slice(start, 50_000).to_pylist(), names, apart)
-                n = len(own[0][1])
-                made = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array((ids - SHIFT).astype(np.int16))) for ids, size in own]
-                yield record_batch({"slice": pa.array(np.full(n, number)), "code": pa.array(np.arange(start, start + n, dtype=np.int32)), "doc_id": pa.nulls(n, pa.int64()), "codes": pa.nulls(n, pa.binary()), "a": made[0], "b": made[1]}, schema)
+        for number, (doc_ids, told, at, counts) in enumerate(slices(batches, apart), place):
+            for side, (ids, size) in enumerate(sides_after(told, names, apart)):
+                ends = np.concatenate([[0], np.cumsum(size)])
+                for start in range(0, len(size), 200 * BLOCK):
+                    stop = min(start + 200 * BLOCK, len(size))
+                    blocks = _blocks(side, ids[ends[start] : ends[stop]], size[start:stop])
+                    n = len(blocks)
+                    yield record_batch({"slice": pa.array(np.full(n, number)), "first": pa.array(start + BLOCK * np.arange(n), pa.int32()), "side": pa.array(np.full(n, side), pa.int32()), "doc": pa.nulls(n, schema.field("doc").type), "tokens": blocks}, schema)
             stop = np.concatenate([[0], np.cumsum(counts)]).tolist()
             n = len(doc_ids)
             for start in range(0, n, 2000):
                 here = range(start, min(start + 2000, n))
                 codes = pa.array([at[stop[i] : stop[i + 1]].tobytes() for i in here], pa.binary())
                 m = len(here)
-                yield record_batch({"slice": pa.array(np.full(m, number)), "code": pa.array(-1 - np.arange(start, start + m, dtype=np.int32)), "doc_id": doc_ids.slice(start, m), "codes": codes, "a": pa.nulls(m, schema.field("a").type), "b": pa.nulls(m, schema.field("b").type)}, schema)
+                yield record_batch({"slice": pa.array(np.full(m, number)), "first": pa.array(-1 - np.arange(start, start + m), pa.int32()), "side": pa.array(np.zeros(m), pa.int32()), "doc": pa.StructArray.from_arrays([doc_ids.slice(start, m), codes], names=["doc_id", "codes"]), "tokens": pa.nulls(m, schema.field("tokens").type)}, schema)
 
     return run
 
 
 def places(docs: DataFrame, names: tuple[str, str] = (BYTE_BPE, PIECE_BPE)) -> DataFrame:
-    """(slice, code, doc_id, codes, end, a, b, link_a, link_b): for each distinct stretch
-    of a slice (``code``, from 0), the places where tokens end, last first, the ids of those
-    that end there and the ids that lie before it; one without tokens has one row of nulls.
-    A document is a row with a negative code and its stretches' codes."""
+    """(slice, code, doc_id, codes, start, a, b, link_a, link_b): for each distinct stretch
+    of a slice (``code``, from 0), the places where tokens begin, in order, counted from the
+    begin of its block, the ids of those that begin there and the ids that lie behind it;
+    one without tokens has one row of -1.  A document is a row with a negative code and its
+    stretches' codes."""
     many = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, input_bytes(docs) // PARTITION_BYTES + 1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     encoded = texts.mapInArrow(_encoder(names), _SLICES).repartition(many, "slice")
-    own = ["slice", "code", "doc_id", "codes"]
-    sides = encoded.select(*own, F.posexplode(F.array("a", "b")).alias("side", "ids"))
-    tokens = sides.filter("code >= 0 OR side = 0").select(*own, "side", F.posexplode_outer("ids").alias("pos", "id")).withColumn("id", F.col("id").cast("int") + SHIFT)
+    own = ["slice", "first", "doc"]
+    tokens = encoded.select(*own, "side", F.posexplode_outer("tokens").alias("pos", "token"))
     lengths = [F.split(F.lit(",".join(map(str, _side(n).lengths.tolist()))), ",").cast("array<int>") for n in names]  # folded to one literal
-    length = F.when(F.col("side") == 0, F.get(lengths[0], F.col("id"))).otherwise(F.get(lengths[1], F.col("id")))
-    end = F.sum(length.cast("long")).over(Window.partitionBy("slice", "code", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    ended = tokens.select(*own, "side", "id", end.alias("end"))
-    # the full outer join of both sides on stretch and end: ends of one side differ
-    met = ended.groupBy(*own, "end").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("b"))
-    back = Window.partitionBy("slice", "code").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    return met.select(*own, "end", "a", "b", F.last("a", True).over(back).alias("link_a"), F.last("b", True).over(back).alias("link_b"))
+    number = F.col("token").bitwiseAND(ID_BITS)
+    length = F.coalesce(F.when(F.col("side") == 0, F.get(lengths[0], number)).otherwise(F.get(lengths[1], number)), F.lit(1)).cast("long")
+    end = F.sum("length").over(Window.partitionBy("slice", "first", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    begun = tokens.withColumn("length", length).select(*own, F.coalesce("token", F.lit(NO_ID)).alias("token"), (end - F.col("length")).alias("start"))
+    # the full outer join of both sides on block and begin: those that begin together are
+    # peers of the window, whose last tokens of either side they have
+    so_far = Window.partitionBy("slice", "first").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    of_b = F.col("token").bitwiseAND(SIDE_BIT) != 0
+    known = F.shiftleft("start", TOKEN_BITS).bitwiseOR(F.col("token").cast("long"))
+    last_a, last_b = (F.last(F.when(side, known), True).over(so_far) for side in (~of_b, of_b))
+    met = begun.select(*own, "token", "start", last_a.alias("last_a"), last_b.alias("last_b"))
+    here = [F.shiftright(c, TOKEN_BITS) == F.col("start") for c in ("last_a", "last_b")]
+    met = met.filter(~of_b | ~F.coalesce(here[0], F.lit(False)))
+    link = [F.when(F.col(c).bitwiseAND(ID_BITS) == NO_ID, -1).otherwise(F.col(c).bitwiseAND(ID_BITS)).cast("int") for c in ("last_a", "last_b")]
+    code = F.col("first") + F.shiftright("token", TOKEN_BITS - BLOCK_BITS)
+    return met.select("slice", code.alias("code"), "doc.doc_id", "doc.codes", "start", F.when(here[0], link[0]).alias("a"), F.when(here[1], link[1]).alias("b"), link[0].alias("link_a"), link[1].alias("link_b"))
 
 
 _DOCUMENTS = "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<a: int, b: int, n: int>>"
@@ -309,64 +379,64 @@ _DOCUMENTS = "key long, doc_id long, n_a long, n_b long, n_groups long, n_links
 
 def _texts(a: np.ndarray, b: np.ndarray, tokens: np.ndarray, links: np.ndarray) -> pa.Array:
     """The groups of stretches as texts, each group with a semicolon behind it, from
-    their places, in order of falling stretches and rising ends (-1: an id that doesn't
-    end there), and how many tokens and places each has; ``LINKS`` at a time."""
-    words = pa.array([f"{i}{sign}" for sign in ",|;" for i in range(2 * SHIFT)], pa.large_string())
-    tokens, ends = tokens[::-1], np.concatenate([[0], np.cumsum(links[::-1])])
+    their places in order (-1: an id that doesn't begin there), and how many tokens and
+    places each has; ``LINKS`` at a time."""
+    words = pa.array([f"{i}{sign}" for sign in ",|;" for i in range(NO_ID)], pa.large_string())
+    ends = np.concatenate([[0], np.cumsum(links)])
     parts, low = [pa.array([], pa.large_string())], 0
     while low < len(tokens):
         high = max(low + 1, int(np.searchsorted(ends, ends[low] + LINKS, side="right")) - 1)
         x, y = a[ends[low] : ends[high]], b[ends[low] : ends[high]]
-        group = np.cumsum(np.concatenate([[0], (x >= 0) & (y >= 0)]))[:-1]
+        group = np.cumsum((x >= 0) & (y >= 0))
         at = [np.flatnonzero(own >= 0) for own in (x, y)]
         key = np.concatenate([2 * group[at[0]], 2 * group[at[1]] + 1])
         order = np.argsort(key, kind="stable")
         key, ids = key[order], np.concatenate([x[at[0]], y[at[1]]])[order]
         last = np.append(key[1:] != key[:-1], True)[: len(key)]
-        taken = words.take(pa.array(ids + 2 * SHIFT * np.where(last, 1 + (key & 1), 0)))
+        taken = words.take(pa.array(ids + NO_ID * np.where(last, 1 + (key & 1), 0)))
         offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[np.concatenate([[0], np.cumsum(tokens[low:high])])]
         parts.append(pa.LargeStringArray.from_buffers(high - low, pa.py_buffer(offsets), taken.buffers()[2]))
         low = high
-    return pa.concat_arrays(parts).take(pa.array(np.arange(len(tokens))[::-1]))
+    return pa.concat_arrays(parts)
 
 
 def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A slice's documents from its places, see ``documents``."""
-    parts: list[list[np.ndarray]] = [[], [], [], [], []]
-    held: list[pa.RecordBatch] = []
+    """A slice's documents from its packed places, see ``documents``."""
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    held: list[tuple[np.ndarray, pa.Array, pa.Array]] = []
     for batch in batches:
-        number, code = batch.column(0)[0].as_py(), batch.column(1).to_numpy()
-        if (code < 0).any():
-            held.append(batch.select(["code", "doc_id", "codes"]).filter(pa.array(code < 0)))
-        for part, c in zip(parts, (code, *(pc.fill_null(batch[c], -1).to_numpy() for c in ("a", "b", "link_a", "link_b"))), strict=True):
-            part.append(c[code >= 0][::-1])
-    # places come by codes and falling ends
-    code, a, b, link_a, link_b = (np.concatenate(x[::-1]) for x in parts)
-    del parts
-    n = int(code.max(initial=-1)) + 1
+        number, place = batch["slice"][0].as_py(), batch["place"].to_numpy()
+        if (place < 0).any():
+            docs = batch.filter(pa.array(place < 0))
+            held.append((place[place < 0] >> 34, docs["link"], docs["codes"]))
+        parts[3].append(batch["link"].fill_null(-1).to_numpy()[place >= 0])
+        place = place[place >= 0]
+        for part, c in zip(parts, (place >> 34, (place >> 17 & ID_BITS) - 1, (place & ID_BITS) - 1), strict=False):
+            part.append(c.astype(np.int32))
+    # places come by codes and begins
+    code, a, b, pair = (np.concatenate(parts.pop(0)) for _ in range(4))
+    n = int(code[-1]) + 1 if len(code) else 0
     odd = np.zeros(n, bool)
-    odd[code[link_a < 0]] = True
+    odd[code[pair < 0]] = True
     if odd.any():
-        code, a, b, link_a, link_b = (x[link_a >= 0] for x in (code, a, b, link_a, link_b))
-    # the first place of a stretch is behind those of the stretches after it
+        code, a, b, pair = (x[pair >= 0] for x in (code, a, b, pair))
     each = np.stack([np.bincount(code[x], minlength=n) for x in (a >= 0, b >= 0, (a >= 0) & (b >= 0), a >= -1)], axis=1).astype(np.int64)
-    first = len(code) - np.cumsum(each[:, 3])
-    pair = link_a.astype(np.int64) << 16 | link_b
+    first = np.cumsum(each[:, 3]) - each[:, 3]
     text = _texts(a, b, each[:, 0] + each[:, 1], each[:, 3])
-    del code, a, b, link_a, link_b
+    del code, a, b
     free_memory()
-    for docs in held:
-        lists = [np.frombuffer(x, np.int32) for x in docs["codes"].to_pylist()]
+    for codes, doc_ids, stretches in held:
+        lists = [np.frombuffer(x, np.int32) for x in stretches.to_pylist()]
         lists = [x if not odd[x].any() else x[:0] for x in lists]
         sums = np.array([each[x].sum(axis=0) for x in lists], np.int64).reshape(len(lists), 4)
-        key = (number << 20) - 1 - docs["code"].to_numpy().astype(np.int64)
+        key = (number << 20) - 1 - codes
         start, stop = 0, 0
         while start < len(lists):
             links = 0
             while stop < len(lists) and (stop == start or links + sums[stop, 3] <= LINKS):
                 links += sums[stop, 3]
                 stop += 1
-            yield _some(key[start:stop], docs["doc_id"].slice(start, stop - start), lists[start:stop], sums[start:stop], text, each[:, 3], first, pair)
+            yield _some(key[start:stop], doc_ids.slice(start, stop - start), lists[start:stop], sums[start:stop], text, each[:, 3], first, pair)
             start = stop
     free_memory()
 
@@ -402,8 +472,12 @@ def documents(found: DataFrame) -> DataFrame:
     """(key, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs) from ``places``;
     pairs are a document's linked ids and how many links each has.  A row without a key
     has pairs of some documents of a slice, and in how many of them each is linked."""
-    kept = found.select("slice", "code", "doc_id", "codes", *(F.col(c).cast("int").alias(c) for c in ("a", "b", "link_a", "link_b")))
-    return kept.groupBy("slice").applyInArrow(_put_together, _DOCUMENTS)
+    # few columns: a row's way to Python costs by columns
+    long = lambda c, to: F.shiftleft(F.col(c).cast("long"), to)
+    a, b = (F.coalesce(F.col(c), F.lit(-1)) + 1 for c in ("a", "b"))
+    place = long("code", 34).bitwiseOR(F.shiftleft(a.cast("long"), 17)).bitwiseOR(b.cast("long"))
+    link = F.when(F.col("code") < 0, F.col("doc_id")).otherwise(long("link_a", 16).bitwiseOR(F.col("link_b").cast("long")))
+    return found.select("slice", place.alias("place"), link.alias("link"), "codes").groupBy("slice").applyInArrow(_put_together, _DOCUMENTS)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

@@ -196,6 +196,41 @@ def test_stretches_are_aligned_once(spark):
     assert 0 < rows(1) == rows(50) < 40
 
 
+def test_rows_have_many_stretches(spark):
+    """A block of stretches is a row and a window's partition, not each stretch."""
+    text = "".join(f"{i} x{i}\n" for i in range(1000))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").coalesce(1)
+    rows = df.mapInArrow(token_alignment._encoder(NAMES), token_alignment._SLICES).count()
+    assert rows == 2 + 2 * -(-token_alignment.places(df).agg({"code": "max"}).first()[0] // token_alignment.BLOCK) < 30
+
+
+def test_stretches_of_the_slice_before(monkeypatch):
+    """Stretches that the slice before had aren't encoded again; the sides are the same."""
+    import pyarrow as pa
+
+    encoded = []
+    of = token_alignment.sides_of
+    monkeypatch.setattr(token_alignment, "_last", {})
+    monkeypatch.setattr(token_alignment, "sides_of", lambda every, *own: encoded.extend(every) or of(every, *own))
+    for given, new in (([" a", " bcd", "\nodd\r"], 3), ([" bcd", " new", "\nodd\r", " a", " xyzzyx"], 2), ([], 0), ([" a"], 1)):
+        encoded.clear()
+        found = token_alignment.sides_after(pa.array(given, pa.large_string()), NAMES, True)
+        assert len(encoded) == new
+        for side, wanted in zip(found, of(given, NAMES, True) if given else [([], [])] * 2, strict=True):
+            assert [x.tolist() for x in side] == [list(x) for x in wanted]
+
+
+def test_parts_of_a_slice():
+    import pyarrow as pa
+
+    texts = pa.array(["a b a", "", "b c", "a\nb", "d"], pa.large_string())
+    parts = [token_alignment.stretches_of(texts.slice(i, 2), True) for i in (0, 2, 4)]
+    told, at, counts = token_alignment.one_of(parts)
+    whole, where, many = token_alignment.stretches_of(texts, True)
+    assert counts.tolist() == many.tolist() and len(set(told.to_pylist())) == len(told)
+    assert [told[i].as_py() for i in at.tolist()] == [whole[i].as_py() for i in where.tolist()]
+
+
 def test_stretches_by_the_library():
     import pyarrow as pa
 
